@@ -28,8 +28,7 @@ def fold_table() -> tuple[str, str]:
             target.append(base)
     source += ["đ", "Đ"]
     target += ["d", "D"]
-    marks = [chr(c) for c in range(0x300, 0x370)
-             if not unicodedata.normalize("NFD", chr(c)).isascii() and chr(c) not in source]
+    marks = [chr(c) for c in range(0x300, 0x370)]
     return "".join(source + marks), "".join(target)
 
 
