@@ -108,12 +108,14 @@ def detector_agreement(a: DataFrame, b: DataFrame, photos: DataFrame, photo: str
                       "matched", (F.col("_iou") / F.greatest(F.lit(1), F.col("boxes_a"))).alias("mean_best_iou"))
 
 
-BOX = "struct<rank:double,ord:string,x1:double,y1:double,x2:double,y2:double>"
+def _entry(score: str, order: str) -> Column:
+    return F.struct((-F.col(score)).cast("double").alias("rank"), F.col(order).alias("ord"),
+                    *[F.col(c).cast("double").alias(c) for c in CORNERS])
 
 
-def _entry(score: str, ord_col: str) -> Column:
-    return F.struct((-F.col(score)).cast("double").alias("rank"), F.col(ord_col).cast("string").alias("ord"),
-                    *[F.col(c).cast("double").alias(c) for c in CORNERS])
+def _no_entries(df: DataFrame, order: str) -> Column:
+    ord_type = df.schema[order].dataType.simpleString()
+    return F.array().cast(f"array<struct<rank:double,ord:{ord_type},x1:double,y1:double,x2:double,y2:double>>")
 
 
 def _fold(entries: Column, kept: Column, limit: float, most: int) -> Column:
@@ -133,7 +135,7 @@ def suppress(boxes: DataFrame, photo: str = "photo_id", score: str = "score", or
     only depends on better ones, so the result is that of the full sequence.
     """
     small, large = split_by_group_size(boxes, [photo], chunk)
-    nothing = F.array().cast(f"array<{BOX}>")
+    nothing = _no_entries(boxes, order)
     folded = small.groupBy(photo).agg(F.collect_list(_entry(score, order)).alias("_e")).select(
         photo, _fold(F.col("_e"), nothing, limit, most).alias("_kept"))
     done = [folded]
@@ -188,7 +190,8 @@ def _fold_match(gt: DataFrame, det: DataFrame, photo: str, min_iou: float) -> Da
     items = gt.groupBy(photo).agg(F.collect_list(F.struct(
         "item_idx", *[F.col(c).cast("double").alias(c) for c in CORNERS])).alias("_g"))
     boxes = det.groupBy(photo).agg(F.array_sort(F.collect_list(_entry("score", "det_id"))).alias("_d"))
-    start = F.array().cast("array<struct<item_idx:int,det_id:string,iou:double>>")
+    id_type = det.schema["det_id"].dataType.simpleString()
+    start = F.array().cast(f"array<struct<item_idx:int,det_id:{id_type},iou:double>>")
 
     def step(done: Column, box: Column) -> Column:
         free = F.filter("_g", lambda g: (iou(g, box) >= min_iou) & ~F.exists(
@@ -216,5 +219,5 @@ def _mutual_match(pairs: DataFrame, photo: str) -> DataFrame:
         left = durable(left.join(final.select(photo, "det_id"), [photo, "det_id"], "left_anti")
                        .join(final.select(photo, "item_idx"), [photo, "item_idx"], "left_anti"))
     if result is None:
-        return pairs.select(photo, "item_idx", F.col("det_id").cast("string").alias("det_id"), "iou")
+        return pairs.select(photo, "item_idx", "det_id", "iou")
     return result
