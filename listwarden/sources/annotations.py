@@ -9,10 +9,10 @@ from pyspark.sql.types import StructType
 from ..constants import ALLOWLIST_MAX_SIDE, PHOTO_MAX_SIDE
 from ..functions.boxes import displayed_size, large_enough, scaled_corners, shrink_factor, shrunk_side
 from ..functions.names import jpg_name
-from ..schemas import ALLOWLISTS
+from ..schemas import ALLOWLISTS, struct
 
 
-def read_shards(spark: SparkSession, folder: str, split: str, schema: StructType,
+def read_shards(spark: SparkSession, folder: str, split: str, schema: StructType | str,
                 first: int | None = None) -> DataFrame:
     """Shards named ``<split>-*.parquet``; ``first`` keeps the first n in name order."""
     shards = spark.read.schema(schema).option("pathGlobFilter", f"{split}-*.parquet").parquet(folder)
@@ -73,8 +73,9 @@ def map_rows(raw: DataFrame) -> DataFrame:
     return raw.select(jpg_name(F.col("prescription")).alias("allowlist_id"), jpg_name(F.col("pill")).alias("photo_id"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines; blank lines are skipped, missing keys are null."""
+    schema = struct(schema) if isinstance(schema, str) else schema
     blank = F.lit(True)
     for field in schema.names:
         blank = blank & F.col(field).isNull()
@@ -85,8 +86,9 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def read_open_jsonl(spark: SparkSession, path: str, known: StructType) -> DataFrame:
+def read_open_jsonl(spark: SparkSession, path: str, known: StructType | str) -> DataFrame:
     """Known fields typed, every other key kept as text in ``extra``."""
+    known = struct(known) if isinstance(known, str) else known
     text = spark.read.text(path).filter(F.trim("value") != "")
     every = F.from_json("value", "map<string,string>")
     typed = text.select(F.from_json("value", known).alias("row"), every.alias("all"))

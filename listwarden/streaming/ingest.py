@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def ingest_new_shards(spark: SparkSession, folder: str, split: str, schema: StructType,
+def ingest_new_shards(spark: SparkSession, folder: str, split: str, schema: StructType | str,
                       rows: Callable[[DataFrame, str], DataFrame], out: str, checkpoint: str,
                       files_per_trigger: int | None = None) -> StreamingQuery:
     """Process the shards the checkpoint has not seen, then stop.
