@@ -24,4 +24,5 @@ def count_where(condition: Column) -> Column:
 
 
 def percent_text(value: Column, decimals: int = 1, missing: str = "–") -> Column:
-    return F.coalesce(F.format_string(f"%.{decimals}f %%", value * 100.0), F.lit(missing))
+    text = F.format_string(f"%.{decimals}f %%", half_even(value * 100.0, decimals))
+    return F.when(value.isNull(), missing).otherwise(text)

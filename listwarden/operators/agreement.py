@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import BOX_RATIO_RANGE, MAX_ACCURACY_DROP, MIN_BOX_IOU, MIN_COSINE
+from ..constants import BOX_RATIO_RANGE, FOREIGN, MAX_ACCURACY_DROP, MIN_BOX_IOU, MIN_COSINE
 from ..functions.numbers import count_where, rate
 from ..functions.vectors import dot
+from .sampling import hash_sample
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -88,3 +89,23 @@ def enforce(gates: DataFrame) -> None:
     failed = [r.message for r in gates.filter(~F.col("passed")).toLocalIterator()]
     if failed:
         raise GateError("; ".join(failed))
+
+
+def agreement_cases(items: DataFrame, photos: DataFrame, scenarios: DataFrame, n: int = 30, with_boxes: int = 10,
+                    seed: int = 0) -> DataFrame:
+    """(case_id, photo_id, listed, true_boxes): sampled photos with their remove-1 list, else their own classes.
+
+    The first ones by photo are repeated with the true boxes.
+    """
+    labels = items.groupBy("photo_id").agg(F.sort_array(F.collect_set(F.when(
+        F.col("label") != FOREIGN, F.col("label")))).alias("own"))
+    usable = photos.select("photo_id").join(labels, "photo_id")
+    picked = hash_sample(usable, "photo_id", n, seed)
+    removed = scenarios.filter(F.col("kind") == "remove-1").select("photo_id", "listed")
+    place = F.row_number().over(Window.orderBy("photo_id")) - 1     # over at most n rows
+    cases = picked.withColumn("_k", place).join(removed, "photo_id", "left").select(
+        "photo_id", "_k", F.coalesce("listed", "own").alias("listed"))
+    kinds = F.when(F.col("_k") < with_boxes, F.array(F.lit("#det"), F.lit("#oracle"))).otherwise(F.array(F.lit("#det")))
+    spread = cases.select("photo_id", "listed", F.explode(kinds).alias("kind"))
+    return spread.select(F.concat(F.col("photo_id").cast("string"), "kind").alias("case_id"), "photo_id", "listed",
+                         (F.col("kind") == "#oracle").alias("true_boxes"))

@@ -29,7 +29,7 @@ def photo_lists(photos: DataFrame, items: DataFrame, lists: DataFrame, unseen: D
         joined = joined.withColumn("listed", F.coalesce("listed", own))
     else:
         joined = joined.filter(F.col("listed").isNotNull())
-    base = F.array_sort(F.array_except("listed", class_array(unseen)))
+    base = F.sort_array(F.array_except("listed", class_array(unseen)))
     return joined.withColumn("base", base).select(
         "photo_id", "allowlist_id", "base",
         F.array_sort(F.array_intersect("labels", F.col("base"))).alias("present"))

@@ -20,17 +20,18 @@ ALLOWLISTS = (
     "exif_orientation INT, scale DOUBLE, ann_ids ARRAY<INT>, texts ARRAY<STRING>, ann_labels ARRAY<STRING>, "
     "boxes_raw ARRAY<ARRAY<INT>>, mappings ARRAY<INT>"
 )
-PHOTO_ALLOWLIST = StructType.fromDDL("allowlist_id STRING, photo_id STRING, ord LONG")
+PHOTO_ALLOWLIST = "allowlist_id STRING, photo_id STRING, ord LONG"
 CROPS = (
     "item_id STRING, photo_id STRING, item_idx INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, "
     "label INT, subset STRING"
 )
-CLASSES = StructType.fromDDL("class_id INT, name STRING, aliases ARRAY<STRING>, n_boxes LONG, n_images LONG")
+CLASSES = "class_id INT, name STRING, n_boxes LONG, n_images LONG"
+ALIASES = "class_id INT, alias_no INT, alias STRING, votes LONG"
 SCENARIOS = (
     "scenario_id STRING, kind STRING, photo_id STRING, allowlist_id STRING, listed ARRAY<INT>, removed ARRAY<INT>"
 )
-SCENARIO_ITEMS = StructType.fromDDL("scenario_id STRING, item_idx INT, label INT, gt STRING, reason STRING")
-PROTOTYPES = StructType.fromDDL("class_id INT, proto_no INT, vector ARRAY<DOUBLE>")
+SCENARIO_ITEMS = "scenario_id STRING, item_idx INT, label INT, gt STRING, reason STRING"
+PROTOTYPES = "class_id INT, proto_no INT, vector ARRAY<DOUBLE>"
 PARAMS = (
     "temperature DOUBLE, unknown_bias DOUBLE, theta_in DOUBLE, theta_out DOUBLE, margin DOUBLE, "
     "platt_a DOUBLE, platt_b DOUBLE"

@@ -13,9 +13,10 @@ from ..schemas import ALLOWLISTS, struct
 
 
 def read_shards(spark: SparkSession, folder: str, split: str, schema: StructType | str,
-                first: int | None = None) -> DataFrame:
-    """Shards named ``<split>-*.parquet``; ``first`` keeps the first n in name order."""
-    shards = spark.read.schema(schema).option("pathGlobFilter", f"{split}-*.parquet").parquet(folder)
+                first: int | None = None, pattern: str = "{split}-*.parquet") -> DataFrame:
+    """Shards of a split by file name; ``first`` keeps the first n in name order."""
+    glob = pattern.format(split=split)
+    shards = spark.read.schema(schema).option("pathGlobFilter", glob).parquet(folder)
     if first is None:
         return shards
     names = [r.file_name for r in shards.select("_metadata.file_name").distinct().orderBy("file_name").limit(first)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import stem
+from ..functions.numbers import half_even
 
 
 def label_lines(items: DataFrame, photos: DataFrame) -> DataFrame:
@@ -17,8 +18,9 @@ def label_lines(items: DataFrame, photos: DataFrame) -> DataFrame:
     w, h = (F.col("x2") - F.col("x1")) / F.col("width"), (F.col("y2") - F.col("y1")) / F.col("height")
     cx = (F.col("x1") + F.col("x2")) / 2 / F.col("width")
     cy = (F.col("y1") + F.col("y2")) / 2 / F.col("height")
+    parts = [half_even(value, 6) for value in (cx, cy, w, h)]
     lines = joined.filter((w > 0) & (h > 0)).select(
-        "photo_id", "item_idx", F.format_string("0 %.6f %.6f %.6f %.6f", cx, cy, w, h).alias("line"))
+        "photo_id", "item_idx", F.format_string("0 %.6f %.6f %.6f %.6f", *parts).alias("line"))
     return photos.select("photo_id").join(lines, "photo_id", "left").select(
         "photo_id", "item_idx", F.coalesce("line", F.lit("")).alias("line"))
 
