@@ -138,7 +138,9 @@ select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedd
     "mean_units": """
 select m.class_id, m.d, m.m / (n.n + 1e-9) as m from mean_dims m
 join (select class_id, sqrt(sum(m*m)) as n from mean_dims group by 1) n using (class_id)""",
-    "protos": "select * from mean_units where class_id not in (8, 9)",
+    "protos": """
+select class_id, d, m / (sqrt(sum(m*m) over (partition by class_id)) + 1e-9) as m from mean_units
+where class_id not in (8, 9)""",
     "sims": "select vec_id, class_id, sum(v*m) as s from dims join protos using (d) group by 1, 2",
     "decided": """
 select *, s_in - s_out as margin, case when p_in >= 0.8 and s_in - s_out >= 0 then 'in' when p_in <= 0.3 then 'out'
@@ -153,6 +155,9 @@ from (select vec_id, listed, p_raw, p_unknown, best_listed, best_any, coalesce(s
    arg_max(class_id, s) filter (list_contains(c.listed, class_id)) as best_listed, arg_max(class_id, s) as best_any
   from asked c join sims using (vec_id) group by 1, 2))""",
     "asked": "select distinct vec_id, listed from told",
+    "own_asked": """
+select distinct i.vec_id, coalesce(l.listed, []) as listed from items i join photos p using (photo_id)
+left join listed l on l.allowlist_id = p.allowlist_id""",
     "records": """
 select t.scenario_id, t.kind, t.photo_id, t.item_idx, t.label, t.gt, t.reason, t.label in (select class_id from protos) as seen,
  t.vec_id % 13 <> 0 as detected, case when t.vec_id % 13 <> 0 then d.verdict else 'missed' end as verdict,
@@ -184,6 +189,16 @@ from (select *,
    max(s) filter (list_contains(c.listed, class_id)) as s_in, max(s) filter (not list_contains(c.listed, class_id)) as s_out,
    arg_max(class_id, s) as best_any
   from det_asked c join sims using (vec_id) group by 1, 2))""",
+    "own_decided": """
+select *, case when p_in >= 0.8 and coalesce(s_in, -1) - coalesce(s_out, -1) >= 0 then 'in' when p_in <= 0.3 then 'out'
+  else 'uncertain' end as verdict
+from (select *,
+  1/(1+exp(-(0.9*ln(greatest(1e-6, least(1-1e-6, p_raw))/(1-greatest(1e-6, least(1-1e-6, p_raw)))) + 0.5))) as p_in
+ from (select c.vec_id, c.listed,
+   coalesce(sum(exp(s/0.08)) filter (list_contains(c.listed, class_id)), 0)/(sum(exp(s/0.08)) + exp(0.3/0.08)) as p_raw,
+   max(s) filter (list_contains(c.listed, class_id)) as s_in, max(s) filter (not list_contains(c.listed, class_id)) as s_out,
+   arg_max(class_id, s) as best_any
+  from own_asked c join sims using (vec_id) group by 1, 2))""",
     "full_records": """
 select t.scenario_id, t.kind, t.photo_id, t.item_idx, t.label, t.gt, t.reason, m.det_id is not null as detected,
  coalesce(d.verdict, 'missed') as verdict, round_even(d.p_in, 5) as p_in, d.best_any
@@ -236,9 +251,12 @@ def with_views(body: str) -> str:
 
     for name in ordered:
         place(name)
+    body = body.strip()
     if not placed:
         return body
-    return "with recursive " + ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in placed) + "\n" + body.strip()
+    views = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in placed)
+    own = f",\n{body[5:]}" if body.startswith("with ") else f"\n{body}"
+    return f"with recursive {views}{own}"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
