@@ -423,12 +423,12 @@ SLICES = " union all ".join([
 
 
 @query("j11_records", """
-select scenario_id, kind, photo_id, item_idx, label, gt, reason, seen, detected, verdict, round(p_in, 4) as p_in, best_any,
+select scenario_id, kind, photo_id, item_idx, label, gt, reason, seen, detected, verdict, p_in, best_any,
  best_listed from records""")
 def _(spark, folder):
     return World(spark, folder).records.select(
         "scenario_id", "kind", "photo_id", "item_idx", "label", "gt", "reason", "seen", "detected", "verdict",
-        F.round("p_in", 4).alias("p_in"), "best_any", "best_listed")
+        "p_in", "best_any", "best_listed")
 
 
 @query("a25_record_rates", rates_sql("records", "kind", "kind"))
@@ -563,17 +563,17 @@ def _(spark, folder):
     return metrics.spurious_counts(World(spark, folder).evaluated[1])
 
 
-@query("j12_spurious", "select scenario_id, photo_id, det_id, verdict, round(p_in, 4) as p_in, det_score from spurious")
+@query("j12_spurious", "select scenario_id, photo_id, det_id, verdict, p_in, det_score from spurious")
 def _(spark, folder):
     return World(spark, folder).evaluated[1].select(
-        "scenario_id", "photo_id", "det_id", "verdict", F.round("p_in", 4).alias("p_in"), "det_score")
+        "scenario_id", "photo_id", "det_id", "verdict", "p_in", "det_score")
 
 
 @query("j11_detector_records", """
-select scenario_id, photo_id, item_idx, gt, reason, detected, verdict, round(p_in, 4) as p_in, best_any from full_records""")
+select scenario_id, photo_id, item_idx, gt, reason, detected, verdict, p_in, best_any from full_records""")
 def _(spark, folder):
     return World(spark, folder).evaluated[0].select(
-        "scenario_id", "photo_id", "item_idx", "gt", "reason", "detected", "verdict", F.round("p_in", 4).alias("p_in"),
+        "scenario_id", "photo_id", "item_idx", "gt", "reason", "detected", "verdict", "p_in",
         "best_any")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,19 @@ def split_by_group_size(df: DataFrame, keys: list[str], limit: int) -> tuple[Dat
         return df, None
     side = F.broadcast(large) if n_large <= WINDOW_GROUP_ROWS else large
     return df.join(side, keys, "left_anti"), df.join(side, keys, "left_semi")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application; local mode shares the driver's files."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        return
+    if getattr(sc, "_listwarden_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="listwarden-")) / "listwarden.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._listwarden_shipped = True
