@@ -11,6 +11,7 @@ from listwarden import bridge
 from listwarden.constants import Params
 from listwarden.operators import calibration, prototypes, scenarios, split
 from listwarden.plans import check, evaluate
+from listwarden.session import durable
 
 PARAMS = Params(temperature=0.08, unknown_bias=0.3, theta_in=0.8, theta_out=0.3, margin=0.0, platt_a=0.9, platt_b=0.5)
 
@@ -72,7 +73,7 @@ class World:
     @cached_property
     def prototypes(self) -> DataFrame:
         seen = self.vectors.join(self.held_out, self.vectors["label"] == self.held_out["class_id"], "left_anti")
-        return prototypes.class_means(seen).select("class_id", F.lit(0).alias("proto_no"), "vector")
+        return durable(prototypes.class_means(seen).select("class_id", F.lit(0).alias("proto_no"), "vector"))
 
     def embedded(self, df: DataFrame) -> DataFrame:
         return df.join(self.vectors.select("vec_id", "embedding"), "vec_id")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CALIBRATION_BINS, TRAINING_SCALE, Params
 from ..functions.decisions import p_in as p_in_of
-from .similarity import CHUNK_CELLS, _matrix, class_similarities, class_slots
+from .similarity import CHUNK_CELLS, PrototypeBlocks, _matrix, class_similarities, class_slots
 
 
 def clipped_nll(p: Column, y: Column, eps: float = 1e-7) -> Column:
@@ -66,8 +66,9 @@ def calibration_set(told: DataFrame, vectors: DataFrame, prototypes: DataFrame,
 
     Similarities are computed once per vector and meet the scenarios afterwards.
     """
-    classes = [r.class_id for r in prototypes.select("class_id").distinct().orderBy("class_id").toLocalIterator()]
-    sims = class_similarities(vectors, prototypes, [key])
+    blocks = PrototypeBlocks(prototypes)
+    classes = blocks.ids.tolist()
+    sims = class_similarities(vectors, blocks, [key])
     joined = told.filter(F.col("reason") != "unlisted").join(sims, key)
     return joined.select(
         "scenario_id", "photo_id", "item_idx", "sims", class_slots(classes, F.col("listed")).alias("slots"),

@@ -17,7 +17,8 @@ from ..functions.names import class_label
 from ..functions.numbers import half_even
 from ..functions.vectors import unit
 from ..session import BROADCAST_BYTES
-from .similarity import _matrix
+from .ordering import running_totals
+from .similarity import PrototypeBlocks, _matrix, class_similarities
 
 
 def class_means(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -183,12 +184,10 @@ def export_json(prototypes: DataFrame, classes: DataFrame) -> DataFrame:
 
 def nearest_class(vectors: DataFrame, prototypes: DataFrame, keep: list[str]) -> DataFrame:
     """Adds ``predicted``: the class of the most similar prototype, the lowest id on a tie."""
-    from .similarity import class_similarities
-
-    ids = [r.class_id for r in prototypes.select("class_id").distinct().orderBy("class_id").toLocalIterator()]
-    scored = class_similarities(vectors, prototypes, keep)
+    blocks = PrototypeBlocks(prototypes)
+    scored = class_similarities(vectors, blocks, keep)
     best = F.array_position("sims", F.array_max("sims")).cast("int")
-    return scored.select(*keep, F.element_at(F.lit(ids).cast("array<int>"), best).alias("predicted"))
+    return scored.select(*keep, F.element_at(F.lit(blocks.ids.tolist()).cast("array<int>"), best).alias("predicted"))
 
 
 def nearest_accuracy(vectors: DataFrame, prototypes: DataFrame, item: str = "vec_id",
@@ -201,7 +200,5 @@ def nearest_accuracy(vectors: DataFrame, prototypes: DataFrame, item: str = "vec
 def prototype_offsets(prototypes: DataFrame) -> DataFrame:
     """Start of each class in the concatenated vector list, for the ragged on-disk form."""
     counts = prototypes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
-    from .ordering import running_totals
-
     upto = running_totals(counts, [F.col("class_id")], {"_upto": F.col("n")})
     return upto.select("class_id", (F.col("_upto") - F.col("n")).alias("offset"), "n")

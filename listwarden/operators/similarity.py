@@ -22,27 +22,40 @@ from ..session import BROADCAST_BYTES
 CHUNK_CELLS = 4_000_000
 
 
-def prototype_blocks(prototypes: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> Iterator[tuple]:
-    """(class ids, unit vectors, first row of each class) per block of whole classes."""
-    sizes = (
-        prototypes.groupBy("class_id")
-        .agg((F.count(F.lit(1)) * F.max(F.size("vector")) * 8).alias("bytes"))
-        .orderBy("class_id").toArrow()
-    )
-    ids, sizes = sizes["class_id"].to_numpy(), sizes["bytes"].to_numpy()
-    block = (np.cumsum(sizes) - sizes) // limit_bytes
-    for number in np.unique(block):
-        inside = ids[block == number]
-        rows = (
-            prototypes.filter(F.col("class_id").between(int(inside[0]), int(inside[-1])))
-            .select("class_id", F.col("vector").cast("array<double>").alias("vector"), "proto_no")
-            .orderBy("class_id", "proto_no").toArrow()
+class PrototypeBlocks:
+    """Prototypes cut into blocks of whole classes: (class ids, unit vectors, first row of each class).
+
+    Sizes are looked up first; the vectors of a block are only fetched when it is its turn.
+    """
+
+    def __init__(self, prototypes: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> None:
+        self.prototypes = prototypes
+        sizes = (
+            prototypes.groupBy("class_id")
+            .agg((F.count(F.lit(1)) * F.max(F.size("vector")) * 8).alias("bytes"))
+            .toPandas().sort_values("class_id")
         )
-        owner = rows["class_id"].to_numpy()
-        vectors = _matrix(rows["vector"].combine_chunks())
-        vectors = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        yield owner[starts].astype(np.int32), vectors, starts
+        self.ids = sizes["class_id"].to_numpy(dtype=np.int32)
+        used = sizes["bytes"].to_numpy(dtype=np.int64)
+        self._block = (np.cumsum(used) - used) // limit_bytes
+
+    def __iter__(self) -> Iterator[tuple]:
+        for number in np.unique(self._block):
+            inside = self.ids[self._block == number]
+            rows = (
+                self.prototypes.filter(F.col("class_id").between(int(inside[0]), int(inside[-1])))
+                .select("class_id", F.col("vector").cast("array<double>").alias("vector"), "proto_no")
+                .toArrow().sort_by([("class_id", "ascending"), ("proto_no", "ascending")])
+            )
+            owner = rows["class_id"].to_numpy()
+            vectors = _matrix(rows["vector"])
+            vectors = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            yield owner[starts].astype(np.int32), vectors, starts
+
+
+def as_blocks(prototypes: DataFrame | PrototypeBlocks, limit_bytes: int) -> PrototypeBlocks:
+    return prototypes if isinstance(prototypes, PrototypeBlocks) else PrototypeBlocks(prototypes, limit_bytes)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -61,7 +74,7 @@ def _fields(df: DataFrame, names: list[str]) -> list:
     return [df.schema[n] for n in names]
 
 
-def class_similarities(df: DataFrame, prototypes: DataFrame, keep: list[str],
+def class_similarities(df: DataFrame, prototypes: DataFrame | PrototypeBlocks, keep: list[str],
                        vector: str = "embedding", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Adds ``sims``: the best cosine per class, in ascending class order.
 
@@ -70,7 +83,7 @@ def class_similarities(df: DataFrame, prototypes: DataFrame, keep: list[str],
     sc = df.sparkSession.sparkContext
     schema = StructType(_fields(df, keep)).add("sims", ArrayType(DoubleType()))
     parts = []
-    for block in prototype_blocks(prototypes, limit_bytes):
+    for block in as_blocks(prototypes, limit_bytes):
         shared = sc.broadcast(block)
         parts.append(df.select(*keep, vector).mapInArrow(_similarity_job(shared, keep, vector), schema))
     if not parts:
@@ -108,7 +121,7 @@ def class_slots(class_ids: list[int], listed) -> F.Column:
 PARTIAL = "top DOUBLE, mass DOUBLE, listed_mass DOUBLE, s_in DOUBLE, best_listed INT, s_out DOUBLE, best_any INT"
 
 
-def judge(df: DataFrame, prototypes: DataFrame, params: Params, keep: list[str],
+def judge(df: DataFrame, prototypes: DataFrame | PrototypeBlocks, params: Params, keep: list[str],
           vector: str = "embedding", lists: str = "lists", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Decide every vector against each of its allow-lists.
 
@@ -122,7 +135,7 @@ def judge(df: DataFrame, prototypes: DataFrame, params: Params, keep: list[str],
     source = df.select(*keep, vector, lists)
     parts = [
         source.mapInArrow(_judge_job(sc.broadcast(block), keep, vector, lists, params.temperature), schema)
-        for block in prototype_blocks(prototypes, limit_bytes)
+        for block in as_blocks(prototypes, limit_bytes)
     ]
     if not parts:
         empty = source.select(*keep, F.explode(lists).alias("_l")).select(*keep, "_l.list_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_ABSTAIN, MAX_FALSE_ALARM, MIN_OUT_RECALL, THRESHOLD_GRID, Params
 from ..functions.decisions import search_verdict
 from ..functions.numbers import count_where, half_even, rate
+from ..session import durable
 from .ordering import running_totals
 
 
@@ -106,7 +107,7 @@ def choose_thresholds(df: DataFrame, max_false_alarm: float = MAX_FALSE_ALARM, m
     Order of relaxing: the abstain cap step by step, then the recall floor, then no reject option.
     """
     caps = abstain_caps(max_abstain)
-    table = threshold_grid(df, grid)
+    table = durable(threshold_grid(df, grid))
     ok_alarm = F.col("false_alarm_rate") <= max_false_alarm
     step = F.lit(None).cast("int")
     for i in reversed(range(len(caps))):
@@ -118,7 +119,10 @@ def choose_thresholds(df: DataFrame, max_false_alarm: float = MAX_FALSE_ALARM, m
     ranked = ranked.withColumn("_free", F.max(floor_free).over(whole))
     member = F.when(F.col("_used").isNotNull(), F.col("_step") <= F.col("_used")).otherwise(floor_free)
     kept = ranked.filter(F.coalesce(member, F.lit(False)))
-    none = selective_metrics(df, 0.5, 0.5).select(
+    middle = (grid - 1) / 2
+    half = table.filter((F.col("lo") == middle) & (F.col("hi") == middle)) if middle == int(middle) else (
+        selective_metrics(df, 0.5, 0.5))
+    none = half.select(
         F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit(0.5).alias("theta_out"),
         F.lit(0.5).alias("theta_in"), *table.columns[4:], F.lit(None).cast("int").alias("_step"),
         F.lit(None).cast("int").alias("_used"), F.lit(False).alias("_free"))

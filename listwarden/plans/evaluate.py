@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import Params
 from ..functions.numbers import half_even
 from ..operators.boxes import match_boxes
+from ..session import durable
 from .check import decide_items, scenario_lists
 
 
@@ -59,7 +60,8 @@ def evaluate(items: DataFrame, dets: DataFrame | None, scenarios: DataFrame, tol
     if dets is None:
         dets, matches = item_detections(items), identity_matches(items)
     else:
-        matches = match_boxes(items, dets)
-    decisions = decide_detections(dets, scenarios, prototypes, params)
+        matches = durable(match_boxes(items, dets))
+    # Both results are read for the records and for the spurious boxes.
+    decisions = durable(decide_detections(dets, scenarios, prototypes, params))
     seen = prototypes.select("class_id").distinct()
     return build_records(told, matches, decisions, seen), build_spurious(decisions, matches)
