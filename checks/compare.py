@@ -46,10 +46,11 @@ def main() -> None:
 
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--folder", default="")
     ap.add_argument("--only", default="")
     ap.add_argument("--prefix", default="")
     args = ap.parse_args()
-    folder = f"/root/testdata/sf{args.sf}"
+    folder = args.folder or f"/root/testdata/sf{args.sf}"
     queries, oracles = registered()
     spark = local_session()
     con = connect(folder)

@@ -257,8 +257,8 @@ def _(spark, folder):
 
 @query("a45_width_histogram", """
 with w as (select (x2 - x1) / width as v from items join photos using (photo_id)), b as (select min(v) as lo, max(v) as hi from w)
-select r.bin, count(w.v) as n from (select unnest(range(40)) as bin) r
-left join (select v, least(cast(floor((v - lo) / ((hi - lo) / 40)) as int), 39) as bin from w, b) w on w.bin = r.bin group by 1""")
+select r.bin, count(w.v) as n from (select bin, lo + bin * ((hi - lo) / 40) as lo, lo + (bin + 1) * ((hi - lo) / 40) as hi
+ from (select unnest(range(40)) as bin), b) r left join w on w.v >= r.lo and (w.v < r.hi or r.bin = 39) group by 1""")
 def _(spark, folder):
     w = World(spark, folder)
     return P.equal_histogram(P.relative_widths(w.items, w.photos), "rel_width")

@@ -86,7 +86,7 @@ def vector_gates(report: DataFrame) -> DataFrame:
 
 def enforce(gates: DataFrame) -> None:
     """Raise when a gate fails; there are two rows per report."""
-    failed = [r.message for r in gates.filter(~F.col("passed")).toLocalIterator()]
+    failed = [r.message for r in gates.filter(~F.col("passed")).collect()]
     if failed:
         raise GateError("; ".join(failed))
 

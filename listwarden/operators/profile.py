@@ -80,7 +80,12 @@ def equal_histogram(values: DataFrame, column: str, bins: int = 40) -> DataFrame
     bounds = values.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("b")).select("b").scalar()
     placed = values.select(F.col(column).alias("v"), bounds.alias("b"))
     step = (F.col("b.hi") - F.col("b.lo")) / bins
-    index = F.when(step > 0, F.least(F.floor((F.col("v") - F.col("b.lo")) / step), F.lit(bins - 1))).otherwise(0)
-    counted = placed.groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    guess = F.when(step > 0, F.least(F.floor((F.col("v") - F.col("b.lo")) / step), F.lit(bins - 1))).otherwise(0)
+    guessed = placed.select("v", "b", step.alias("step"), guess.cast("int").alias("g"))
+    edge = lambda i: F.col("b.lo") + i * F.col("step")                                 # noqa: E731
+    index = (F.when(F.col("v") < edge(F.col("g")), F.col("g") - 1)
+             .when((F.col("g") < bins - 1) & (F.col("v") >= edge(F.col("g") + 1)) & (F.col("step") > 0), F.col("g") + 1)
+             .otherwise(F.col("g")))
+    counted = guessed.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     frame = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return frame.join(counted, "bin", "left").fillna(0, ["n"])

@@ -51,17 +51,19 @@ def build_prototypes(vectors: DataFrame, item: str = "vec_id", label: str = "lab
                           .alias("kc")).filter("kc >= 2")
     source = vectors.select(F.col(item).alias("item"), F.col(label).alias("class_id"),
                             F.col(vector).cast("array<double>").alias("vector")).join(wanted, "class_id")
-    centres = class_centres(source, seed, starts, rounds)
+    centres = class_centres(source, k - 1, seed, starts, rounds)
     if centres is None:
         return first
     unit_centres = centres.select("class_id", (F.col("centre") + 1).alias("proto_no"), unit("vector").alias("vector"))
     return first.unionByName(unit_centres)
 
 
-def class_centres(source: DataFrame, seed: int, starts: int, rounds: int,
+def class_centres(source: DataFrame, most: int, seed: int, starts: int, rounds: int,
                   limit_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
     """Lloyd's algorithm inside every class at once, best of several hash-seeded starts.
 
+    ``source`` has (item, class_id, vector, kc) with at most ``most`` centres per class.
+
     Each round is one pass: a task adds up its rows per centre, so a class of any size costs one small
     row per task. Classes are taken in blocks whose centres fit a broadcast.
     """
@@ -70,8 +72,10 @@ def class_centres(source: DataFrame, seed: int, starts: int, rounds: int,
     order = Window.partitionBy("class_id", "start").orderBy("_h", "item")
     seeds = (
         source.select("*", draws).withColumn("_h", seeded_hash(seed, "start", "class_id", "item"))
-        .withColumn("centre", F.row_number().over(order) - 1)
-        .filter(F.col("centre") < F.col("kc")).select("class_id", "start", "centre", "vector")
+        .withColumn("_rank", F.row_number().over(order))
+        # The fixed bound lets every task drop all but its first rows before the shuffle.
+        .filter(F.col("_rank") <= most).filter(F.col("_rank") <= F.col("kc"))
+        .select("class_id", "start", (F.col("_rank") - 1).alias("centre"), "vector")
     )
     per_class = source.groupBy("class_id").agg((F.max("kc") * F.max(F.size("vector")) * 8 * starts).alias("b"))
     sizes = per_class.orderBy("class_id").toArrow()

@@ -26,7 +26,7 @@ def weighted_draws(items: DataFrame, key: str, n: int, seed: int = 0, label: str
 
     A draw first finds its class by cumulative class weight, then a position inside the class.
     """
-    sizes = class_weights(items, label).orderBy(label).toLocalIterator()
+    sizes = class_weights(items, label).orderBy(label).collect()     # one row per class
     labels, counts, edges = [], [], [0.0]
     for row in sizes:
         labels.append(row[label])

@@ -20,7 +20,7 @@ def read_shards(spark: SparkSession, folder: str, split: str, schema: StructType
     if first is None:
         return shards
     names = [r.file_name for r in shards.select("_metadata.file_name").distinct().orderBy("file_name").limit(first)
-             .toLocalIterator()]
+             .collect()]
     return shards.filter(F.col("_metadata.file_name").isin(names))
 
 
