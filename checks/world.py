@@ -44,7 +44,7 @@ class World:
     @cached_property
     def lists(self) -> DataFrame:
         lines = bridge.allowlist_classes(self.spark, self.folder)
-        found = lines.groupBy("allowlist_id").agg(F.array_sort(F.collect_set("class_id")).alias("listed"))
+        found = lines.groupBy("allowlist_id").agg(F.sort_array(F.collect_set("class_id")).alias("listed"))
         every = bridge.allowlists(self.spark, self.folder)
         return every.join(found, "allowlist_id", "left").select(
             "allowlist_id", F.coalesce("listed", F.array().cast("array<int>")).alias("listed"))

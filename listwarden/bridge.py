@@ -54,7 +54,7 @@ def photos(spark: SparkSession, folder: str) -> DataFrame:
 
 def allowlist_classes(spark: SparkSession, folder: str) -> DataFrame:
     """(allowlist_id, class_id) lines; the classes of a list are the ten fixed residues of its key."""
-    known = embeddings(spark, folder).select(F.array_sort(F.collect_set("label"))).scalar()
+    known = embeddings(spark, folder).select(F.sort_array(F.collect_set("label"))).scalar()
     lists = table(spark, folder, "customer").select(F.col("c_custkey").alias("allowlist_id"))
     lines = lists.filter((F.col("allowlist_id") % 17 != 0) & (F.col("allowlist_id") % 23 != 0)).select(
         "allowlist_id", F.explode(known).alias("class_id")

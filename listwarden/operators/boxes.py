@@ -123,7 +123,7 @@ def _fold(entries: Column, kept: Column, limit: float, most: int) -> Column:
     def step(done: Column, box: Column) -> Column:
         hidden = F.exists(done, lambda k: iou(k, box, clamp=True) > limit)
         return F.when((F.size(done) >= most) | hidden, done).otherwise(F.concat(done, F.array(box)))
-    return F.aggregate(F.array_sort(entries), kept, step)
+    return F.aggregate(F.sort_array(entries), kept, step)
 
 
 def suppress(boxes: DataFrame, photo: str = "photo_id", score: str = "score", order: str = "det_id",
@@ -189,7 +189,7 @@ def match_boxes(items: DataFrame, dets: DataFrame, photo: str = "photo_id", min_
 def _fold_match(gt: DataFrame, det: DataFrame, photo: str, min_iou: float) -> DataFrame:
     items = gt.groupBy(photo).agg(F.collect_list(F.struct(
         "item_idx", *[F.col(c).cast("double").alias(c) for c in CORNERS])).alias("_g"))
-    boxes = det.groupBy(photo).agg(F.array_sort(F.collect_list(_entry("score", "det_id"))).alias("_d"))
+    boxes = det.groupBy(photo).agg(F.sort_array(F.collect_list(_entry("score", "det_id"))).alias("_d"))
     id_type = det.schema["det_id"].dataType.simpleString()
     start = F.array().cast(f"array<struct<item_idx:int,det_id:{id_type},iou:double>>")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CALIBRATION_BINS, TRAINING_SCALE, Params
 from ..functions.decisions import p_in as p_in_of
+from ..session import durable
 from .similarity import CHUNK_CELLS, PrototypeBlocks, _matrix, class_similarities, class_slots
 
 
@@ -121,13 +122,18 @@ def _candidate_losses(calibration: DataFrame, candidates: list[tuple[float, floa
                 mask = np.zeros(s.shape, dtype=bool)
                 mask[owner, slots.flatten().to_numpy(zero_copy_only=False)] = True
                 y = part.column("y_in").to_numpy(zero_copy_only=False).astype(float)
-                for i, (log_t, bias) in enumerate(grid):
+                best = s.max(axis=1)
+                # Candidates of one temperature share the exponentials.
+                for log_t in np.unique(grid[:, 0]):
                     t = math.exp(log_t)
-                    top = np.maximum(s.max(axis=1), bias)
-                    e = np.exp((s - top[:, None]) / t)
-                    p = (e * mask).sum(axis=1) / (e.sum(axis=1) + np.exp((bias - top) / t))
-                    p = np.clip(p, 1e-7, 1 - 1e-7)
-                    losses[i] -= float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+                    e = np.exp((s - best[:, None]) / t)
+                    mass, listed = e.sum(axis=1), (e * mask).sum(axis=1)
+                    for i in np.flatnonzero(grid[:, 0] == log_t):
+                        # A bias far above every similarity overflows to infinity, which is p = 0.
+                        with np.errstate(over="ignore"):
+                            p = listed / (mass + np.exp((grid[i, 1] - best) / t))
+                        p = np.clip(p, 1e-7, 1 - 1e-7)
+                        losses[i] -= float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
                 rows += len(s)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(grid), dtype=np.int32)), pa.array(losses), pa.array([rows] * len(grid), pa.int64())],
@@ -143,12 +149,15 @@ def _candidate_losses(calibration: DataFrame, candidates: list[tuple[float, floa
 
 
 def fit_temperature_and_bias(calibration: DataFrame, init: Params | None = None, rounds: int = 12,
-                             side: int = 7) -> Params:
+                             side: int = 7, stored: bool = False) -> Params:
     """Minimise the loss over (log T, bias): grids around the best point so far, shrinking each round.
 
     Every round is one pass over the set with all candidates at once. The first grid covers the
-    starting points (0.05, 0.5), (0.1, 0.3), (0.02, 0.7) and ``init``.
+    starting points (0.05, 0.5), (0.1, 0.3), (0.02, 0.7) and ``init``. The set is written once first,
+    unless it is ``stored`` already.
     """
+    if not stored:
+        calibration = durable(calibration.select("sims", "slots", "y_in"))
     init = init or Params()
     starts = [(math.log(init.temperature), init.unknown_bias), (math.log(0.05), 0.5), (math.log(0.1), 0.3),
               (math.log(0.02), 0.7)]

@@ -28,7 +28,8 @@ def name_votes(lines: DataFrame, order: list[str]) -> DataFrame:
     """Votes per (class, cleaned name) and the first place the name was seen."""
     cleaned = name_lines(lines).select("class_id", strip_list_number(F.col("text")).alias("name"), *order)
     return cleaned.groupBy("class_id", "name").agg(
-        F.count(F.lit(1)).alias("votes"), F.min(F.struct(*order)).alias("first_seen")
+        F.count(F.lit(1)).alias("votes"),
+        F.min(F.struct(*order) if len(order) > 1 else F.col(order[0])).alias("first_seen"),
     )
 
 
@@ -89,7 +90,7 @@ def sample_lists(lists: DataFrame, photo_split: DataFrame, seen: DataFrame, n: i
 
     Sorted, duplicates kept out by the stored form of ``listed``.
     """
-    known = seen.select(F.array_sort(F.collect_set("class_id"))).scalar()
+    known = seen.select(F.sort_array(F.collect_set("class_id"))).scalar()
     used = photo_split.filter(F.col("subset") == subset).select("allowlist_id").distinct()
     kept = lists.join(used, "allowlist_id", "left_semi").select(
         "allowlist_id", F.array_intersect("listed", known).alias("classes"))

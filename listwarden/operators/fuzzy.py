@@ -81,8 +81,8 @@ def match_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
     Equal token sequences are matched once, however many lines repeat them.
     """
     keys = catalogue_keys(names)
-    tokened = lines.select("doc", "line_no", "text", line_tokens(F.col("text")).alias("tokens")).filter(
-        F.size("tokens") > 0)
+    # A line without tokens matches nothing; filtering it here would only fold every line twice.
+    tokened = lines.select("doc", "line_no", "text", line_tokens(F.col("text")).alias("tokens"))
     hits = sequence_hits(tokened.select("tokens").distinct(), keys)
     first = tokened.join(hits, "tokens").groupBy("doc", "class_id").agg(
         F.min(F.struct("line_no", "name_no", "text")).alias("f"))

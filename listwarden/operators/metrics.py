@@ -178,7 +178,7 @@ def unseen_groups(records: DataFrame, groups: DataFrame) -> DataFrame:
     hits = records.filter(F.col("reason") == "unseen").groupBy(F.col("label").alias("class_id")).agg(
         F.count(F.lit(1)).alias("n"))
     joined = groups.join(hits, "class_id", "left")
-    present = F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.col("class_id"))))
+    present = F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.col("class_id"))))
     return joined.groupBy("grp").agg(
         F.countDistinct("class_id").alias("n_classes"), F.array_join(present, ",").alias("present"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"))

@@ -17,8 +17,7 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     spark = df.sparkSession
     marks = {name: f"_add_{name}" for name in totals}
     ranged = durable(
-        df.select("*", *[col.cast("double" if name.endswith("_weight") else "long").alias(marks[name])
-                         for name, col in totals.items()])
+        df.select("*", *[col.cast("long").alias(marks[name]) for name, col in totals.items()])
         .repartitionByRange(shuffle_width(spark), *order)
         .withColumn("_slice", F.spark_partition_id())
     )

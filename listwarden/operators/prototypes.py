@@ -16,7 +16,7 @@ from ..functions.hashing import seeded_hash
 from ..functions.names import class_label
 from ..functions.numbers import half_even
 from ..functions.vectors import unit
-from ..session import BROADCAST_BYTES
+from ..session import BROADCAST_BYTES, durable
 from .ordering import running_totals
 from .similarity import PrototypeBlocks, _matrix, class_similarities
 
@@ -43,7 +43,7 @@ def build_prototypes(vectors: DataFrame, item: str = "vec_id", label: str = "lab
                      k: int = PROTOTYPES_PER_CLASS, min_per_centre: int = MIN_PER_CENTRE, seed: int = 0,
                      starts: int = 4, rounds: int = 30) -> DataFrame:
     """(class_id, proto_no, vector): row 0 is the mean; centres follow only where at least two fit."""
-    means = class_means(vectors, label, vector)
+    means = durable(class_means(vectors, label, vector))       # one row per class, read in every round below
     first = means.select("class_id", F.lit(0).alias("proto_no"), "vector")
     if k - 1 < 2:
         return first
@@ -181,7 +181,7 @@ def export_json(prototypes: DataFrame, classes: DataFrame) -> DataFrame:
     """One JSON object per class: id, name and its vectors in order (a class has few vectors)."""
     rows = export_rows(prototypes, classes)
     per_class = rows.groupBy("class_id", "name").agg(
-        F.array_sort(F.collect_list(F.struct("proto_no", "vector"))).alias("_v"))
+        F.sort_array(F.collect_list(F.struct("proto_no", "vector"))).alias("_v"))
     vectors = F.transform("_v", lambda p: p["vector"]).alias("vectors")
     return per_class.select(F.to_json(F.struct(F.col("class_id").alias("id"), "name", vectors)).alias("value"))
 

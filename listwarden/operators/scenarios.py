@@ -12,7 +12,7 @@ from ..functions.numbers import count_where
 
 def class_array(classes: DataFrame) -> Column:
     """The sorted ids of a class table as one array; bounded by the number of classes."""
-    return classes.select(F.array_sort(F.collect_set(F.col("class_id").cast("int")))).scalar()
+    return classes.select(F.sort_array(F.collect_set(F.col("class_id").cast("int")))).scalar()
 
 
 def photo_lists(photos: DataFrame, items: DataFrame, lists: DataFrame, unseen: DataFrame,
@@ -32,14 +32,14 @@ def photo_lists(photos: DataFrame, items: DataFrame, lists: DataFrame, unseen: D
     base = F.sort_array(F.array_except("listed", class_array(unseen)))
     return joined.withColumn("base", base).select(
         "photo_id", "allowlist_id", "base",
-        F.array_sort(F.array_intersect("labels", F.col("base"))).alias("present"))
+        F.sort_array(F.array_intersect("labels", F.col("base"))).alias("present"))
 
 
 def choose_k(values: Column, k: int, seed: int, *scope: Column | str) -> Column:
     """k elements of an array without replacement, by seeded hash; sorted."""
-    ranked = F.array_sort(F.transform(values, lambda c: F.struct(seeded_hash(seed, *scope, F.lit(k), c).alias("h"),
+    ranked = F.sort_array(F.transform(values, lambda c: F.struct(seeded_hash(seed, *scope, F.lit(k), c).alias("h"),
                                                                  c.alias("c"))))
-    return F.array_sort(F.transform(F.slice(ranked, 1, k), lambda s: s["c"]))
+    return F.sort_array(F.transform(F.slice(ranked, 1, k), lambda s: s["c"]))
 
 
 def make_scenarios(base_lists: DataFrame, ks: tuple[int, ...] = (1, 2), seed: int = SEED,

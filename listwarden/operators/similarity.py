@@ -94,7 +94,7 @@ def class_similarities(df: DataFrame, prototypes: DataFrame | PrototypeBlocks, k
     whole = tagged[0]
     for part in tagged[1:]:
         whole = whole.unionByName(part)
-    pieces = F.array_sort(F.collect_list(F.struct("_block", "sims")))
+    pieces = F.sort_array(F.collect_list(F.struct("_block", "sims")))
     return whole.groupBy(*keep).agg(F.flatten(F.transform(pieces, lambda p: p["sims"])).alias("sims"))
 
 
@@ -115,7 +115,7 @@ def class_slots(class_ids: list[int], listed) -> F.Column:
     """Positions of the listed classes among the sorted class ids; unknown ids are ignored."""
     positions = F.transform(F.array_distinct(listed), lambda c: F.array_position(
         F.lit(class_ids).cast("array<int>"), c.cast("int")).cast("int") - 1)
-    return F.array_sort(F.filter(positions, lambda i: i >= 0))
+    return F.sort_array(F.filter(positions, lambda i: i >= 0))
 
 
 PARTIAL = "top DOUBLE, mass DOUBLE, listed_mass DOUBLE, s_in DOUBLE, best_listed INT, s_out DOUBLE, best_any INT"

@@ -20,7 +20,7 @@ def one_list(photo_lists: DataFrame) -> DataFrame:
 def scenario_lists(scenarios: DataFrame) -> DataFrame:
     """(photo_id, lists): a photo has one scenario per kind, so the array stays short."""
     entry = F.struct(F.col("scenario_id").alias("list_id"), "listed")
-    return scenarios.groupBy("photo_id").agg(F.array_sort(F.collect_list(entry)).alias("lists"))
+    return scenarios.groupBy("photo_id").agg(F.sort_array(F.collect_list(entry)).alias("lists"))
 
 
 def decide_items(items: DataFrame, lists: DataFrame, prototypes: DataFrame, params: Params,

@@ -28,7 +28,7 @@ def fit_decision(calibration: DataFrame, init: Params | None = None, max_false_a
                  max_abstain: float = MAX_ABSTAIN, min_out_recall: float = MIN_OUT_RECALL) -> Fit:
     """Temperature and bias, then the sigmoid, then thresholds; every step is a few passes over the set."""
     fixed = durable(calibration)
-    fitted = fit_temperature_and_bias(fixed, init)
+    fitted = fit_temperature_and_bias(fixed, init, stored=True)
     raw = with_p_in(fixed, fitted)
     a, b = fit_platt(raw)
     fitted = fitted.with_(platt_a=a, platt_b=b)
