@@ -99,8 +99,9 @@ class World:
     @cached_property
     def calibrated(self) -> DataFrame:
         """Calibration rows with the raw and the final probability and a total source order."""
-        raw = calibration.with_p_in(self.calibration, PARAMS.with_(platt_a=1.0, platt_b=0.0), "p_raw")
-        return calibration.with_p_in(raw, PARAMS).withColumn(
+        scored = calibration.with_probabilities(
+            self.calibration, {"p_raw": PARAMS.with_(platt_a=1.0, platt_b=0.0), "p_in": PARAMS})
+        return scored.withColumn(
             "ord", F.concat_ws("/", "scenario_id", F.lpad(F.col("item_idx").cast("string"), 9, "0")))
 
     @cached_property

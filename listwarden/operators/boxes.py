@@ -14,6 +14,7 @@ from ..session import durable, split_by_group_size
 
 # Boxes of one photo that a single row may carry.
 FOLD_BOXES = 512
+MATCH_BOXES = 128
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
@@ -167,7 +168,7 @@ def suppress(boxes: DataFrame, photo: str = "photo_id", score: str = "score", or
 
 
 def match_boxes(items: DataFrame, dets: DataFrame, photo: str = "photo_id", min_iou: float = MATCH_IOU,
-                fold: int = FOLD_BOXES) -> DataFrame:
+                fold: int = MATCH_BOXES) -> DataFrame:
     """(photo, item_idx, det_id, iou): one-to-one by falling score; an IoU tie goes to the higher item index.
 
     Each detection takes the free item it overlaps most. Photos a row can carry are folded in place, the
@@ -187,21 +188,22 @@ def match_boxes(items: DataFrame, dets: DataFrame, photo: str = "photo_id", min_
 
 
 def _fold_match(gt: DataFrame, det: DataFrame, photo: str, min_iou: float) -> DataFrame:
-    items = gt.groupBy(photo).agg(F.collect_list(F.struct(
-        "item_idx", *[F.col(c).cast("double").alias(c) for c in CORNERS])).alias("_g"))
-    boxes = det.groupBy(photo).agg(F.sort_array(F.collect_list(_entry("score", "det_id"))).alias("_d"))
-    id_type = det.schema["det_id"].dataType.simpleString()
-    start = F.array().cast(f"array<struct<item_idx:int,det_id:{id_type},iou:double>>")
-
-    def step(done: Column, box: Column) -> Column:
-        free = F.filter("_g", lambda g: (iou(g, box) >= min_iou) & ~F.exists(
-            done, lambda m: m["item_idx"] == g["item_idx"]))
-        best = F.array_max(F.transform(free, lambda g: F.struct(iou(g, box).alias("iou"), g["item_idx"].alias("i"))))
-        found = F.struct(best["i"].cast("int").alias("item_idx"), box["ord"].alias("det_id"), best["iou"].alias("iou"))
-        return F.when(best.isNull(), done).otherwise(F.concat(done, F.array(found)))
-
-    matched = items.join(boxes, photo).select(photo, F.explode(F.aggregate(F.col("_d"), start, step)).alias("_m"))
-    return matched.select(photo, "_m.item_idx", "_m.det_id", "_m.iou")
+    """Photos small enough for one row: overlapping pairs in order of choice, the first free one wins."""
+    left = gt.select(photo, "item_idx", box_struct().alias("_g"))
+    right = det.select(F.col(photo).alias("_photo"), "det_id", "score", box_struct().alias("_d"))
+    shared = iou(F.col("_g"), F.col("_d"))
+    pairs = left.join(right, (F.col(photo) == F.col("_photo")) & (shared >= min_iou))
+    choice = F.struct((-F.col("score")).alias("rank"), "det_id", (-shared).alias("far"),
+                      (-F.col("item_idx")).alias("back"))
+    ordered = pairs.groupBy(photo).agg(F.sort_array(F.collect_list(choice)).alias("_p"))
+    nothing = F.array().cast(ordered.schema["_p"].dataType)
+
+    def step(done: Column, pair: Column) -> Column:
+        taken = F.exists(done, lambda m: (m["det_id"] == pair["det_id"]) | (m["back"] == pair["back"]))
+        return F.when(taken, done).otherwise(F.concat(done, F.array(pair)))
+
+    matched = ordered.select(photo, F.explode(F.aggregate(F.col("_p"), nothing, step)).alias("_m"))
+    return matched.select(photo, (-F.col("_m.back")).alias("item_idx"), "_m.det_id", (-F.col("_m.far")).alias("iou"))
 
 
 def _mutual_match(pairs: DataFrame, photo: str) -> DataFrame:

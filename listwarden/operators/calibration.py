@@ -11,9 +11,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..constants import CALIBRATION_BINS, TRAINING_SCALE, Params
-from ..functions.decisions import p_in as p_in_of
+from ..functions.decisions import platt
 from ..session import durable
 from .similarity import CHUNK_CELLS, PrototypeBlocks, _matrix, class_similarities, class_slots
 
@@ -77,8 +78,59 @@ def calibration_set(told: DataFrame, vectors: DataFrame, prototypes: DataFrame,
         F.array_contains(F.lit(classes).cast("array<int>"), F.col("label")).alias("seen"), "reason")
 
 
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, similarities, listed mask) of the batch, in pieces of bounded size."""
+    sims = _matrix(batch.column("sims"))
+    at_once = max(1, CHUNK_CELLS // max(1, sims.shape[1]))
+    for start in range(0, batch.num_rows, at_once):
+        part = sims[start:start + at_once]
+        slots = batch.column("slots").slice(start, at_once)
+        owner = np.repeat(np.arange(len(part)), slots.value_lengths().fill_null(0).to_numpy())
+        mask = np.zeros(part.shape, dtype=bool)
+        mask[owner, slots.flatten().to_numpy(zero_copy_only=False)] = True
+        yield start, part, mask
+
+
+def _listed_share(sims: np.ndarray, mask: np.ndarray, params: Params) -> np.ndarray:
+    if sims.shape[1] == 0:
+        return np.zeros(len(sims))
+    best = sims.max(axis=1)
+    e = np.exp((sims - best[:, None]) / params.temperature)
+    total = e.sum(axis=1)
+    if params.unknown_bias is not None:
+        # A bias far above every similarity overflows to infinity, which is p = 0.
+        with np.errstate(over="ignore"):
+            total = total + np.exp((params.unknown_bias - best) / params.temperature)
+    return (e * mask).sum(axis=1) / total
+
+
+def with_probabilities(calibration: DataFrame, variants: dict[str, Params]) -> DataFrame:
+    """Replace ``sims`` and ``slots`` by one probability column per parameter set.
+
+    The softmax runs on Arrow batches; the sigmoid stays a column expression.
+    """
+    keep = [c for c in calibration.columns if c not in ("sims", "slots")]
+    names = list(variants)
+    settings = list(variants.values())
+    schema = StructType([calibration.schema[c] for c in keep] + [StructField(n, DoubleType()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            shares = np.empty((len(settings), batch.num_rows))
+            for start, sims, mask in _arrays(batch):
+                for i, params in enumerate(settings):
+                    shares[i, start:start + len(sims)] = _listed_share(sims, mask, params)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(s) for s in shares],
+                                             keep + names)
+
+    scored = calibration.select(*keep, "sims", "slots").mapInArrow(run, schema)
+    return scored.select(*keep, *[platt(F.col(n), p.platt_a, p.platt_b).alias(n) for n, p in variants.items()])
+
+
 def with_p_in(calibration: DataFrame, params: Params, name: str = "p_in") -> DataFrame:
-    return calibration.withColumn(name, p_in_of(F.col("sims"), F.col("slots"), params))
+    return with_probabilities(calibration, {name: params})
 
 
 def before_params() -> Params:
@@ -89,9 +141,10 @@ def before_params() -> Params:
 def calibration_report(calibration: DataFrame, after: Params, before: Params | None = None) -> DataFrame:
     """(phase, n, nll, ece) before and after, from one pass over the set."""
     before = before or before_params()
-    both = calibration.select("y_in", F.explode(F.array(
-        F.struct(F.lit("before").alias("phase"), p_in_of(F.col("sims"), F.col("slots"), before).alias("p_in")),
-        F.struct(F.lit("after").alias("phase"), p_in_of(F.col("sims"), F.col("slots"), after).alias("p_in")),
+    scored = with_probabilities(calibration.select("y_in", "sims", "slots"), {"_before": before, "_after": after})
+    both = scored.select("y_in", F.explode(F.array(
+        F.struct(F.lit("before").alias("phase"), F.col("_before").alias("p_in")),
+        F.struct(F.lit("after").alias("phase"), F.col("_after").alias("p_in")),
     )).alias("_r")).select("y_in", "_r.phase", "_r.p_in")
     y = F.col("y_in").cast("double")
     terms = both.groupBy("phase", bin_of(F.col("p_in")).alias("bin")).agg(
@@ -112,16 +165,9 @@ def _candidate_losses(calibration: DataFrame, candidates: list[tuple[float, floa
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sims = _matrix(batch.column("sims"))
-            at_once = max(1, CHUNK_CELLS // max(1, sims.shape[1]))
-            for start in range(0, batch.num_rows, at_once):
-                part = batch.slice(start, at_once)
-                s = sims[start:start + at_once]
-                slots = part.column("slots")
-                owner = np.repeat(np.arange(len(s)), slots.value_lengths().fill_null(0).to_numpy())
-                mask = np.zeros(s.shape, dtype=bool)
-                mask[owner, slots.flatten().to_numpy(zero_copy_only=False)] = True
-                y = part.column("y_in").to_numpy(zero_copy_only=False).astype(float)
+            truth = batch.column("y_in").to_numpy(zero_copy_only=False).astype(float)
+            for start, s, mask in _arrays(batch):
+                y = truth[start:start + len(s)]
                 best = s.max(axis=1)
                 # Candidates of one temperature share the exponentials.
                 for log_t in np.unique(grid[:, 0]):

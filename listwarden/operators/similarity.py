@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
@@ -62,7 +62,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 1)
+    return values.reshape(len(column), -1 if len(values) else 0) if len(column) else values.reshape(0, 1)
 
 
 def _class_scores(vectors: np.ndarray, block: tuple) -> np.ndarray:
@@ -111,11 +111,11 @@ def _similarity_job(shared: Broadcast, keep: list[str], vector: str):
     return run
 
 
-def class_slots(class_ids: list[int], listed) -> F.Column:
+def class_slots(class_ids: list[int], listed: Column) -> Column:
     """Positions of the listed classes among the sorted class ids; unknown ids are ignored."""
-    positions = F.transform(F.array_distinct(listed), lambda c: F.array_position(
-        F.lit(class_ids).cast("array<int>"), c.cast("int")).cast("int") - 1)
-    return F.sort_array(F.filter(positions, lambda i: i >= 0))
+    ids = F.lit(class_ids).cast("array<int>")
+    known = F.array_intersect(listed.cast("array<int>"), ids)
+    return F.sort_array(F.transform(known, lambda c: F.array_position(ids, c).cast("int") - 1))
 
 
 PARTIAL = "top DOUBLE, mass DOUBLE, listed_mass DOUBLE, s_in DOUBLE, best_listed INT, s_out DOUBLE, best_any INT"
@@ -159,11 +159,11 @@ def _merge(parts: DataFrame, temperature: float, keys: list[str]) -> DataFrame:
         F.max("s_in").alias("_s_in"), F.max("s_out").alias("_s_out"),
     )
 
-    def mass(field: str) -> F.Column:
+    def mass(field: str) -> Column:
         return F.aggregate(F.col("_p"), F.lit(0.0),
                            lambda t, p: t + p[field] * F.exp((p["top"] - F.col("_top")) / temperature))
 
-    def lowest(field: str, score: str, best: str) -> F.Column:
+    def lowest(field: str, score: str, best: str) -> Column:
         return F.array_min(F.transform(F.filter(F.col("_p"), lambda p: p[score] == F.col(best)),
                                        lambda p: p[field]))
 

@@ -81,8 +81,9 @@ def test_array_expressions_agree_with_the_batch_job(spark):
     batch = {r.k: r.p_in for r in judge(df, protos, params, ["k"]).collect()}
     sims = class_similarities(df, protos, ["k"]).join(df, "k").withColumn(
         "slots", class_slots([0, 1, 2, 3], F.col("lists")[0]["listed"]))
-    for r in with_p_in(sims, params).collect():
-        assert r.p_in == pytest.approx(batch[r.k], abs=1e-12)
+    expression = D.p_in(F.col("sims"), F.col("slots"), params).alias("p_in")
+    for scored in (with_p_in(sims, params), sims.select("k", expression)):
+        assert {r.k: pytest.approx(r.p_in, abs=1e-12) for r in scored.select("k", "p_in").collect()} == batch
 
 
 def test_platt(spark):
