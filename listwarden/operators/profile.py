@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FOREIGN
 from ..functions.numbers import count_where
+from ..session import durable
 from .ordering import exact_quantiles
 
 UNIT_BINS_FROM = 1
@@ -31,8 +32,9 @@ def items_per_class(items: DataFrame, classes: DataFrame) -> DataFrame:
 
 def profile(items: DataFrame, photos: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
     """(metric, value) rows. ``lists`` is (allowlist_id, listed); ``classes`` may hold classes without items."""
-    per_photo = items_per_photo(items)
-    per_class = items_per_class(items, classes)
+    # Counts per photo and per class feed several parts each.
+    per_photo = durable(items_per_photo(items))
+    per_class = durable(items_per_class(items, classes))
     with_items = photos.join(per_photo.select("photo_id"), "photo_id", "left_semi")
     per_list = with_items.filter(F.col("allowlist_id").isNotNull()).groupBy("allowlist_id").agg(
         F.count(F.lit(1)).alias("n"))
