@@ -68,10 +68,8 @@ def split_by_group_size(df: DataFrame, keys: list[str], limit: int) -> tuple[Dat
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application; local mode shares the driver's files."""
+    """Send this package to the workers once per application, in local mode too: they may start elsewhere."""
     sc = spark.sparkContext
-    if sc.master.startswith("local"):
-        return
     if getattr(sc, "_listwarden_shipped", False):
         return
     root = Path(__file__).resolve().parent
