@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, language, mixing, sharding
 from .common import documents, stored
 
+PIECES, RANKS = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
+
+
+def op1_language(spark: SparkSession, folder: str, model_path: str = PIECES) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~language.held_out()), model_path)
+    found = language.predict(docs.select("doc_id", "text"), model, folder)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
 
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, folder))
 
 
+def op8_byte_bpe(spark: SparkSession, folder: str, ranks_path: str = RANKS) -> DataFrame:
+    """Digests of the ids and of the bytes decoded from them."""
+    ids = bpe.encode(documents(spark, folder).select("doc_id", "text"), ranks_path, public_tokenizers.PATTERN)
+    back = bpe.decode(ids.select("doc_id", "ids"), ranks_path, public_tokenizers.PATTERN)
+    return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(stored(mixing.sized(documents(spark, folder)))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,5 +41,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op4_exact_dedup, op8_byte_bpe, op9_mixing, op10_sharding)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
