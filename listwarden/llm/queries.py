@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, mixing, sharding
+from . import bpe, exact_dedup, language, line_dedup, mixing, sharding
 from .common import documents, stored
 
 PIECES, RANKS = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
@@ -23,6 +23,11 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, folder))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text without the lines that go."""
+    return line_dedup.line_dedup(documents(spark, folder).select("doc_id", "text"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str, ranks_path: str = RANKS) -> DataFrame:
     """Digests of the ids and of the bytes decoded from them."""
     ids = bpe.encode(documents(spark, folder).select("doc_id", "text"), ranks_path, public_tokenizers.PATTERN)
@@ -41,5 +46,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op4_exact_dedup, op8_byte_bpe, op9_mixing, op10_sharding)}
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language, op4_exact_dedup, op7_line_dedup, op8_byte_bpe, op9_mixing, op10_sharding)}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
