@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language, line_dedup, mixing, sharding
+from . import bpe, embedding_dedup, exact_dedup, language, line_dedup, mixing, pii, sharding
 from .common import documents, stored
 
 PIECES, RANKS = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
@@ -23,6 +23,11 @@ def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, folder))
 
@@ -50,5 +55,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_embedding_dedup, op4_exact_dedup, op7_line_dedup, op8_byte_bpe, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_embedding_dedup, op3_pii, op4_exact_dedup, op7_line_dedup, op8_byte_bpe, op9_mixing, op10_sharding)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
