@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed by the contract: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
+# Bits of a join filter: 2 MB, at most 262,144 broadcast rows.
+FILTER_BITS = 1 << 24
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,10 +46,43 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def possibly_in(rows: DataFrame, col: str, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Rows whose ``col`` may be among ``keys`` (inside) or surely is not, by a bit per hash of every key.
+
+    A filter before a join that would shuffle wide rows: it never loses a match. The bits are at most FILTER_BITS
+    however many keys there are, FILTER_BITS / 64 rows to broadcast; with very many keys all rows pass. Null is in no keys.
+    """
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("filter"), F.col(c)), F.lit(FILTER_BITS))
+
+    bits = keys.filter(F.col(key).isNotNull()).select(place(key).alias("p")).groupBy(
+        F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("_mask"))
+    at = rows.withColumn("_at", place(col))
+    met = at.join(F.broadcast(bits), F.floor(F.col("_at") / 64) == F.col("_word"), "inner" if inside else "left")
+    hit = F.getbit("_mask", (F.col("_at") % 64).cast("int")) == 1
+    hit = F.coalesce(hit & F.col(col).isNotNull(), F.lit(False))
+    return met.filter(hit if inside else ~hit).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of sorted batches, one after the other."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        change = np.flatnonzero((batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(axis=1)) + 1
+        bounds = [0, *change.tolist(), len(batch)]
+        for i, j in zip(bounds[:-2], bounds[1:-1], strict=True):
+            yield batch.iloc[i:j]
+        rest = batch.iloc[bounds[-2]:] if len(batch) else None
+    if rest is not None and len(rest):
+        yield rest
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

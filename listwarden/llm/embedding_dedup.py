@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_groups
 from .graph import components
 
 # Vectors an average filter should hold, and rows of the largest block compared at once; larger filters are tiled.
@@ -75,20 +75,6 @@ def _vectors(column: pd.Series, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(-1, dim).astype(np.float64)
 
 
-def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of sorted batches, one after the other."""
-    rest = None
-    for batch in batches:
-        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        change = np.flatnonzero((batch[keys].to_numpy()[1:] != batch[keys].to_numpy()[:-1]).any(axis=1)) + 1
-        bounds = [0, *change.tolist(), len(batch)]
-        for i, j in zip(bounds[:-2], bounds[1:-1], strict=True):
-            yield batch.iloc[i:j]
-        rest = batch.iloc[bounds[-2]:] if len(batch) else None
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _compare(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links inside one filter (or between two tiles of it): counts of pairs this filter answers for, and local roots.
 
@@ -170,7 +156,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     full = placed.join(coded.select("rep", "copies", "vec", "filters"), "rep").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _blocks(batches, keys):
+        for group in whole_groups(batches, keys):
             yield _compare(group, cosine)
 
     met = stored(full.mapInPandas(compare, "rep long, root long, links long"))
