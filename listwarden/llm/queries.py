@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, jaccard, language, line_dedup, mixing, pii, sharding
+from . import bpe, embedding_dedup, exact_dedup, jaccard, language, line_dedup, mixing, pii, sharding, suffix_dedup
 from .common import documents, stored
 
 PIECES, RANKS = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
@@ -36,6 +36,11 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, folder))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix_dedup.suffix_dedup(documents(spark, folder))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text without the lines that go."""
     return line_dedup.line_dedup(documents(spark, folder).select("doc_id", "text"))
@@ -59,5 +64,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_embedding_dedup, op3_pii, op4_exact_dedup, op5_jaccard_join, op7_line_dedup, op8_byte_bpe, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_embedding_dedup, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_suffix_dedup, op7_line_dedup, op8_byte_bpe, op9_mixing, op10_sharding)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
