@@ -1,10 +1,79 @@
-"""A corpus from raw documents to token ids, stage by stage; every stage is written as Parquet and read back."""
+"""A corpus from raw documents to token ids, stage by stage; every stage is written as Parquet and read back.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
+of ``documents``. Empty tables give empty tables, null texts pass until the mix, which takes documents by their words.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from listwarden.llm import bpe, jaccard, language, line_dedup, mixing
+from listwarden.llm.common import SPACE, n_words, possibly_in, row_key, stored
+from listwarden.session import ship_package
+
+PIECES, RANKS = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no learned language (no text or no letter) go; an unlabelled one gets the language found."""
+    ship_package(spark)
+    model = language.fit(docs.filter(~language.held_out()), PIECES)
+    found = language.predict(docs, model, f"pipeline {sf_dir}").filter("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; so does a document that keeps no word."""
+    left = line_dedup.line_dedup(docs)
+    gone = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return left.filter(~F.coalesce(gone, F.lit(False))).withColumn(
+        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    ship_package(spark)
+    found = jaccard.jaccard_components(docs, NEAR_PERCENT, NEAR_WORDS)
+    gone = stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("_gone")).distinct())
+    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
+    maybe = possibly_in(keyed, "_row", gone, "_gone").join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    return maybe.union(possibly_in(keyed, "_row", gone, "_gone", inside=False)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; the copy in which the budget ends is cut to the words taken."""
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    sizes = stored(keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), "_row"))
+    taken = mixing.mix(sizes).filter("taken > 0").groupBy(F.col("_row").alias("_key")).agg(
+        F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
+    copies = keyed.dropDuplicates(["_row"]).join(taken, F.col("_row") == F.col("_key")).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))))
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    part = F.array_join(F.slice(words, F.lit(1), (F.col("_taken") % F.col("_size")).cast("int")), " ")
+    text = F.when(F.col("_copy") * F.col("_size") > F.col("_taken"), part).otherwise(F.col("text"))
+    return copies.withColumn("_old", F.col("text")).withColumn("text", text).withColumn(
+        "n_chars", F.when(F.col("text") == F.col("_old"), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document (little-endian unsigned 32-bit integers), and whether they decode to its text."""
+    ship_package(spark)
+    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    back = bpe.decode(bpe.encode(rows, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    return back.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+                       (F.col("decoded") == F.col("text").cast("binary")).alias("intact"))
+
+
+STAGES = [("language", language_id), ("lines", line_dedup_stage), ("near", near_dedup), ("mix", mix_sources), ("encode", encode)]
+ORACLE_SQL = None       # a learned model and seeded hashes: tested against brute force instead
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import discard, possibly_in, stored, whole_groups
+from .common import discard, possibly_in, row_key, stored, whole_groups
 from .graph import components
 
 # Shingles in HOT_DOCS or more of at most SAMPLE_DOCS documents come last in the order of shingles (HOT_SHINGLES at most).
@@ -242,14 +242,15 @@ def _close_enough(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
+    """row, doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row; row is a hash of id and
+    text by which a row can be found again (``row_key``).
 
     Two rows link when 100 * intersection >= percent * union of their sets of shingles. Sets of texts without words are
     empty and link with nothing. Equal sets are one class and always link; rows that repeat an id are rows of their
     own. Null ids take part; a component's id is null only if all its ids are. No rows give no rows; further columns are
     ignored. Exact up to collisions of 63-bit hashes.
     """
-    docs = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("doc_id"),
+    docs = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"),
                        F.col(text_col).alias("text"))
     rows = stored(sketches(docs, frequent(docs, width), width, percent))
     classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"))
@@ -327,6 +328,6 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
         "component", F.coalesce("component", "rep")))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     out = stored(named.join(lows, "component").select("n", "x", "y", "component_id"))
-    return rows.select("doc_id", "n", "x", "y").join(out, ["n", "x", "y"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+    return rows.select("row", "doc_id", "n", "x", "y").join(out, ["n", "x", "y"], "left").select(
+        "row", "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

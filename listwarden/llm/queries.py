@@ -33,7 +33,7 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.jaccard_components(documents(spark, folder))
+    return jaccard.jaccard_components(documents(spark, folder)).drop("row")
 
 
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
