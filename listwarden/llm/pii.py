@@ -26,7 +26,7 @@ CARD_DIGITS, PHONE_DIGITS = (12, 19), (9, 15)
 # The model: characters up to 127 are themselves, all others one class; padding is a class.
 OTHER, PAD, CLASSES, HIDDEN, TAGS = 128, 129, 130, 8, 1 + len(KINDS)
 # Fitted on at most FIT_WINDOWS windows around the spans of at most FIT_DOCS documents (lowest seeded hash).
-FIT_DOCS, FIT_WINDOWS, FIT_LENGTH, EPOCHS, BATCH, RATE = 4000, 3072, 96, 8, 128, 0.03
+FIT_DOCS, FIT_WINDOWS, FIT_LENGTH, STEPS, BATCH, RATE = 4000, 3072, 96, 256, 128, 0.03
 # Decoding: windows of CORE characters with MARGIN more on both sides; spans of fewer than SHORTEST are not reported.
 CORE, MARGIN, SHORTEST, SURE, CHUNK_CHARS = 480, 32, 7, 2.0, 500_000
 
@@ -164,10 +164,11 @@ class Tagger:
             d_cell = d_cell * f
         return float(loss), out
 
-    def train(self, codes: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE,
+    def train(self, codes: np.ndarray, tags: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE,
               seed: int = 7) -> list[float]:
-        """Adam over shuffled batches of windows (window, time); returns the loss of every epoch."""
+        """Adam over shuffled batches of windows (window, time), ``steps`` updates or a few more; the loss of every epoch."""
         rng, first, second, step, losses = np.random.default_rng(seed), {}, {}, 0, []
+        epochs = -(-steps * batch // max(1, len(codes)))
         for epoch in range(epochs):
             order, total = rng.permutation(len(codes)), 0.0
             for i in range(0, len(order), batch):
