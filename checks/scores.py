@@ -259,7 +259,7 @@ def _(spark, folder):
 
 @query("a20_fitted_temperature")
 def _(spark, folder):
-    fitted = calibration.fit_temperature_and_bias(World(spark, folder).calibration, rounds=6)
+    fitted = calibration.fit_temperature_and_bias(World(spark, folder).calibration)
     before = calibration.with_p_in(World(spark, folder).calibration, fitted)
     return before.agg(calibration.clipped_nll(F.col("p_in"), F.col("y_in")).alias("nll"),
                       F.lit(fitted.temperature).alias("temperature"), F.lit(fitted.unknown_bias).alias("unknown_bias"))

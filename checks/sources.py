@@ -310,18 +310,16 @@ def _(spark, folder):
 
 @query("p22_explanations", """
 select t.scenario_id, t.item_idx, d.verdict,
- case when d.verdict = 'in' then 'Looks like ' || l.name
-  when d.verdict = 'out' then case when not list_contains(t.listed, d.best_any)
-    then 'Unlike any listed drug (closest: ' || a.name || ')' else 'Unlike any listed drug' end
-  else 'Could be ' || coalesce(l.name, a.name) || case when l.name is not null and l.name <> a.name
-    then ' or ' || a.name else '' end end as why
+ case when d.verdict = 'in' then 'match'
+  when d.verdict = 'out' then case when not list_contains(t.listed, d.best_any) then 'off_list' else 'no_match' end
+  else 'undecided' end as why, l.name as listed_name, a.name as any_name
 from told t join decided d on d.vec_id = t.vec_id and d.listed = t.listed
 left join catalogue l on l.class_id = d.best_listed left join catalogue a on a.class_id = d.best_any""")
 def _(spark, folder):
     w = World(spark, folder)
     rows = scenario_decisions(w).join(w.scenarios.select("scenario_id", "listed"), "scenario_id")
     told = metrics.explanations(rows, bridge.catalogue(spark, folder))
-    return told.select("scenario_id", "item_idx", "verdict", "why")
+    return told.select("scenario_id", "item_idx", "verdict", "why", "listed_name", "any_name")
 
 
 @query("p23_presentation_rounding", """

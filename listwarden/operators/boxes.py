@@ -109,14 +109,15 @@ def detector_agreement(a: DataFrame, b: DataFrame, photos: DataFrame, photo: str
                       "matched", (F.col("_iou") / F.greatest(F.lit(1), F.col("boxes_a"))).alias("mean_best_iou"))
 
 
-def _entry(score: str, order: str) -> Column:
+def _entry(score: str, order: str, number: Column) -> Column:
+    """A box in order of choice; ``number`` tells equal rows apart where boxes are taken in parts."""
     return F.struct((-F.col(score)).cast("double").alias("rank"), F.col(order).alias("ord"),
-                    *[F.col(c).cast("double").alias(c) for c in CORNERS])
+                    *[F.col(c).cast("double").alias(c) for c in CORNERS], number.cast("long").alias("number"))
 
 
 def _no_entries(df: DataFrame, order: str) -> Column:
     ord_type = df.schema[order].dataType.simpleString()
-    return F.array().cast(f"array<struct<rank:double,ord:{ord_type},x1:double,y1:double,x2:double,y2:double>>")
+    return F.array().cast(f"array<struct<rank:double,ord:{ord_type},x1:double,y1:double,x2:double,y2:double,number:bigint>>")
 
 
 def _fold(entries: Column, kept: Column, limit: float, most: int) -> Column:
@@ -137,11 +138,11 @@ def suppress(boxes: DataFrame, photo: str = "photo_id", score: str = "score", or
     """
     small, large = split_by_group_size(boxes, [photo], chunk)
     nothing = _no_entries(boxes, order)
-    folded = small.groupBy(photo).agg(F.collect_list(_entry(score, order)).alias("_e")).select(
+    folded = small.groupBy(photo).agg(F.collect_list(_entry(score, order, F.lit(0))).alias("_e")).select(
         photo, _fold(F.col("_e"), nothing, limit, most).alias("_kept"))
     done = [folded]
     if large is not None:
-        rest = durable(large.select(photo, _entry(score, order).alias("_box")))
+        rest = durable(large.select(photo, _entry(score, order, F.monotonically_increasing_id()).alias("_box")))
         kept = rest.select(photo).distinct().withColumn("_kept", nothing)
         while True:
             place = F.row_number().over(Window.partitionBy(photo).orderBy("_box"))

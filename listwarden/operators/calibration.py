@@ -194,11 +194,12 @@ def _candidate_losses(calibration: DataFrame, candidates: list[tuple[float, floa
     return totals["loss"].to_numpy()
 
 
-def fit_temperature_and_bias(calibration: DataFrame, init: Params | None = None, rounds: int = 12,
+def fit_temperature_and_bias(calibration: DataFrame, init: Params | None = None, tolerance: float = 1e-4,
                              side: int = 7, stored: bool = False) -> Params:
     """Minimise the loss over (log T, bias): grids around the best point so far, shrinking each round.
 
-    Every round is one pass over the set with all candidates at once. The first grid covers the
+    Every round is one pass over the set with all candidates at once; rounds end when the grid is finer than
+    ``tolerance``. The first grid covers the
     starting points (0.05, 0.5), (0.1, 0.3), (0.02, 0.7) and ``init``. The set is written once first,
     unless it is ``stored`` already.
     """
@@ -210,14 +211,17 @@ def fit_temperature_and_bias(calibration: DataFrame, init: Params | None = None,
     centre = (math.log(0.06), 0.4)
     reach = (1.6, 0.8)
     best: tuple[float, tuple[float, float]] | None = None
-    for number in range(rounds):
+    number = 0
+    while max(reach) > tolerance:
         axes = [np.linspace(c - r, c + r, side) for c, r in zip(centre, reach)]
         candidates = [(float(a), float(b)) for a in axes[0] for b in axes[1]]
         if number == 0:
             candidates += starts
         losses = _candidate_losses(calibration, candidates)
         i = int(losses.argmin())
-        if best is None or losses[i] < best[0]:
+        number += 1
+        # Gains that mean nothing do not keep the search walking.
+        if best is None or losses[i] < best[0] - 1e-12:
             best = (float(losses[i]), candidates[i])
         # A winner on the rim keeps the reach, so the search can still walk away.
         on_rim = any(abs(abs(x - c) - r) < 1e-12 for x, c, r in zip(best[1], centre, reach))

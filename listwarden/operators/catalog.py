@@ -13,7 +13,9 @@ from .ordering import index_within
 
 def explode_lines(allowlists: DataFrame) -> DataFrame:
     """(allowlist_id, line_no, text, line_kind, class_id) from the parallel annotation arrays."""
-    zipped = F.arrays_zip("texts", "ann_labels", "mappings")
+    even = (F.size("texts") == F.size("ann_labels")) & (F.size("texts") == F.size("mappings"))
+    zipped = F.when(even, F.arrays_zip("texts", "ann_labels", "mappings")).otherwise(
+        F.raise_error(F.lit("texts, ann_labels and mappings differ in length")))
     return allowlists.select(F.col("file").alias("allowlist_id"), F.posexplode(zipped).alias("line_no", "_l")).select(
         "allowlist_id", "line_no", F.col("_l.texts").alias("text"), F.col("_l.ann_labels").alias("line_kind"),
         F.col("_l.mappings").alias("class_id"),

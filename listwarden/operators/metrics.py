@@ -220,20 +220,18 @@ def banners(decisions: DataFrame, photos: DataFrame, key: str = "photo_id") -> D
     return joined.select(key, "n", "n_out", "n_uncertain", banner.alias("banner"))
 
 
-def explanations(decisions: DataFrame, names: DataFrame, unknown: str = "unknown drug") -> DataFrame:
-    """A sentence per item; ``decisions`` carries verdict, best_listed, best_any and listed."""
-    listed_name = names.select(F.col("class_id").alias("best_listed"), F.col("name").alias("_listed"))
-    any_name = names.select(F.col("class_id").alias("best_any"), F.col("name").alias("_any"))
-    joined = decisions.join(listed_name, "best_listed", "left").join(any_name, "best_any", "left")
-    near = F.when(F.col("best_any").isNull(), unknown).otherwise(F.col("_any"))
+def explanations(decisions: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``why`` (match, off_list, no_match or undecided) and the two names it is about: the best listed class and
+    the best class of all, null where there is none. ``decisions`` carries verdict, best_listed, best_any and listed.
+
+    Rows without a best listed class skip the join, so that they do not meet in one task.
+    """
+    listed_name = names.select(F.col("class_id").alias("best_listed"), F.col("name").alias("listed_name"))
+    any_name = names.select(F.col("class_id").alias("best_any"), F.col("name").alias("any_name"))
+    known = decisions.filter(F.col("best_listed").isNotNull()).join(listed_name, "best_listed", "left")
+    none = decisions.filter(F.col("best_listed").isNull()).withColumn("listed_name", F.lit(None).cast("string"))
+    joined = known.unionByName(none).join(any_name, "best_any", "left")
     off_list = F.col("best_any").isNotNull() & ~F.array_contains("listed", F.col("best_any"))
-    maybe = F.concat(F.lit("Could be "), F.coalesce(F.col("_listed"), near))
-    second = F.when(F.col("_listed").isNotNull() & (near != F.col("_listed")), F.concat(F.lit(" or "), near))
-    why = (
-        F.when(F.col("verdict") == "in", F.concat(F.lit("Looks like "), "_listed"))
-        .when((F.col("verdict") == "out") & off_list,
-              F.concat(F.lit("Unlike any listed drug (closest: "), near, F.lit(")")))
-        .when(F.col("verdict") == "out", "Unlike any listed drug")
-        .otherwise(F.concat(maybe, F.coalesce(second, F.lit(""))))
-    )
-    return joined.select(*decisions.columns, why.alias("why"))
+    why = (F.when(F.col("verdict") == "in", "match").when((F.col("verdict") == "out") & off_list, "off_list")
+           .when(F.col("verdict") == "out", "no_match").otherwise("undecided"))
+    return joined.select(*decisions.columns, why.alias("why"), "listed_name", "any_name")

@@ -41,7 +41,7 @@ def class_mean_table(vectors: DataFrame, classes: DataFrame, dim: int, label: st
 
 def build_prototypes(vectors: DataFrame, item: str = "vec_id", label: str = "label", vector: str = "embedding",
                      k: int = PROTOTYPES_PER_CLASS, min_per_centre: int = MIN_PER_CENTRE, seed: int = 0,
-                     starts: int = 4, rounds: int = 30) -> DataFrame:
+                     starts: int = 4) -> DataFrame:
     """(class_id, proto_no, vector): row 0 is the mean; centres follow only where at least two fit."""
     means = durable(class_means(vectors, label, vector))       # one row per class, read in every round below
     first = means.select("class_id", F.lit(0).alias("proto_no"), "vector")
@@ -51,14 +51,14 @@ def build_prototypes(vectors: DataFrame, item: str = "vec_id", label: str = "lab
                           .alias("kc")).filter("kc >= 2")
     source = vectors.select(F.col(item).alias("item"), F.col(label).alias("class_id"),
                             F.col(vector).cast("array<double>").alias("vector")).join(wanted, "class_id")
-    centres = class_centres(source, k - 1, seed, starts, rounds)
+    centres = class_centres(source, k - 1, seed, starts)
     if centres is None:
         return first
     unit_centres = centres.select("class_id", (F.col("centre") + 1).alias("proto_no"), unit("vector").alias("vector"))
     return first.unionByName(unit_centres)
 
 
-def class_centres(source: DataFrame, most: int, seed: int, starts: int, rounds: int,
+def class_centres(source: DataFrame, most: int, seed: int, starts: int,
                   limit_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
     """Lloyd's algorithm inside every class at once, best of several hash-seeded starts.
 
@@ -88,7 +88,7 @@ def class_centres(source: DataFrame, most: int, seed: int, starts: int, rounds:
     for number in np.unique(block):
         inside = ids[block == number]
         part = F.col("class_id").between(int(inside[0]), int(inside[-1]))
-        found.append(_lloyd(source.filter(part), seeds.filter(part), rounds))
+        found.append(_lloyd(source.filter(part), seeds.filter(part)))
     frames = [spark.createDataFrame(t, "class_id int, centre int, vector array<double>") for t in found]
     out = frames[0]
     for frame in frames[1:]:
@@ -96,30 +96,35 @@ def class_centres(source: DataFrame, most: int, seed: int, starts: int, rounds:
     return out
 
 
-def _lloyd(source: DataFrame, seeds: DataFrame, rounds: int) -> pa.Table:
+def _lloyd(source: DataFrame, seeds: DataFrame) -> pa.Table:
+    """Rounds until no class moves; a class that stands still, or gains nothing, is left out of the next pass."""
     sc = source.sparkSession.sparkContext
     first = seeds.orderBy("class_id", "start", "centre").toArrow()
     keys = np.stack([first[c].to_numpy() for c in ("class_id", "start", "centre")], axis=1)
     centres = _matrix(first["vector"])
     place = {tuple(map(int, key)): i for i, key in enumerate(keys)}
-    for _ in range(rounds):
+    inertia, moving = np.full(len(keys), np.inf), np.ones(len(keys), bool)
+    while moving.any():
+        left = sorted({int(c) for c in keys[moving, 0]})
         sums = (
-            source.select("class_id", "vector")
+            source.filter(F.col("class_id").isin(left)).select("class_id", "vector")
             .mapInArrow(_centre_sums(sc.broadcast((keys, centres))),
                         "slot int, n long, inertia double, total array<double>")
             .groupBy("slot").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"),
                                  Summarizer.sum(array_to_vector("total")).alias("total"))
             .select("slot", "n", "inertia", vector_to_array("total").alias("total")).toArrow()
         )
-        moved = centres.copy()
+        moved, now = centres.copy(), np.where(moving, 0.0, inertia)
         slots = sums["slot"].to_numpy()
         moved[slots] = _matrix(sums["total"]) / sums["n"].to_numpy()[:, None]
-        inertia = np.zeros(len(keys))
-        inertia[slots] = sums["inertia"].to_numpy()
-        shift = np.abs(moved - centres).max()
-        centres = moved
-        if shift < 1e-9:
-            break
+        now[slots] = sums["inertia"].to_numpy()
+        shift = np.abs(moved - centres).max(axis=1)
+        before, centres = inertia, moved
+        for class_id in left:
+            own = keys[:, 0] == class_id
+            gain = before[own].sum() - now[own].sum()
+            moving[own] = bool((shift[own] >= 1e-9).any() and gain > 1e-12 * max(now[own].sum(), 1e-300))
+        inertia = now
     cost: dict[tuple[int, int], float] = {}
     for (class_id, start, _), value in zip(keys.tolist(), inertia):
         cost[class_id, start] = cost.get((class_id, start), 0.0) + value

@@ -1,7 +1,8 @@
 """Match vectors against class prototypes and decide in / out / uncertain.
 
 Prototypes reach the executors as blocks of whole classes, each below a fixed size. One block is the
-usual case; more blocks mean more passes whose results merge exactly, so the number of classes is open.
+usual case; with more, a task works through them for every batch and merges running maxima and masses, so no rows
+meet again and streams stay append-only.
 """
 
 from __future__ import annotations
@@ -58,11 +59,19 @@ def as_blocks(prototypes: DataFrame | PrototypeBlocks, limit_bytes: int) -> Prot
     return prototypes if isinstance(prototypes, PrototypeBlocks) else PrototypeBlocks(prototypes, limit_bytes)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of one length; null or ragged vectors, or vectors of another length than the prototypes, are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1 if len(values) else 0) if len(column) else values.reshape(0, 1)
+    if not len(column):
+        return np.zeros((0, width or 1))
+    sizes = column.value_lengths()
+    if sizes.null_count or column.flatten().null_count:
+        raise ValueError("null vector or component")
+    sizes = sizes.to_numpy()
+    if (sizes != (sizes[0] if width is None else width)).any():
+        raise ValueError(f"vectors of unequal length: {sorted(set(sizes.tolist()))[:5]}, expected {width or int(sizes[0])}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), int(sizes[0]))
 
 
 def _class_scores(vectors: np.ndarray, block: tuple) -> np.ndarray:
@@ -76,34 +85,26 @@ def _fields(df: DataFrame, names: list[str]) -> list:
 
 def class_similarities(df: DataFrame, prototypes: DataFrame | PrototypeBlocks, keep: list[str],
                        vector: str = "embedding", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Adds ``sims``: the best cosine per class, in ascending class order.
+    """Adds ``sims``: the best cosine per class, in ascending class order. Rows without a vector are left out.
 
-    With several blocks the rows meet again by ``keep``, which must then identify them.
+    A task goes through the blocks one after the other for every batch, so the number of blocks changes nothing.
     """
     sc = df.sparkSession.sparkContext
     schema = StructType(_fields(df, keep)).add("sims", ArrayType(DoubleType()))
-    parts = []
-    for block in as_blocks(prototypes, limit_bytes):
-        shared = sc.broadcast(block)
-        parts.append(df.select(*keep, vector).mapInArrow(_similarity_job(shared, keep, vector), schema))
-    if not parts:
-        return df.select(*keep, F.array().cast("array<double>").alias("sims"))
-    if len(parts) == 1:
-        return parts[0]
-    tagged = [p.withColumn("_block", F.lit(i)) for i, p in enumerate(parts)]
-    whole = tagged[0]
-    for part in tagged[1:]:
-        whole = whole.unionByName(part)
-    pieces = F.sort_array(F.collect_list(F.struct("_block", "sims")))
-    return whole.groupBy(*keep).agg(F.flatten(F.transform(pieces, lambda p: p["sims"])).alias("sims"))
-
-
-def _similarity_job(shared: Broadcast, keep: list[str], vector: str):
+    shared = [sc.broadcast(block) for block in as_blocks(prototypes, limit_bytes)]
+    rows = df.filter(F.col(vector).isNotNull()).select(*keep, vector)
+    if not shared:
+        return rows.select(*keep, F.array().cast("array<double>").alias("sims"))
+    return rows.mapInArrow(_similarity_job(shared, keep, vector), schema)
+
+
+def _similarity_job(shared: list[Broadcast], keep: list[str], vector: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            scores = _class_scores(_matrix(batch.column(vector)), shared.value)
+            vectors = _matrix(batch.column(vector), shared[0].value[1].shape[1])
+            scores = np.concatenate([_class_scores(vectors, b.value) for b in shared], axis=1)
             width = scores.shape[1]
             offsets = pa.array(np.arange(0, scores.size + 1, width, dtype=np.int32))
             sims = pa.ListArray.from_arrays(offsets, pa.array(scores.ravel()))
@@ -132,46 +133,14 @@ def judge(df: DataFrame, prototypes: DataFrame | PrototypeBlocks, params: Params
     schema = StructType(_fields(df, keep)).add(df.schema[lists].dataType.elementType["list_id"])
     for field in StructType.fromDDL(PARTIAL).fields:
         schema = schema.add(field)
-    source = df.select(*keep, vector, lists)
-    parts = [
-        source.mapInArrow(_judge_job(sc.broadcast(block), keep, vector, lists, params.temperature), schema)
-        for block in as_blocks(prototypes, limit_bytes)
-    ]
-    if not parts:
+    source = df.filter(F.col(vector).isNotNull()).select(*keep, vector, lists)
+    shared = [sc.broadcast(block) for block in as_blocks(prototypes, limit_bytes)]
+    if not shared:
         empty = source.select(*keep, F.explode(lists).alias("_l")).select(*keep, "_l.list_id")
         for field in StructType.fromDDL(PARTIAL).fields:
             empty = empty.withColumn(field.name, F.lit(None).cast(field.dataType))
         return _finish(empty, params, keep)
-    if len(parts) == 1:
-        return _finish(parts[0], params, keep)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return _finish(_merge(whole, params.temperature, [*keep, "list_id"]), params, keep)
-
-
-def _merge(parts: DataFrame, temperature: float, keys: list[str]) -> DataFrame:
-    """Combine the partial results of the blocks; a group holds one entry per block."""
-    names = StructType.fromDDL(PARTIAL).names
-    grouped = parts.groupBy(*keys).agg(
-        F.collect_list(F.struct(*names)).alias("_p"),
-        F.max("top").alias("_top"),
-        F.max("s_in").alias("_s_in"), F.max("s_out").alias("_s_out"),
-    )
-
-    def mass(field: str) -> Column:
-        return F.aggregate(F.col("_p"), F.lit(0.0),
-                           lambda t, p: t + p[field] * F.exp((p["top"] - F.col("_top")) / temperature))
-
-    def lowest(field: str, score: str, best: str) -> Column:
-        return F.array_min(F.transform(F.filter(F.col("_p"), lambda p: p[score] == F.col(best)),
-                                       lambda p: p[field]))
-
-    return grouped.select(
-        *keys, F.col("_top").alias("top"), mass("mass").alias("mass"), mass("listed_mass").alias("listed_mass"),
-        F.col("_s_in").alias("s_in"), lowest("best_listed", "s_in", "_s_in").alias("best_listed"),
-        F.col("_s_out").alias("s_out"), lowest("best_any", "top", "_top").alias("best_any"),
-    )
+    return _finish(source.mapInArrow(_judge_job(shared, keep, vector, lists, params.temperature), schema), params, keep)
 
 
 def _finish(partial: DataFrame, params: Params, keep: list[str]) -> DataFrame:
@@ -193,23 +162,46 @@ def _finish(partial: DataFrame, params: Params, keep: list[str]) -> DataFrame:
     return decided.withColumn("verdict", verdict(F.col("p_in"), F.col("margin"), params))
 
 
-def _judge_job(shared: Broadcast, keep: list[str], vector: str, lists: str, temperature: float):
+def _judge_job(shared: list[Broadcast], keep: list[str], vector: str, lists: str, temperature: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_ids = shared.value[0]
-        rows_at_once = max(1, CHUNK_CELLS // len(class_ids))
+        rows_at_once = max(1, CHUNK_CELLS // max(len(b.value[0]) for b in shared))
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
-                yield _judge_chunk(batch.slice(start, rows_at_once), shared.value, keep, vector, lists, temperature)
+                yield _judge_chunk(batch.slice(start, rows_at_once), shared, keep, vector, lists, temperature)
     return run
 
 
-def _judge_chunk(batch: pa.RecordBatch, block: tuple, keep: list[str], vector: str, lists: str,
-                 temperature: float) -> pa.RecordBatch:
+def _block_scores(vectors: np.ndarray, block: tuple, owner: np.ndarray, checks: np.ndarray, wanted: np.ndarray,
+                  n_checks: int, temperature: float) -> dict[str, np.ndarray]:
+    """Partial results of every check against one block; scores that do not exist are minus infinity."""
     class_ids = block[0]
-    sims = _class_scores(_matrix(batch.column(vector)), block)
+    sims = _class_scores(vectors, block)
     top = sims.max(axis=1)
     weights = np.exp((sims - top[:, None]) / temperature)
+    slot = np.minimum(np.searchsorted(class_ids, wanted), len(class_ids) - 1)
+    known = class_ids[slot] == wanted
+    mask = np.zeros((n_checks, len(class_ids)), dtype=bool)
+    mask[checks[known], slot[known]] = True
+    scores = sims[owner]
+    inside = np.where(mask, scores, -np.inf)
+    return {"top": top[owner], "mass": weights.sum(axis=1)[owner], "listed_mass": (weights[owner] * mask).sum(axis=1),
+            "s_in": inside.max(axis=1), "best_listed": class_ids[inside.argmax(axis=1)],
+            "s_out": np.where(mask, -np.inf, scores).max(axis=1), "best_any": class_ids[sims.argmax(axis=1)][owner]}
+
+
+def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray], temperature: float) -> dict[str, np.ndarray]:
+    """Two blocks as if they were one; the first holds the lower class ids, which win ties."""
+    top = np.maximum(a["top"], b["top"])
+    scale = [np.exp((x["top"] - top) / temperature) for x in (a, b)]
+    return {"top": top, **{m: a[m] * scale[0] + b[m] * scale[1] for m in ("mass", "listed_mass")},
+            "s_in": np.maximum(a["s_in"], b["s_in"]), "s_out": np.maximum(a["s_out"], b["s_out"]),
+            "best_listed": np.where(b["s_in"] > a["s_in"], b["best_listed"], a["best_listed"]),
+            "best_any": np.where(b["top"] > a["top"], b["best_any"], a["best_any"])}
 
+
+def _judge_chunk(batch: pa.RecordBatch, shared: list[Broadcast], keep: list[str], vector: str, lists: str,
+                 temperature: float) -> pa.RecordBatch:
+    vectors = _matrix(batch.column(vector), shared[0].value[1].shape[1])
     column = batch.column(lists)
     owner = np.repeat(np.arange(batch.num_rows), column.value_lengths().fill_null(0).to_numpy())
     nested = column.flatten()
@@ -217,25 +209,13 @@ def _judge_chunk(batch: pa.RecordBatch, block: tuple, keep: list[str], vector: s
     listed = fields["listed"]
     checks = np.repeat(np.arange(len(nested)), listed.value_lengths().fill_null(0).to_numpy())
     wanted = listed.flatten().to_numpy(zero_copy_only=False)
-    slot = np.minimum(np.searchsorted(class_ids, wanted), len(class_ids) - 1)
-    known = class_ids[slot] == wanted
-    mask = np.zeros((len(nested), len(class_ids)), dtype=bool)
-    mask[checks[known], slot[known]] = True
-
-    scores = sims[owner]
-    inside = np.where(mask, scores, -np.inf)
-    outside = np.where(mask, -np.inf, scores)
-    best = inside.argmax(axis=1)
-    any_in, any_out = mask.any(axis=1), ~mask.all(axis=1)
-
-    def masked(values: np.ndarray, present: np.ndarray) -> pa.Array:
-        return pa.array(values, mask=~present)
-
-    results = [
-        pa.array(top[owner]), pa.array(weights.sum(axis=1)[owner]), pa.array((weights[owner] * mask).sum(axis=1)),
-        masked(inside.max(axis=1), any_in), masked(class_ids[best], any_in),
-        masked(outside.max(axis=1), any_out), pa.array(class_ids[sims.argmax(axis=1)][owner]),
-    ]
+    found: dict[str, np.ndarray] | None = None
+    for block in shared:
+        part = _block_scores(vectors, block.value, owner, checks, wanted, len(nested), temperature)
+        found = part if found is None else _merged(found, part, temperature)
+    any_in, any_out = np.isfinite(found["s_in"]), np.isfinite(found["s_out"])
+    absent = {"s_in": ~any_in, "best_listed": ~any_in, "s_out": ~any_out}
     names = ["top", "mass", "listed_mass", "s_in", "best_listed", "s_out", "best_any"]
+    results = [pa.array(found[n], mask=absent.get(n)) for n in names]
     kept = [batch.column(k).take(pa.array(owner)) for k in keep]
     return pa.RecordBatch.from_arrays([*kept, fields["list_id"], *results], [*keep, "list_id", *names])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,15 +34,21 @@ def _sized(raw: DataFrame, max_side: int) -> DataFrame:
         "_w": shrunk_side(F.col("_ow"), F.col("scale")), "_h": shrunk_side(F.col("_oh"), F.col("scale"))})
 
 
+def same_length(arrays: Column, first: str, second: str) -> Column:
+    """``arrays``, or an error if the two columns differ in length: no pair is made up and none is lost."""
+    sizes = F.coalesce(F.size(first), F.lit(0)) == F.coalesce(F.size(second), F.lit(0))
+    return F.when(sizes, arrays).otherwise(F.raise_error(F.lit(f"{first} and {second} differ in length")))
+
+
 def photo_rows(raw: DataFrame, split: str) -> DataFrame:
     """Photo annotations in the saved frame; boxes under two pixels leave with their labels."""
     sized = _sized(raw, PHOTO_MAX_SIDE)
     none = F.array()
     corners = scaled_corners(F.coalesce("bboxes", none.cast("array<array<int>>")), F.col("scale"), F.col("_w"),
                              F.col("_h"))
-    paired = sized.withColumn("_boxes", corners).withColumn("_pairs", F.zip_with(
-        "_boxes", F.coalesce("labels", none.cast("array<int>")),
-        lambda box, label: F.struct(box.alias("box"), label.alias("label"))))
+    paired = sized.withColumn("_boxes", corners).withColumn("_labels", F.coalesce("labels", none.cast("array<int>")))
+    paired = paired.withColumn("_pairs", same_length(F.zip_with(
+        "_boxes", "_labels", lambda box, label: F.struct(box.alias("box"), label.alias("label"))), "_boxes", "_labels"))
     kept = paired.withColumn("_kept", F.filter("_pairs", lambda p: large_enough(p["box"])))
     return kept.select(
         jpg_name(F.col("filename")).alias("file"), F.col("filename").alias("orig_file"),
@@ -75,12 +81,9 @@ def map_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines; blank lines are skipped, missing keys are null."""
+    """JSON lines; blank lines are skipped, missing keys are null, a line that is no JSON or of other types fails."""
     schema = struct(schema) if isinstance(schema, str) else schema
-    blank = F.lit(True)
-    for field in schema.names:
-        blank = blank & F.col(field).isNull()
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).filter(~blank)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -114,7 +117,7 @@ def labelled_photos(photos: DataFrame, photo_list: DataFrame) -> DataFrame:
 
 def photo_items(photos: DataFrame) -> DataFrame:
     """One row per box, indexed by its place in the annotation."""
-    pairs = F.arrays_zip("boxes", "labels")
+    pairs = same_length(F.arrays_zip("boxes", "labels"), "boxes", "labels")
     spread = photos.select(F.col("file").alias("photo_id"), F.posexplode(pairs).alias("item_idx", "_p"))
     stem = F.regexp_replace("photo_id", r"(?<=.)\.[^.]+$", "")
     return spread.select(

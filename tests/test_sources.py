@@ -38,6 +38,15 @@ def test_photo_rows(spark):
     assert [(i.item_id, i.label) for i in items] == [("x_0", 1), ("x_1", 3)]
 
 
+def test_unequal_boxes_and_labels_fail(spark):
+    for labels in ([1], [1, 2, 3]):
+        with pytest.raises(Exception, match="differ in length"):
+            A.photo_rows(raw(spark, [("x.png", [[0, 0, 9, 9], [1, 1, 9, 9]], labels, 40, 30, 1)]), "train").collect()
+    uneven = spark.createDataFrame([("x.jpg", [[0., 0., 9., 9.]], [1, 2])], "file string, boxes array<array<double>>, labels array<int>")
+    with pytest.raises(Exception, match="differ in length"):
+        A.photo_items(uneven).collect()
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "in"
     path.mkdir()
@@ -45,6 +54,13 @@ def test_json_lines(spark, tmp_path):
     (path / "a.jsonl").write_text("\n" + json.dumps(line, ensure_ascii=False) + "\n\n", encoding="utf-8")
     back = A.read_jsonl(spark, str(path), PHOTOS).collect()
     assert len(back) == 1 and back[0].file == "đ.jpg" and back[0].height is None
+    (path / "b.jsonl").write_text(json.dumps({"other": 1}) + "\n" + json.dumps({"file": None}) + "\n")
+    assert A.read_jsonl(spark, str(path), PHOTOS).count() == 3
+    for bad in ("{no json", json.dumps({"width": "wide"})):
+        (tmp_path / "bad.jsonl").write_text(bad + "\n")
+        with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+            A.read_jsonl(spark, str(tmp_path / "bad.jsonl"), PHOTOS).collect()
+    (path / "b.jsonl").unlink()
     extra = A.read_open_jsonl(spark, str(path), "file STRING, width INT, labels ARRAY<INT>").first()
     assert extra.width == 5 and extra.extra == {"note": "kept", "n": "3"}
     out = str(tmp_path / "out")
@@ -134,20 +150,27 @@ def test_image_crops(spark, tmp_path):
     rng = np.random.default_rng(0)
     pixels = rng.integers(0, 256, (40, 60, 3), dtype=np.uint8)
     (tmp_path / "p.png").write_bytes(png(pixels))
-    items = spark.createDataFrame([("p.png", "p_0", 1, 10., 10., 26., 26.), ("p.png", "p_1", 2, -30., -30., -20., -20.)],
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    items = spark.createDataFrame([("p.png", "p_0", 1, 10., 10., 26., 26.), ("p.png", "p_1", 2, -30., -30., -20., -20.),
+                                   ("broken.png", "b_0", 3, 0., 0., 4., 4.), ("gone.png", "g_0", 3, 0., 0., 4., 4.)],
                                   "photo_id string, item_id string, label int, x1 double, y1 double, x2 double, y2 double")
     crops = I.item_crops(I.read_images(spark, str(tmp_path)), items, size=16, context=0.0)
-    got = {r.item_id: np.frombuffer(r.data, np.uint8).reshape(16, 16, 3) for r in crops.collect()}
+    assert {r.item_id for r in crops.collect() if r.data is None} == {"b_0", "g_0"}
+    got = {r.item_id: np.frombuffer(r.data, np.uint8).reshape(16, 16, 3) for r in crops.filter("data is not null").collect()}
     assert (got["p_0"] == pixels[10:26, 10:26]).all() and (got["p_1"] == 114).all()
     scored = I.score_crops(crops, lambda x: x.reshape(len(x), -1)[:, :4])
+    assert scored.count() == 2
     assert all(np.linalg.norm(r.embedding) == pytest.approx(1, abs=1e-5) for r in scored.collect())
 
 
-def test_resize_and_inputs():
+def test_windows_and_inputs():
     flat = np.full((7, 5, 3), 9, np.uint8)
-    assert (I.resize(flat, 13, 4) == 9).all() and I.resize(flat, 7, 5) is not flat
+    whole = [[0, 0, 5, 7]]
+    assert (I.sample_windows(flat, whole, 13, 4) == 9).all() and (I.sample_windows(flat, whole, 7, 5)[0] == flat).all()
+    edge = I.sample_windows(flat, [[-5, 0, 5, 7]] * 20, 7, 10)
+    assert edge.shape == (20, 7, 10, 3) and (edge[:, :, :5] == 114).all() and (edge[:, :, 5:] == 9).all()
     ramp = np.repeat(np.arange(0, 40, 10, dtype=np.uint8)[None, :, None], 3, axis=2).repeat(2, axis=0)
-    assert I.resize(ramp, 2, 8)[0, :, 0].tolist() == [0, 3, 8, 13, 18, 23, 28, 30]
+    assert I.sample_windows(ramp, [[0, 0, 4, 2]], 2, 8)[0, 0, :, 0].tolist() == [0, 3, 8, 13, 18, 23, 28, 30]
     assert I.embed_input(flat[None]).shape == (1, 3, 7, 5) and I.detector_input(flat[None]).max() == np.float32(9 / 255)
 
 
