@@ -5,46 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, stored
+from .common import SPACE, discard, possibly_in, row_key, stored
 
 MIN_WORDS = 3       # shorter lines are never removed
 NEAR_WORDS = 10     # from here on one word may differ; below, lines must be equal
 MASK = (1 << 40) - 1
 
 
-def normal_line(line: Column) -> Column:
-    """Words separated by one space."""
-    return F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", "")
-
-
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, at, line, words) of every line; ``at`` orders lines by document id, row and place."""
-    return docs.select(
-        row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"),
-        F.posexplode(F.split(text_col, "\n")).alias("place", "raw"),
-    ).select("row", F.struct("id", "row", "place").alias("at"), normal_line(F.col("raw")).alias("line")).withColumn(
-        "words", F.split("line", " "))
-
-
-def half_keys(words: Column) -> Column:
+    """(row, at, line, n) of every line: ``line`` has one space between words, ``n`` words; ``at`` orders all lines by
+    document id, row and place. Only texts with other than single spaces go through the pattern."""
+    text = F.col(text_col)
+    odd = text.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | text.contains(c)
+    # A step of its own: next to the explode these would be worked out for every line.
+    whole = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), odd.alias("odd"),
+                        text.alias("text"))
+    lines = whole.select("row", "id", "odd", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    line = F.trim(F.when(F.col("odd"), F.regexp_replace("raw", SPACE, " ")).otherwise(F.col("raw")))
+    return lines.select("row", F.struct("id", "row", "place").alias("at"), line.alias("line")).withColumn(
+        "n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+
+
+def half_keys(line: Column, n: Column) -> Column:
     """Keys of which two lines within one word edit share one: an edit leaves one half of the words untouched.
 
     A line of n words has its own halves and those it would share with a line of n - 1 words.
     """
-    n = F.size(words)
     h, g = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array(
-        F.xxhash64(n, F.lit("first"), F.slice(words, 1, h)), F.xxhash64(n, F.lit("last"), F.slice(words, h + 1, n - h)),
-        F.xxhash64(n - 1, F.lit("first"), F.slice(words, 1, g)),
-        F.xxhash64(n - 1, F.lit("last"), F.slice(words, g + 2, n - 1 - g)))
+
+    def words(count: Column) -> Column:
+        return F.call_function("substring_index", line, F.lit(" "), count)
+
+    return F.array(F.xxhash64(n, F.lit("first"), words(h)), F.xxhash64(n, F.lit("last"), words(h - n)),
+                   F.xxhash64(n - 1, F.lit("first"), words(g)), F.xxhash64(n - 1, F.lit("last"), words(g - n + 1)))
 
 
 def with_variants(rows: DataFrame) -> DataFrame:
-    """(line, first, gone, key): the hashed line itself (gone = 0) and the line without each of its words in turn.
+    """(line, gone, key): the hashed line itself (gone = 0) and the line without each of its words in turn.
 
     The hash sums over neighbouring words, so leaving word i out costs three hashes, however long the line.
     """
@@ -60,8 +59,7 @@ def with_variants(rows: DataFrame) -> DataFrame:
     without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("gone"), F.xxhash64(
         F.col("s") - F.element_at("p", i) - F.element_at("p", i + 1)
         + pair(F.element_at("h", i), F.element_at("h", i + 2)), n - 1).alias("key")))
-    return summed.select("line", "first", F.explode(F.concat(F.array(whole), without)).alias("v")).select(
-        "line", "first", "v.gone", "v.key")
+    return summed.select("line", F.explode(F.concat(F.array(whole), without)).alias("v")).select("line", "v.gone", "v.key")
 
 
 def left_out(words: Column, gone: Column) -> Column:
@@ -78,64 +76,67 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         "same", left_out(F.col("a"), F.col("gone")) == left_out(F.col("b"), F.col("other_gone"))).drop("a", "b")
 
 
-def near_lines(distinct: DataFrame, texts: DataFrame) -> DataFrame:
-    """Lines (column line) that an earlier line is within one word edit of.
+def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """Numbers (num) of the lines that an earlier line is within one word edit of.
 
-    ``distinct`` has (line, first, keys), one row per distinct line of NEAR_WORDS words or more, ``first`` its earliest
-    place. ``texts`` has (line, words) for at least those lines. Lines sharing no half key with another have no
-    partner and emit nothing; all others emit their whole deletion neighbourhood. Within equal variants nobody is
-    paired: same word left out means one substitution apart, so the earliest of (variant, gone) answers for all of
-    them, and a line that is itself the variant is one deletion apart from every other.
+    ``distinct`` has (num, first, keys), one row per distinct line of NEAR_WORDS words or more, ``first`` its earliest
+    place; ``lines`` has (at, text) of at least those places. Lines sharing no half key with another have no partner
+    and emit nothing; all others are numbered in order (column line) and emit their whole deletion neighbourhood.
+    Within equal variants nobody is paired: same word left out means one substitution apart, so the earliest of
+    (variant, gone) answers for all of them, and a line that is itself the variant is one deletion apart from the rest.
     """
-    halves = stored(distinct.select("line", "first", F.explode("keys").alias("half")))
+    halves = distinct.select("num", F.explode("keys").alias("half"))
     shared = stored(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half"))
-    crowd = stored(halves.join(shared, "half", "left_semi").groupBy("line").agg(F.min("first").alias("first")))
-    texts = stored(texts.join(crowd, "line").select("line", "first", "words"))
+    hits = stored(halves.join(shared, "half", "left_semi").select("num").distinct())
+    crowd = stored(distinct.select("num", "first").join(hits, "num").orderBy("first").withColumn(
+        "line", F.monotonically_increasing_id()))
+    texts = stored(possibly_in(lines, "at", crowd, "first").join(crowd, F.col("at") == F.col("first")).select(
+        "line", F.split("text", " ").alias("words")).dropDuplicates(["line"]))
     rows = stored(with_variants(texts))
-    me = F.struct("first", "line", "gone")
-    groups = rows.groupBy("key", "gone").agg(F.min(me).alias("best"), F.count(F.lit(1)).alias("n"))
-    whole = F.min(F.when(F.col("gone") == 0, F.col("best")))
-    lacking = F.min(F.when(F.col("gone") > 0, F.col("best")))
-    keys = stored(groups.groupBy("key").agg(
-        F.sum("n").alias("n"), whole.alias("whole"), lacking.alias("lacking"),
-        F.map_from_entries(F.collect_list(F.struct("gone", "best"))).alias("by_gone")).filter("n > 1"))
-    rival = F.when(F.col("gone") == 0, F.col("lacking")).otherwise(
-        F.least(F.col("whole"), F.element_at("by_gone", F.col("gone"))))
-    met = rows.join(keys.select("key", "whole", "lacking", "by_gone"), "key").withColumn("rival", rival).filter(
-        F.col("rival.first") < F.col("first"))
-    best = stored(met.groupBy("line").agg(F.min(F.struct("rival", "gone")).alias("b")).select(
-        "line", F.col("b.gone").alias("gone"), F.col("b.rival.line").alias("other"), F.col("b.rival.gone").alias("other_gone")))
-    checked = stored(_checked(best, texts))
-    found = checked.filter("same").select("line")
+    several = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    rows = stored(rows.join(several, "key", "left_semi").select("line", "gone", "key"))
+    same = rows.filter("gone > 0").groupBy("key", "gone").agg(F.min("line").alias("twin"))
+    keys = rows.groupBy("key").agg(F.min(F.when(F.col("gone") == 0, F.col("line"))).alias("whole"))
+    lacking = same.groupBy("key").agg(F.min(F.struct("twin", "gone")).alias("lacking"))
+    # For every row the earliest of: the line that is the variant, one without the same word, any that makes the variant.
+    met = rows.join(stored(same), ["key", "gone"], "left").join(stored(keys), "key").join(stored(lacking), "key", "left")
+    best = F.least(F.when(F.col("gone") > 0, F.struct(F.col("whole").alias("other"), F.lit(0).alias("other_gone"))),
+                   F.when(F.col("gone") > 0, F.struct(F.col("twin").alias("other"), F.col("gone").alias("other_gone"))),
+                   F.when(F.col("gone") == 0, F.struct(F.col("lacking.twin").alias("other"),
+                                                       F.col("lacking.gone").alias("other_gone"))))
+    whole = F.when(F.col("whole").isNull() & (F.col("gone") > 0), F.struct(
+        F.col("twin").alias("other"), F.col("gone").alias("other_gone"))).otherwise(best)
+    found = met.withColumn("rival", whole).filter(F.col("rival.other") < F.col("line"))
+    found = stored(found.groupBy("line").agg(F.min(F.struct("rival", "gone")).alias("b")).select(
+        "line", F.col("b.gone").alias("gone"), "b.rival.other", "b.rival.other_gone"))
+    checked = stored(_checked(found, texts))
+    gone = checked.filter("same").select("line")
     # Different word orders can sum to one hash. Where the earliest rival fails, all rivals of that line are checked.
-    failed = checked.filter("not same").select("line")
-    again = rows.join(failed, "line", "left_semi")
-    others = rows.select("key", F.col("line").alias("other"), F.col("first").alias("other_first"),
-                         F.col("gone").alias("other_gone"))
+    again = rows.join(checked.filter("not same").select("line"), "line", "left_semi")
+    others = rows.select("key", F.col("line").alias("other"), F.col("gone").alias("other_gone"))
     pairs = again.join(others, "key").filter(
-        (F.col("other_first") < F.col("first")) & ((F.col("gone") == F.col("other_gone")) | (F.col("gone") == 0) |
-                                                   (F.col("other_gone") == 0)))
+        (F.col("other") < F.col("line")) & ((F.col("gone") == F.col("other_gone")) | (F.col("gone") == 0) |
+                                            (F.col("other_gone") == 0)))
     more = _checked(pairs.select("line", "gone", "other", "other_gone").distinct(), texts).filter("same").select("line")
-    return stored(found.union(more).distinct())
+    return stored(gone.union(more).distinct().join(crowd, "line").select("num"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                   near_words: int = NEAR_WORDS) -> DataFrame:
     """(row, places): for each row key the sorted places of the lines that go."""
     lines = lines_of(docs, id_col, text_col)
-    n = F.size("words")
     key = F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b"))
-    near = (n >= near_words)
-    narrow = stored(lines.filter((F.col("line") != "") & (n >= min_words)).select(
-        key.alias("line"), "at", F.when(near, half_keys(F.col("words"))).alias("keys")))
+    near = F.col("n") >= near_words
+    narrow = stored(lines.filter((F.col("line") != "") & (F.col("n") >= min_words)).select(
+        key.alias("line"), "at", F.when(near, half_keys(F.col("line"), F.col("n"))).alias("keys")))
     distinct = stored(narrow.groupBy("line").agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys", ignorenulls=True).alias("keys")))
-    texts = lines.filter(near).select(key.alias("line"), "at", "words")
-    candidates = distinct.filter("keys is not null").select("line", "first", "keys")
-    near_gone = near_lines(candidates, texts.join(
-        candidates.select(F.col("first").alias("at")), "at", "left_semi").select("line", "words"))
-    verdict = stored(distinct.join(near_gone.withColumn("near", F.lit(True)), "line", "left").filter(
-        (F.col("n") > 1) | F.col("near")).select("line", "first", F.coalesce("near", F.lit(False)).alias("near")))
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys", ignorenulls=True).alias("keys")).withColumn(
+        "num", F.monotonically_increasing_id()))
+    near_gone = near_lines(distinct.filter("keys is not null").select("num", "first", "keys"),
+                           lines.filter(near).select("at", F.col("line").alias("text")))
+    verdict = stored(distinct.select("num", "line", "first", "n").join(
+        near_gone.withColumn("near", F.lit(True)), "num", "left").filter((F.col("n") > 1) | F.col("near")).select(
+        "line", "first", F.coalesce("near", F.lit(False)).alias("near")))
     gone = narrow.select("line", "at").join(verdict, "line").filter(F.col("near") | (F.col("at") != F.col("first")))
     out = stored(gone.groupBy(F.col("at.row").alias("row")).agg(
         F.sort_array(F.collect_set("at.place")).alias("places")))
@@ -157,12 +158,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = docs.drop("n_lines", "n_removed", *[c for c in docs.columns if c.startswith("_line_")])
     gone = removed_lines(rest, id_col, text_col, min_words, near_words).select(
         F.col("row").alias("_line_row"), F.col("places").alias("_line_gone"))
-    keyed = rest.withColumn("_line_key", row_key(id_col, text_col)).join(
-        gone, F.col("_line_key") == F.col("_line_row"), "left")
-    n = F.size(F.split(text_col, "\n"))
+    # Texts that keep all their lines stay where they are; the others meet their list of lines.
+    keyed = rest.withColumn("_line_key", row_key(id_col, text_col))
+    keyed = possibly_in(keyed, "_line_key", gone, "_line_row").join(
+        gone, F.col("_line_key") == F.col("_line_row"), "left").unionByName(
+        possibly_in(keyed, "_line_key", gone, "_line_row", inside=False).withColumns(
+            {c: F.lit(None).cast(t) for c, t in gone.dtypes}))
+    # Split once, in a step of its own.
+    keyed = keyed.withColumn("_line_parts", F.split(text_col, "\n"))
+    n = F.size("_line_parts")
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_line_gone"))
     text = F.when(F.col("_line_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at(F.split(text_col, "\n"), i + 1)), "\n"))
+        F.array_join(F.transform(kept, lambda i: F.element_at("_line_parts", i + 1)), "\n"))
     return keyed.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
