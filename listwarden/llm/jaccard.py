@@ -30,6 +30,7 @@ CHUNK_CHARS, CACHE_WORDS, PAIRS_PER_TASK = 2_000_000, 500_000, 2_000
 # A pivot's region holds sets up to this distance; regions of fewer sets are left to the seats. Sets of a block.
 REACH, LEAST_REGION, TILE, COLUMNS = 0.5, 32, 256, 8192
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+CLASS_SHIFT = np.uint64(58)
 _WORDS: dict[bytes, int] = {}
 
 
@@ -90,7 +91,8 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(row, doc_id, n, x, y, prefix): size, two checksums and the first shingles in the global order of every text."""
+    """(row, doc_id, n, x, y, prefix, counts) of every text: size of its set, two checksums, the first shingles in the global
+    order, shingles per hash class."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)       # HOT_SHINGLES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,16 +105,19 @@ def sketches(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> Data
                 x = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
                 y = [int(mixed(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
                 prefix = np.concatenate([s[:k] for s, k in zip(sets, keep, strict=True)] or [np.zeros(0, np.uint64)])
+                counts = np.concatenate([np.bincount((mixed(s) >> CLASS_SHIFT).astype(np.int64), minlength=64) for s in sets])
+                counts = np.minimum(counts, 32767).astype(np.int16)
                 offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n),
                      pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(np.array(y, np.uint64).view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))],
-                    names=["row", "doc_id", "n", "x", "y", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * (j - i) + 1, 64, dtype=np.int32)), pa.array(counts))],
+                    names=["row", "doc_id", "n", "x", "y", "prefix", "counts"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("row", "doc_id", "text").mapInArrow(
-        run, f"row long, doc_id {kind}, n long, x long, y long, prefix array<long>")
+        run, f"row long, doc_id {kind}, n long, x long, y long, prefix array<long>, counts array<smallint>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -240,6 +245,21 @@ def _close_enough(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long, na long, nb long")
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """What the counts of shingles per hash class differ by, summed: the sets lie at least as far apart."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+
+
+def _open_members(member: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(seat, rep, n, place, group) of the seats that hold more than one component."""
+    if groups is None:
+        now = member.withColumn("group", F.col("rep"))
+    else:
+        now = member.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    open_ = now.groupBy("seat").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1")
+    return now.join(open_.select("seat"), "seat").select("seat", "rep", "n", "place", "group")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """row, doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row; row is a hash of id and
@@ -255,8 +275,8 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     rows = stored(sketches(docs, frequent(docs, width), width, percent))
     classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"))
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
-    reps = stored(rows.select(F.col("row").alias("at"), "prefix").join(classes, F.col("at") == F.col("row")).select(
-        "rep", "row", "n", "prefix").dropDuplicates(["rep"]))
+    reps = stored(rows.select(F.col("row").alias("at"), "prefix", "counts").join(classes, F.col("at") == F.col("row")).select(
+        "rep", "row", "n", "prefix", "counts").dropDuplicates(["rep"]))
     # Seats of regions: prefix shingles of two classes or more.
     seats = reps.select("rep", "n", F.posexplode("prefix").alias("place", "seat"))
     shared = stored(seats.groupBy("seat").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("seat"))
@@ -288,39 +308,34 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
         return stored(found.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all")))
 
     while True:
-        # Members with their component so far; a region whose members are all in one is done.
-        now = member if groups is None else member.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        now = now.withColumn("group", F.coalesce("component", "rep") if groups is not None else F.col("rep"))
-        open_ = now.groupBy("seat").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1")
-        now = stored(now.join(open_.select("seat"), "seat").select("seat", "rep", "n", "place", "group"))
-        fresh = now if used is None else now.join(used, ["seat", "rep"], "left_anti")
-        pivots = stored(fresh.groupBy("seat").agg(F.min(F.struct("place", "rep", "n", "group")).alias("p")))
-        met = now.select("seat", F.struct("place", "rep", "n", "group").alias("m")).join(pivots, "seat").filter(
-            (F.col("m.group") != F.col("p.group")) & fits("m", "p"))
-        pairs = pair_up(met, "m", "p")
+        # Members with their component so far; a seat whose members are all in one is done.
+        now = stored(_open_members(member, groups))
+        pivots = stored(now.groupBy("seat").agg(F.min(F.struct("place", "rep", "n", "group")).alias("p")))
+        met = now.select("seat", F.struct("place", "rep", "n", "group").alias("m")).join(pivots, "seat")
+        pairs = pair_up(met.filter((F.col("m.group") != F.col("p.group")) & fits("m", "p")), "m", "p")
         if measured is not None:
             pairs = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
         found = measure(pairs)
         measured = found if measured is None else measured.union(found)
         linked = found.filter(F.col("shared") * 100 >= F.col("all") * percent).select("a", "b")
         links = linked if links is None else links.union(linked)
-        gone = pivots.select("seat", "p.rep")
-        used = stored(gone if used is None else used.union(gone))
+        used = pivots.select("p.rep") if used is None else used.union(pivots.select("p.rep"))
         groups = components(links)
-        member = now.select("seat", "rep", "n", "place")
+        # A pivot has met everybody at its seat.
+        member = now.join(pivots, "seat").filter(F.col("rep") != F.col("p.rep")).select("seat", "rep", "n", "place")
         if linked.count() * 100 <= n_reps:
             break
     # Rounds no longer join much: join inside the pivots' regions, then what meets at a seat and is in no region together.
-    regions = region_of(measured, used.select(F.col("rep").alias("region")).distinct())
+    regions = region_of(measured, used.toDF("region").distinct())
     links = links.union(region_join(regions, groups, sets, percent))
     groups = components(links)
-    now = stored(member.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "group", F.coalesce("component", "rep")).join(used.withColumn("was", F.lit(True)), ["seat", "rep"], "left"))
-    now = now.filter("was is null").join(regions.select("rep", "region"), "rep", "left")
-    rest = stored(now.select("seat", F.struct("place", "rep", "n", "group", "region").alias("m")))
+    rest = _open_members(member, groups).join(regions.select("rep", "region"), "rep", "left").join(
+        reps.select("rep", "counts"), "rep")
+    rest = stored(rest.select("seat", F.struct("place", "rep", "n", "group", "region", "counts").alias("m")))
     met = rest.join(rest.withColumnRenamed("m", "o"), "seat").filter(
         (F.col("m.rep") < F.col("o.rep")) & (F.col("m.group") != F.col("o.group")) &
-        F.coalesce(F.col("m.region") != F.col("o.region"), F.lit(True)) & fits("m", "o"))
+        F.coalesce(F.col("m.region") != F.col("o.region"), F.lit(True)) & fits("m", "o") &
+        (_apart(F.col("m.counts"), F.col("o.counts")) <= room(percent, F.col("m.n"), F.col("o.n"))))
     found = measure(pair_up(met, "m", "o").join(measured.select("a", "b"), ["a", "b"], "left_anti"))
     links = links.union(found.filter(F.col("shared") * 100 >= F.col("all") * percent).select("a", "b"))
     groups = components(links)
