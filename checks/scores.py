@@ -11,7 +11,7 @@ from listwarden.functions.vectors import dot, unit
 from listwarden.operators import agreement, calibration, metrics, prototypes, thresholds
 from listwarden.operators.ordering import exact_quantiles
 from listwarden.operators.similarity import class_similarities
-from listwarden.plans import check
+from listwarden.plans import check, evaluate
 
 from .base import query
 from .sources import scenario_decisions
@@ -443,6 +443,33 @@ def _(spark, folder):
     return rows.select("slice", "n", "n_out", "n_in", *r6(*RATES))
 
 
+REPORTED = ("n", "detection_recall", "abstain_rate", "coverage", "out_recall", "out_accepted_rate", "false_alarm_rate", "risk")
+REPORT = f"""
+with s as (select p_in, case when gt = 'in' then 1 else 0 end as y,
+  scenario_id || '/' || lpad(item_idx::varchar, 19, '0') as ord from {HEAD} where detected and p_in is not null),
+b as (select least(14, greatest(0, ceil(p_in * 15) - 1))::int as bin, count(*) as n, avg(p_in) as conf, avg(y) as acc
+  from s group by 1),
+r as (select row_number() over w as place, sum(case when (p_in >= 0.5) <> (y = 1) then 1 else 0 end) over w as errors,
+  count(*) over () as n from s window w as (order by greatest(p_in, 1 - p_in) desc, ord rows unbounded preceding)),
+c as (select distinct place, place / n::double as coverage, errors / place::double as risk from r
+  where place in (select least(n, greatest(1, cast(round_even(1 + i * ((n - 1) / 49.0::double), 0) as bigint)))
+  from (select unnest(range(50)) as i), (select count(*) as n from s))),
+a as ({SLICES}),
+rows as (
+{" union all ".join(f"select 'slice' as section, slice as key, '{m}' as metric, {m}::double as value from a" for m in REPORTED)}
+union all select 'calibration', '', 'ece', sum(n * abs(conf - acc)) / sum(n) from b
+{" ".join(f"union all select 'bin', bin::varchar, '{m}', {m}::double from b" for m in ("n", "conf", "acc"))}
+{" ".join(f"union all select 'curve', place::varchar, '{m}', {m} from c" for m in ("coverage", "risk"))}
+union all select 'area', '', 'aurc', avg(errors / place::double) from r
+union all select 'area', '', 'full_coverage_risk', max(errors) / max(place)::double from r)
+select section, key, metric, round(value, 6) as value from rows"""
+
+
+@query("e01_evaluation_report", REPORT)
+def _(spark, folder):
+    return evaluate.report(World(spark, folder).records).select("section", "key", "metric", *r6("value"))
+
+
 CONFUSED = "detected and best_any is not null and label >= 0 and label <> best_any and reason in ('listed', 'removed')"
 
 

@@ -62,5 +62,5 @@ def letters(tokens: Column) -> Column:
 
 def close_enough(line_token: Column, name_token: Column) -> Column:
     """Edit distance within the tolerance of the name token."""
-    distance = F.levenshtein(line_token, name_token)
-    return (line_token == name_token) | (distance <= tolerance(name_token))
+    distance = F.levenshtein(line_token, name_token, 2)      # the largest tolerance; -1 beyond it
+    return (line_token == name_token) | ((distance >= 0) & (distance <= tolerance(name_token)))

@@ -54,9 +54,16 @@ def _edits(length: Column) -> Column:
 def sequence_hits(sequences: DataFrame, keys: DataFrame) -> DataFrame:
     """(tokens, class_id, name_no): token sequences of lines that contain a name's sequence.
 
-    Every name is looked up by its rarest token only; the whole sequence is then compared in place.
+    Every name is looked up by its rarest token only; the tokens around it are then compared in place. A token carries
+    no more of its line than the longest name could cover, so long lines cost as much as their tokens in short ones.
     """
-    posted = sequences.select("tokens", F.posexplode("tokens").alias("at", "line_token"))
+    longest = keys.agg(F.coalesce(F.max(F.size("tokens")), F.lit(1)).alias("m")).scalar()
+    whole = sequences.select(F.xxhash64("tokens").alias("line"), "tokens").dropDuplicates(["line"])
+    spread = whole.withColumn("m", longest).select("line", F.explode(F.transform("tokens", lambda t, i: F.struct(
+        i.alias("at"), t.alias("line_token"), F.size("tokens").alias("size"),
+        F.least(i, F.col("m") - 1).alias("before"),
+        F.slice("tokens", F.greatest(i - F.col("m") + 2, F.lit(1)), 2 * F.col("m") - 1).alias("around")))).alias("p"))
+    posted = spread.select("line", "p.*")
     frequency = posted.groupBy("line_token").agg(F.count(F.lit(1)).alias("n"))
     name_side = keys.select("class_id", "name_no", F.posexplode("tokens").alias("name_at", "name_token"))
     similar = similar_tokens(frequency.select("line_token"), name_side.select("name_token").distinct())
@@ -68,11 +75,12 @@ def sequence_hits(sequences: DataFrame, keys: DataFrame) -> DataFrame:
     anchored = anchors.join(keys.select("class_id", "name_no", F.col("tokens").alias("wanted")),
                             ["class_id", "name_no"])
     start = F.col("at") - F.col("name_at")
-    fits = (start >= 0) & (start + F.size("wanted") <= F.size("tokens"))
+    fits = (start >= 0) & (start + F.size("wanted") <= F.col("size"))
     candidates = posted.join(similar, "line_token").join(anchored, "name_token").filter(fits)
-    window = F.slice("tokens", F.col("at") - F.col("name_at") + 1, F.size("wanted"))
+    window = F.slice("around", F.col("before") - F.col("name_at") + 1, F.size("wanted"))
     same = F.forall(F.zip_with(window, F.col("wanted"), close_enough), lambda ok: ok)
-    return candidates.filter(same).select("tokens", "class_id", "name_no").distinct()
+    found = candidates.filter(same).select("line", "class_id", "name_no").distinct()
+    return found.join(whole, "line").select("tokens", "class_id", "name_no")
 
 
 def match_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
@@ -94,8 +102,10 @@ def look_up(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(text, class_id): the class whose folded name equals the text, else the first that starts with it."""
     asked = queries.select("text").distinct().withColumn("q", fold(F.col("text"))).filter(F.col("q") != "")
     folded = names.select("class_id", fold(F.col("name")).alias("n"))
-    prefixes = folded.select("class_id", "n", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("n")), lambda i: F.substring(F.col("n"), F.lit(1), i))).alias("q"))
+    # Only prefixes as long as some question.
+    asked_lengths = asked.agg(F.collect_set(F.length("q")).alias("l")).scalar()
+    prefixes = folded.withColumn("l", asked_lengths).select("class_id", "n", F.explode(F.transform(
+        F.filter("l", lambda i: i <= F.length("n")), lambda i: F.substring(F.col("n"), F.lit(1), i))).alias("q"))
     found = asked.join(prefixes, "q").groupBy("text").agg(
         F.min(F.struct((F.col("n") != F.col("q")).alias("inexact"), "class_id")).alias("b"))
     return queries.select("text").distinct().join(found, "text", "left").select("text", F.col("b.class_id").alias(

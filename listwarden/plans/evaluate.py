@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import Params
+from ..constants import HEADLINE_REASONS, Params
 from ..functions.numbers import half_even
 from ..operators.boxes import match_boxes
+from ..operators.calibration import calibration_bins, calibration_error
+from ..operators.metrics import record_slices
+from ..operators.thresholds import area_under_curve, risk_coverage
 from ..session import durable
 from .check import decide_items, scenario_lists
 
@@ -51,6 +54,37 @@ def build_spurious(decisions: DataFrame, matches: DataFrame) -> DataFrame:
                             F.col("score").alias("det_score"))
 
 
+def report(records: DataFrame, points: int = 50) -> DataFrame:
+    """(section, key, metric, value) of the headline figures over decided records.
+
+    slice: rates of every slice; calibration: expected calibration error; bin: n, mean probability and share per bin;
+    curve: coverage and risk at sampled places; area: area under that curve and risk at full coverage.
+    """
+    scored = records.filter(F.col("reason").isin(*HEADLINE_REASONS) & F.col("detected") & F.col("p_in").isNotNull())
+    scored = durable(scored.select("p_in", (F.col("gt") == "in").cast("int").alias("y_in"), F.concat_ws(
+        "/", "scenario_id", F.lpad(F.col("item_idx").cast("string"), 19, "0")).alias("ord")))
+    bins = durable(calibration_bins(scored))
+
+    def rows(df: DataFrame, section: str, key: Column, values: list[str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])
+        return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), F.explode(pairs).alias("p")).select(
+            "section", "key", "p.*")
+
+    nothing = F.lit("")
+    parts = [
+        rows(record_slices(records), "slice", F.col("slice"), [
+            "n", "detection_recall", "abstain_rate", "coverage", "out_recall", "out_accepted_rate", "false_alarm_rate", "risk"]),
+        rows(calibration_error(bins), "calibration", nothing, ["ece"]),
+        rows(bins.filter("n > 0"), "bin", F.col("bin"), ["n", "conf", "acc"]),
+        rows(risk_coverage(scored, "ord", points), "curve", F.col("place"), ["coverage", "risk"]),
+        rows(area_under_curve(scored, "ord"), "area", nothing, ["aurc", "full_coverage_risk"]),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def evaluate(items: DataFrame, dets: DataFrame | None, scenarios: DataFrame, told: DataFrame, prototypes: DataFrame,
              params: Params) -> tuple[DataFrame, DataFrame]:
     """(records, spurious). Without detections the true boxes stand in for them.

@@ -25,8 +25,19 @@ def label_lines(items: DataFrame, photos: DataFrame) -> DataFrame:
         "photo_id", "item_idx", F.coalesce("line", F.lit("")).alias("line"))
 
 
-def write_labels(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Text files under one folder per photo, lines in item order.
+def write_labels(lines: DataFrame, split: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """(photo_id, item_idx, line) under one folder per subset, in order of photo and item; photos without one are train.
+
+    The number of files follows the data, not the number of photos.
+    """
+    subsets = split.select("photo_id", "subset").dropDuplicates(["photo_id"])
+    rows = lines.join(subsets, "photo_id", "left").fillna("train", ["subset"])
+    order = ["subset", "photo_id", "item_idx"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("subset").parquet(path)
+
+
+def write_label_files(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """For small exports: text files under one folder per photo, lines in item order.
 
     Rows are ranged by (photo, index), so the lines of a photo of any size stay in order over its files.
     """

@@ -129,7 +129,10 @@ def test_label_lines(spark, tmp_path):
     lines = L.label_lines(items, photos)
     assert {(r.photo_id, r.item_idx): r.line for r in lines.collect()} == {
         ("p", 1): "0 0.050000 0.200000 0.100000 0.400000", ("p", 2): "0 0.200000 0.200000 0.200000 0.400000", ("q", None): ""}
-    L.write_labels(lines, str(tmp_path / "labels"))
+    by_subset = spark.createDataFrame([("p", "val")], "photo_id string, subset string")
+    L.write_labels(lines, by_subset, str(tmp_path / "table"))
+    assert {(r.photo_id, r.subset) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {("p", "val"), ("q", "train")}
+    L.write_label_files(lines, str(tmp_path / "labels"))
     text = "".join(f.read_text() for f in sorted((tmp_path / "labels" / "photo_id=p").glob("*.txt")))
     assert text.splitlines()[0].startswith("0 0.05") and len(text.splitlines()) == 2
     split = spark.createDataFrame([("a.jpg", "train"), ("b.jpg", "val")], "photo_id string, subset string")
