@@ -107,36 +107,44 @@ def shared_seeds(docs: DataFrame, n_buckets: int) -> DataFrame:
                 text, _, hashes, _, _ = seeds(*laid_out(texts[i:j]))
                 own = rows[i:j]
                 name = int(mixed(np.array([np.bitwise_xor.reduce(mixed(own.view(np.uint64)))]))[0] >> np.uint64(1))
-                yield pd.DataFrame([(b, name, six(hashes[at] & KEY), own[text[at]].tobytes())
-                                    for b, at in _split(bucket_of(hashes, n_buckets))],
+                out = [(b, name, six(hashes[at] & KEY), text[at].astype(np.uint32).tobytes())
+                       for b, at in _split(bucket_of(hashes, n_buckets))]
+                # Which rows the chunk has travels once, to any bucket.
+                yield pd.DataFrame([*out, (name % n_buckets, name, b"", own.tobytes())],
                                    columns=["bucket", "chunk", "keys", "rows"])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["bucket"]):
-            keys = [from_six(k) for k in group["keys"]]
-            rows = [np.frombuffer(r, np.int64) for r in group["rows"]]
-            key, row = np.concatenate(keys), np.concatenate(rows)
-            order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] + np.uint64(1)))
-            least, most = np.minimum.reduceat(row[order], cuts), np.maximum.reduceat(row[order], cuts)
-            keep = np.zeros(len(key), bool)
-            keep[order] = np.repeat(least != most, np.diff(np.append(cuts, len(key))))
-            ends = np.cumsum([len(k) for k in keys])
-            out = []
-            for chunk, k, r, end in zip(group["chunk"], keys, rows, ends, strict=True):
-                mine = keep[end - len(k):end]
-                if mine.any():
-                    out.append((chunk, six(k[mine]), r[mine].tobytes()))
+            lists, group = group[group["keys"].str.len() == 0], group[group["keys"].str.len() > 0]
+            out = list(zip(lists["chunk"], lists["keys"], lists["rows"], strict=True))
+            if len(group):
+                keys = [from_six(k) for k in group["keys"]]
+                texts = [np.frombuffer(r, np.uint32) for r in group["rows"]]
+                key = np.concatenate(keys)
+                text = np.concatenate([t.astype(np.int64) + (k << 32) for k, t in enumerate(texts)])
+                order = np.argsort(key, kind="stable")
+                cuts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] + np.uint64(1)))
+                least, most = np.minimum.reduceat(text[order], cuts), np.maximum.reduceat(text[order], cuts)
+                keep = np.zeros(len(key), bool)
+                keep[order] = np.repeat(least != most, np.diff(np.append(cuts, len(key))))
+                ends = np.cumsum([len(k) for k in keys])
+                for chunk, k, t, end in zip(group["chunk"], keys, texts, ends, strict=True):
+                    mine = keep[end - len(k):end]
+                    if mine.any():
+                        out.append((chunk, six(k[mine]), t[mine].tobytes()))
             yield pd.DataFrame(out, columns=["chunk", "keys", "rows"])
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["chunk"]):
-            key = np.concatenate([from_six(k) for k in group["keys"]])
-            row = np.concatenate([np.frombuffer(r, np.int64) for r in group["rows"]])
-            order = np.argsort(row, kind="stable")
-            cuts = np.flatnonzero(np.diff(row[order], prepend=row[order[:1]] - 1))
-            yield pd.DataFrame({"row": row[order[cuts]], "keys": [
-                six(key[order[a:b]]) for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]})
+            table = np.frombuffer(group.loc[group["keys"].str.len() == 0, "rows"].iloc[0], np.int64)
+            group = group[group["keys"].str.len() > 0]
+            if len(group):
+                key = np.concatenate([from_six(k) for k in group["keys"]])
+                text = np.concatenate([np.frombuffer(r, np.uint32) for r in group["rows"]])
+                order = np.argsort(text, kind="stable")
+                cuts = np.flatnonzero(np.diff(text[order].astype(np.int64), prepend=-1))
+                yield pd.DataFrame({"row": table[text[order[cuts]]], "keys": [
+                    six(key[order[a:b]]) for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]})
 
     sent = docs.select("row", "text").mapInPandas(send, "bucket long, chunk long, keys binary, rows binary")
     met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "chunk long, keys binary, rows binary")
@@ -257,13 +265,13 @@ def marks(around: DataFrame) -> DataFrame:
 def cut(raw: bytes, packed: list[bytes]) -> tuple[int, int, bytes]:
     """(bytes removed, runs removed, what stays) of one text, given the marks of its seeds."""
     starts = np.zeros(len(raw) + 1, np.int32)
-    for p in packed:
-        half = len(p) // 2
-        place, bits = np.frombuffer(p[:half], np.int64), np.frombuffer(p[half:], np.uint64)
-        for k in range(LEFT + 1):
-            at = np.unique(place[(bits >> np.uint64(k)) & np.uint64(1) == 1] - k)
-            starts[at] += 1
-            starts[at + WINDOW] -= 1
+    if packed:
+        place = np.frombuffer(b"".join(p[:len(p) // 2] for p in packed), np.int64)
+        bits = np.frombuffer(b"".join(p[len(p) // 2:] for p in packed), np.uint64)
+        seed, k = np.nonzero(bits[:, None] >> np.arange(LEFT + 1, dtype=np.uint64) & np.uint64(1))
+        at = np.unique(place[seed] - k)
+        starts[at] += 1
+        starts[at + WINDOW] -= 1
     gone = np.cumsum(starts[:-1]) > 0
     return int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
