@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("sources", "groups", "scores", "boxes", "texts")
+AREAS = ("sources", "groups", "scores", "boxes", "texts", "storage")
 
 
 def registered() -> tuple[dict, dict]:

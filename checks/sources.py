@@ -173,14 +173,10 @@ def _(spark, folder):
     return annotations.photo_items(annotations.photo_rows(bridge.raw_photos(spark, folder), "train"))
 
 
-@query("p07_allowlist_rows", """
-select concat('list_', p_partkey, '.jpg') as file, case when p_partkey % 2 = 0 then 3001 else 1201 end as orig_width,
- round(least(1.0, 1600.0::double / case when p_partkey % 2 = 0 then 3001 else 1601 end), 9) as scale,
- p_name as text, cast(p_size as int) as mapping, cast(p_size * 10 as int) as box_x from part""")
-def _(spark, folder):
+def raw_allowlists(spark, folder):
     part = bridge.table(spark, folder, "part")
     wide = F.col("p_partkey") % 2 == 0
-    raw = part.select(
+    return part.select(
         F.concat(F.lit("scan/list_"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("filename"),
         F.array(F.lit(1)).alias("ann_ids"), F.array("p_name").alias("texts"),
         F.array(F.lit("drugname")).alias("ann_labels"),
@@ -188,6 +184,14 @@ def _(spark, folder):
         F.array(F.col("p_size").cast("int")).alias("mappings"),
         F.when(wide, 3001).otherwise(1601).alias("width"), F.when(wide, 2001).otherwise(1201).alias("height"),
         F.when(wide, 1).otherwise(6).alias("orientation"))
+
+
+@query("p07_allowlist_rows", """
+select concat('list_', p_partkey, '.jpg') as file, case when p_partkey % 2 = 0 then 3001 else 1201 end as orig_width,
+ round(least(1.0, 1600.0::double / case when p_partkey % 2 = 0 then 3001 else 1601 end), 9) as scale,
+ p_name as text, cast(p_size as int) as mapping, cast(p_size * 10 as int) as box_x from part""")
+def _(spark, folder):
+    raw = raw_allowlists(spark, folder)
     rows = annotations.allowlist_rows(raw, "train")
     return rows.select("file", F.col("orig_size")[0].alias("orig_width"), F.round("scale", 9).alias("scale"),
                        F.col("texts")[0].alias("text"), F.col("mappings")[0].alias("mapping"),

@@ -109,6 +109,12 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
                          .alias("ord"))
 
 
+def read_map_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The same map kept as JSON lines {allowlist_id, photos}, one line per list, as (allowlist_id, photo_id) rows."""
+    rows = spark.read.schema("allowlist_id STRING, photos ARRAY<STRING>").option("mode", "FAILFAST").json(path)
+    return rows.select("allowlist_id", F.explode("photos").alias("photo_id"))
+
+
 def labelled_photos(photos: DataFrame, photo_list: DataFrame) -> DataFrame:
     """Photos with at least one label, with their allow-list attached."""
     kept = photos.filter(F.size("labels") > 0)
