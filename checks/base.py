@@ -255,6 +255,7 @@ def with_views(body: str) -> str:
     if not placed:
         return body
     views = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in placed)
+    body = body.replace("with recursive ", "with ", 1) if body.startswith("with recursive ") else body
     own = f",\n{body[5:]}" if body.startswith("with ") else f"\n{body}"
     return f"with recursive {views}{own}"
 

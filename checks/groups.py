@@ -332,7 +332,16 @@ def _(spark, folder):
                        F.array_join("removed", ",").alias("removed"))
 
 
-@query("k05_weighted_draws")
+@query("k05_weighted_draws", """
+with c as (select label, count(*) as n, 1.0::double / sqrt(count(*)) as w from items group by 1),
+e as (select label, n, sum(n * w) over (order by label rows unbounded preceding) as hi from c),
+l as (select label, n, hi, coalesce(lag(hi) over (order by label), 0.0::double) as lo from e),
+h as (select id as draw, ('0x' || substr(sha1('0:class:' || id), 1, 12))::bigint / 281474976710656.0::double as cu,
+  ('0x' || substr(sha1('0:place:' || id), 1, 12))::bigint / 281474976710656.0::double as pu from range(2000) t(id)),
+p as (select draw, label, cast(floor(pu * n) as bigint) as pos from (
+  select *, cu * (select max(hi) from e) as u from h) join l on u >= lo and u < hi),
+i as (select label, item_id, row_number() over (partition by label order by item_id) - 1 as pos from items)
+select draw, item_id, label from p join i using (label, pos)""")
 def _(spark, folder):
     return sampling.weighted_draws(World(spark, folder).items, "item_id", 2000)
 

@@ -265,12 +265,24 @@ def _(spark, folder):
                       F.lit(fitted.temperature).alias("temperature"), F.lit(fitted.unknown_bias).alias("unknown_bias"))
 
 
-@query("a21_fitted_platt")
+@query("a21_fitted_platt", """
+with recursive pts as (select ln(q / (1 - q)) as x, y_in::double as y from (
+  select greatest(1e-6, least(1 - 1e-6, p_raw)) as q, y_in from cal)),
+newton as (select 0 as step, 1.0::double as a, 0.0::double as b
+  union all
+  select step + 1, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  from (select step, a, b, sum(x * (y - p)) as g1, sum(y - p) as g2, sum(p * (1 - p) * x * x) as h11,
+    sum(p * (1 - p) * x) as h12, sum(p * (1 - p)) as h22
+    from (select step, a, b, x, y, 1 / (1 + exp(-(a * x + b))) as p from newton, pts where step < 12) group by 1, 2, 3)),
+best as (select a, b from newton where step = 12),
+fitted as (select greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp(-(a * x + b))))) as p, y, a, b from pts, best)
+select round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) as nll, round(any_value(a), 3) as platt_a,
+ round(any_value(b), 3) as platt_b from fitted""")
 def _(spark, folder):
     rows = World(spark, folder).calibrated
     a, b = calibration.fit_platt(rows, p="p_raw")
-    return rows.agg(calibration.clipped_nll(D.platt(F.col("p_raw"), a, b), F.col("y_in")).alias("nll"),
-                    F.lit(a).alias("platt_a"), F.lit(b).alias("platt_b"))
+    fitted = rows.agg(calibration.clipped_nll(D.platt(F.col("p_raw"), a, b), F.col("y_in")).alias("nll"))
+    return fitted.select(*r6("nll"), F.round(F.lit(a), 3).alias("platt_a"), F.round(F.lit(b), 3).alias("platt_b"))
 
 
 def selective_sql(low: str, high: str, source: str, by: str = "") -> str:

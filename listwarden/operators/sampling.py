@@ -40,7 +40,7 @@ def weighted_draws(items: DataFrame, key: str, n: int, seed: int = 0, label: str
     slot = F.col("_slot").cast("int") + 1
     wanted = placed.select(
         "draw", F.element_at(F.lit(labels), slot).alias(label),
-        F.floor(F.col("_v") * F.element_at(F.lit(counts), slot)).cast("int").alias("_place"))
+        F.floor(F.col("_v") * F.element_at(F.lit(counts), slot)).cast("long").alias("_place"))
     indexed = index_within(items.select(label, key), [label], [F.col(key)], "_place")
     return wanted.join(indexed, [label, "_place"]).select("draw", key, label)
 
