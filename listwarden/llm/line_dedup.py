@@ -93,7 +93,9 @@ def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     texts = stored(possibly_in(lines, "at", crowd, "first").join(crowd, F.col("at") == F.col("first")).select(
         "line", F.split("text", " ").alias("words")).dropDuplicates(["line"]))
     rows = stored(with_variants(texts))
-    several = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    # A line with repeated words makes one variant several times; a key matters if two lines have it.
+    several = stored(rows.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter(
+        "low < high").select("key"))
     rows = stored(rows.join(several, "key", "left_semi").select("line", "gone", "key"))
     same = rows.filter("gone > 0").groupBy("key", "gone").agg(F.min("line").alias("twin"))
     keys = rows.groupBy("key").agg(F.min(F.when(F.col("gone") == 0, F.col("line"))).alias("whole"))
