@@ -65,12 +65,18 @@ def split_by_group_size(df: DataFrame, keys: list[str], limit: int) -> tuple[Dat
     Only group sizes are computed (counted map-side first). The second frame is None when no group
     exceeds ``limit``; the list of large groups has at most rows / limit entries.
     """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    names = {k: f"_group{i}" for i, k in enumerate(keys)}
+    large = df.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > limit).select(*names.values())
     n_large = large.count()
     if n_large == 0:
         return df, None
     side = F.broadcast(large) if n_large <= WINDOW_GROUP_ROWS else large
-    return df.join(side, keys, "left_anti"), df.join(side, keys, "left_semi")
+    # A group whose key is null is a group like others.
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(side, same, "left_anti"), df.join(side, same, "left_semi")
 
 
 def ship_package(spark: SparkSession) -> None:

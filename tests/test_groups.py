@@ -143,3 +143,12 @@ def test_names_by_vote(spark):
     assert table == {1: ("Beta", 2, 1), 2: ("Delta", 0, 0), 7: ("class_7", 1, 1)}
     pairs = spark.createDataFrame([("p", "x", 0), ("p", "y", 1)], "photo_id string, allowlist_id string, ord int")
     assert catalog.photo_list(pairs).first().allowlist_id == "y"
+
+
+def test_large_groups_are_split_off_null_keys_too(spark):
+    from listwarden.session import split_by_group_size
+
+    df = spark.createDataFrame([(None, i) for i in range(6)] + [("a", 1), ("b", 2), ("b", 3)], "g string, v int")
+    small, large = split_by_group_size(df, ["g"], 3)
+    assert sorted(r.g for r in small.collect()) == ["a", "b", "b"] and {r.g for r in large.collect()} == {None}
+    assert large.count() == 6
