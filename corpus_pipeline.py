@@ -31,39 +31,43 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = line_dedup.line_dedup(docs)
     gone = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return left.filter(~F.coalesce(gone, F.lit(False))).withColumn(
-        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(
+        *docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     ship_package(spark)
     found = jaccard.jaccard_components(docs, NEAR_PERCENT, NEAR_WORDS)
-    gone = stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("_gone")).distinct())
-    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-    maybe = possibly_in(keyed, "_row", gone, "_gone").join(gone, F.col("_row") == F.col("_gone"), "left_anti")
-    return maybe.union(possibly_in(keyed, "_row", gone, "_gone", inside=False)).select(*docs.columns)
+    copies = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = stored(copies.select(F.col("row").alias("_pipeline_gone")).distinct())
+    keyed = docs.withColumn("_pipeline_row", row_key("doc_id", "text"))
+    maybe = possibly_in(keyed, "_pipeline_row", gone, "_pipeline_gone").join(
+        gone, F.col("_pipeline_row") == F.col("_pipeline_gone"), "left_anti")
+    return maybe.union(possibly_in(keyed, "_pipeline_row", gone, "_pipeline_gone", inside=False)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; the copy in which the budget ends is cut to the words taken."""
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    sizes = stored(keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), "_row"))
-    taken = mixing.mix(sizes).filter("taken > 0").groupBy(F.col("_row").alias("_key")).agg(
-        F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
-    copies = keyed.dropDuplicates(["_row"]).join(taken, F.col("_row") == F.col("_key")).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")))))
+    keyed = docs.withColumn("_pipeline_row", F.xxhash64(*docs.columns))
+    sizes = stored(keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), "_pipeline_row"))
+    taken = mixing.mix(sizes).filter("taken > 0").groupBy(F.col("_pipeline_row").alias("_pipeline_key")).agg(
+        F.sum("taken").alias("_pipeline_taken"), F.first("size").alias("_pipeline_size"))
+    copies = keyed.dropDuplicates(["_pipeline_row"]).join(taken, F.col("_pipeline_row") == F.col("_pipeline_key")).withColumn(
+        "_pipeline_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_pipeline_taken") / F.col("_pipeline_size")))))
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    part = F.array_join(F.slice(words, F.lit(1), (F.col("_taken") % F.col("_size")).cast("int")), " ")
-    text = F.when(F.col("_copy") * F.col("_size") > F.col("_taken"), part).otherwise(F.col("text"))
-    return copies.withColumn("_old", F.col("text")).withColumn("text", text).withColumn(
-        "n_chars", F.when(F.col("text") == F.col("_old"), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    part = F.array_join(F.slice(words, F.lit(1), (F.col("_pipeline_taken") % F.col("_pipeline_size")).cast("int")), " ")
+    text = F.when(F.col("_pipeline_copy") * F.col("_pipeline_size") > F.col("_pipeline_taken"), part).otherwise(F.col("text"))
+    return copies.withColumn("_pipeline_old", F.col("text")).withColumn("text", text).withColumn(
+        "n_chars", F.when(F.col("text") == F.col("_pipeline_old"), F.col("n_chars")).otherwise(F.length("text"))).select(
+        *docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian unsigned 32-bit integers), and whether they decode to its text."""
     ship_package(spark)
     rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    back = bpe.decode(bpe.encode(rows, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    back = bpe.encode(rows, RANKS, public_tokenizers.PATTERN, decoded_col="decoded")
     return back.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                        (F.col("decoded") == F.col("text").cast("binary")).alias("intact"))
 

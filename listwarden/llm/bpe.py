@@ -11,13 +11,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import kept
+
 # A worker's memory: pre-tokens kept with their ids, and characters tokenised before results go out.
-CACHE_PIECES, CHUNK_CHARS, CHUNK_PIECES = 1_000_000, 1_000_000, 200_000
+CACHE_PIECES, CHUNK_CHARS, CHUNK_PIECES = 400_000, 500_000, 100_000
 TREE_BYTES = 1 << 15     # bytes of pre-tokens whose trees are worked on together; they should fit the CPU cache
 NONE = np.iinfo(np.int64).max
 
-_LOADED: dict[tuple[str, str], Encoder] = {}
-
 
 class Encoder:
     """Ranks of one vocabulary file and the pre-tokens encoded so far, one per worker process."""
@@ -134,9 +134,7 @@ class Encoder:
 
 
 def encoder(ranks_path: str, pattern: str) -> Encoder:
-    if (ranks_path, pattern) not in _LOADED:
-        _LOADED[ranks_path, pattern] = Encoder(ranks_path, pattern)
-    return _LOADED[ranks_path, pattern]
+    return kept(("bpe", ranks_path, pattern), lambda: Encoder(ranks_path, pattern))
 
 
 def chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
@@ -151,42 +149,44 @@ def chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _with_column(docs: DataFrame, name: str, source: str, convert) -> DataFrame:
-    """``docs`` with a binary column that ``convert`` makes of the list of values of ``source``, in pieces."""
-    rest = docs.drop(name)
+def _with_columns(docs: DataFrame, names: list[str], source: str, convert) -> DataFrame:
+    """``docs`` with binary columns that ``convert`` makes of a list of values of ``source``, some at a time."""
+    rest = docs.drop(*names)
     at = rest.columns.index(source)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rest.schema.fields)}, `{name}` binary"
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields] + [f"`{n}` binary" for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [v or "" if isinstance(v, str) or v is None else v for v in batch.column(at).to_pylist()]
+            values = [v or "" for v in batch.column(at).to_pylist()]
             for a, b in chunks(values, CHUNK_CHARS):
-                made = pa.array(convert(values[a:b]), pa.binary())
+                made = [pa.array(column, pa.binary()) for column in convert(values[a:b])]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(run, ", ".join(fields))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
+           decoded_col: str | None = None) -> DataFrame:
     """Every row with ``ids_col``: the ids of its whole text as little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded by itself, without special tokens; a match that is a token of the vocabulary
-    is that token. Null and empty texts have no ids (an empty value). Rows are independent: no shuffle, repeated rows
-    and further columns stay, a column called ``ids_col`` is replaced, no rows give no rows. ``ranks_path`` must exist
-    on every machine.
+    is that token. Null and empty texts have no ids (an empty value). With ``decoded_col`` the ids are also decoded
+    right away, in the same worker. Rows are independent: no shuffle, repeated rows and further columns stay, columns
+    of these names are replaced, no rows give no rows. ``ranks_path`` must exist on every machine.
     """
-    def convert(texts: list[str]) -> list[bytes]:
+    def convert(texts: list[str]) -> list[list[bytes]]:
         own = encoder(ranks_path, pattern)
-        return [own.encode_long(texts[0])] if len(texts) == 1 and len(texts[0]) > CHUNK_CHARS else own.encode(texts)
+        ids = [own.encode_long(texts[0])] if len(texts) == 1 and len(texts[0]) > CHUNK_CHARS else own.encode(texts)
+        return [ids, [own.decode(i) for i in ids]] if decoded_col else [ids]
 
-    return _with_column(docs, ids_col, text_col, convert)
+    return _with_columns(docs, [ids_col, *([decoded_col] if decoded_col else [])], text_col, convert)
 
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Every row with ``out_col``: the bytes its ids stand for. Null ids give no bytes; an unknown id fails the job."""
-    def convert(values: list) -> list[bytes]:
+    def convert(values: list) -> list[list[bytes]]:
         own = encoder(ranks_path, pattern)
-        return [own.decode(v) if v else b"" for v in values]
+        return [[own.decode(v) if v else b"" for v in values]]
 
-    return _with_column(rows, out_col, ids_col, convert)
+    return _with_columns(rows, [out_col], ids_col, convert)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,17 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def hash_sample(rows: DataFrame, n_rows: int, *cols: str, seed: int = 7) -> DataFrame:
+    """About ``n_rows`` rows, or all if there are no more: those whose seeded hash lies in that share of its range.
+
+    One count and a filter; nothing is ordered or gathered. Rows equal in ``cols`` are in or out together.
+    """
+    total = rows.count()
+    if total <= n_rows:
+        return rows
+    return rows.filter(F.xxhash64(F.lit(seed), *cols) < F.lit(int((2 * n_rows / total - 1) * 2 ** 63)))
+
+
 def possibly_in(rows: DataFrame, col: str, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
     """Rows whose ``col`` may be among ``keys`` (inside) or surely is not, by a bit per hash of every key.
 
@@ -56,15 +67,27 @@ def possibly_in(rows: DataFrame, col: str, keys: DataFrame, key: str, inside: bo
         return F.pmod(F.xxhash64(F.lit("filter"), F.col(c)), F.lit(FILTER_BITS))
 
     bits = keys.filter(F.col(key).isNotNull()).select(place(key).alias("p")).groupBy(
-        F.floor(F.col("p") / 64).alias("_word")).agg(F.bit_or(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("_mask"))
-    at = rows.withColumn("_at", place(col))
-    met = at.join(F.broadcast(bits), F.floor(F.col("_at") / 64) == F.col("_word"), "inner" if inside else "left")
-    hit = F.getbit("_mask", (F.col("_at") % 64).cast("int")) == 1
+        F.floor(F.col("p") / 64).alias("_filter_word")).agg(F.bit_or(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("_filter_mask"))
+    at = rows.withColumn("_filter_at", place(col))
+    met = at.join(F.broadcast(bits), F.floor(F.col("_filter_at") / 64) == F.col("_filter_word"), "inner" if inside else "left")
+    hit = F.getbit("_filter_mask", (F.col("_filter_at") % 64).cast("int")) == 1
     hit = F.coalesce(hit & F.col(col).isNotNull(), F.lit(False))
     return met.filter(hit if inside else ~hit).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
+_KEPT: dict = {}
+
+
+def kept(owner, make: Callable):
+    """What ``make`` built for ``owner`` in this worker process. Only the last owner's is held: workers are reused, and
+    the tables of one operator would otherwise stay in memory while the next one runs."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

@@ -20,18 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import discard, possibly_in, row_key, stored, whole_groups
+from .common import discard, hash_sample, kept, possibly_in, row_key, stored, whole_groups
 from .graph import components
 
-# Shingles in HOT_DOCS or more of at most SAMPLE_DOCS documents come last in the order of shingles (HOT_SHINGLES at most).
+# Shingles in HOT_DOCS or more of about SAMPLE_DOCS documents come last in the order of shingles (HOT_SHINGLES at most).
 # Which shingles these are affects the work only, never the result.
 SAMPLE_DOCS, HOT_DOCS, HOT_SHINGLES = 4000, 8, 50_000
-CHUNK_CHARS, CACHE_WORDS, PAIRS_PER_TASK = 2_000_000, 500_000, 2_000
+CHUNK_CHARS, CACHE_WORDS, PAIRS_PER_TASK = 2_000_000, 300_000, 2_000
 # A pivot's region holds sets up to this distance; regions of fewer sets are left to the seats. Sets of a block.
 REACH, LEAST_REGION, TILE, COLUMNS = 0.5, 32, 256, 8192
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 CLASS_SHIFT = np.uint64(58)
-_WORDS: dict[bytes, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,12 +45,13 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     A-Z are lower-cased; words lie between ASCII white space.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
+    known = kept("words", dict)
+    if len(known) > CACHE_WORDS:
+        known.clear()
     for w in words:
-        if w not in _WORDS:
-            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     span = min(width, len(h))
     out = np.full(max(0, len(h) - span + 1) if span else 0, span, np.uint64)
     for k in range(span):
@@ -75,16 +75,12 @@ def ordered(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, width: int) -> np.ndarray:
-    limit = docs.select(F.xxhash64(F.lit(7), "row").alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    if limit is None:
-        return np.zeros(0, np.uint64)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text in batch["text"]:
                 yield pd.DataFrame({"s": shingles(text, width).view(np.int64)})
 
-    sample = docs.filter(F.xxhash64(F.lit(7), "row") <= F.lit(limit)).select("text")
+    sample = hash_sample(docs, SAMPLE_DOCS, "row").select("text")
     rows = sample.mapInPandas(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "s").limit(HOT_SHINGLES).toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
@@ -124,7 +120,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(rep, shingles) of the wanted (rep, row), from their texts. Only texts that may be wanted are shuffled."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["rep"], "shingles": [shingles(t, width).tobytes() for t in batch["text"]]})
+            for i, j in chunks(batch["text"].tolist(), CHUNK_CHARS):
+                part = batch.iloc[i:j]
+                yield pd.DataFrame({"rep": part["rep"], "shingles": [shingles(t, width).tobytes() for t in part["text"]]})
 
     near = possibly_in(docs.select(F.col("row").alias("at"), "text"), "at", wanted, "row")
     return stored(near.join(wanted, F.col("at") == F.col("row")).select("rep", "text").dropDuplicates(["rep"]).mapInPandas(

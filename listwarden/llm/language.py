@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import stored
+from .common import hash_sample, kept, stored
 
-# The model is fitted on at most FIT_ROWS labelled rows (those of lowest seeded hash); prediction reads everything.
+# The model is fitted on about FIT_ROWS labelled rows, chosen by a seeded hash; prediction reads everything.
 FIT_ROWS, ROUNDS, PRIOR = 4000, 4, 0.05
 CACHE_WORDS, CHUNK_CHARS, LOOKUP_WORDS = 300_000, 2_000_000, 20_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -82,13 +82,8 @@ class Pieces:
         return out, sizes
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
 def pieces_of(model_path: str) -> Pieces:
-    if model_path not in _PIECES:
-        _PIECES[model_path] = Pieces(model_path)
-    return _PIECES[model_path]
+    return kept(("pieces", model_path), lambda: Pieces(model_path))
 
 
 def forward(found: list, sizes: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,17 +161,17 @@ def _words(text: Column) -> Column:
 
 def fit(labelled: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, seed: int = 7) -> Model:
-    """Piece chances per language by EM over the word counts of at most ``fit_rows`` labelled rows.
+    """Piece chances per language by EM over the word counts of about ``fit_rows`` labelled rows.
 
     Rows without text or language teach nothing. The E step runs on the executors; what comes back is one number per
     piece and language. Without any labelled row there is no language, and every text is undetermined.
     """
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")).orderBy("h", "lang", "text").limit(fit_rows)
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = hash_sample(rows, fit_rows, "id", "lang", "text", seed=seed)
     counts = stored(rows.select("lang", _words(F.col("text")).alias("word")).filter("word <> ''").groupBy(
         "lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())    # fit_rows values at most
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())    # about fit_rows values at most
     size = pieces_of(model_path).size
     chances = np.full((size, len(langs)), 1.0 / size)
 
@@ -208,18 +203,18 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.at, self.table = model, {}, np.zeros((1024, len(model.langs)), np.float32)
+        self.pieces = Pieces(model.model_path)
 
     def learn(self, words: set[str]) -> None:
         if len(self.at) > CACHE_WORDS:
             self.at.clear()
         fresh = sorted(words.difference(self.at), key=len)
-        pieces = pieces_of(self.model.model_path)
         need = len(self.at) + len(fresh)
         if need > len(self.table):
             self.table = np.vstack([self.table, np.zeros((2 * need - len(self.table), self.table.shape[1]), np.float32)])
         for a, b in chunks(fresh, LOOKUP_WORDS * 10):
             part = fresh[a:b]
-            found, sizes = pieces.found([MARK + w for w in part])
+            found, sizes = self.pieces.found([MARK + w for w in part])
             start = len(self.at)
             self.table[start:start + len(part)] = forward(found, sizes, self.model.chances)[2]
             self.at.update(zip(part, range(start, start + len(part)), strict=True))
@@ -234,9 +229,6 @@ class Scorer:
         return sums[ends] - sums[ends - sizes]
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model, key: str, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with lang_pred and score (chance of that language among the learned ones, 0 to 1).
 
@@ -250,10 +242,7 @@ def predict(docs: DataFrame, model: Model, key: str, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast((model.model_path, model.langs, model.chances))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(Model(*shared.value))
-        own = _SCORERS[key]
+        own = kept(("scorer", key), lambda: Scorer(Model(*shared.value)))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in chunks(texts, CHUNK_CHARS):

@@ -102,13 +102,13 @@ def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     lacking = same.groupBy("key").agg(F.min(F.struct("twin", "gone")).alias("lacking"))
     # For every row the earliest of: the line that is the variant, one without the same word, any that makes the variant.
     met = rows.join(stored(same), ["key", "gone"], "left").join(stored(keys), "key").join(stored(lacking), "key", "left")
-    best = F.least(F.when(F.col("gone") > 0, F.struct(F.col("whole").alias("other"), F.lit(0).alias("other_gone"))),
-                   F.when(F.col("gone") > 0, F.struct(F.col("twin").alias("other"), F.col("gone").alias("other_gone"))),
-                   F.when(F.col("gone") == 0, F.struct(F.col("lacking.twin").alias("other"),
-                                                       F.col("lacking.gone").alias("other_gone"))))
-    whole = F.when(F.col("whole").isNull() & (F.col("gone") > 0), F.struct(
-        F.col("twin").alias("other"), F.col("gone").alias("other_gone"))).otherwise(best)
-    found = met.withColumn("rival", whole).filter(F.col("rival.other") < F.col("line"))
+    def rival(other: str, gone: str | Column, present: Column) -> Column:
+        return F.when(present, F.struct(F.col(other).alias("other"), (F.col(gone) if isinstance(gone, str) else gone).alias(
+            "other_gone")))
+
+    best = F.least(rival("whole", F.lit(0), (F.col("gone") > 0) & F.col("whole").isNotNull()),
+                   rival("twin", "gone", F.col("gone") > 0), rival("lacking.twin", "lacking.gone", F.col("gone") == 0))
+    found = met.withColumn("rival", best).filter(F.col("rival.other") < F.col("line"))
     found = stored(found.groupBy("line").agg(F.min(F.struct("rival", "gone")).alias("b")).select(
         "line", F.col("b.gone").alias("gone"), "b.rival.other", "b.rival.other_gone"))
     checked = stored(_checked(found, texts))

@@ -48,8 +48,8 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, folder: str, ranks_path: str = RANKS) -> DataFrame:
     """Digests of the ids and of the bytes decoded from them."""
-    ids = bpe.encode(documents(spark, folder).select("doc_id", "text"), ranks_path, public_tokenizers.PATTERN)
-    back = bpe.decode(ids.select("doc_id", "ids"), ranks_path, public_tokenizers.PATTERN)
+    docs = documents(spark, folder).select("doc_id", "text")
+    back = bpe.encode(docs, ranks_path, public_tokenizers.PATTERN, decoded_col="decoded")
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -64,5 +64,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_embedding_dedup, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_suffix_dedup, op7_line_dedup, op8_byte_bpe, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_language, op2_embedding_dedup, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_suffix_dedup, op7_line_dedup,
+    op8_byte_bpe, op9_mixing, op10_sharding)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}

@@ -46,6 +46,9 @@ def test_bpe_rows(spark, reference):
     for r in rows:
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == reference.encode_ordinary(r.text or "")
         assert bytes(r.decoded).decode() == (r.text or "") and r.rank == "k"
+    both = bpe.encode(df, RANKS, public_tokenizers.PATTERN, decoded_col="rank").collect()
+    assert sorted(bytes(r.ids) for r in both) == sorted(bytes(r.ids) for r in rows)
+    assert all(bytes(r.rank).decode() == (r.text or "") for r in both)
     assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
