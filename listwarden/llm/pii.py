@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
+from .common import hash_sample
 
 # Fixed by the contract: kinds in order, their patterns (runs taken whole, which changes no match) and limits.
 KINDS = ("email", "ip", "card", "phone")
@@ -25,7 +26,7 @@ CARD_DIGITS, PHONE_DIGITS = (12, 19), (9, 15)
 
 # The model: characters up to 127 are themselves, all others one class; padding is a class.
 OTHER, PAD, CLASSES, HIDDEN, TAGS = 128, 129, 130, 8, 1 + len(KINDS)
-# Fitted on at most FIT_WINDOWS windows around the spans of at most FIT_DOCS documents (lowest seeded hash).
+# Fitted on at most FIT_WINDOWS windows around the spans of about FIT_DOCS documents, chosen by a seeded hash.
 FIT_DOCS, FIT_WINDOWS, FIT_LENGTH, STEPS, BATCH, RATE = 4000, 3072, 96, 256, 128, 0.03
 # Decoding: windows of CORE characters with MARGIN more on both sides; spans of fewer than SHORTEST are not reported.
 CORE, MARGIN, SHORTEST, SURE, CHUNK_CHARS = 480, 32, 7, 2.0, 500_000
@@ -253,11 +254,8 @@ def reconcile(found: list[tuple[bool, float, int, int, int]], length: int) -> li
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS,
         fit_windows: int = FIT_WINDOWS, seed: int = 7) -> Tagger | None:
     """Train on windows around the pattern spans of a bounded sample of documents; None if no document has any span."""
-    order = F.xxhash64(F.lit(seed), F.col(id_col))
-    limit = docs.filter(F.col(text_col).isNotNull()).select(order.alias("h")).orderBy("h").limit(fit_docs).agg(
-        F.max("h")).first()[0]
-    if limit is None:
-        return None
+    sample = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = hash_sample(sample, fit_docs, "id", "text", seed=seed).select("text", F.xxhash64("id", "text").alias("h"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -283,8 +281,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
             yield pd.DataFrame(rows, columns=["o", "data", "codes", "tags"])
 
     # Copies of one document would give their window many times.
-    made = docs.filter(F.col(text_col).isNotNull() & (order <= F.lit(limit))).select(
-        F.col(text_col).alias("text"), order.alias("h")).mapInPandas(
+    made = sample.mapInPandas(
         windows, "o long, data boolean, codes binary, tags binary").dropDuplicates(["codes", "tags"])
     taken = [made.filter(keep).orderBy("o", "codes", "tags").limit(fit_windows // 2).toPandas() for keep in ("data", "not data")]
     if not len(taken[0]):
