@@ -8,6 +8,10 @@ right end of the windows to the left. Shards are merged by refining their interl
 shards' transforms in the current interleave, which is then split stably by symbol. No suffix is compared or sorted
 again; common prefixes of neighbours follow from range minima of the step before. Once 50 symbols have been taken up,
 stretches of neighbours with a common prefix of 50 or more are the repeated windows.
+
+However often a string occurs, a chunk of texts sends it once: equal surroundings in a chunk are one entry with their
+smallest document, whose verdict is known for all larger ones. Seeds that occur more than HOT times, whose surroundings
+may all differ, send every window as an entry of its own, to a bucket chosen by the whole window.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ WINDOW, GRAM = 50, 16
 LEFT = WINDOW - GRAM                    # a seed is at most this far from its window's start
 WIDTH = LEFT + WINDOW                   # bytes around a seed that its windows may need
 BUCKET_BYTES, CHUNK_CHARS, SHARD = 4 << 20, 3_000_000, 20_000
+HOT = 1 << 15                           # a seed with more occurrences is split by windows
+SEEDS, MORE, KNOWN, ROWS, SPLIT = range(5)      # kinds of rows in the exchange of seeds
 FACTOR = 0x9E3779B97F4A7C15
 END = 255                               # no byte of UTF-8: what lies outside the windows of a seed
 LAST = (1 << 63) - 1                    # where null ids come in the order of documents
@@ -91,6 +97,29 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (mixed(hashes) % np.uint64(n)).astype(np.int64)
 
 
+def alike(data: np.ndarray, place: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """A hash of every surrounding and its windows, the same wherever it lies."""
+    inverse = np.uint64(pow(FACTOR, -1, 1 << 64))
+    power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(data), f, np.uint64))) for f in (np.uint64(FACTOR), inverse))
+    summed = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1]))
+    a, b = place - most, place + WINDOW - least
+    return mixed((summed[b] - summed[a]) * back[a] + mixed((most * WIDTH + least).astype(np.uint64)))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether the surroundings at places a and b, with the same windows, are equal."""
+    out, offset = np.zeros(len(a), bool), np.arange(-LEFT, WINDOW)
+    for i in range(0, len(a), SHARD):
+        x, y, m, n = (v[i:i + SHARD, None] for v in (a, b, most, least))
+        outside = (offset < -m) | (offset >= WINDOW - n)
+        out[i:i + SHARD] = (outside | (data[np.clip(x + offset, 0, len(data) - 1)] == data[np.clip(y + offset, 0, len(data) - 1)])).all(axis=1)
+    return out
+
+
+def every_bit(most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    return ((np.uint64(1) << (most - least + 1).astype(np.uint64)) - np.uint64(1)) << least.astype(np.uint64)
+
+
 def _split(order_by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(order_by, kind="stable")
     cuts = np.flatnonzero(np.diff(order_by[order], prepend=-1))
@@ -99,7 +128,8 @@ def _split(order_by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def shared_seeds(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(row, keys): the packed keys of the seeds that a document shares with another."""
+    """(row, hot, keys): the packed keys of the seeds that a document shares with another (hot = -1), and every shared
+    seed with more than HOT occurrences (column hot)."""
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, rows = batch["text"].tolist(), batch["row"].to_numpy()
@@ -107,53 +137,83 @@ def shared_seeds(docs: DataFrame, n_buckets: int) -> DataFrame:
                 text, _, hashes, _, _ = seeds(*laid_out(texts[i:j]))
                 own = rows[i:j]
                 name = int(mixed(np.array([np.bitwise_xor.reduce(mixed(own.view(np.uint64)))]))[0] >> np.uint64(1))
-                out = [(b, name, six(hashes[at] & KEY), text[at].astype(np.uint32).tobytes())
-                       for b, at in _split(bucket_of(hashes, n_buckets))]
-                # Which rows the chunk has travels once, to any bucket.
-                yield pd.DataFrame([*out, (name % n_buckets, name, b"", own.tobytes())],
-                                   columns=["bucket", "chunk", "keys", "rows"])
+                key = hashes & KEY
+                order = np.argsort(key, kind="stable")          # texts stay in order
+                key, text = key[order], text[order]
+                first = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
+                count = np.diff(np.append(first, len(key)))
+                last = first + count - 1
+                several = text[first] != text[last]
+                # One or two texts of a seed look for others; all further texts of the chunk have met each other.
+                sent = np.concatenate([first, last[several]])
+                rest = np.repeat(several, count) & (np.diff(text, prepend=-1) != 0)
+                rest[sent] = False
+                out = [(b, name, SEEDS, six(key[sent[at]]), text[sent[at]].astype(np.uint32).tobytes())
+                       for b, at in _split(bucket_of(key[sent], n_buckets))]
+                many = np.flatnonzero(count > 2)
+                out += [(b, name, MORE, six(key[first[many[at]]]), (count - several - 1)[many[at]].astype(np.uint32).tobytes())
+                        for b, at in _split(bucket_of(key[first[many]], n_buckets))]
+                # Which rows the chunk has travels once, to any bucket, and so does what is known.
+                out.append((name % n_buckets, name, ROWS, b"", own.tobytes()))
+                if rest.any():
+                    out.append((name % n_buckets, name, KNOWN, six(key[rest]), text[rest].astype(np.uint32).tobytes()))
+                yield pd.DataFrame(out, columns=["bucket", "chunk", "kind", "keys", "rows"])
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["bucket"]):
-            lists, group = group[group["keys"].str.len() == 0], group[group["keys"].str.len() > 0]
-            out = list(zip(lists["chunk"], lists["keys"], lists["rows"], strict=True))
+            lists, more = group[group["kind"].isin([ROWS, KNOWN])], group[group["kind"] == MORE]
+            bucket, group = int(group["bucket"].iloc[0]), group[group["kind"] == SEEDS]
+            out = list(zip(lists["chunk"], lists["kind"], lists["keys"], lists["rows"], strict=True))
             if len(group):
                 keys = [from_six(k) for k in group["keys"]]
                 texts = [np.frombuffer(r, np.uint32) for r in group["rows"]]
                 key = np.concatenate(keys)
-                text = np.concatenate([t.astype(np.int64) + (k << 32) for k, t in enumerate(texts)])
+                # Two entries of a chunk for one seed are two texts, and so are entries of two chunks.
                 order = np.argsort(key, kind="stable")
                 cuts = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] + np.uint64(1)))
-                least, most = np.minimum.reduceat(text[order], cuts), np.maximum.reduceat(text[order], cuts)
+                count = np.diff(np.append(cuts, len(key)))
                 keep = np.zeros(len(key), bool)
-                keep[order] = np.repeat(least != most, np.diff(np.append(cuts, len(key))))
+                keep[order] = np.repeat(count > 1, count)
                 ends = np.cumsum([len(k) for k in keys])
                 for chunk, k, t, end in zip(group["chunk"], keys, texts, ends, strict=True):
                     mine = keep[end - len(k):end]
                     if mine.any():
-                        out.append((chunk, six(k[mine]), t[mine].tobytes()))
-            yield pd.DataFrame(out, columns=["chunk", "keys", "rows"])
+                        out.append((chunk, KNOWN, six(k[mine]), t[mine].tobytes()))
+                known, total = key[order[cuts]], count.copy()
+                for k, n in zip(more["keys"], more["rows"], strict=True):
+                    total[np.searchsorted(known, from_six(k))] += np.frombuffer(n, np.uint32)
+                hot = known[(total > HOT) & (count > 1)]
+                if len(hot):
+                    out.append((bucket, SPLIT, six(hot), b""))
+            yield pd.DataFrame(out, columns=["chunk", "kind", "keys", "rows"])
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["chunk"]):
-            table = np.frombuffer(group.loc[group["keys"].str.len() == 0, "rows"].iloc[0], np.int64)
-            group = group[group["keys"].str.len() > 0]
+            hot = [int(k) for packed in group.loc[group["kind"] == SPLIT, "keys"] for k in from_six(packed)]
+            if hot:
+                yield pd.DataFrame({"row": 0, "hot": hot, "keys": [b""] * len(hot)})
+            lists, group = group.loc[group["kind"] == ROWS, "rows"], group[group["kind"] == KNOWN]
             if len(group):
+                table = np.frombuffer(lists.iloc[0], np.int64)
                 key = np.concatenate([from_six(k) for k in group["keys"]])
                 text = np.concatenate([np.frombuffer(r, np.uint32) for r in group["rows"]])
                 order = np.argsort(text, kind="stable")
                 cuts = np.flatnonzero(np.diff(text[order].astype(np.int64), prepend=-1))
-                yield pd.DataFrame({"row": table[text[order[cuts]]], "keys": [
+                yield pd.DataFrame({"row": table[text[order[cuts]]], "hot": -1, "keys": [
                     six(key[order[a:b]]) for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]})
 
-    sent = docs.select("row", "text").mapInPandas(send, "bucket long, chunk long, keys binary, rows binary")
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "chunk long, keys binary, rows binary")
-    rows = met.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(gather, "row long, keys binary")
-    return stored(rows.dropDuplicates(["row"]))
+    sent = docs.select("row", "text").mapInPandas(send, "bucket long, chunk long, kind long, keys binary, rows binary")
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
+        meet, "chunk long, kind long, keys binary, rows binary")
+    rows = met.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(gather, "row long, hot long, keys binary")
+    return stored(rows.dropDuplicates(["row", "hot"]))
 
 
-def surroundings(joined: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, rows, orders, places, most, least, bytes): packed surroundings of shared seeds, one row per task's share."""
+def surroundings(joined: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
+    """(bucket, rows, orders, places, most, least, bytes, like): packed surroundings of shared seeds, one row per chunk's
+    share. Behind them, rows and places have further occurrences in the same document, ``like`` the numbers of the
+    surroundings they equal. A row without surroundings has known verdicts, bits in place of orders.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, rows = batch["text"].tolist(), batch["row"].to_numpy()
@@ -167,19 +227,49 @@ def surroundings(joined: DataFrame, n_buckets: int) -> DataFrame:
                 keep = np.isin(mixed((hashes & KEY) + text.astype(np.uint64) * salt),
                                mixed(np.concatenate(lists) + owner * salt))
                 text, place, hashes, most, least = (x[keep] for x in (text, place, hashes, most, least))
-                out = []
-                for b, at in _split(bucket_of(hashes, n_buckets)):
+                split = np.isin(hashes & KEY, hot)
+                if split.any():                                 # every window by itself
+                    n = np.where(split, most - least + 1, 1)
+                    at = np.repeat(np.arange(len(n)), n)
+                    k = least[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                    split, text, place, hashes = split[at], text[at], place[at], hashes[at]
+                    most, least = np.where(split, k, most[at]), np.where(split, k, least[at])
+                if not len(text):
+                    continue
+                hashed, own, order = alike(data, place, most, least), rows[i:j][text], orders[i:j][text]
+                target = bucket_of(np.where(split, hashed, hashes), n_buckets)
+                by = np.lexsort((order, hashed))
+                cuts = np.flatnonzero(np.diff(hashed[by], prepend=hashed[by[:1]] + np.uint64(1)))
+                like = np.empty(len(by), np.int64)              # the same surrounding in the smallest document here
+                like[by] = np.repeat(by[cuts], np.diff(np.append(cuts, len(by))))
+                other = np.flatnonzero(like != np.arange(len(like)))
+                fails = other[~same_bytes(data, place[other], place[like[other]], most[other], least[other])]
+                like[fails] = fails
+                apart, known = like == np.arange(len(like)), order > order[like]
+                further = np.flatnonzero(~apart & ~known)
+                further, number = further[np.argsort(like[further], kind="stable")], np.zeros(len(like), np.uint32)
+                start, at_place, single, out = like[further], place - starts[text], np.flatnonzero(apart), []
+                for b, at in _split(target[single]):
+                    at = single[at]
+                    number[at] = np.arange(len(at))
+                    lo, hi = np.searchsorted(start, at), np.searchsorted(start, at, "right")
+                    again = further[np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(
+                        np.cumsum(hi - lo) - (hi - lo), hi - lo)]
                     offset = np.arange(-LEFT, WINDOW)
                     near = place[at][:, None] + offset
                     inside = (offset >= -most[at][:, None]) & (offset < WINDOW - least[at][:, None])
                     around = np.where(inside, data[np.clip(near, 0, len(data) - 1)], END).astype(np.uint8)
-                    out.append((b, rows[i:j][text[at]].tobytes(), orders[i:j][text[at]].tobytes(),
-                                (place - starts[text])[at].tobytes(), most[at].astype(np.uint8).tobytes(),
-                                least[at].astype(np.uint8).tobytes(), around.tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "rows", "orders", "places", "most", "least", "bytes"])
+                    both = np.concatenate([at, again])
+                    out.append((b, own[both].tobytes(), order[at].tobytes(), at_place[both].tobytes(),
+                                most[at].astype(np.uint8).tobytes(), least[at].astype(np.uint8).tobytes(), around.tobytes(),
+                                number[like[again]].tobytes()))
+                if known.any():
+                    out.append((int(own[known][0]) % n_buckets, own[known].tobytes(), every_bit(most, least)[known].tobytes(),
+                                at_place[known].tobytes(), b"", b"", b"", b""))
+                yield pd.DataFrame(out, columns=["bucket", "rows", "orders", "places", "most", "least", "bytes", "like"])
 
     return joined.select("row", "o", "text", "keys").mapInPandas(
-        run, "bucket long, rows binary, orders binary, places binary, most binary, least binary, bytes binary")
+        run, "bucket long, rows binary, orders binary, places binary, most binary, least binary, bytes binary, like binary")
 
 
 class Transform:
@@ -241,6 +331,8 @@ def marks(around: DataFrame) -> DataFrame:
     """(row, marks): packed (place, bits) of the seeds of a document some of whose windows go."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in whole_groups(batches, ["bucket"]):
+            done = group[group["bytes"].str.len() == 0]
+            group = group[group["bytes"].str.len() > 0]
             parts = [np.frombuffer(b, np.uint8).reshape(-1, WIDTH) for b in group["bytes"]]
             shards, waiting = [], []
             for p in parts:
@@ -249,12 +341,20 @@ def marks(around: DataFrame) -> DataFrame:
                     shards.append(np.concatenate(waiting))
                     waiting = []
             shards += [np.concatenate(waiting)] if waiting else []
-            row, order, place = (np.frombuffer(b"".join(group[c]), np.int64) for c in ("rows", "orders", "places"))
+            order = np.frombuffer(b"".join(group["orders"]), np.int64)
             most, least = (np.frombuffer(b"".join(group[c]), np.uint8) for c in ("most", "least"))
-            bits = repeated(shards, order, most, least)
+            own = repeated(shards, order, most, least) if shards else np.zeros(0, np.uint64)
+            bits, base = [np.frombuffer(b"".join(done["orders"]), np.uint64)], 0
+            for p, like in zip(parts, group["like"], strict=True):
+                bits += [own[base:base + len(p)], own[base + np.frombuffer(like, np.uint32).astype(np.int64)]]
+                base += len(p)
+            bits = np.concatenate(bits)
+            row, place = (np.frombuffer(b"".join([*done[c], *group[c]]), np.int64) for c in ("rows", "places"))
             hit = np.flatnonzero(bits)
+            if not len(hit):
+                continue
             hit = hit[np.argsort(row[hit], kind="stable")]
-            cuts = np.flatnonzero(np.diff(row[hit], prepend=row[hit[:1]] - 1)) if len(hit) else hit
+            cuts = np.flatnonzero(np.diff(row[hit], prepend=row[hit[:1]] - 1))
             yield pd.DataFrame({"row": row[hit[cuts]], "marks": [
                 place[hit[a:b]].tobytes() + bits[hit[a:b]].tobytes()
                 for a, b in zip(cuts, np.append(cuts[1:], len(hit)), strict=True)]})
@@ -264,15 +364,14 @@ def marks(around: DataFrame) -> DataFrame:
 
 def cut(raw: bytes, packed: list[bytes]) -> tuple[int, int, bytes]:
     """(bytes removed, runs removed, what stays) of one text, given the marks of its seeds."""
-    starts = np.zeros(len(raw) + 1, np.int32)
+    starts = np.zeros(len(raw) + 1, np.int8)
     if packed:
         place = np.frombuffer(b"".join(p[:len(p) // 2] for p in packed), np.int64)
         bits = np.frombuffer(b"".join(p[len(p) // 2:] for p in packed), np.uint64)
-        seed, k = np.nonzero(bits[:, None] >> np.arange(LEFT + 1, dtype=np.uint64) & np.uint64(1))
-        at = np.unique(place[seed] - k)
-        starts[at] += 1
-        starts[at + WINDOW] -= 1
-    gone = np.cumsum(starts[:-1]) > 0
+        for k in range(LEFT + 1):
+            starts[place[(bits >> np.uint64(k) & np.uint64(1)).astype(bool)] - k] = 1
+        starts[WINDOW:] -= starts[:-WINDOW].copy()
+    gone = np.cumsum(starts[:-1], dtype=np.int32) > 0
     return int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
@@ -288,11 +387,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.xxhash64("o", "text").alias("row"), "o", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(16, total // BUCKET_BYTES)
-    shared = shared_seeds(docs, n_buckets)
+    found = shared_seeds(docs, n_buckets)
+    shared = found.filter("hot < 0").select("row", "keys")
+    hot = np.array([r[0] for r in found.filter("hot >= 0").select("hot").collect()], np.uint64)     # one in HOT seeds at most
     maybe = possibly_in(docs, "row", shared, "row")
     keys = shared.select(F.col("row").alias("at"), "keys")
     joined = maybe.join(keys, F.col("row") == F.col("at"))
-    found = marks(surroundings(joined, n_buckets)).groupBy(F.col("row").alias("at")).agg(F.collect_list("marks").alias("marks"))
+    found = marks(surroundings(joined, n_buckets, hot)).groupBy(F.col("row").alias("at")).agg(F.collect_list("marks").alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

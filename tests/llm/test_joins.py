@@ -147,6 +147,23 @@ def test_suffix_dedup(spark, monkeypatch, shard):
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20, 1 << 15])
+def test_suffix_sends_a_repeated_string_once_a_chunk(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    sent, marks = [], suffix_dedup.marks
+    monkeypatch.setattr(suffix_dedup, "marks", lambda around: sent.append(around) or marks(around))
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    copy, passage = word(300), word(56)
+    rows = [(i, copy if i % 3 else word(90) + passage + word(90), "en", "a") for i in range(300)]
+    rows += [(400, "x" * 5000 + "y", "en", "a"), (401, "x" * 4000, "en", "a"), (401, word(40) + "x" * 70 + copy, "en", "a"), (402, "x" * 49, "en", "a")]
+    got = suffix_dedup.suffix_dedup(table(spark, rows)).collect()
+    have = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)
+    assert have == brute_suffix(rows)
+    load = sent[0].groupBy("bucket").agg(F.sum(F.octet_length("bytes") / suffix_dedup.WIDTH).alias("n"))
+    assert load.agg(F.max("n")).first()[0] < 500
+
+
 def test_merged_intervals_equal_sorting():
     rng = np.random.default_rng(0)
     around = [rng.integers(97, 99, (n, suffix_dedup.WIDTH)).astype(np.uint8) for n in (7, 1, 12)]
