@@ -121,6 +121,8 @@ def every_bit(most: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _split(order_by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(order_by):
+        return
     order = np.argsort(order_by, kind="stable")
     cuts = np.flatnonzero(np.diff(order_by[order], prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
@@ -136,7 +138,9 @@ def shared_seeds(docs: DataFrame, n_buckets: int) -> DataFrame:
             for i, j in chunks(texts, CHUNK_CHARS):
                 text, _, hashes, _, _ = seeds(*laid_out(texts[i:j]))
                 own = rows[i:j]
-                name = int(mixed(np.array([np.bitwise_xor.reduce(mixed(own.view(np.uint64)))]))[0] >> np.uint64(1))
+                # Places count, so that rows that occur twice do not cancel.
+                marked = mixed(own.view(np.uint64) + mixed(np.arange(1, len(own) + 1, dtype=np.uint64)))
+                name = int(mixed(np.array([np.bitwise_xor.reduce(marked)]))[0] >> np.uint64(1))
                 key = hashes & KEY
                 order = np.argsort(key, kind="stable")          # texts stay in order
                 key, text = key[order], text[order]

@@ -164,6 +164,20 @@ def test_suffix_sends_a_repeated_string_once_a_chunk(spark, monkeypatch, hot):
     assert load.agg(F.max("n")).first()[0] < 500
 
 
+def test_suffix_chunks_of_repeated_rows(spark):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(80))
+    rows = [(i // 2, f"{i // 2}{passage if i // 2 % 3 == 1 else ''}" + "xyz"[i // 2 % 3] * 20, "en", "a") for i in range(48)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = suffix_dedup.suffix_dedup(table(spark, rows).coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    have = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)
+    assert have == brute_suffix(rows)
+
+
 def test_merged_intervals_equal_sorting():
     rng = np.random.default_rng(0)
     around = [rng.integers(97, 99, (n, suffix_dedup.WIDTH)).astype(np.uint8) for n in (7, 1, 12)]
