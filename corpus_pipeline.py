@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so does a document that keeps no word."""
-    left = line_dedup.line_dedup(docs)
+    """Repeated lines of any length go; so does a document that keeps no word."""
+    left = line_dedup.line_dedup(docs, min_words=1)
     gone = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return left.filter(~F.coalesce(gone, F.lit(False))).withColumn(
         "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(

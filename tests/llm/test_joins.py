@@ -220,6 +220,13 @@ def test_pipeline_stages(spark, folder):
     assert last.filter("intact").count() == before.count()
 
 
+def test_pipeline_takes_repeats_of_short_lines(spark):
+    docs = table(spark, [(1, "top\nfirst text here", "en", "a"), (2, "top\n\nother words here", "en", "a")]).select(
+        "doc_id", "text", "lang", "source", "n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, "short").collect()}
+    assert got == {1: "top\nfirst text here", 2: "\nother words here"}
+
+
 def test_pipeline_awkward_rows(spark):
     docs = table(spark, awkward(8)).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
