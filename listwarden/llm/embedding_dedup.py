@@ -16,10 +16,13 @@ from .graph import components
 # Vectors an average filter should hold, and rows of the largest block compared at once; larger filters are tiled.
 OCCUPANCY, TILE = 64, 1024
 MIN_RECALL, TRIALS, SEED = 0.985, 400, 7
+LEAST_FILTERS, MOST_FILTERS = 4, 512    # filters that every vector is in; mean above which no code is tried
+SMALL = 50_000                          # up to so many vectors all meet where no code is good enough
 
 
 class ProductCode:
-    """Filters are all pairs of one code word per half of a rotated vector; a vector is in those above the threshold."""
+    """Filters are all pairs of one code word per half of a rotated vector; a vector is in those above the threshold, and in
+    its LEAST_FILTERS best ones in any case."""
 
     def __init__(self, dim: int, words: int, mean_filters: float):
         rng = np.random.default_rng(SEED)
@@ -40,14 +43,25 @@ class ProductCode:
         return turned[:, :self.half] @ self.books[0].T, turned[:, self.half:] @ self.books[1].T
 
     def decode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every filter a vector exceeds, by row, then filter.
+        """(row, filter) of every filter a vector exceeds, or its best ones where it exceeds few, by row, then filter.
 
         Only first halves that the best second half can lift over the threshold are looked at.
         """
         first, second = self.scores(units)
         row, word = np.nonzero(first + second.max(axis=1, keepdims=True) >= self.threshold)
         hit, other = np.nonzero(second[row] + first[row, word][:, None] >= self.threshold)
-        return row[hit], word[hit] * second.shape[1] + other
+        row, found = row[hit], word[hit] * second.shape[1] + other
+        few = np.flatnonzero(np.bincount(row, minlength=len(units)) < LEAST_FILTERS)
+        if not len(few):
+            return row, found
+        # The best sums are among the best words of both halves.
+        n = min(LEAST_FILTERS, second.shape[1])
+        a, b = (np.argsort(-x[few], axis=1, kind="stable")[:, :n] for x in (first, second))
+        sums = np.take_along_axis(first[few], a, 1)[:, :, None] + np.take_along_axis(second[few], b, 1)[:, None, :]
+        best = np.argsort(-sums.reshape(len(few), -1), axis=1, kind="stable")[:, :LEAST_FILTERS]
+        more = np.take_along_axis(a, best // n, 1) * second.shape[1] + np.take_along_axis(b, best % n, 1)
+        both = np.unique(np.stack([np.append(row, np.repeat(few, best.shape[1])), np.append(found, more)]), axis=1)
+        return both[0], both[1]
 
 
 @lru_cache(maxsize=8)
@@ -55,6 +69,7 @@ def product_code(dim: int, n_vectors: int, cosine: float) -> ProductCode:
     """The code for so many vectors, with as many filters per vector as pairs at exactly ``cosine`` need to meet.
 
     Filters grow with the input, so that one holds OCCUPANCY vectors on average; tried on random pairs.
+    Where no code reaches MIN_RECALL (few dimensions), SMALL vectors or fewer share one filter; more are an error.
     """
     rng = np.random.default_rng(SEED + 1)
     a = ProductCode.unit(rng.standard_normal((TRIALS, dim)))
@@ -66,8 +81,14 @@ def product_code(dim: int, n_vectors: int, cosine: float) -> ProductCode:
         words = int(np.ceil(np.sqrt(mean * max(n_vectors, 4 * OCCUPANCY) / OCCUPANCY)))
         code = ProductCode(dim, words, mean)
         met = [set(zip(*map(np.ndarray.tolist, code.decode(x)), strict=True)) for x in (a, b)]
-        if len({row for row, _ in met[0] & met[1]}) >= MIN_RECALL * TRIALS or dim == 1 or mean > 512:
+        if len({row for row, _ in met[0] & met[1]}) >= MIN_RECALL * TRIALS or dim == 1:
             return code
+        if mean > MOST_FILTERS and n_vectors <= SMALL:
+            code = ProductCode(dim, 1, 1)
+            code.threshold = -np.inf
+            return code
+        if mean > MOST_FILTERS:
+            raise ValueError(f"no code of {MOST_FILTERS} filters a vector reaches recall {MIN_RECALL} at cosine {cosine} in {dim} dimensions")
         mean *= 1.3
 
 

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from listwarden.llm import jaccard, suffix_dedup
+from listwarden.llm import embedding_dedup, jaccard, suffix_dedup
 from listwarden.llm.common import possibly_in
-from listwarden.llm.embedding_dedup import near_vectors
+from listwarden.llm.embedding_dedup import LEAST_FILTERS, near_vectors, product_code
 
 from .helpers import awkward, table
 
@@ -48,6 +48,23 @@ def test_near_vectors(spark, tile):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_every_vector_has_filters():
+    rng = np.random.default_rng(4)
+    code = product_code(16, 20_000, 0.9)
+    units = code.unit(rng.standard_normal((4000, 16)))
+    near = code.unit(units + 1e-4 * rng.standard_normal(units.shape))
+    (row, a), (other, b) = code.decode(units), code.decode(near)
+    assert np.bincount(row, minlength=len(units)).min() >= LEAST_FILTERS and (np.diff(row) >= 0).all()
+    met = set(zip(row.tolist(), a.tolist(), strict=True)) & set(zip(other.tolist(), b.tolist(), strict=True))
+    assert len({r for r, _ in met}) == len(units)
+
+
+def test_no_code_is_an_error(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MOST_FILTERS", 8)
+    with pytest.raises(ValueError):
+        product_code(64, 10**6, 0.71)
+
+
 def test_near_vectors_recall_on_the_table(spark, folder):
     pdf = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(3000).toPandas()
     x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
