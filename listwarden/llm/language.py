@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -154,6 +155,9 @@ class Model:
     def __init__(self, model_path: str, langs: list[str], chances: np.ndarray):
         self.model_path, self.langs, self.chances = model_path, langs, chances
 
+    def digest(self) -> str:
+        return hashlib.sha256(repr((self.model_path, self.langs)).encode() + self.chances.tobytes()).hexdigest()
+
 
 def _words(text: Column) -> Column:
     return F.explode(F.split(text, r"\s+"))
@@ -233,16 +237,17 @@ def predict(docs: DataFrame, model: Model, key: str, text_col: str = "text") ->
     """Every row of ``docs`` with lang_pred and score (chance of that language among the learned ones, 0 to 1).
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Only the text decides; repeated
-    rows and further columns stay, columns called lang_pred or score are replaced. No shuffle. ``key`` tells models of
-    one application apart.
+    rows and further columns stay, columns called lang_pred or score are replaced. No shuffle. ``key`` and the
+    model's digest tell models of one application apart.
     """
     rest = docs.drop("lang_pred", "score")
     at = rest.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    digest = model.digest()
     shared = docs.sparkSession.sparkContext.broadcast((model.model_path, model.langs, model.chances))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = kept(("scorer", key), lambda: Scorer(Model(*shared.value)))
+        own = kept(("scorer", key, digest), lambda: Scorer(Model(*shared.value)))
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in chunks(texts, CHUNK_CHARS):

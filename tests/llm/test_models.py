@@ -110,6 +110,14 @@ def test_language_awkward_rows(spark):
     assert language.predict(df.limit(0), model, "awkward").count() == 0
 
 
+def test_models_of_one_key_are_told_apart(spark):
+    df = table(spark, awkward()).coalesce(1)
+    nothing, model = language.fit(df.limit(0), PIECES), language.fit(df, PIECES)
+    for m in (nothing, model, nothing):
+        found = {r.lang_pred for r in language.predict(df, m, "one key").collect()}
+        assert (found == {"und"}) == (m is nothing)
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
