@@ -19,9 +19,11 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no learned language (no text or no letter) go; an unlabelled one gets the language found."""
+    """Documents without a letter go; an unlabelled one gets the language found, if any was learned."""
     ship_package(spark)
     model = language.fit(docs.filter(~language.held_out()), PIECES)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))       # what language.LETTER finds
     found = language.predict(docs, model, f"pipeline {sf_dir}").filter("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

@@ -244,6 +244,13 @@ def test_pipeline_takes_repeats_of_short_lines(spark):
     assert got == {1: "top\nfirst text here", 2: "\nother words here"}
 
 
+def test_pipeline_without_labels_keeps_documents(spark):
+    docs = table(spark, [(1, "some words", None, "a"), (2, "été", None, "a"), (3, " 12 _", None, "a"), (4, None, None, "a")]).select(
+        "doc_id", "text", "lang", "source", "n_chars")
+    got = corpus_pipeline.language_id(spark, docs, "no labels").collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(1, None), (2, None)]
+
+
 def test_pipeline_awkward_rows(spark):
     docs = table(spark, awkward(8)).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
