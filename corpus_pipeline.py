@@ -38,15 +38,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies one document stays: that with the smallest id, a null id last."""
     ship_package(spark)
-    found = jaccard.jaccard_components(docs, NEAR_PERCENT, NEAR_WORDS)
-    copies = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stored(copies.select(F.col("row").alias("_pipeline_gone")).distinct())
+    found = jaccard.jaccard_components(docs, NEAR_PERCENT, NEAR_WORDS, keep_row=True).filter("n_shingles > 0")
+    found = found.groupBy(F.col("row").alias("_pipeline_gone")).agg(
+        F.first(F.col("row") != F.col("keep_row")).alias("_pipeline_copy"), F.count(F.lit(1)).alias("n"))
+    gone = stored(found.filter("_pipeline_copy or n > 1").drop("n"))
     keyed = docs.withColumn("_pipeline_row", row_key("doc_id", "text"))
     maybe = possibly_in(keyed, "_pipeline_row", gone, "_pipeline_gone").join(
         gone, F.col("_pipeline_row") == F.col("_pipeline_gone"), "left_anti")
-    return maybe.union(possibly_in(keyed, "_pipeline_row", gone, "_pipeline_gone", inside=False)).select(*docs.columns)
+    left = maybe.union(possibly_in(keyed, "_pipeline_row", gone, "_pipeline_gone", inside=False))
+    again = gone.filter("not _pipeline_copy")
+    if not again.isEmpty():                     # rows equal in id and text: one of them
+        left = left.union(possibly_in(keyed, "_pipeline_row", again, "_pipeline_gone").join(
+            again, F.col("_pipeline_row") == F.col("_pipeline_gone")).select(*left.columns).dropDuplicates(["_pipeline_row"]))
+    return left.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

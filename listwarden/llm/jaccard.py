@@ -259,9 +259,10 @@ def _open_members(member: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
+                       text_col: str = "text", keep_row: bool = False) -> DataFrame:
     """row, doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row; row is a hash of id and
-    text by which a row can be found again (``row_key``).
+    text by which a row can be found again (``row_key``). With ``keep_row`` also that hash of one row per component: the
+    smallest id, null last, then the smallest hash.
 
     Two rows link when 100 * intersection >= percent * union of their sets of shingles. Sets of texts without words are
     empty and link with nothing. Equal sets are one class and always link; rows that repeat an id are rows of their
@@ -271,7 +272,8 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     docs = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"),
                        F.col(text_col).alias("text"))
     rows = stored(sketches(docs, frequent(docs, width), width, percent))
-    classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")] if keep_row else []
+    classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), *first)
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
     reps = stored(rows.select(F.col("row").alias("at"), "prefix", "counts").join(classes, F.col("at") == F.col("row")).select(
         "rep", "row", "n", "prefix", "counts").dropDuplicates(["rep"]))
@@ -339,8 +341,10 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     groups = components(links)
     named = stored(classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    out = stored(named.join(lows, "component").select("n", "x", "y", "component_id"))
+    best = [F.min("best").getField("row").alias("keep_row")] if keep_row else []
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"), *best)
+    kept = [F.coalesce("keep_row", "row").alias("keep_row")] if keep_row else []
+    out = stored(named.join(lows, "component").select("n", "x", "y", "component_id", *(["keep_row"] if keep_row else [])))
     return rows.select("row", "doc_id", "n", "x", "y").join(out, ["n", "x", "y"], "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *kept)

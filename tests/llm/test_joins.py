@@ -251,6 +251,15 @@ def test_pipeline_without_labels_keeps_documents(spark):
     assert sorted((r.doc_id, r.lang) for r in got) == [(1, None), (2, None)]
 
 
+def test_pipeline_keeps_one_of_each_group(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    docs = table(spark, [(None, one, "en", "a"), (None, one + " z", "en", "a"), (5, two, "en", "a"), (5, two, "en", "a"),
+                         (5, two + " z", "en", "a"), (None, two, "en", "a"), (5, three, "en", "a"), (9, None, "en", "a")]).select(
+        "doc_id", "text", "lang", "source", "n_chars")
+    got = [(r.doc_id, (r.text or " ")[0]) for r in corpus_pipeline.near_dedup(spark, docs, "groups").collect()]
+    assert Counter(got) == Counter([(None, "a"), (5, "b"), (5, "c"), (9, " ")])
+
+
 def test_pipeline_awkward_rows(spark):
     docs = table(spark, awkward(8)).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
