@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, jaccard, language, line_dedup, mixing, pii, sharding, suffix_dedup
-from .common import documents, stored
-
-PIECES, RANKS = (public_tokenizers.path(n) for n in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
+from . import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    jaccard,
+    language,
+    lexical_search,
+    line_dedup,
+    mixing,
+    periodic_runs,
+    pii,
+    sharding,
+    suffix_dedup,
+    token_files,
+)
+from .common import SPACE, documents, shared_folder, stored
+
+PIECES, RANKS, WORDS = (public_tokenizers.path(n) for n in (
+    "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"))
 
 
 def op1_language(spark: SparkSession, folder: str, model_path: str = PIECES) -> DataFrame:
@@ -64,7 +81,42 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_token_files(spark: SparkSession, folder: str, tokenizer_path: str = WORDS) -> DataFrame:
+    """Write the ids of all documents and read them back; the tokenizer drops white space and joins nothing across it."""
+    place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    token_files.write(documents(spark, folder), place, tokenizer_path, end_id=1, words_apart=True)
+    return token_files.read(spark, place).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents whose text the contract makes periodic from a word on, for one id hash in ten."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size(words)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    made = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(
+        words, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")))
+    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted(documents(spark, folder).select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"), F.floor(-1000 * F.col("best.l") / F.col("best.p")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_embedding_dedup, op3_pii, op4_exact_dedup, op5_jaccard_join, op6_suffix_dedup, op7_line_dedup,
-    op8_byte_bpe, op9_mixing, op10_sharding)}
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    op8_byte_bpe, op9_mixing, op10_sharding, op11_token_files, op12_lexical_search, op13_periodic_runs)}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE,
+           "op12_lexical_search": lexical_search.ORACLE}
