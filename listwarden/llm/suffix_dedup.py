@@ -6,7 +6,9 @@ The text around every other seed goes to the seed's bucket, lined up at the seed
 has its own transform: the symbol before each suffix, in the order of suffixes, for one place after the other from the
 right end of the windows to the left. Shards are merged by refining their interleave: symbols are read from the
 shards' transforms in the current interleave, which is then split stably by symbol. No suffix is compared or sorted
-again; common prefixes of neighbours follow from range minima of the step before. Once 50 symbols have been taken up,
+again; common prefixes of neighbours follow from range minima of the step before. (A departure from transforms of whole
+shards: those would have to meet in one task. Seeds, not the transform, bring together what may be equal, and each
+bucket's transforms are merged by themselves.) Once 50 symbols have been taken up,
 stretches of neighbours with a common prefix of 50 or more are the repeated windows.
 
 However often a string occurs, a chunk of texts sends it once: equal surroundings in a chunk are one entry with their
@@ -32,6 +34,7 @@ WINDOW, GRAM = 50, 16
 LEFT = WINDOW - GRAM                    # a seed is at most this far from its window's start
 WIDTH = LEFT + WINDOW                   # bytes around a seed that its windows may need
 BUCKET_BYTES, CHUNK_CHARS, SHARD = 4 << 20, 3_000_000, 20_000
+PART_BYTES, WAITING_BYTES = 64 << 10, 64 << 20  # marks sent to a part at once, and kept in a task before they are sent
 HOT = 1 << 15                           # a seed with more occurrences is split by windows
 SEEDS, MORE, KNOWN, ROWS, SPLIT = range(5)      # kinds of rows in the exchange of seeds
 FACTOR = 0x9E3779B97F4A7C15
@@ -332,19 +335,32 @@ def repeated(around: list[np.ndarray], orders: np.ndarray, most: np.ndarray, lea
 
 
 def marks(around: DataFrame) -> DataFrame:
-    """(row, marks): packed (place, bits) of the seeds of a document some of whose windows go."""
+    """(row, marks), one row per document some of whose windows go: packed (place, bits) of their seeds.
+
+    A task keeps the marks of all its buckets apart by parts of the documents, as many as a shuffle has, and sends a part once PART_BYTES
+    have come together, so rows follow the bytes of marks and not the number of buckets a document is in.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
+
+        def flush(parts: list[int]) -> pd.DataFrame:
+            packed = [np.concatenate(waiting.pop(p), axis=1) for p in parts]
+            for p in parts:
+                del size[p]
+            return pd.DataFrame({"part": parts, "marks": [x.tobytes() for x in packed]})
+
         for group in whole_groups(batches, ["bucket"]):
             done = group[group["bytes"].str.len() == 0]
             group = group[group["bytes"].str.len() > 0]
             parts = [np.frombuffer(b, np.uint8).reshape(-1, WIDTH) for b in group["bytes"]]
-            shards, waiting = [], []
+            shards, waits = [], []
             for p in parts:
-                waiting.append(p)
-                if sum(map(len, waiting)) >= SHARD:
-                    shards.append(np.concatenate(waiting))
-                    waiting = []
-            shards += [np.concatenate(waiting)] if waiting else []
+                waits.append(p)
+                if sum(map(len, waits)) >= SHARD:
+                    shards.append(np.concatenate(waits))
+                    waits = []
+            shards += [np.concatenate(waits)] if waits else []
             order = np.frombuffer(b"".join(group["orders"]), np.int64)
             most, least = (np.frombuffer(b"".join(group[c]), np.uint8) for c in ("most", "least"))
             own = repeated(shards, order, most, least) if shards else np.zeros(0, np.uint64)
@@ -355,15 +371,30 @@ def marks(around: DataFrame) -> DataFrame:
             bits = np.concatenate(bits)
             row, place = (np.frombuffer(b"".join([*done[c], *group[c]]), np.int64) for c in ("rows", "places"))
             hit = np.flatnonzero(bits)
-            if not len(hit):
-                continue
-            hit = hit[np.argsort(row[hit], kind="stable")]
-            cuts = np.flatnonzero(np.diff(row[hit], prepend=row[hit[:1]] - 1))
-            yield pd.DataFrame({"row": row[hit[cuts]], "marks": [
-                place[hit[a:b]].tobytes() + bits[hit[a:b]].tobytes()
-                for a, b in zip(cuts, np.append(cuts[1:], len(hit)), strict=True)]})
-
-    return around.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "row long, marks binary")
+            found = np.stack([row[hit], place[hit], bits[hit].view(np.int64)])
+            for part, at in _split(bucket_of(row[hit].view(np.uint64), n_parts)):
+                waiting.setdefault(part, []).append(found[:, at])
+                size[part] = size.get(part, 0) + 24 * len(at)
+            full = [p for p, n in size.items() if n >= PART_BYTES]
+            if sum(size.values()) >= WAITING_BYTES:
+                full = list(size)
+            if full:
+                yield flush(full)
+        if size:
+            yield flush(list(size))
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in whole_groups(batches, ["part"]):
+            row, place, bits = np.concatenate([np.frombuffer(m, np.int64).reshape(3, -1) for m in group["marks"]], axis=1)
+            order = np.argsort(row, kind="stable")
+            row, place, bits = row[order], place[order], bits[order]
+            cuts = np.flatnonzero(np.diff(row, prepend=row[:1] - 1))
+            yield pd.DataFrame({"row": row[cuts], "marks": [
+                place[a:b].tobytes() + bits[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(row)), strict=True)]})
+
+    n_parts = int(around.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = around.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "part long, marks binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInPandas(unpack, "row long, marks binary")
 
 
 def cut(raw: bytes, packed: list[bytes]) -> tuple[int, int, bytes]:
@@ -397,7 +428,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maybe = possibly_in(docs, "row", shared, "row")
     keys = shared.select(F.col("row").alias("at"), "keys")
     joined = maybe.join(keys, F.col("row") == F.col("at"))
-    found = marks(surroundings(joined, n_buckets, hot)).groupBy(F.col("row").alias("at")).agg(F.collect_list("marks").alias("marks"))
+    found = marks(surroundings(joined, n_buckets, hot)).select(F.col("row").alias("at"), F.array("marks").alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
