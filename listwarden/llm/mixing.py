@@ -11,7 +11,8 @@ from .common import n_words, stored
 WEIGHTS = (5, 2, 1)     # fixed by the contract: sources by code point, null last, repeating
 SHARE = 1.5             # budget as a multiple of all words
 PASSES = 2              # a document is taken this many times at most
-CELL_ROWS, MIN_CELLS, MAX_CELLS = 20_000, 64, 16_384
+CELL_ROWS, MAX_CELLS = 20_000, 16_384
+EPSILON = 1e-6          # words; sums of targets are whole up to rounding
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
@@ -38,29 +39,33 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, pa
 
 
 def mix(rows: DataFrame, passes: int = PASSES, seed: int = 7, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Every row of (doc_id, source, size, ...) with source_size, target and taken.
+    """Every row of (doc_id, source, size, ...) with source_size, target, taken and finish.
 
     Each source's rows are shuffled by a seeded hash and queued ``passes`` times. A copy's virtual finish time is the
-    words queued up to its end divided by the source's target; all copies are ordered by it and the queue is cut when
-    the budget is used up, inside the last copy if need be. Rows without words take nothing, null sources form a
-    source of their own, repeated rows are separate copies, an empty table gives no rows. Reruns agree. Further
-    columns pass through; those called source_size, target, taken or starting with ``_mix_`` are replaced.
-
-    No source and no stretch of the queue is one task: prefix sums run within hash cells of a source, the order of the
-    queue comes from range slices of the finish time, whose totals (MAX_CELLS per source, some MAX_CELLS for the
-    queue) are added up apart. Only the slice in which the budget ends is ordered copy by copy.
+    words queued up to its end divided by the source's target, so every source has used up its target at time 1; as the
+    targets add up to the budget, the queue of all copies in order of time is cut there. Copies that finish by then are
+    taken, the one of each source that is under way is taken in part, to its source's last word: a source takes its
+    target to one word (targets are rounded along the sources so that the sum is the budget), however long its next
+    document. ``finish`` is the time of the first copy, infinite where the target is 0; ``in_order`` sorts by it.
+
+    Rows without words take nothing, null sources form a source of their own, repeated rows are separate copies, very
+    long texts are cut like others, an empty table gives no rows. Reruns agree. Further columns pass through; those
+    called source_size, target, taken, finish or starting with ``_mix_`` are replaced.
+
+    No source is one task: prefix sums run within hash cells of a source, whose totals (MAX_CELLS per source at most)
+    are added up apart.
     """
-    rows = rows.drop("source_size", "target", "taken", *[c for c in rows.columns if c.startswith("_mix_")])
+    rows = rows.drop("source_size", "target", "taken", "finish", *[c for c in rows.columns if c.startswith("_mix_")])
     names = [f"`{c}`" for c in rows.columns]
     base = rows.withColumn("_mix_h", F.xxhash64(F.lit(seed), *names))
     sources = stored(base.groupBy("source").agg(
         F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count(F.lit(1)).alias("n")))
-    n_all = sources.agg(F.sum("n")).first()[0] or 0
-    quota = targets(sources.select("source", "source_size")).withColumnRenamed("source", "_mix_q")
+    quota = targets(sources.select("source", "source_size"), passes=passes).withColumnRenamed("source", "_mix_q")
+    so_far = F.sum("target").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     quota = stored(quota.join(sources.select("source", "n"), F.col("_mix_q").eqNullSafe(F.col("source"))).select(
         "_mix_q", "source_size", "target", F.col("rank").alias("_mix_rank"),
+        (F.floor(so_far + EPSILON) - F.floor(so_far - F.col("target") + EPSILON)).alias("_mix_words"),
         F.least(F.greatest(F.ceil(F.col("n") / cell_rows), F.lit(1)), F.lit(MAX_CELLS)).alias("_mix_cells")))
-    budget = float(quota.agg(F.sum("target")).first()[0] or 0.0)
     # Shuffled order within a source: the hash as a fraction picks the cell, then decides inside it.
     cell = F.floor((F.col("_mix_h").cast("double") / F.lit(2.0 ** 64) + 0.5) * F.col("_mix_cells")).cast("int")
     inside = Window.partitionBy("_mix_rank", "_mix_cell").orderBy("_mix_h", *names)
@@ -69,34 +74,28 @@ def mix(rows: DataFrame, passes: int = PASSES, seed: int = 7, cell_rows: int = C
     ahead = Window.partitionBy("_mix_rank").orderBy("_mix_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = queued.groupBy("_mix_rank", "_mix_cell").agg(F.sum("size").alias("w")).select(
         "_mix_rank", "_mix_cell", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("_mix_start"))
-    queued = queued.join(starts, ["_mix_rank", "_mix_cell"])
-    n_slices = int(min(max(MIN_CELLS, n_all * passes // cell_rows), MAX_CELLS))
-
-    def finish(i) -> Column:
-        return (i * F.col("source_size") + F.col("_mix_start") + F.col("_mix_upto")) / F.col("target")
-
-    copies = queued.filter("size > 0").select(
-        "size", "_mix_rank", F.explode(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), finish)).alias("at"))
-    copies = copies.withColumn("slice", F.floor(
-        F.when(F.col("at") <= 1, F.col("at")).otherwise(1 + F.log(F.col("at"))) * n_slices).cast("int"))
-    along = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    ends = copies.groupBy("slice").agg(F.sum("size").alias("w")).withColumn("upto", F.sum("w").over(along))
-    edge = ends.filter(F.col("upto") > F.lit(budget)).orderBy("slice").first()
-    taken = F.col("size") * passes
-    if edge is not None:
-        queue = Window.orderBy("at", "_mix_rank").rowsBetween(Window.unboundedPreceding, 0)
-        cut = copies.filter(F.col("slice") == edge["slice"]).withColumn(
-            "upto", F.sum("size").over(queue) + F.lit(edge["upto"] - edge["w"])).filter(
-            F.col("upto") > F.lit(budget)).orderBy("at", "_mix_rank").first()
-        last = F.struct(F.lit(cut["at"]).alias("at"), F.lit(cut["_mix_rank"]).alias("rank"))
-        part = F.lit(int(budget - (cut["upto"] - cut["size"])))
-
-        def got(i: int) -> Column:
-            key = F.struct(finish(F.lit(i)).alias("at"), F.col("_mix_rank").alias("rank"))
-            return F.when(F.col("size") == 0, 0).when(key < last, F.col("size")).when(key == last, part).otherwise(0)
-
-        taken = sum((got(i) for i in range(1, passes)), got(0))
-    return queued.select(*names, "source_size", "target", taken.cast("long").alias("taken"))
+    queued = queued.join(starts, ["_mix_rank", "_mix_cell"]).withColumn(
+        "_mix_end", F.col("_mix_start") + F.col("_mix_upto"))
+
+    def got(i: int) -> Column:
+        """Words of copy i before time 1: all, those up to the source's last word, or none."""
+        left = F.col("_mix_words") - (F.lit(i) * F.col("source_size") + F.col("_mix_end") - F.col("size"))
+        return F.greatest(F.least(left, F.col("size")), F.lit(0))
+
+    return queued.select(
+        *names, "source_size", "target", sum((got(i) for i in range(1, passes)), got(0)).cast("long").alias("taken"),
+        F.when(F.col("target") > 0, F.col("_mix_end") / F.col("target")).otherwise(F.lit(float("inf"))).alias("finish"))
+
+
+def in_order(mixed: DataFrame, n_slices: int, passes: int = PASSES) -> DataFrame:
+    """The mix as it is read in training: every copy taken (column ``copy``, from 0; ``words`` of it) with its own
+    ``finish`` time, range-sorted by it. Store ``mixed`` first; its rows are read twice."""
+    i = F.col("copy")
+    copies = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    copies = copies.withColumn("words", F.least(F.greatest(F.col("taken") - i * F.col("size"), F.lit(0)), F.col("size")))
+    return copies.filter("words > 0").withColumn(
+        "finish", F.col("finish") + i * F.col("source_size") / F.col("target")).repartitionByRange(
+        n_slices, "finish").sortWithinPartitions("finish")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
