@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ FIT_ROWS, ROUNDS, PRIOR = 4000, 4, 0.05
 CACHE_WORDS, CHUNK_CHARS, LOOKUP_WORDS = 300_000, 2_000_000, 20_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TINY = 1e-120
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 MARK = "▁"     # stands for the space before a word in the vocabulary
 
 

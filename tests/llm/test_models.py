@@ -105,6 +105,8 @@ def test_language_awkward_rows(spark):
     for r in rows:
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
+    numbers = table(spark, [(1, "½ ²", "en", "a"), (2, "①② Ⅷ 12", None, "a"), (3, "_ ^ 5", "de", "b")])
+    assert {(r.lang_pred, r.score) for r in language.predict(numbers, model, "numbers").collect()} == {("und", 0.0)}
     nothing = language.fit(df.limit(0), PIECES)
     assert {r.lang_pred for r in language.predict(df, nothing, "nothing").collect()} == {"und"}
     assert language.predict(df.limit(0), model, "awkward").count() == 0
