@@ -16,6 +16,7 @@ is filled up with its last id. An id is found by shard start, segment and block
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,11 @@ BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFB1"
 CUT = -(-BLOCK * PERCENTILE // 100) - 1             # in sorted order, the value whose width a block takes
 HEAD, INDEX = 6, 16                                 # bytes before a block's values, and before the block starts
 SHARD_BYTES, SEGMENT_IDS = 64 << 20, 1 << 16        # text of a shard on average; ids after which a segment ends
-CHUNK_CHARS, CACHE_WORDS, WORD_CHARS = 500_000, 400_000, 64
+CHUNK_CHARS, CACHE_WORDS, WORD_BYTES = 500_000, 600_000, 64
+BETWEEN, JOINED = "|", 2000                         # what is put between words encoded together, and how many words
+LOWER = bytes(range(256)).lower()                   # A-Z alone
+UPPER_AND_REST = "".join(map(chr, range(32, 127)))
+STEM = re.compile(rb"([a-z]+)([^a-z0-9'\x80-\xff]+)")
 
 
 def _at(starts: np.ndarray, n: int) -> np.ndarray:
@@ -104,39 +109,73 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # one thread per task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words_apart = Tokenizer.from_file(path), words_apart
-        self.tokenizer.encode_special_tokens = True         # their strings in a text are ordinary text
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str]:
-        # Python counts four separators as space that tokenizers do not.
-        return text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        def load() -> Tokenizer:
+            own = Tokenizer.from_file(path)
+            own.encode_special_tokens = True                # their strings in a text are ordinary text
+            own.no_padding()
+            own.no_truncation()
+            return own
+
+        self.tokenizer, self.words_apart, self.cache = load(), words_apart, {}
+        if words_apart:
+            normal = self.tokenizer.normalizer
+            if normal is None or normal.normalize_str(UPPER_AND_REST) != UPPER_AND_REST.lower():
+                raise ValueError("the tokenizer keeps capitals: encode whole texts")
+            self.plain = load()
+            self.plain.normalizer = None                    # for ASCII words in lower case, which it would not change
+            [self.mark] = self.ids_of(self.plain, [BETWEEN])[0]
+
+    @staticmethod
+    def ids_of(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def side_by_side(self, words: list[str], tokenizer) -> Iterator[bytes]:
+        """Ids of words, encoded as one text with a word of a single id in between."""
+        for a in range(0, len(words), JOINED):
+            part = words[a:a + JOINED]
+            [ids] = self.ids_of(tokenizer, [f" {BETWEEN} ".join([*part, ""])])
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer joins words: encode whole texts")
+            raw, start = ids.tobytes(), 0
+            for end in (4 * ends).tolist():
+                yield raw[start:end]
+                start = end + 4
+
+    def learn(self, fresh: set[bytes]) -> set[bytes]:
+        """Put words into the cache; a word of letters with signs behind them is made of the two. Returns what is new."""
+        found = {w: m for w in fresh if (m := STEM.fullmatch(w))}
+        parts = {p for m in found.values() for p in m.groups()}
+        need = (fresh.difference(found) | parts).difference(self.cache)
+        sign = BETWEEN.encode()
+        marked = [w for w in need if sign in w]
+        for words, tokenizer in (([w for w in need if sign not in w and w.isascii()], self.plain),
+                                 ([w for w in need if sign not in w and not w.isascii()], self.tokenizer)):
+            self.cache.update(zip(words, self.side_by_side([w.decode() for w in words], tokenizer), strict=True))
+        self.cache.update(zip(marked, (i.tobytes() for i in self.ids_of(self.tokenizer, [w.decode() for w in marked])), strict=True))
+        for word, m in found.items():
+            self.cache[word] = self.cache[m[1]] + self.cache[m[2]]
+        return need | fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         if not self.words_apart:
-            return self.whole(texts)
+            return [i.tobytes() for i in self.ids_of(self.tokenizer, texts)]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        split = [self.words(t) for t in texts]
-        fresh = list(set().union(*split).difference(self.cache))
-        made = dict(zip(fresh, self.whole(fresh), strict=True)) if fresh else {}
-        self.cache |= made
+        # Split at ASCII white space alone; other white space stays inside what is encoded together.
+        split = [t.encode().translate(LOWER).split() for t in texts]
+        new = self.learn(set().union(*split).difference(self.cache))
         out = [b"".join(map(self.cache.__getitem__, words)) for words in split]
-        for word in made:
-            if len(word) > WORD_CHARS:
+        for word in new:
+            if len(word) > WORD_BYTES:
                 del self.cache[word]
         return out
 
     def encode_long(self, text: str) -> bytes:
         """The same for one text whose words are better not held at once: pieces of it that end at spaces."""
         if not self.words_apart:
-            return self.whole([text])[0]
+            return self.encode([text])[0]
         out, start = [], 0
         while start < len(text):
             end = text.find(" ", start + CHUNK_CHARS)
@@ -154,8 +193,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
     Null and empty texts have no ids but ``end_id``, which follows every document. Null ids come first; rows of one id
     are ordered by a hash of their text, and equal rows, which are alike, by the task that read them, so that no id and
     no group of copies is one shard. Very long texts make segments of their own. Further columns are ignored whatever
-    their names; no rows give two empty tables. ``words_apart`` says that the tokenizer drops white space and never
-    joins what it separates, so that words can be encoded one by one and kept. Texts are read twice before, for their
+    their names; no rows give two empty tables. ``words_apart`` says that the tokenizer lower-cases,
+    drops white space, never joins what it separates and parts letters from signs, so that words can be encoded one by
+    one and kept. Texts are read twice before, for their
     size and for the range bounds, and shuffled once, to the shard that writes them.
     """
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
