@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,7 @@ def find_runs(texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np
     symbols = np.full(ends[-1], 0xFFFFFFFF, np.int64)       # the end of a text
     inside = np.ones(ends[-1], bool)
     inside[ends - 1] = False
-    symbols[inside] = np.fromiter((number[w] for words in texts for w in words), np.int64, int(sizes.sum()))
+    symbols[inside] = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
     levels = suffix_classes(owner << 32 | symbols, max(2, longest // 2))
     # Only suffixes whose first two words occur again can be asked for.
     array = np.argsort(levels[-1], kind="stable")

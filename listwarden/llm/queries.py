@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
@@ -95,13 +95,19 @@ def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 def planted(docs: DataFrame) -> DataFrame:
     """Documents whose text the contract makes periodic from a word on, for one id hash in ten."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = F.filter(F.split("text", SPACE), lambda w: w != "")
-    g, n = F.floor(h / 10), F.size(words)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    made = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(
-        words, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")))
-    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col("text")))
+    g = F.floor(h / 10)
+
+    def made(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")
+
+    # Bound as a variable of a lambda, the words are made once.
+    words = F.array(F.filter(F.split("text", SPACE), lambda w: w != ""))
+    text = F.element_at(F.transform(words, lambda w: F.when(F.size(w) > 0, made(w))), 1)
+    return docs.withColumn("text", F.when(h % 10 == 0, F.coalesce(text, F.col("text"))).otherwise(F.col("text")))
 
 
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:

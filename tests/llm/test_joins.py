@@ -65,9 +65,12 @@ def test_no_code_is_an_error(monkeypatch):
         product_code(64, 10**6, 0.71)
 
 
-def test_near_vectors_recall_on_the_table(spark, folder):
-    pdf = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(3000).toPandas()
-    x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+def test_near_vectors_recall(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((300, 64))
+    x = np.repeat(centres, 10, axis=0) + rng.standard_normal((3000, 64)) * 0.3
+    x = x.astype(np.float32).astype(np.float64)
+    pdf = pd.DataFrame({"vec_id": np.arange(3000), "embedding": list(x)})
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = (x @ x.T >= 0.9).sum() - len(x)
     got = near_vectors(spark.createDataFrame(pdf)).agg(F.sum("n_links")).first()[0]
