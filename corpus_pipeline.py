@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = language.fit(docs.filter(~language.held_out()), PIECES)
     if not model.langs:
-        return docs.filter(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))       # what language.LETTER finds
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language.predict(docs, model, f"pipeline {sf_dir}").filter("lang_pred <> 'und'")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
