@@ -32,7 +32,7 @@ BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFB1"
 CUT = -(-BLOCK * PERCENTILE // 100) - 1             # in sorted order, the value whose width a block takes
 HEAD, INDEX = 6, 16                                 # bytes before a block's values, and before the block starts
 SHARD_BYTES, SEGMENT_IDS = 64 << 20, 1 << 16        # text of a shard on average; ids after which a segment ends
-CHUNK_CHARS, CACHE_WORDS, WORD_BYTES = 500_000, 600_000, 64
+CHUNK_CHARS, CACHE_WORDS, WORD_BYTES = 500_000, 500_000, 64
 BETWEEN, JOINED = "|", 2000                         # what is put between words encoded together, and how many words
 LOWER = bytes(range(256)).lower()                   # A-Z alone
 UPPER_AND_REST = "".join(map(chr, range(32, 127)))
@@ -109,31 +109,24 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # one thread per task
         from tokenizers import Tokenizer
 
-        def load() -> Tokenizer:
-            own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True                # their strings in a text are ordinary text
-            own.no_padding()
-            own.no_truncation()
-            return own
-
-        self.tokenizer, self.words_apart, self.cache = load(), words_apart, {}
+        self.tokenizer, self.words_apart, self.cache = Tokenizer.from_file(path), words_apart, {}
+        self.tokenizer.encode_special_tokens = True         # their strings in a text are ordinary text
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
         if words_apart:
-            normal = self.tokenizer.normalizer
-            if normal is None or normal.normalize_str(UPPER_AND_REST) != UPPER_AND_REST.lower():
+            self.normal = self.tokenizer.normalizer
+            if self.normal is None or self.normal.normalize_str(UPPER_AND_REST) != UPPER_AND_REST.lower():
                 raise ValueError("the tokenizer keeps capitals: encode whole texts")
-            self.plain = load()
-            self.plain.normalizer = None                    # for ASCII words in lower case, which it would not change
-            [self.mark] = self.ids_of(self.plain, [BETWEEN])[0]
+            [self.mark] = self.ids_of([BETWEEN])[0]
 
-    @staticmethod
-    def ids_of(tokenizer, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def side_by_side(self, words: list[str], tokenizer) -> Iterator[bytes]:
+    def side_by_side(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words, encoded as one text with a word of a single id in between."""
         for a in range(0, len(words), JOINED):
             part = words[a:a + JOINED]
-            [ids] = self.ids_of(tokenizer, [f" {BETWEEN} ".join([*part, ""])])
+            [ids] = self.ids_of([f" {BETWEEN} ".join([*part, ""])])
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part):
                 raise ValueError("the tokenizer joins words: encode whole texts")
@@ -146,13 +139,14 @@ class Encoder:
         """Put words into the cache; a word of letters with signs behind them is made of the two. Returns what is new."""
         found = {w: m for w in fresh if (m := STEM.fullmatch(w))}
         parts = {p for m in found.values() for p in m.groups()}
-        need = (fresh.difference(found) | parts).difference(self.cache)
-        sign = BETWEEN.encode()
+        need, sign = (fresh.difference(found) | parts).difference(self.cache), BETWEEN.encode()
         marked = [w for w in need if sign in w]
-        for words, tokenizer in (([w for w in need if sign not in w and w.isascii()], self.plain),
-                                 ([w for w in need if sign not in w and not w.isascii()], self.tokenizer)):
-            self.cache.update(zip(words, self.side_by_side([w.decode() for w in words], tokenizer), strict=True))
-        self.cache.update(zip(marked, (i.tobytes() for i in self.ids_of(self.tokenizer, [w.decode() for w in marked])), strict=True))
+        # ASCII words in lower case are what the tokenizer would make of them before it splits them.
+        for plain in (True, False):
+            words = [w for w in need if sign not in w and w.isascii() == plain]
+            self.tokenizer.normalizer = None if plain else self.normal
+            self.cache.update(zip(words, self.side_by_side([w.decode() for w in words]), strict=True))
+        self.cache.update(zip(marked, (i.tobytes() for i in self.ids_of([w.decode() for w in marked])), strict=True))
         for word, m in found.items():
             self.cache[word] = self.cache[m[1]] + self.cache[m[2]]
         return need | fresh
@@ -160,7 +154,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         if not self.words_apart:
-            return [i.tobytes() for i in self.ids_of(self.tokenizer, texts)]
+            return [i.tobytes() for i in self.ids_of(texts)]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         # Split at ASCII white space alone; other white space stays inside what is encoded together.
