@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from listwarden import bridge
 from listwarden.functions.hashing import seeded_hash
-from listwarden.operators import catalog, ordering, sampling, scenarios, split
+from listwarden.operators import agreement, catalog, ordering, sampling, scenarios, split
 from listwarden.operators import profile as P
 from listwarden.operators.prototypes import prototype_offsets
 from listwarden.plans.evaluate import identity_matches
@@ -41,8 +41,7 @@ def _(spark, folder):
 select photo_id from items join split using (photo_id) where subset = 'test' group by 1""")
 def _(spark, folder):
     w = World(spark, folder)
-    test = w.split.filter(F.col("subset") == "test")
-    return w.items.select("photo_id").distinct().join(test, "photo_id", "left_semi")
+    return split.subset_photos(w.items, w.split, "test")
 
 
 UNTRAINED = """
@@ -71,14 +70,14 @@ def _(spark, folder):
     return split.unseen_classes(w.items, w.split, w.held_out)
 
 
-@query("u02_label_difference", f"select class_id from ({UNTRAINED.format(split=SMALL_SPLIT)}) order by 1")
+@query("u02_label_difference", f"""
+select label as class_id from items i join {SMALL_SPLIT} s using (photo_id) where label <> 107
+ and label not in (select p_partkey % 4 from part) group by 1 having not bool_or(subset = 'train')""")
 def _(spark, folder):
+    """With a class table of its own as what is held out."""
     w = World(spark, folder)
-    labelled = w.items.join(thin_split(w), "photo_id").select("subset", F.col("label").alias("class_id"))
-    later = labelled.filter(F.col("subset") != "train").select("class_id")
-    trained = labelled.filter(F.col("subset") == "train").select("class_id")
-    out = later.exceptAll(later.filter(F.col("class_id") == 107)).distinct().subtract(trained)
-    return out.subtract(w.held_out.select("class_id"))
+    held = bridge.table(spark, folder, "part").select((F.col("p_partkey") % 4).cast("int").alias("class_id")).distinct()
+    return split.untrained_classes(w.items, thin_split(w), held)
 
 
 @query("j14_class_names", """
@@ -111,8 +110,8 @@ def _(spark, folder):
 select allowlist_id, array_to_string(list_filter(listed, lambda c: c in (0, 1, 2, 3, 4, 5, 6, 7)), ',') as classes from listed""")
 def _(spark, folder):
     w = World(spark, folder)
-    seen = scenarios.class_array(w.prototypes)
-    return w.lists.select("allowlist_id", F.array_join(F.array_intersect("listed", seen), ",").alias("classes"))
+    rows = catalog.seen_lists(w.lists, w.prototypes)
+    return rows.select("allowlist_id", F.array_join("classes", ",").alias("classes"))
 
 
 @query("a01_class_names", "select class_id, name, votes from class_names")
@@ -168,7 +167,7 @@ def _(spark, folder):
 @query("a06_profile", """
 with per_photo as (select photo_id, count(*) as n, count(*) filter (label = 107) as f from items group by 1),
  per_class as (select c.class_id, count(i.label) as n from (select distinct label as class_id from embeddings) c
-   left join items i on i.label = c.class_id and i.label % 4 <> 3 group by 1),
+   left join items i on i.label = c.class_id group by 1),
  widths as (select (x2 - x1) / width as w from items join photos using (photo_id)),
  per_list as (select allowlist_id, count(*) as n from photos where allowlist_id is not null
    and photo_id in (select photo_id from items) group by 1)
@@ -191,18 +190,8 @@ select metric, round(value, 6) as value from (
 def _(spark, folder):
     w = World(spark, folder)
     classes = w.vectors.select(F.col("label").alias("class_id")).distinct()
-    rows = P.profile(w.items, w.photos, classes, w.lists)
-    sparse = P.items_per_class(w.items.filter(F.col("label") % 4 != 3), classes)
-    fixed = sparse.agg(F.min("n").cast("double").alias("items_per_class_min"),
-                       F.max("n").cast("double").alias("items_per_class_max"))
-    quantiles = ordering.exact_quantiles(sparse, "n", {"items_per_class_p25": 0.25, "items_per_class_median": 0.5})
-    names = fixed.columns + quantiles.columns
-    extra = [df.select(F.lit(c).alias("metric"), F.col(c).alias("value")) for df in (fixed, quantiles)
-             for c in df.columns]
-    out = rows.filter(~F.col("metric").isin(names))
-    for part in extra:
-        out = out.unionByName(part)
-    return out.select("metric", F.round("value", 6).alias("value"))
+    w.keep_items()
+    return P.profile(w.items, w.photos, classes, w.lists).select("metric", F.round("value", 6).alias("value"))
 
 
 @query("a07_rare_classes", """
@@ -305,10 +294,10 @@ def _(spark, folder):
     return prototype_offsets(rows)
 
 
-@query("k01_top_sizes", "select p_size, count(*) as n from part group by 1 order by 2 desc, 1 limit 15")
+@query("k01_top_sizes", """
+select width || 'x' || height as size, count(*) as n from raw_photos group by 1 order by 2 desc, 1 limit 15""")
 def _(spark, folder):
-    counts = bridge.table(spark, folder, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "p_size").limit(15)
+    return P.common_sizes(bridge.raw_photos(spark, folder), 15)
 
 
 @query("k02_photo_limit", """
@@ -355,20 +344,19 @@ def _(spark, folder):
 
 
 @query("k07_ordered_distinct", """
-select photo_id, array_to_string(labels, ',') as labels from photo_labels""")
+select l.allowlist_id, coalesce(array_to_string(list_sort(list(distinct c.class_id) filter (c.class_id is not null)), ','), '') as classes
+from (select distinct allowlist_id from name_lines) l left join clean_lines c using (allowlist_id) group by 1""")
 def _(spark, folder):
-    rows = World(spark, folder).items.groupBy("photo_id").agg(F.sort_array(F.collect_set("label")).alias("l"))
-    return rows.select("photo_id", F.array_join("l", ",").alias("labels"))
+    rows = catalog.listed_classes(bridge.name_lines(spark, folder), bridge.name_lines(spark, folder))
+    return rows.select("allowlist_id", F.array_join("listed", ",").alias("classes"))
 
 
 @query("u03_common_cases", """
-select o_orderkey as case_id from orders where o_orderkey % 3 = 0 intersect select l_orderkey from lineitem where l_orderkey % 2 = 0""")
+select o_orderkey as case_id from orders intersect select l_orderkey from lineitem""")
 def _(spark, folder):
-    a = bridge.table(spark, folder, "orders").filter(F.col("o_orderkey") % 3 == 0).select(
-        F.col("o_orderkey").alias("case_id"))
-    b = bridge.table(spark, folder, "lineitem").filter(F.col("l_orderkey") % 2 == 0).select(
-        F.col("l_orderkey").alias("case_id"))
-    return a.intersect(b)
+    a = bridge.table(spark, folder, "orders").select(F.col("o_orderkey").alias("case_id"))
+    b = bridge.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("case_id"))
+    return agreement.common_cases(a, b)
 
 
 @query("u04_list_difference", "select scenario_id, array_to_string(listed, ',') as listed from scenarios")

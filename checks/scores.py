@@ -12,6 +12,8 @@ from listwarden.operators import agreement, calibration, metrics, prototypes, th
 from listwarden.operators.ordering import exact_quantiles
 from listwarden.operators.similarity import class_similarities
 from listwarden.plans import check, evaluate
+from listwarden.plans.fit import fit_decision
+from listwarden.session import durable
 
 from .base import query
 from .sources import scenario_decisions
@@ -62,7 +64,7 @@ select t.scenario_id, t.item_idx, round(d.margin, 6) as margin from told t
 join decided d on d.vec_id = t.vec_id and d.listed = t.listed""")
 def _(spark, folder):
     rows = scenario_decisions(World(spark, folder))
-    return rows.select("scenario_id", "item_idx", F.round(F.col("s_in") - F.col("s_out"), 6).alias("margin"))
+    return rows.select("scenario_id", "item_idx", *r6("margin"))
 
 
 @query("f07_seeded_hash", "select o_orderkey, sha1('20260918:' || o_orderkey) as h from orders")
@@ -86,10 +88,60 @@ def _(spark, folder):
     return rows.select("class_id", F.round(dot(F.col("vector"), F.col("vector")), 6).alias("squared"), "n")
 
 
-@query("a12_prototypes")
+# Lloyd's algorithm from the same hash seeds, forty rounds for everyone, best of four starts.
+CENTRES = """
+with recursive big as (select label as class_id, count(*) // 8 as kc from embeddings group by 1 having count(*) // 8 >= 2),
+points as (select e.vec_id, b.class_id, e.embedding::double[] as x, least(2, b.kc) as kc from embeddings e join big b on b.class_id = e.label),
+lloyd as (
+  select 0 as step, class_id, start, place - 1 as centre, x as c from (
+    select p.*, start, row_number() over (partition by class_id, start
+      order by sha1('0:' || start || ':' || class_id || ':' || vec_id), vec_id) as place
+    from points p, (select unnest(range(4)) as start)) where place <= kc
+  union all
+  select step + 1, class_id, start, centre, list(v order by d) from (
+    select step, class_id, start, centre, d, avg(v) as v from (
+      select step, class_id, start, centre, unnest(x) as v, generate_subscripts(x, 1) as d from (
+        select l.step, l.class_id, l.start, p.vec_id, any_value(p.x) as x, arg_min(l.centre, list_distance(p.x, l.c)) as centre
+        from lloyd l join points p using (class_id) where l.step < 40 group by 1, 2, 3, 4))
+    group by 1, 2, 3, 4, 5) group by 1, 2, 3, 4),
+costs as (select class_id, start, sum(d) as cost from (
+  select l.class_id, l.start, p.vec_id, min(list_distance(p.x, l.c) ** 2) as d from lloyd l join points p using (class_id)
+  where l.step = 40 group by 1, 2, 3) group by 1, 2),
+winners as (select class_id, arg_min(start, round(cost, 9) * 1000000 + start * 1e-6) as start from costs group by 1),
+several as (
+  select class_id, 0 as proto_no, d, m as v from mean_units union all
+  select class_id, centre + 1, d, v / (sqrt(sum(v * v) over (partition by class_id, centre)) + 1e-9) from (
+    select l.class_id, l.centre, unnest(l.c) as v, generate_subscripts(l.c, 1) as d
+    from lloyd l join winners w using (class_id, start) where l.step = 40)),
+nearest as (select vec_id, class_id, max(s) as s from (
+  select vec_id, class_id, proto_no, sum(x.v * y.v) as s from dims x join (
+    select class_id, proto_no, d, v / (sqrt(sum(v * v) over (partition by class_id, proto_no)) + 1e-9) as v from several) y using (d)
+  group by 1, 2, 3) group by 1, 2)
+"""
+
+
+@query("a12_prototypes", CENTRES + "select class_id, proto_no, d - 1 as d, round(v, 6) as v from several")
 def _(spark, folder):
     rows = prototypes.build_prototypes(World(spark, folder).vectors)
-    return rows.select("class_id", "proto_no", F.posexplode("vector").alias("d", "v"))
+    return rows.select("class_id", "proto_no", F.posexplode("vector").alias("d", "v")).select("class_id", "proto_no", "d", *r6("v"))
+
+
+@query("a13_several_prototypes", CENTRES + "select vec_id, class_id, round(s, 6) as s from nearest")
+def _(spark, folder):
+    """Classes with centres: the best of several vectors per class counts."""
+    w = World(spark, folder)
+    several = durable(prototypes.build_prototypes(w.vectors))
+    ids = [r[0] for r in several.select("class_id").distinct().orderBy("class_id").collect()]
+    rows = class_similarities(w.vectors, several, ["vec_id"]).select("vec_id", F.posexplode("sims").alias("slot", "s"))
+    return rows.select("vec_id", F.element_at(F.lit(ids).cast("array<int>"), F.col("slot") + 1).alias("class_id"), *r6("s"))
+
+
+@query("a34_accuracy_with_centres", CENTRES + """
+select round(avg(case when p.c = e.label then 1.0 else 0.0 end), 6) as accuracy from
+(select vec_id, arg_max(class_id, s) as c from nearest group by 1) p join embeddings e using (vec_id)""")
+def _(spark, folder):
+    w = World(spark, folder)
+    return prototypes.nearest_accuracy(w.vectors, durable(prototypes.build_prototypes(w.vectors))).select(*r6("accuracy"))
 
 
 @query("a13_class_similarity", "select vec_id, class_id, round(s, 6) as s from sims")
@@ -257,12 +309,33 @@ def _(spark, folder):
     return rows.select("phase", "n", *r6("nll", "ece"))
 
 
-@query("a20_fitted_temperature")
+# The best point of grids of 81 points, each around the best of the one before and a little finer.
+FIT = """
+with recursive asked_once as (select vec_id, listed, sum(y_in) as y, count(*) as n from cal group by 1, 2),
+terms as (select c.vec_id, c.listed, c.y, c.n, s.s, list_contains(c.listed, s.class_id) as own from asked_once c join sims s using (vec_id)),
+fit as (
+  select 0 as step, ln(0.06)::double as log_t, 0.4::double as b, 2.0::double as rt, 1.0::double as rb, null::double as nll
+  union all
+  select step + 1, arg_min(log_t, nll), arg_min(b, nll), rt * 0.4, rb * 0.4, min(nll) from (
+    select step, log_t, b, rt, rb, sum(-(y * ln(p) + (n - y) * ln(1 - p))) / sum(n) as nll from (
+      select step, log_t, b, rt, rb, y, n, greatest(1e-7, least(1 - 1e-7, own_mass / (mass + exp(b / exp(log_t))))) as p from (
+        select f.step, f.log_t + (i - 4) / 4.0::double * f.rt as log_t, f.rt, f.rb, f.b as middle, t.vec_id, t.listed, t.y, t.n,
+         sum(exp(t.s / exp(f.log_t + (i - 4) / 4.0::double * f.rt))) as mass,
+         coalesce(sum(exp(t.s / exp(f.log_t + (i - 4) / 4.0::double * f.rt))) filter (t.own), 0) as own_mass
+        from fit f, (select unnest(range(9)) as i), terms t where f.step < 10 group by all),
+       (select unnest(range(9)) as j), lateral (select middle + (j - 4) / 4.0::double * rb as b))
+    group by 1, 2, 3, 4, 5) group by step, rt, rb),
+fitted as (select log_t, b, nll from fit where step = 10)"""
+
+
+@query("a20_fitted_temperature", FIT + """
+select round(nll, 6) as nll, round(exp(log_t), 3) as temperature, round(b, 2) as unknown_bias from fitted""")
 def _(spark, folder):
-    fitted = calibration.fit_temperature_and_bias(World(spark, folder).calibration)
-    before = calibration.with_p_in(World(spark, folder).calibration, fitted)
-    return before.agg(calibration.clipped_nll(F.col("p_in"), F.col("y_in")).alias("nll"),
-                      F.lit(fitted.temperature).alias("temperature"), F.lit(fitted.unknown_bias).alias("unknown_bias"))
+    fixed = durable(World(spark, folder).calibration)
+    fitted = calibration.fit_temperature_and_bias(fixed, stored=True)
+    before = calibration.with_p_in(fixed, fitted)
+    return before.agg(F.round(calibration.clipped_nll(F.col("p_in"), F.col("y_in")), 6).alias("nll"),
+                      F.round(F.lit(fitted.temperature), 3).alias("temperature"), F.round(F.lit(fitted.unknown_bias), 2).alias("unknown_bias"))
 
 
 @query("a21_fitted_platt", """
@@ -285,6 +358,55 @@ def _(spark, folder):
     return fitted.select(*r6("nll"), F.round(F.lit(a), 3).alias("platt_a"), F.round(F.lit(b), 3).alias("platt_b"))
 
 
+# The whole fit: the point above, then the sigmoid by Newton's method, then the grid of thresholds.
+DECISION = FIT + """,
+raw as (select t.vec_id, t.listed, any_value(t.y) as y, any_value(t.n) as n, greatest(1e-6, least(1 - 1e-6,
+  coalesce(sum(exp(t.s / exp(f.log_t))) filter (t.own), 0) / (sum(exp(t.s / exp(f.log_t))) + exp(any_value(f.b) / exp(any_value(f.log_t)))))) as q
+  from terms t, fitted f group by 1, 2),
+pts as (select ln(q / (1 - q)) as x, y, n from raw),
+newton as (select 0 as step, 1.0::double as a, 0.0::double as b
+  union all
+  select step + 1, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  from (select step, a, b, sum(x * (y - n * p)) as g1, sum(y - n * p) as g2, sum(n * p * (1 - p) * x * x) as h11,
+    sum(n * p * (1 - p) * x) as h12, sum(n * p * (1 - p)) as h22
+    from (select step, a, b, x, y, n, 1 / (1 + exp(-(a * x + b))) as p from newton, pts where step < 12) group by 1, 2, 3)),
+scored as (select 1 / (1 + exp(-(a * x + b))) as p, y, n, a, b from pts, newton where step = 12),
+ticks as (select unnest(range(41)) as i), edge as (select i, i * 0.025::double as t from ticks),
+cells as (select lo.i as lo, hi.i as hi, lo.t as theta_out, hi.t as theta_in,
+  sum(n - y) filter (p <= lo.t) as oo, sum(n - y) filter (p > lo.t and p >= hi.t) as io,
+  sum(y) filter (p <= lo.t) as oi, sum(y) filter (p > lo.t and p >= hi.t) as ii, sum(n) as n
+  from edge lo join edge hi on lo.i <= hi.i cross join scored group by all),
+pairs as (select lo, hi, theta_out, theta_in, (n - coalesce(oo,0) - coalesce(io,0) - coalesce(oi,0) - coalesce(ii,0)) / n::double as abstain_rate,
+  coalesce(oo,0) / greatest(1, coalesce(oo,0) + coalesce(io,0))::double as out_recall,
+  coalesce(oi,0) / greatest(1, coalesce(oi,0) + coalesce(ii,0))::double as false_alarm_rate,
+  (coalesce(oi,0) + coalesce(io,0)) / greatest(1, coalesce(oo,0) + coalesce(io,0) + coalesce(oi,0) + coalesce(ii,0))::double as risk from cells),
+caps as (select unnest(range(17)) as i),
+ok as (select p.*, case when false_alarm_rate <= 0.1 and out_recall >= 0.95 then
+  (select min(i) from caps where abstain_rate <= 0.2 + 0.05 * i + 1e-12) end as step from pairs p),
+pool as (select * from ok where step <= (select min(step) from ok) union all
+ select * from ok where (select min(step) from ok) is null and false_alarm_rate <= 0.1 and abstain_rate <= 0.2 + 1e-12)
+select round(nll, 5) as nll, (select round(sum(-(y * ln(greatest(1e-7, least(1 - 1e-7, p))) + (n - y) * ln(1 - greatest(1e-7, least(1 - 1e-7, p)))))
+  / sum(n), 5) from scored) as nll_after, (select round(any_value(a), 2) from scored) as platt_a, (select round(any_value(b), 2) from scored) as platt_b,
+ (select count(*) from pool) as n_feasible, t.theta_in, t.theta_out, round(t.risk, 3) as risk, round(t.abstain_rate, 3) as abstain_rate
+from fitted, (select round(theta_in, 6) as theta_in, round(theta_out, 6) as theta_out, risk, abstain_rate from pool
+ order by pool.risk, pool.out_recall desc, pool.abstain_rate, lo, hi limit 1) t"""
+
+
+@query("e02_fitted_decision", DECISION)
+def _(spark, folder):
+    """Scenarios to decision parameters over the whole tables: temperature and bias, sigmoid, thresholds."""
+    fixed = durable(World(spark, folder).calibration)
+    fit = fit_decision(fixed, stored=True)
+    p = fit.params
+    before = calibration.with_p_in(fixed, p.with_(platt_a=1.0, platt_b=0.0)).agg(
+        F.round(calibration.clipped_nll(F.col("p_in"), F.col("y_in")), 5).alias("nll"))
+    after = fit.calibration.filter("phase = 'after'").select(F.round("nll", 5).alias("nll_after"))
+    chosen = fit.thresholds.filter("choice = 'lowest_risk'").select(
+        F.round(F.lit(p.platt_a), 2).alias("platt_a"), F.round(F.lit(p.platt_b), 2).alias("platt_b"), "n_feasible",
+        *r6("theta_in", "theta_out"), F.round("risk", 3).alias("risk"), F.round("abstain_rate", 3).alias("abstain_rate"))
+    return before.crossJoin(after).crossJoin(chosen)        # one row each
+
+
 def selective_sql(low: str, high: str, source: str, by: str = "") -> str:
     """The twelve numbers in SQL; "out" wins on the diagonal."""
     v = f"case when p_in <= {low} then 'out' when p_in >= {high} then 'in' else 'uncertain' end"
@@ -328,7 +450,7 @@ def _(spark, folder):
 
 GRID = """
 pts as (select unnest(range(41)) as i), edge as (select i, i * 0.025::double as t from pts),
-few as (select round(p_in, 3) as p_in, y_in, count(*) as k from cal group by 1, 2),
+few as (select p_in, y_in, count(*) as k from cal group by 1, 2),
 cells as (select lo.i as lo, hi.i as hi, lo.t as theta_out, hi.t as theta_in,
   sum(k) filter (p_in <= lo.t and y_in = 0) as oo, sum(k) filter (p_in > lo.t and p_in >= hi.t and y_in = 0) as io,
   sum(k) filter (p_in <= lo.t and y_in = 1) as oi, sum(k) filter (p_in > lo.t and p_in >= hi.t and y_in = 1) as ii,
@@ -340,24 +462,19 @@ grid as (select lo, hi, theta_out, theta_in, (n - coalesce(oo,0) - coalesce(io,0
  from cells)"""
 
 
-def coarse(w: World):
-    """Probabilities at three decimals, so that many lie exactly on the grid."""
-    return w.calibrated.withColumn("p_in", F.round("p_in", 3))
-
-
 @query("a23_threshold_grid", f"""
 with {GRID}
 select lo, hi, round(theta_out, 6) as theta_out, round(theta_in, 6) as theta_in, round(abstain_rate, 6) as abstain_rate,
  round(out_recall, 6) as out_recall, round(false_alarm_rate, 6) as false_alarm_rate, round(risk, 6) as risk from grid""")
 def _(spark, folder):
-    rows = thresholds.threshold_grid(coarse(World(spark, folder)))
+    rows = thresholds.threshold_grid(World(spark, folder).calibrated)
     return rows.select("lo", "hi", *r6("theta_out", "theta_in", "abstain_rate", "out_recall", "false_alarm_rate", "risk"))
 
 
 @query("y05_feasible_thresholds", f"""
 with {GRID} select lo, hi from grid where false_alarm_rate <= 0.6 and abstain_rate <= 0.9 and out_recall >= 0.5""")
 def _(spark, folder):
-    rows = thresholds.threshold_grid(coarse(World(spark, folder)))
+    rows = thresholds.threshold_grid(World(spark, folder).calibrated)
     return thresholds.feasible(rows, 0.6, 0.9, 0.5).select("lo", "hi")
 
 
@@ -375,7 +492,7 @@ union all
   round(0.2 + 0.05 * (select min(step) from ok), 6)::double
  from pool order by pool.out_recall desc, pool.abstain_rate, pool.false_alarm_rate, lo, hi limit 1)""")
 def _(spark, folder):
-    rows = thresholds.choose_thresholds(coarse(World(spark, folder)), max_false_alarm=0.3)
+    rows = thresholds.choose_thresholds(World(spark, folder).calibrated, max_false_alarm=0.3)
     return rows.select("choice", *r6("theta_in", "theta_out", "risk", "abstain_rate"), "n_feasible",
                        *r6("max_abstain_used"))
 

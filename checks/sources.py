@@ -11,7 +11,7 @@ from listwarden.functions import decisions as D
 from listwarden.functions import names as N
 from listwarden.functions import numbers as NUM
 from listwarden.operators import boxes as OB
-from listwarden.operators import catalog, metrics, prototypes, sampling
+from listwarden.operators import catalog, metrics, profile, prototypes, sampling
 from listwarden.sources import annotations, labels, tables
 
 from .base import query
@@ -36,8 +36,10 @@ def _(spark, folder):
 select p.photo_id, p.allowlist_id, count(*) as n_labels from photos p join items i using (photo_id) group by 1, 2""")
 def _(spark, folder):
     w = World(spark, folder)
-    counts = w.items.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n_labels"))
-    return counts.join(w.photos, "photo_id", "left").select("photo_id", "allowlist_id", "n_labels")
+    labels = w.items.groupBy("photo_id").agg(F.collect_list("label").alias("labels"))
+    photos = w.photos.select("photo_id").join(labels, "photo_id", "left").withColumnRenamed("photo_id", "file")
+    rows = annotations.labelled_photos(photos, w.photos.select("photo_id", "allowlist_id"))
+    return rows.select(F.col("file").alias("photo_id"), "allowlist_id", F.size("labels").alias("n_labels"))
 
 
 CROP_SQL = "coalesce(case when i.photo_id % 5 = 0 then null when i.photo_id % 7 = 0 then 'test' " \
@@ -266,8 +268,8 @@ def _(spark, folder):
 select item_id, round((x2 - x1) / width, 9) as rel_width from items join photos using (photo_id)""")
 def _(spark, folder):
     w = World(spark, folder)
-    return w.items.join(w.photos, "photo_id").select(
-        "item_id", F.round((F.col("x2") - F.col("x1")) / F.col("width"), 9).alias("rel_width"))
+    rows = profile.relative_widths(w.items, w.photos, ("item_id",))
+    return rows.select("item_id", F.round("rel_width", 9).alias("rel_width"))
 
 
 VERDICTS = """
@@ -306,10 +308,8 @@ def _(spark, folder):
 @query("p21_headline_filter", """
 select reason, count(*) as n from told where reason in ('listed', 'removed', 'foreign', 'unseen') group by 1""")
 def _(spark, folder):
-    from listwarden.constants import HEADLINE_REASONS
-
     told = World(spark, folder).told
-    return told.filter(F.col("reason").isin(*HEADLINE_REASONS)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return told.filter(metrics.is_headline(F.col("reason"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p22_explanations", """

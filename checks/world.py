@@ -11,7 +11,7 @@ from listwarden import bridge
 from listwarden.constants import Params
 from listwarden.operators import calibration, prototypes, scenarios, split
 from listwarden.plans import check, evaluate
-from listwarden.session import durable
+from listwarden.session import durable, stored
 
 PARAMS = Params(temperature=0.08, unknown_bias=0.3, theta_in=0.8, theta_out=0.3, margin=0.0, platt_a=0.9, platt_b=0.5)
 
@@ -81,14 +81,21 @@ class World:
     @cached_property
     def records(self) -> DataFrame:
         """True boxes as detections, with a fixed share of them missed."""
+        self.keep_items()
         found = self.items.filter(F.col("vec_id") % 13 != 0)
         decisions = evaluate.decide_detections(self.embedded(evaluate.item_detections(found)), self.scenarios,
                                                self.prototypes, PARAMS)
         return evaluate.build_records(self.told, evaluate.identity_matches(found), decisions, self.prototypes)
 
+    def keep_items(self) -> None:
+        """Write the items once for what reads them several times."""
+        if "kept" not in self.__dict__:
+            self.items = self.kept = stored(self.items)
+
     @cached_property
     def evaluated(self) -> tuple[DataFrame, DataFrame]:
         """(records, spurious) with detections matched to items by overlap."""
+        self.keep_items()
         return evaluate.evaluate(self.items, self.embedded(self.detections), self.scenarios, self.told,
                                  self.prototypes, PARAMS)
 
@@ -107,7 +114,7 @@ class World:
     @cached_property
     def own_list(self) -> DataFrame:
         """(photo_id, listed) of the photo's allow-list as written."""
-        return self.photos.join(self.lists, "allowlist_id", "left").select("photo_id", "allowlist_id", "listed")
+        return scenarios.with_lists(self.photos, self.lists).select("photo_id", "allowlist_id", "listed")
 
     @cached_property
     def own_decisions(self) -> DataFrame:

@@ -17,12 +17,17 @@ class GateError(RuntimeError):
     """A changed model no longer agrees with the one it replaces."""
 
 
+def common_cases(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cases of both runs, once each."""
+    return a.select("case_id").intersect(b.select("case_id"))
+
+
 def case_agreement(a: DataFrame, b: DataFrame, cases_a: DataFrame, cases_b: DataFrame) -> DataFrame:
     """One row per case of both runs: box counts, differing verdicts and the largest gaps.
 
     Items are paired by position; gaps count only where both runs found the same number of boxes.
     """
-    cases = cases_a.select("case_id").intersect(cases_b.select("case_id"))
+    cases = common_cases(cases_a, cases_b)
     values = ["verdict", "p_in", "score", *CORNERS]
     left = a.select("case_id", "item_no", *[F.col(v).alias(f"a_{v}") for v in values])
     right = b.select("case_id", "item_no", *[F.col(v).alias(f"b_{v}") for v in values])

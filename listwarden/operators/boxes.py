@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DETECTOR_CONF, DETECTOR_IOU, DETECTOR_MAX, MATCH_IOU
 from ..functions.boxes import box_struct, iou
 from ..functions.numbers import count_where, rate
-from ..session import durable, split_by_group_size
+from ..session import durable, split_by_group_size, stored
 
 # Boxes of one photo that a single row may carry.
 FOLD_BOXES = 512
@@ -173,7 +173,7 @@ def match_boxes(items: DataFrame, dets: DataFrame, photo: str = "photo_id", min_
     """(photo, item_idx, det_id, iou): one-to-one by falling score; an IoU tie goes to the higher item index.
 
     Each detection takes the free item it overlaps most. Photos a row can carry are folded in place, the
-    others are matched by rounds of mutual first choices over their overlapping pairs.
+    others are matched by rounds of applications over their overlapping pairs.
     """
     gt = items.select(photo, "item_idx", *CORNERS)
     det = dets.select(photo, "det_id", "score", *CORNERS)
@@ -185,7 +185,7 @@ def match_boxes(items: DataFrame, dets: DataFrame, photo: str = "photo_id", min_
     calm = _fold_match(gt.join(large, photo, "left_anti"), det.join(large, photo, "left_anti"), photo, min_iou)
     pairs = overlapping_pairs(gt.join(large, photo, "left_semi"), det.join(large, photo, "left_semi"),
                               ["item_idx"], ["det_id", "score"], photo, min_iou)
-    return calm.unionByName(_mutual_match(pairs, photo))
+    return calm.unionByName(_deferred_match(pairs, photo))
 
 
 def _fold_match(gt: DataFrame, det: DataFrame, photo: str, min_iou: float) -> DataFrame:
@@ -207,20 +207,45 @@ def _fold_match(gt: DataFrame, det: DataFrame, photo: str, min_iou: float) -> Da
     return matched.select(photo, (-F.col("_m.back")).alias("item_idx"), "_m.det_id", (-F.col("_m.far")).alias("iou"))
 
 
-def _mutual_match(pairs: DataFrame, photo: str) -> DataFrame:
-    """All items rank detections alike, so pairs that choose each other first are final."""
+def _deferred_match(pairs: DataFrame, photo: str, trace: list | None = None) -> DataFrame:
+    """Detections apply to their items in order of overlap; an item keeps the best of those that ever apply.
+
+    All items rank detections alike, so this gives what taking turns gives, in whatever order applications are handled.
+    A round settles chains at once: a detection that is turned down will apply to its next item, and if it is better
+    than the one kept there, that one is certain to be turned down too, and so on. Pointers from each detection to the
+    one it would displace are doubled until every displaced one is known; then all of them move on. ``trace`` gets the
+    number of doublings of every round.
+    """
+    own = [photo, "det_id"]
     rank = F.struct((-F.col("score")).alias("s"), F.col("det_id").alias("d"))
-    left = durable(pairs.withColumn("_rank", rank))
-    result = None
-    while not left.isEmpty():
-        wish = left.groupBy(photo, "det_id").agg(F.max(F.struct("iou", "item_idx")).alias("_wish"))
-        offer = left.groupBy(photo, "item_idx").agg(F.min("_rank").alias("_offer"))
-        mutual = wish.select(photo, "det_id", F.col("_wish.item_idx").alias("item_idx"),
-                             F.col("_wish.iou").alias("iou")).join(offer, [photo, "item_idx"])
-        final = durable(mutual.filter(F.col("det_id") == F.col("_offer.d")).select(photo, "item_idx", "det_id", "iou"))
-        result = final if result is None else result.unionByName(final)
-        left = durable(left.join(final.select(photo, "det_id"), [photo, "det_id"], "left_anti")
-                       .join(final.select(photo, "item_idx"), [photo, "item_idx"], "left_anti"))
-    if result is None:
-        return pairs.select(photo, "item_idx", "det_id", "iou")
-    return result
+    order = Window.partitionBy(*own).orderBy(F.desc("iou"), F.desc("item_idx"))
+    wishes = stored(pairs.select(*own, "item_idx", "iou", rank.alias("rank"), F.row_number().over(order).alias("pos")))
+    state = wishes.filter("pos = 1").select(*own, "pos")
+    while True:
+        now = stored(state.join(wishes, [*own, "pos"]))
+        best = now.groupBy(photo, "item_idx").agg(F.min("rank").alias("kept"))
+        placed = now.join(best, [photo, "item_idx"])
+        turned_down = placed.filter(F.col("rank") != F.col("kept")).select(*own)
+        if turned_down.isEmpty():
+            return now.select(photo, "item_idx", "det_id", "iou")
+        coming = now.select(*own, "rank", (F.col("pos") + 1).alias("pos")).join(
+            wishes.select(*own, "pos", "item_idx"), [*own, "pos"])
+        links = coming.join(best, [photo, "item_idx"]).filter(F.col("rank") < F.col("kept")).select(
+            *own, F.col("kept.d").alias("next"))
+        links = stored(links)
+        marked, doublings = stored(turned_down.distinct()), 0
+        while True:
+            reached = marked.join(links, own).select(photo, F.col("next").alias("det_id")).distinct()
+            fresh = stored(reached.join(marked, own, "left_anti"))
+            if fresh.isEmpty():
+                break
+            doublings += 1
+            marked = stored(marked.unionByName(fresh))
+            links = stored(links.join(links.select(photo, F.col("det_id").alias("next"), F.col("next").alias("after")),
+                                      [photo, "next"]).select(*own, F.col("after").alias("next")))
+        if trace is not None:
+            trace.append(doublings)
+        stay = now.select(*own, "pos").join(marked, own, "left_anti")
+        move = now.select(*own, (F.col("pos") + 1).alias("pos")).join(marked, own, "left_semi").join(
+            wishes.select(*own, "pos"), [*own, "pos"])
+        state = stay.unionByName(move)

@@ -155,80 +155,147 @@ def calibration_report(calibration: DataFrame, after: Params, before: Params | N
         (F.sum(F.abs(F.col("_p") - F.col("_y"))) / F.sum("n")).alias("ece"))
 
 
-def _candidate_losses(calibration: DataFrame, candidates: list[tuple[float, float]]) -> np.ndarray:
-    """Mean loss of every (log temperature, bias) candidate in one pass; tasks return one row each."""
-    shared = calibration.sparkSession.sparkContext.broadcast(np.array(candidates))
+# Probabilities are clipped for the loss; a clipped row is constant.
+CLIP = 1e-7
+# Fitted points stay where a softmax of cosines means something: temperatures of some 0.001 to 50.
+LOG_T_RANGE = (-7.0, 4.0)
+
+
+def _log_mass(e: np.ndarray, z: np.ndarray, u: np.ndarray, zu: float, t: float, own: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Logarithm of a sum of exponentials and its derivatives by (log T, bias): value, two first, three second ones.
+
+    ``e`` and ``z`` are the weights and exponents of the classes, ``own`` which of them count, ``u`` and ``zu`` those of
+    the unknown class (u = 0: not in the sum). Derivatives are means and covariances under the softmax of the sum.
+    """
+    w = e if own is None else e * own
+    mass = w.sum(axis=1) + u
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = ((w * z).sum(axis=1) + u * zu) / mass
+        square = ((w * z * z).sum(axis=1) + u * zu * zu) / mass
+        share = u / mass
+        return (np.log(mass), -mean, share / t, mean + square - mean * mean, share / t * (mean - 1 - zu),
+                share * (1 - share) / (t * t))
+
+
+def _point_terms(s: np.ndarray, mask: np.ndarray, y: np.ndarray, log_t: float, bias: float, second: bool) -> np.ndarray:
+    """Summed loss of some rows at one point and, if asked for, its two first and three second derivatives."""
+    out, n = np.zeros(6), len(s)
+    if not s.shape[1]:
+        out[0] = -(y * math.log(CLIP) + (1 - y) * math.log1p(-CLIP)).sum()
+        return out
+    t = math.exp(log_t)
+    best = s.max(axis=1)
+    e = np.exp((s - best[:, None]) / t)
+    u = np.exp(np.minimum((bias - best) / t, 500.0))        # far above every similarity: p = 0 either way
+    listed, total = (e * mask).sum(axis=1), e.sum(axis=1) + u
+    p = listed / total
+    q = np.clip(p, CLIP, 1 - CLIP)
+    out[0] = -(y * np.log(q) + (1 - y) * np.log1p(-q)).sum()
+    inside = np.flatnonzero((p > CLIP) & (p < 1 - CLIP))
+    if second and len(inside):
+        e, z, u, mask, y = e[inside], s[inside] / t, u[inside], mask[inside], y[inside]
+        zu = bias / t
+        everything = _log_mass(e, z, u, zu, t, None)
+        inner = _log_mass(e, z, np.zeros(len(u)), zu, t, mask)
+        outer = _log_mass(e, z, u, zu, t, ~mask)
+        for k in range(1, 6):
+            out[k] = (everything[k] - y * inner[k] - (1 - y) * outer[k]).sum()
+    return out
+
+
+def _terms(calibration: DataFrame, points: np.ndarray, second: bool = True) -> np.ndarray:
+    """Mean loss, gradient (2) and Hessian (3) at every (log temperature, bias) point, from one pass: a task adds up its
+    rows and returns one row per point."""
+    shared = calibration.sparkSession.sparkContext.broadcast(points)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = shared.value
-        losses, rows = np.zeros(len(grid)), 0
+        own = shared.value
+        sums, rows = np.zeros((len(own), 6)), 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             truth = batch.column("y_in").to_numpy(zero_copy_only=False).astype(float)
             for start, s, mask in _arrays(batch):
                 y = truth[start:start + len(s)]
-                best = s.max(axis=1)
-                # Candidates of one temperature share the exponentials.
-                for log_t in np.unique(grid[:, 0]):
-                    t = math.exp(log_t)
-                    e = np.exp((s - best[:, None]) / t)
-                    mass, listed = e.sum(axis=1), (e * mask).sum(axis=1)
-                    for i in np.flatnonzero(grid[:, 0] == log_t):
-                        # A bias far above every similarity overflows to infinity, which is p = 0.
-                        with np.errstate(over="ignore"):
-                            p = listed / (mass + np.exp((grid[i, 1] - best) / t))
-                        p = np.clip(p, 1e-7, 1 - 1e-7)
-                        losses[i] -= float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+                for i, (log_t, bias) in enumerate(own.tolist()):
+                    sums[i] += _point_terms(s, mask, y, log_t, bias, second)
                 rows += len(s)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(grid), dtype=np.int32)), pa.array(losses), pa.array([rows] * len(grid), pa.int64())],
-            ["candidate", "loss", "n"])
+            [pa.array(np.arange(len(own), dtype=np.int32)), *map(pa.array, sums.T), pa.array([rows] * len(own), pa.int64())],
+            ["point", *TERMS, "n"])
 
     totals = (
         calibration.select("sims", "slots", "y_in")
-        .mapInArrow(run, "candidate int, loss double, n long")
-        .groupBy("candidate").agg((F.sum("loss") / F.greatest(F.lit(1), F.sum("n"))).alias("loss"))
-        .orderBy("candidate").toArrow()
+        .mapInArrow(run, f"point int, {', '.join(f'{t} double' for t in TERMS)}, n long")
+        .groupBy("point").agg(*[(F.sum(t) / F.greatest(F.lit(1), F.sum("n"))).alias(t) for t in TERMS])
+        .orderBy("point").toArrow()
     )
-    return totals["loss"].to_numpy()
+    return np.stack([totals[t].to_numpy() for t in TERMS], axis=1) if totals.num_rows else np.zeros((len(points), 6))
 
 
-def fit_temperature_and_bias(calibration: DataFrame, init: Params | None = None, tolerance: float = 1e-4,
-                             side: int = 7, stored: bool = False) -> Params:
-    """Minimise the loss over (log T, bias): grids around the best point so far, shrinking each round.
+TERMS = ("loss", "g_t", "g_b", "h_tt", "h_tb", "h_bb")
 
-    Every round is one pass over the set with all candidates at once; rounds end when the grid is finer than
-    ``tolerance``. The first grid covers the
-    starting points (0.05, 0.5), (0.1, 0.3), (0.02, 0.7) and ``init``. The set is written once first,
-    unless it is ``stored`` already.
+
+def trust_step(gradient: np.ndarray, hessian: np.ndarray, reach: float) -> tuple[np.ndarray, float]:
+    """The step that lowers the quadratic model most within ``reach``, and by how much (positive)."""
+    values, axes = np.linalg.eigh(hessian)
+    g = axes.T @ gradient
+
+    def step(shift: float) -> np.ndarray:
+        bent = values + shift
+        return -np.divide(g, bent, out=np.zeros_like(g), where=np.abs(bent) > 1e-300)
+
+    low = max(0.0, -float(values[0]) + 1e-12)
+    if values[0] > 0 and np.linalg.norm(step(0.0)) <= reach:
+        best = step(0.0)
+    else:
+        high = low + np.linalg.norm(g) / reach + 1e-12
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.linalg.norm(step(middle)) > reach else (low, middle)
+        best = step(high)
+        if np.linalg.norm(best) < 0.99 * reach and values[0] < 0:       # along the most bent axis up to the rim
+            best[0] += math.copysign(math.sqrt(max(reach**2 - best @ best, 0.0)), -g[0])
+    gain = -(g @ best + 0.5 * (values * best) @ best)
+    return axes @ best, float(gain)
+
+
+def fit_temperature_and_bias(calibration: DataFrame, init: Params | None = None, tolerance: float = 1e-7,
+                             side: int = 7, stored: bool = False, n_starts: int = 4, rounds: int = 60) -> Params:
+    """Minimise the loss over (log T, bias) by Newton steps in a trust region, from several points at once.
+
+    Loss, gradient and Hessian are sums over rows, so every round is one pass that returns a handful of numbers per task
+    for all starts together. A first pass looks at the losses of a grid of ``side`` x ``side`` points and of the starting
+    points (0.05, 0.5), (0.1, 0.3), (0.02, 0.7) and ``init``; the ``n_starts`` best go on. A start is done when the model
+    promises no gain or its region is smaller than ``tolerance``. The set is written once first, unless it is ``stored``
+    already. An empty set returns the first starting point's neighbourhood: there is nothing to fit.
     """
     if not stored:
         calibration = durable(calibration.select("sims", "slots", "y_in"))
     init = init or Params()
-    starts = [(math.log(init.temperature), init.unknown_bias), (math.log(0.05), 0.5), (math.log(0.1), 0.3),
-              (math.log(0.02), 0.7)]
-    centre = (math.log(0.06), 0.4)
-    reach = (1.6, 0.8)
-    best: tuple[float, tuple[float, float]] | None = None
-    number = 0
-    while max(reach) > tolerance:
-        axes = [np.linspace(c - r, c + r, side) for c, r in zip(centre, reach)]
-        candidates = [(float(a), float(b)) for a in axes[0] for b in axes[1]]
-        if number == 0:
-            candidates += starts
-        losses = _candidate_losses(calibration, candidates)
-        i = int(losses.argmin())
-        number += 1
-        # Gains that mean nothing do not keep the search walking.
-        if best is None or losses[i] < best[0] - 1e-12:
-            best = (float(losses[i]), candidates[i])
-        # A winner on the rim keeps the reach, so the search can still walk away.
-        on_rim = any(abs(abs(x - c) - r) < 1e-12 for x, c, r in zip(best[1], centre, reach))
-        centre = best[1]
-        if not on_rim:
-            reach = tuple(r * 0.4 for r in reach)
-    return init.with_(temperature=math.exp(best[1][0]), unknown_bias=best[1][1], platt_a=1.0, platt_b=0.0)
+    bias = Params().unknown_bias if init.unknown_bias is None else init.unknown_bias
+    starts = [(math.log(init.temperature), bias), (math.log(0.05), 0.5), (math.log(0.1), 0.3), (math.log(0.02), 0.7)]
+    axes = [np.linspace(c - r, c + r, side) for c, r in ((math.log(0.06), 1.6), (0.4, 0.8))]
+    grid = np.array([*starts, *((float(a), float(b)) for a in axes[0] for b in axes[1])])
+    at = grid[np.argsort(_terms(calibration, grid, second=False)[:, 0], kind="stable")[:n_starts]]
+    now, reach = _terms(calibration, at), np.full(len(at), 0.5)
+    for _ in range(rounds):
+        steps = [trust_step(f[1:3], np.array([[f[3], f[4]], [f[4], f[5]]]), r) for f, r in zip(now, reach, strict=True)]
+        live = np.flatnonzero([gain > 1e-15 and r > tolerance for (_, gain), r in zip(steps, reach, strict=True)])
+        if not len(live):
+            break
+        trial = np.array([at[i] + steps[i][0] for i in live])
+        trial[:, 0] = np.clip(trial[:, 0], *LOG_T_RANGE)
+        for i, x, f in zip(live, trial, _terms(calibration, trial), strict=True):
+            length, ratio = float(np.linalg.norm(steps[i][0])), (now[i, 0] - f[0]) / steps[i][1]
+            if ratio < 0.25:
+                reach[i] = length / 4
+            elif ratio > 0.75 and length > 0.9 * reach[i]:
+                reach[i] = min(2 * reach[i], 2.0)
+            if f[0] < now[i, 0]:
+                at[i], now[i] = x, f
+    best = at[int(now[:, 0].argmin())]
+    return init.with_(temperature=math.exp(best[0]), unknown_bias=float(best[1]), platt_a=1.0, platt_b=0.0)
 
 
 def fit_platt(df: DataFrame, p: str = "p_in", y: str = "y_in", eps: float = 1e-6) -> tuple[float, float]:

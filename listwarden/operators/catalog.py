@@ -86,16 +86,20 @@ def export_catalogue(prototypes: DataFrame, names: DataFrame, aliases: DataFrame
         "class_id", class_label(F.col("name"), F.col("class_id")).alias("name"), "alias_no", "alias")
 
 
+def seen_lists(lists: DataFrame, seen: DataFrame) -> DataFrame:
+    """(allowlist_id, classes): of every list the classes that have a prototype, sorted as ``listed`` is stored."""
+    known = seen.select(F.sort_array(F.collect_set("class_id"))).scalar()
+    return lists.select("allowlist_id", F.array_intersect("listed", known).alias("classes"))
+
+
 def sample_lists(lists: DataFrame, photo_split: DataFrame, seen: DataFrame, n: int = 24,
                  subset: str = "test", at_least: int = 2) -> DataFrame:
     """The first lists of a subset that name at least two seen classes.
 
     Sorted, duplicates kept out by the stored form of ``listed``.
     """
-    known = seen.select(F.sort_array(F.collect_set("class_id"))).scalar()
     used = photo_split.filter(F.col("subset") == subset).select("allowlist_id").distinct()
-    kept = lists.join(used, "allowlist_id", "left_semi").select(
-        "allowlist_id", F.array_intersect("listed", known).alias("classes"))
+    kept = seen_lists(lists.join(used, "allowlist_id", "left_semi"), seen)
     return kept.filter(F.size("classes") >= at_least).orderBy("allowlist_id").limit(n)
 
 

@@ -53,6 +53,11 @@ def record_rates(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     return counted.select(*_rates(keys))
 
 
+def is_headline(reason: Column) -> Column:
+    """Rows the headline figures are about."""
+    return reason.isin(*HEADLINE_REASONS)
+
+
 def record_slices(records: DataFrame) -> DataFrame:
     """Rates per slice: headline, all, seen, unseen, no_reject, and every reason and kind.
 
@@ -63,7 +68,7 @@ def record_slices(records: DataFrame) -> DataFrame:
     forced = {f"nr_{k}": v for k, v in _counts(forced_verdict(F.col("p_in")), usable).items()}
     cells = records.groupBy("reason", "kind", F.coalesce("seen", F.lit(True)).alias("seen")).agg(
         *[v.alias(k) for k, v in {**_counts(F.col("verdict"), F.lit(True)), **forced}.items()])
-    headline = F.col("reason").isin(*HEADLINE_REASONS)
+    headline = is_headline(F.col("reason"))
     known = headline & (F.col("reason") != "foreign")
 
     def slice_(name: Column, member: Column, prefix: str = "") -> Column:

@@ -15,9 +15,9 @@ from .ordering import exact_quantiles
 UNIT_BINS_FROM = 1
 
 
-def relative_widths(items: DataFrame, photos: DataFrame) -> DataFrame:
+def relative_widths(items: DataFrame, photos: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     joined = items.join(photos.select("photo_id", "width"), "photo_id")
-    return joined.select(((F.col("x2") - F.col("x1")) / F.col("width")).alias("rel_width"))
+    return joined.select(*keep, ((F.col("x2") - F.col("x1")) / F.col("width")).alias("rel_width"))
 
 
 def items_per_photo(items: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.hashing import seeded_hash
 from ..functions.names import class_label
 from ..functions.numbers import half_even
 from ..functions.vectors import unit
-from ..session import BROADCAST_BYTES, durable
+from ..session import BROADCAST_BYTES, discard, durable, stored
 from .ordering import running_totals
 from .similarity import PrototypeBlocks, _matrix, class_similarities
 
@@ -58,26 +58,33 @@ def build_prototypes(vectors: DataFrame, item: str = "vec_id", label: str = "lab
     return first.unionByName(unit_centres)
 
 
+# The source is written anew with fresh bounds once a round has to read more than this share of it.
+STALE_SHARE = 0.3
+# Small row groups, sorted by the bound that decides whether a row is read.
+ROW_GROUP_BYTES = 8 << 20
+SLACK = 1e-7            # rounding of distances
+
+
 def class_centres(source: DataFrame, most: int, seed: int, starts: int,
                   limit_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
     """Lloyd's algorithm inside every class at once, best of several hash-seeded starts.
 
-    ``source`` has (item, class_id, vector, kc) with at most ``most`` centres per class.
-
-    Each round is one pass: a task adds up its rows per centre, so a class of any size costs one small
-    row per task. Classes are taken in blocks whose centres fit a broadcast.
+    ``source`` has (item, class_id, vector, kc) with at most ``most`` centres per class; it is written once. A task adds
+    up its rows per centre, so a class of any size costs one small row per task. Classes are taken in blocks whose
+    centres fit a broadcast.
     """
     spark = source.sparkSession
+    kept = stored(source)
     draws = F.explode(F.sequence(F.lit(0), F.lit(starts - 1))).alias("start")
     order = Window.partitionBy("class_id", "start").orderBy("_h", "item")
     seeds = (
-        source.select("*", draws).withColumn("_h", seeded_hash(seed, "start", "class_id", "item"))
+        kept.select("*", draws).withColumn("_h", seeded_hash(seed, "start", "class_id", "item"))
         .withColumn("_rank", F.row_number().over(order))
         # The fixed bound lets every task drop all but its first rows before the shuffle.
         .filter(F.col("_rank") <= most).filter(F.col("_rank") <= F.col("kc"))
         .select("class_id", "start", (F.col("_rank") - 1).alias("centre"), "vector")
     )
-    per_class = source.groupBy("class_id").agg((F.max("kc") * F.max(F.size("vector")) * 8 * starts).alias("b"))
+    per_class = kept.groupBy("class_id").agg((F.max("kc") * F.max(F.size("vector")) * 8 * starts).alias("b"))
     sizes = per_class.orderBy("class_id").toArrow()
     if sizes.num_rows == 0:
         return None
@@ -88,7 +95,8 @@ def class_centres(source: DataFrame, most: int, seed: int, starts: int,
     for number in np.unique(block):
         inside = ids[block == number]
         part = F.col("class_id").between(int(inside[0]), int(inside[-1]))
-        found.append(_lloyd(source.filter(part), seeds.filter(part)))
+        found.append(_lloyd(kept.filter(part).select("class_id", "vector"), seeds.filter(part), starts))
+    discard(kept)
     frames = [spark.createDataFrame(t, "class_id int, centre int, vector array<double>") for t in found]
     out = frames[0]
     for frame in frames[1:]:
@@ -96,44 +104,170 @@ def class_centres(source: DataFrame, most: int, seed: int, starts: int,
     return out
 
 
-def _lloyd(source: DataFrame, seeds: DataFrame) -> pa.Table:
-    """Rounds until no class moves; a class that stands still, or gains nothing, is left out of the next pass."""
+class Sums:
+    """Rows, squared lengths and vector sums per centre. A centre at the mean of its rows has the inertia
+    (squares - |sum|^2 / rows), so no row is needed to know it."""
+
+    def __init__(self, n: np.ndarray, squares: np.ndarray, total: np.ndarray):
+        self.n, self.squares, self.total = n, squares, total
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.n + other.n, self.squares + other.squares, self.total + other.total)
+
+    def centres(self, before: np.ndarray) -> np.ndarray:
+        """A centre without rows stays where it was."""
+        return np.where(self.n[:, None] > 0, self.total / np.maximum(self.n, 1)[:, None], before)
+
+    def inertia(self) -> np.ndarray:
+        return np.maximum(self.squares - (self.total ** 2).sum(axis=1) / np.maximum(self.n, 1), 0.0)
+
+
+class Slots:
+    """Where the centres of every class and start are in the list of all centres; shared with the tasks."""
+
+    def __init__(self, keys: np.ndarray, starts: int):
+        self.of: dict[int, list[np.ndarray]] = {}
+        for class_id in np.unique(keys[:, 0]).tolist():
+            self.of[class_id] = [np.flatnonzero((keys[:, 0] == class_id) & (keys[:, 1] == s)) for s in range(starts)]
+
+    def nearest(self, class_id: int, vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot, margin) of every vector and start: the nearest centre and how much farther the next one is."""
+        slots, margins = [], []
+        for own in self.of[class_id]:
+            c = centres[own]
+            d = np.sqrt(np.maximum((vectors**2).sum(1)[:, None] - 2 * vectors @ c.T + (c**2).sum(1)[None, :], 0.0))
+            best = d.argmin(axis=1)
+            slots.append(own[best])
+            two = np.partition(d, 1, axis=1)
+            margins.append(two[:, 1] - two[:, 0])
+        return np.stack(slots, axis=1), np.stack(margins, axis=1)
+
+
+def _assigned(source: DataFrame, slots: Slots, centres: np.ndarray) -> DataFrame:
+    """The source with each row's centres (one per start) and margins, sorted by the least of these."""
+    shared = source.sparkSession.sparkContext.broadcast((slots, centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, centres = shared.value
+        for batch in batches:
+            labels, vectors = batch.column("class_id").to_numpy(), _matrix(batch.column("vector"))
+            own, margin = (np.zeros((len(labels), len(next(iter(slots.of.values())))), t) for t in (np.int32, np.float64))
+            for class_id in np.unique(labels).tolist():
+                rows = labels == class_id
+                own[rows], margin[rows] = slots.nearest(class_id, vectors[rows], centres)
+            offsets = pa.array(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class_id"), batch.column("vector"), pa.ListArray.from_arrays(offsets, pa.array(own.ravel())),
+                 pa.ListArray.from_arrays(offsets, pa.array(margin.ravel())), pa.array(margin.min(axis=1))],
+                ["class_id", "vector", "own", "margin", "least"])
+
+    rows = source.mapInArrow(run, "class_id int, vector array<double>, own array<int>, margin array<double>, least double")
+    return stored(rows.sortWithinPartitions("least"), ROW_GROUP_BYTES)
+
+
+def _sums(rows: DataFrame, n_slots: int, dim: int, added) -> tuple[Sums, int]:
+    """What ``added(batch)`` -> (slot, sign, vector) adds up to, and how many rows were read; a row per centre and task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, squares, total, read = np.zeros(n_slots, np.int64), np.zeros(n_slots), np.zeros((n_slots, dim)), 0
+        for batch in batches:
+            read += batch.num_rows
+            for slot, sign, vectors in added(batch):
+                np.add.at(n, slot, sign)
+                np.add.at(squares, slot, sign * (vectors**2).sum(axis=1))
+                np.add.at(total, slot, sign[:, None] * vectors)
+        used = np.flatnonzero(n.astype(bool) | (squares != 0) | total.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(n[used], read)), pa.array(np.append(squares[used], 0.0)),
+             pa.array([*total[used].tolist(), [0.0] * dim], pa.list_(pa.float64()))], ["slot", "n", "squares", "total"])
+
+    found = rows.mapInArrow(run, "slot int, n long, squares double, total array<double>").groupBy("slot").agg(
+        F.sum("n").alias("n"), F.sum("squares").alias("squares"), Summarizer.sum(array_to_vector("total")).alias("total")).select(
+        "slot", "n", "squares", vector_to_array("total").alias("total")).toArrow()
+    out, read = Sums(np.zeros(n_slots, np.int64), np.zeros(n_slots), np.zeros((n_slots, dim))), 0
+    if found.num_rows:
+        slot, n = found["slot"].to_numpy(), found["n"].to_numpy()
+        real = slot >= 0
+        read = int(n[~real].sum())
+        out.n[slot[real]], out.squares[slot[real]] = n[real], found["squares"].to_numpy()[real]
+        out.total[slot[real]] = _matrix(found["total"])[real]
+    return out, read
+
+
+def _lloyd(source: DataFrame, seeds: DataFrame, starts: int) -> pa.Table:
+    """Rounds until no class moves; a class that stands still, or gains nothing, is left out of the next pass.
+
+    Rows keep the centre they had when they were written and by how much the next one was farther. Since then no centre
+    of their class and start has moved more than d, so rows with a margin above 2d have their centre still: a round reads
+    only the others (files are sorted by the margin and skipped by its statistics), finds their centres and adds what
+    moved to the sums of the time of writing.
+    """
     sc = source.sparkSession.sparkContext
     first = seeds.orderBy("class_id", "start", "centre").toArrow()
     keys = np.stack([first[c].to_numpy() for c in ("class_id", "start", "centre")], axis=1)
     centres = _matrix(first["vector"])
-    place = {tuple(map(int, key)): i for i, key in enumerate(keys)}
-    inertia, moving = np.full(len(keys), np.inf), np.ones(len(keys), bool)
-    while moving.any():
-        left = sorted({int(c) for c in keys[moving, 0]})
-        sums = (
-            source.filter(F.col("class_id").isin(left)).select("class_id", "vector")
-            .mapInArrow(_centre_sums(sc.broadcast((keys, centres))),
-                        "slot int, n long, inertia double, total array<double>")
-            .groupBy("slot").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"),
-                                 Summarizer.sum(array_to_vector("total")).alias("total"))
-            .select("slot", "n", "inertia", vector_to_array("total").alias("total")).toArrow()
-        )
-        moved, now = centres.copy(), np.where(moving, 0.0, inertia)
-        slots = sums["slot"].to_numpy()
-        moved[slots] = _matrix(sums["total"]) / sums["n"].to_numpy()[:, None]
-        now[slots] = sums["inertia"].to_numpy()
+    slots, dim = Slots(keys, starts), centres.shape[1]
+    classes = list(slots.of)
+
+    def as_written(batch: pa.RecordBatch):
+        vectors, own = _matrix(batch.column("vector")), _list_matrix(batch.column("own"))
+        for s in range(own.shape[1]):
+            yield own[:, s], np.ones(len(own), np.int64), vectors
+
+    def write(at: np.ndarray) -> tuple[DataFrame, Sums, int]:
+        table = _assigned(source, slots, at)
+        return table, *_sums(table, len(keys), dim, as_written)
+
+    table, base, n_rows = write(centres)
+    written, sums, inertia = centres, base, np.full(len(keys), np.inf)
+    moving = dict.fromkeys(classes, True)
+    while True:
+        moved, now = sums.centres(centres), sums.inertia()
         shift = np.abs(moved - centres).max(axis=1)
-        before, centres = inertia, moved
-        for class_id in left:
+        fresh = np.array([moving[c] for c in keys[:, 0].tolist()], bool)        # the sums of the others are old
+        now = np.where(fresh, now, inertia)
+        for class_id in classes:
             own = keys[:, 0] == class_id
-            gain = before[own].sum() - now[own].sum()
-            moving[own] = bool((shift[own] >= 1e-9).any() and gain > 1e-12 * max(now[own].sum(), 1e-300))
-        inertia = now
+            gain = inertia[own].sum() - now[own].sum()
+            moving[class_id] &= bool((shift[own] >= 1e-9).any() and gain > 1e-12 * max(now[own].sum(), 1e-300))
+        centres, inertia = np.where(fresh[:, None], moved, centres), now
+        if not any(moving.values()):
+            break
+        drift = np.linalg.norm(centres - written, axis=1)
+        limits = {c: np.array([2 * drift[own].max() + SLACK for own in slots.of[c]]) if moving[c] else np.full(starts, -1.0)
+                  for c in classes}
+        shared = sc.broadcast((slots, centres, limits))
+
+        def changed(batch: pa.RecordBatch, shared=shared):
+            slots, centres, limits = shared.value
+            labels, vectors = batch.column("class_id").to_numpy(), _matrix(batch.column("vector"))
+            before, margin = _list_matrix(batch.column("own")), _list_matrix(batch.column("margin"))
+            for class_id in np.unique(labels).tolist():
+                rows = np.flatnonzero(labels == class_id)
+                rows = rows[(margin[rows] <= limits[class_id]).any(axis=1)]
+                if len(rows):
+                    after, _ = slots.nearest(class_id, vectors[rows], centres)
+                    for s in range(before.shape[1]):
+                        other = after[:, s] != before[rows, s]
+                        for sign, slot in ((-1, before[rows, s]), (1, after[:, s])):
+                            yield slot[other], np.full(int(other.sum()), sign), vectors[rows][other]
+
+        most = max(x.max() for x in limits.values())
+        delta, read = _sums(table.filter(F.col("least") <= float(most)), len(keys), dim, changed)
+        sums = base + delta
+        if read > STALE_SHARE * n_rows:
+            discard(table)
+            table, base, n_rows = write(centres)
+            written, sums = centres, base
+    discard(table)
     cost: dict[tuple[int, int], float] = {}
-    for (class_id, start, _), value in zip(keys.tolist(), inertia):
+    for (class_id, start, _), value in zip(keys.tolist(), inertia, strict=True):
         cost[class_id, start] = cost.get((class_id, start), 0.0) + value
     best: dict[int, tuple[float, int]] = {}
     for (class_id, start), value in sorted(cost.items()):
         rounded = round(value, 9)
         if class_id not in best or rounded < best[class_id][0]:
             best[class_id] = (rounded, start)
-    chosen = [i for key, i in place.items() if best[key[0]][1] == key[1]]
+    chosen = [i for i, key in enumerate(keys.tolist()) if best[key[0]][1] == key[1]]
     return pa.table({
         "class_id": pa.array([int(keys[i][0]) for i in chosen], pa.int32()),
         "centre": pa.array([int(keys[i][2]) for i in chosen], pa.int32()),
@@ -141,36 +275,9 @@ def _lloyd(source: DataFrame, seeds: DataFrame) -> pa.Table:
     })
 
 
-def _centre_sums(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, centres = shared.value
-        totals = np.zeros_like(centres)
-        counts = np.zeros(len(keys), dtype=np.int64)
-        inertia = np.zeros(len(keys))
-        groups: dict[int, dict[int, np.ndarray]] = {}
-        for slot, (class_id, start, _) in enumerate(keys.tolist()):
-            groups.setdefault(class_id, {}).setdefault(start, []).append(slot)
-        for batch in batches:
-            labels = batch.column("class_id").to_numpy()
-            vectors = _matrix(batch.column("vector"))
-            for class_id in np.unique(labels):
-                mine = vectors[labels == class_id]
-                for slots in groups[int(class_id)].values():
-                    own = centres[slots]
-                    distance = ((mine**2).sum(1)[:, None] - 2 * mine @ own.T + (own**2).sum(1)[None, :])
-                    nearest = distance.argmin(axis=1)
-                    for i, slot in enumerate(slots):
-                        hit = nearest == i
-                        totals[slot] += mine[hit].sum(axis=0)
-                        counts[slot] += int(hit.sum())
-                        inertia[slot] += float(distance[hit, i].sum())
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(counts[used]), pa.array(inertia[used]),
-             pa.array(totals[used].tolist(), pa.list_(pa.float64()))],
-            ["slot", "n", "inertia", "total"],
-        )
-    return run
+def _list_matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def export_rows(prototypes: DataFrame, classes: DataFrame, decimals: int = 4) -> DataFrame:

@@ -15,6 +15,21 @@ def class_array(classes: DataFrame) -> Column:
     return classes.select(F.sort_array(F.collect_set(F.col("class_id").cast("int")))).scalar()
 
 
+# Tasks over which rows without an allow-list are spread.
+NULL_SALTS = 4096
+
+
+def with_lists(photos: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows of (photo_id, allowlist_id, ...) with ``listed``, null where there is no list or it is not known.
+
+    A null key matches nothing but would be one hash, that is one task; a salt spreads such rows. The salt of a list is
+    computed (always 0), as a literal would be taken out of the join's keys.
+    """
+    spread = F.when(F.col("allowlist_id").isNull(), F.pmod(F.xxhash64("photo_id"), F.lit(NULL_SALTS))).otherwise(F.lit(0).cast("long"))
+    known = lists.select("allowlist_id", "listed", F.pmod(F.xxhash64("allowlist_id"), F.lit(1)).alias("_salt"))
+    return photos.withColumn("_salt", spread).join(known, ["allowlist_id", "_salt"], "left").drop("_salt")
+
+
 def photo_lists(photos: DataFrame, items: DataFrame, lists: DataFrame, unseen: DataFrame,
                 fallback: bool = True) -> DataFrame:
     """(photo_id, allowlist_id, base, present) for every photo with items.
@@ -22,8 +37,7 @@ def photo_lists(photos: DataFrame, items: DataFrame, lists: DataFrame, unseen: D
     A missing list falls back to the photo's own classes; an empty list stays empty.
     """
     labels = items.groupBy("photo_id").agg(F.collect_set("label").alias("labels"))
-    joined = photos.select("photo_id", "allowlist_id").join(labels, "photo_id").join(
-        lists.select("allowlist_id", "listed"), "allowlist_id", "left")
+    joined = with_lists(photos.select("photo_id", "allowlist_id").join(labels, "photo_id"), lists)
     if fallback:
         own = F.filter("labels", lambda c: c != FOREIGN)
         joined = joined.withColumn("listed", F.coalesce("listed", own))

@@ -34,6 +34,12 @@ def make_split(photos: DataFrame, seed: int = SEED, **fractions) -> DataFrame:
     return photos.withColumn("grp", group_key()).join(groups, "grp").select("photo_id", "allowlist_id", "subset")
 
 
+def subset_photos(items: DataFrame, split: DataFrame, subset: str) -> DataFrame:
+    """Photos of a subset that have items."""
+    wanted = split.filter(F.col("subset") == subset).select("photo_id")
+    return items.select("photo_id").join(wanted, "photo_id", "left_semi").distinct()
+
+
 def untrained_classes(items: DataFrame, split: DataFrame, held_out: DataFrame) -> DataFrame:
     """Classes of val or test photos that no train photo shows and nobody held out."""
     seen = items.select("photo_id", F.col("label").alias("class_id")).join(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import HEADLINE_REASONS, Params
+from ..constants import Params
 from ..functions.numbers import half_even
-from ..operators.boxes import match_boxes
+from ..operators.boxes import CORNERS, match_boxes
 from ..operators.calibration import calibration_bins, calibration_error
-from ..operators.metrics import record_slices
+from ..operators.metrics import is_headline, record_slices
 from ..operators.thresholds import area_under_curve, risk_coverage
 from ..session import durable
 from .check import decide_items, scenario_lists
@@ -17,10 +17,18 @@ from .check import decide_items, scenario_lists
 
 def decide_detections(dets: DataFrame, scenarios: DataFrame, prototypes: DataFrame, params: Params) -> DataFrame:
     """One decision per detection and scenario of its photo; a vector is compared once."""
-    decided = decide_items(dets, scenario_lists(scenarios), prototypes, params, ["photo_id", "det_id", "score"])
+    boxed = dets.withColumn("det_box", detection_box(dets))
+    decided = decide_items(boxed, scenario_lists(scenarios), prototypes, params, ["photo_id", "det_id", "score", "det_box"])
     return decided.withColumnRenamed("list_id", "scenario_id")
 
 
+def detection_box(dets: DataFrame) -> Column:
+    """Corners with one decimal, as records carry them; null without corners."""
+    if not set(CORNERS) <= set(dets.columns):
+        return F.lit(None).cast("array<double>")
+    return F.array(*[half_even(F.col(c).cast("double"), 1) for c in CORNERS])
+
+
 def identity_matches(items: DataFrame) -> DataFrame:
     """Ground-truth boxes in place of detections: every item is its own match."""
     return items.select("photo_id", "item_idx", F.col("item_id").alias("det_id"), F.lit(1.0).alias("iou"))
@@ -38,20 +46,20 @@ def build_records(told: DataFrame, matches: DataFrame, decisions: DataFrame, see
         "photo_id", "scenario_id", "det_id", "verdict", half_even(F.col("p_in"), 5).alias("p_in"),
         half_even(F.col("p_unknown"), 5).alias("p_unknown"), "best_any", "best_listed",
         half_even(F.col("s_in"), 4).alias("s_in"), half_even(F.col("s_out"), 4).alias("s_out"),
-        F.col("score").alias("det_score"))
+        F.col("score").alias("det_score"), "det_box")
     joined = found.join(scored, ["photo_id", "scenario_id", "det_id"], "left").join(known, "label", "left")
     return joined.select(
         "scenario_id", "kind", "photo_id", "item_idx", "label", "gt", "reason",
         F.coalesce("seen", F.lit(False)).alias("seen"), F.col("verdict").isNotNull().alias("detected"),
         F.coalesce("verdict", F.lit("missed")).alias("verdict"), "p_in", "p_unknown", "best_any", "best_listed",
-        "s_in", "s_out", "det_score", "listed")
+        "s_in", "s_out", "det_score", "det_box", "listed")
 
 
 def build_spurious(decisions: DataFrame, matches: DataFrame) -> DataFrame:
     """Decisions on detections no item claimed."""
     unmatched = decisions.join(matches.select("photo_id", "det_id"), ["photo_id", "det_id"], "left_anti")
     return unmatched.select("scenario_id", "photo_id", "det_id", "verdict", half_even(F.col("p_in"), 5).alias("p_in"),
-                            F.col("score").alias("det_score"))
+                            F.col("score").alias("det_score"), "det_box")
 
 
 def report(records: DataFrame, points: int = 50) -> DataFrame:
@@ -60,7 +68,7 @@ def report(records: DataFrame, points: int = 50) -> DataFrame:
     slice: rates of every slice; calibration: expected calibration error; bin: n, mean probability and share per bin;
     curve: coverage and risk at sampled places; area: area under that curve and risk at full coverage.
     """
-    scored = records.filter(F.col("reason").isin(*HEADLINE_REASONS) & F.col("detected") & F.col("p_in").isNotNull())
+    scored = records.filter(is_headline(F.col("reason")) & F.col("detected") & F.col("p_in").isNotNull())
     scored = durable(scored.select("p_in", (F.col("gt") == "in").cast("int").alias("y_in"), F.concat_ws(
         "/", "scenario_id", F.lpad(F.col("item_idx").cast("string"), 19, "0")).alias("ord")))
     bins = durable(calibration_bins(scored))

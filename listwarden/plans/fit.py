@@ -25,9 +25,10 @@ class Fit:
 
 
 def fit_decision(calibration: DataFrame, init: Params | None = None, max_false_alarm: float = MAX_FALSE_ALARM,
-                 max_abstain: float = MAX_ABSTAIN, min_out_recall: float = MIN_OUT_RECALL) -> Fit:
-    """Temperature and bias, then the sigmoid, then thresholds; every step is a few passes over the set."""
-    fixed = durable(calibration)
+                 max_abstain: float = MAX_ABSTAIN, min_out_recall: float = MIN_OUT_RECALL, stored: bool = False) -> Fit:
+    """Temperature and bias, then the sigmoid, then thresholds; every step is a few passes over the set, which is written
+    once first unless it is ``stored`` already."""
+    fixed = calibration if stored else durable(calibration)
     fitted = fit_temperature_and_bias(fixed, init, stored=True)
     raw = with_p_in(fixed, fitted)
     a, b = fit_platt(raw)

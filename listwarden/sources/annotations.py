@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from ..constants import ALLOWLIST_MAX_SIDE, PHOTO_MAX_SIDE
 from ..functions.boxes import displayed_size, large_enough, scaled_corners, shrink_factor, shrunk_side
 from ..functions.names import jpg_name
+from ..operators.ordering import running_totals
 from ..schemas import ALLOWLISTS, struct
 
 
@@ -16,12 +17,17 @@ def read_shards(spark: SparkSession, folder: str, split: str, schema: StructType
                 first: int | None = None, pattern: str = "{split}-*.parquet") -> DataFrame:
     """Shards of a split by file name; ``first`` keeps the first n in name order."""
     glob = pattern.format(split=split)
-    shards = spark.read.schema(schema).option("pathGlobFilter", glob).parquet(folder)
     if first is None:
-        return shards
-    names = [r.file_name for r in shards.select("_metadata.file_name").distinct().orderBy("file_name").limit(first)
-             .collect()]
-    return shards.filter(F.col("_metadata.file_name").isin(names))
+        return spark.read.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    found = sorted(matching_paths(spark, f"{folder}/{glob}"), key=lambda path: path.rsplit("/", 1)[1])[:first]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def matching_paths(spark: SparkSession, glob: str) -> list[str]:
+    """Paths that match, from a listing of the file system; no file is opened."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    files = pattern.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(pattern)
+    return [f.getPath().toString() for f in files] if files is not None else []
 
 
 def _sized(raw: DataFrame, max_side: int) -> DataFrame:
@@ -100,13 +106,36 @@ def read_open_jsonl(spark: SparkSession, path: str, known: StructType | str) ->
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """The JSON object {allow-list: [photos]} as (allowlist_id, photo_id, ord) rows."""
-    whole = spark.read.text(path, wholetext=True)
-    entries = whole.select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    lists = entries.select(F.posexplode(F.map_entries("m")).alias("_no", "e"))
-    photos = lists.select("_no", F.col("e.key").alias("allowlist_id"), F.posexplode("e.value").alias("_at", "photo_id"))
-    return photos.select("allowlist_id", "photo_id", (F.col("_no").cast("long") * F.lit(1 << 32) + F.col("_at"))
-                         .alias("ord"))
+    """The JSON object {allow-list: [photos]} as (allowlist_id, photo_id, ord) rows, ``ord`` in the order of the source.
+
+    The object may be of any size: every list ends with "]", so the file is read as records that end there, in as many
+    tasks as it has splits, and each record is parsed by itself. Where a name holds a "]" itself, records are put together
+    again: a record belongs to the one before while the quotes so far are odd in number. Null lists have no rows; what is
+    no such object fails.
+    """
+    pieces = spark.read.option("lineSep", "]").text(path).withColumn("at", F.monotonically_increasing_id())
+    quotes = F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '[^"]', "")
+    pieces = pieces.withColumn("odd", F.length(quotes) % 2)
+    if not pieces.filter("odd = 1").isEmpty():
+        pieces = _whole_pieces(pieces)
+    body = F.regexp_replace("value", r"^[\s,{]+|\s+$", "")
+    whole = F.when((body == "") | body.endswith("}"), F.concat(F.lit("{"), F.rtrim(body, F.lit("}")), F.lit("}"))).otherwise(
+        F.concat(F.lit("{"), body, F.lit("]}")))
+    entries = pieces.select("at", F.posexplode(F.map_entries(F.from_json(
+        whole, "map<string,array<string>>", {"mode": "FAILFAST"}))).alias("_no", "e"))
+    photos = entries.select("at", "_no", F.col("e.key").alias("allowlist_id"), F.posexplode("e.value").alias("_at", "photo_id"))
+    return photos.select("allowlist_id", "photo_id", F.struct("at", "_no", "_at").alias("ord"))
+
+
+def _whole_pieces(pieces: DataFrame) -> DataFrame:
+    """Neighbouring records put together where a string goes on; ``at`` is that of the last one."""
+    so_far = running_totals(pieces, [F.col("at")], {"quotes": F.col("odd")})
+    ended = so_far.withColumn("ends", (F.col("quotes") % 2 == 0).cast("int"))
+    numbered = running_totals(ended.select("value", "at", "ends"), [F.col("at")], {"upto": F.col("ends")}).withColumn(
+        "piece", F.col("upto") - F.col("ends"))
+    joined = numbered.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    return joined.select(F.array_join(F.transform("parts", lambda p: p["value"]), "]").alias("value"),
+                         F.array_max(F.transform("parts", lambda p: p["at"])).alias("at"))
 
 
 def read_map_rows(spark: SparkSession, path: str) -> DataFrame:
