@@ -17,7 +17,17 @@ from .graph import components
 OCCUPANCY, TILE = 64, 1024
 MIN_RECALL, TRIALS, SEED = 0.985, 400, 7
 LEAST_FILTERS, MOST_FILTERS = 4, 512    # filters that every vector is in; mean above which no code is tried
-SMALL = 50_000                          # up to so many vectors all meet where no code is good enough
+
+
+def kth_largest_sum(first: np.ndarray, second: np.ndarray, k: int) -> float:
+    """The k-th largest of all sums of one score of each half, over all rows, without making the sums."""
+    sorted_ = np.sort(second, axis=1)
+    low, high = float((first.min(axis=1) + sorted_[:, 0]).min()), float((first.max(axis=1) + sorted_[:, -1]).max()) + 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        reached = sum(int((len(b) - np.searchsorted(b, middle - a)).sum()) for a, b in zip(first, sorted_, strict=True))
+        low, high = (middle, high) if reached >= k else (low, middle)
+    return low
 
 
 class ProductCode:
@@ -31,8 +41,7 @@ class ProductCode:
         books = rng.standard_normal((2, words, self.half))
         self.books = books / np.linalg.norm(books, axis=2, keepdims=True)
         probe = self.unit(rng.standard_normal((64, dim)))
-        scores = np.sort(np.concatenate([np.add.outer(a, b).ravel() for a, b in zip(*self.scores(probe), strict=True)]))
-        self.threshold = scores[-min(len(scores), int(mean_filters * len(probe)))]
+        self.threshold = kth_largest_sum(*self.scores(probe), min(len(probe) * words * words, int(mean_filters * len(probe))))
 
     @staticmethod
     def unit(rows: np.ndarray) -> np.ndarray:
@@ -69,7 +78,8 @@ def product_code(dim: int, n_vectors: int, cosine: float) -> ProductCode:
     """The code for so many vectors, with as many filters per vector as pairs at exactly ``cosine`` need to meet.
 
     Filters grow with the input, so that one holds OCCUPANCY vectors on average; tried on random pairs.
-    Where no code reaches MIN_RECALL (few dimensions), SMALL vectors or fewer share one filter; more are an error.
+    Where no code reaches MIN_RECALL (few dimensions), all vectors share one filter, which is compared in tiles: exact, at
+    the cost of all pairs of tiles.
     """
     rng = np.random.default_rng(SEED + 1)
     a = ProductCode.unit(rng.standard_normal((TRIALS, dim)))
@@ -83,12 +93,10 @@ def product_code(dim: int, n_vectors: int, cosine: float) -> ProductCode:
         met = [set(zip(*map(np.ndarray.tolist, code.decode(x)), strict=True)) for x in (a, b)]
         if len({row for row, _ in met[0] & met[1]}) >= MIN_RECALL * TRIALS or dim == 1:
             return code
-        if mean > MOST_FILTERS and n_vectors <= SMALL:
+        if mean > MOST_FILTERS:
             code = ProductCode(dim, 1, 1)
             code.threshold = -np.inf
             return code
-        if mean > MOST_FILTERS:
-            raise ValueError(f"no code of {MOST_FILTERS} filters a vector reaches recall {MIN_RECALL} at cosine {cosine} in {dim} dimensions")
         mean *= 1.3
 
 
@@ -148,12 +156,14 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")).withColumn(
         "rep", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
     n_vectors = reps.count()
+    # Made once; a code for 10^7 vectors has some megabytes. Vectors have few different lengths.
+    codes = spark.sparkContext.broadcast({d: product_code(d, n_vectors, cosine) for (d,) in reps.select("dim").distinct().collect()})
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, group in batch.groupby("dim"):
                 packed = [np.asarray(v, np.float32).tobytes() for v in group["vec"]]
-                code = product_code(int(dim), n_vectors, cosine)
+                code = codes.value[int(dim)]
                 for i in range(0, len(group), 512):
                     part = group.iloc[i:i + 512]
                     row, found = code.decode(ProductCode.unit(_vectors(pd.Series(packed[i:i + 512]), int(dim))))

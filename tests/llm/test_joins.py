@@ -65,6 +65,20 @@ def test_no_code_is_an_error(monkeypatch):
         product_code(64, 10**6, 0.71)
 
 
+def test_thresholds_and_codes_of_any_size():
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal((5, 7)), rng.standard_normal((5, 9))
+    sums = np.sort((a[:, :, None] + b[:, None, :]).ravel())[::-1]
+    for k in (1, 2, 17, 315):
+        low = embedding_dedup.kth_largest_sum(a, b, k)
+        assert (sums >= low).sum() == k and abs(low - sums[k - 1]) < 1e-9
+    everything = product_code(8, 100_000, 0.9)          # too few dimensions for a code: one filter
+    assert np.array_equal(everything.decode(everything.unit(rng.standard_normal((50, 8))))[1], np.zeros(50, int))
+    big = embedding_dedup.ProductCode(64, 4000, 100.0)
+    row, _ = big.decode(big.unit(rng.standard_normal((300, 64))))
+    assert 50 < len(row) / 300 < 200
+
+
 def test_near_vectors_recall(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((300, 64))
