@@ -387,7 +387,7 @@ pool as (select * from ok where step <= (select min(step) from ok) union all
  select * from ok where (select min(step) from ok) is null and false_alarm_rate <= 0.1 and abstain_rate <= 0.2 + 1e-12)
 select round(nll, 5) as nll, (select round(sum(-(y * ln(greatest(1e-7, least(1 - 1e-7, p))) + (n - y) * ln(1 - greatest(1e-7, least(1 - 1e-7, p)))))
   / sum(n), 5) from scored) as nll_after, (select round(any_value(a), 2) from scored) as platt_a, (select round(any_value(b), 2) from scored) as platt_b,
- (select count(*) from pool) as n_feasible, t.theta_in, t.theta_out, round(t.risk, 3) as risk, round(t.abstain_rate, 3) as abstain_rate
+ (select count(*) from pool) as n_feasible, t.theta_in, t.theta_out, round(t.risk, 2) as risk, round(t.abstain_rate, 2) as abstain_rate
 from fitted, (select round(theta_in, 6) as theta_in, round(theta_out, 6) as theta_out, risk, abstain_rate from pool
  order by pool.risk, pool.out_recall desc, pool.abstain_rate, lo, hi limit 1) t"""
 
@@ -403,7 +403,7 @@ def _(spark, folder):
     after = fit.calibration.filter("phase = 'after'").select(F.round("nll", 5).alias("nll_after"))
     chosen = fit.thresholds.filter("choice = 'lowest_risk'").select(
         F.round(F.lit(p.platt_a), 2).alias("platt_a"), F.round(F.lit(p.platt_b), 2).alias("platt_b"), "n_feasible",
-        *r6("theta_in", "theta_out"), F.round("risk", 3).alias("risk"), F.round("abstain_rate", 3).alias("abstain_rate"))
+        *r6("theta_in", "theta_out"), F.round("risk", 2).alias("risk"), F.round("abstain_rate", 2).alias("abstain_rate"))
     return before.crossJoin(after).crossJoin(chosen)        # one row each
 
 

@@ -90,6 +90,43 @@ def _(spark, folder):
     return rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n_classes"), F.min("line_no").alias("first_line"))
 
 
+# Lines of documents against the catalogue and the first words of benchmark items; tokens are compared once per pair.
+DOCUMENT_LINES = f"""
+with lines as (select doc_id as doc, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no
+  from documents),
+called as (select class_id, name, {NAME_TOKENS.format('name')} as toks from (select class_id, name from catalogue union all
+  select 1000000 + item_id, array_to_string(string_split(text, ' ')[1:4], ' ') from benchmark)),
+wanted as (select class_id, name, len(toks) as n, unnest(toks) as name_token, generate_subscripts(toks, 1) as at from called
+  where len(array_to_string(toks, '')) >= 6),
+split_lines as (select doc, line_no, {LINE_TOKENS.format('text')} as toks from lines),
+placed as (select doc, line_no, unnest(toks) as line_token, generate_subscripts(toks, 1) as at from split_lines),
+alike as (select line_token, name_token from (select distinct line_token from placed) a join (select distinct name_token from wanted) b
+  on levenshtein(line_token, name_token) <= case when len(name_token) >= 8 then 2 when len(name_token) >= 5 then 1 else 0 end),
+met as (select p.doc, p.line_no, w.class_id, w.name, p.at - w.at as start from placed p join alike using (line_token) join wanted w using (name_token)
+  group by p.doc, p.line_no, w.class_id, w.name, w.n, p.at - w.at having count(distinct w.at) = w.n)
+select doc, class_id, min(line_no) as line_no, any_value(name) as name from met group by 1, 2"""
+
+
+def document_matches(spark, folder):
+    docs = bridge.table(spark, folder, "documents")
+    found = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    items = bridge.table(spark, folder, "benchmark").select(
+        (F.col("item_id") + 1000000).cast("int").alias("class_id"), F.substring_index("text", " ", 4).alias("name"))
+    every = bridge.catalogue(spark, folder).select("class_id", "name").union(items).withColumn("name_no", F.lit(0))
+    return fuzzy.match_lines(found, every)
+
+
+@query("t06_document_lines", DOCUMENT_LINES)
+def _(spark, folder):
+    return document_matches(spark, folder).select("doc", "class_id", "line_no", "name")
+
+
+@query("j17_document_matches", f"select class_id, count(*) as n_docs, min(doc) as first_doc from ({DOCUMENT_LINES}) group by 1")
+def _(spark, folder):
+    rows = document_matches(spark, folder)
+    return rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first_doc"))
+
+
 ASKED = "select distinct case p_partkey % 3 when 0 then upper(p_name) when 1 then substr(p_name, 1, 4) else ' ' || p_name || '!' end " \
         "as text from part union select '??' as text"
 

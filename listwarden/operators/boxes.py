@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DETECTOR_CONF, DETECTOR_IOU, DETECTOR_MAX, MATCH_IOU
 from ..functions.boxes import box_struct, iou
 from ..functions.numbers import count_where, rate
-from ..session import durable, split_by_group_size, stored
+from ..session import discard, durable, split_by_group_size, stored
 
 # Boxes of one photo that a single row may carry.
 FOLD_BOXES = 512
@@ -71,25 +71,68 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, a_cols: list[str], b_cols: lis
     return left.join(right, on & (shared >= min_iou)).select(photo, *a_cols, *b_cols, shared.alias("iou"))
 
 
-def best_overlap(a: DataFrame, b: DataFrame, photo: str = "photo_id", cell: float = 128.0) -> DataFrame:
-    """(photo, corners, n, best_iou): the closest b box of every distinct a box, 0 when none touches it.
+def _side_level(box: str) -> Column:
+    """The smallest power of two that is no less than the longer side of a box."""
+    side = F.greatest(F.col(f"{box}.x2") - F.col(f"{box}.x1"), F.col(f"{box}.y2") - F.col(f"{box}.y1"))
+    guess = F.ceil(F.log2(side))
+    return (guess + F.when(F.pow(F.lit(2.0), guess) < side, 1).otherwise(0)).cast("int")
+
+
+def _centre_cell(box: str, level: Column, shift: Column | None = None) -> list[Column]:
+    """Cells of a level are as wide as its power of two; ``shift`` moves the centre."""
+    out = []
+    for low, high in (("x1", "x2"), ("y1", "y2")):
+        centre = (F.col(f"{box}.{low}") + F.col(f"{box}.{high}")) / 2
+        out.append(F.floor((centre if shift is None else centre + shift) / F.pow(F.lit(2.0), level)))
+    return out
+
+
+def _near_cells(box: str, levels: Column, from_level: Column) -> Column:
+    """Cells, on every level from ``from_level`` on that occurs, where the centre of a touching box of that level may be.
 
-    Equal boxes are counted once and weighted, then both sides are spread over the cells they cover.
+    Such a box is no wider than a cell and this one no wider either, so these are three cells by three at most.
     """
-    def covered(df: DataFrame, prefix: str) -> DataFrame:
-        low = lambda c: F.floor(F.col(c) / cell)                                       # noqa: E731
-        cells = F.flatten(F.transform(F.sequence(low("x1"), low("x2")), lambda gx: F.transform(
-            F.sequence(low("y1"), low("y2")), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))))
-        return df.select(F.col(photo).alias(f"{prefix}photo"), box_struct().alias(f"{prefix}box"),
-                         F.explode(cells).alias(f"{prefix}cell"))
+    side = F.greatest(F.col(f"{box}.x2") - F.col(f"{box}.x1"), F.col(f"{box}.y2") - F.col(f"{box}.y1"))
 
+    def cells(level: Column) -> Column:
+        reach = (side + F.pow(F.lit(2.0), level)) / 2 * (1 + 1e-9)
+        (x1, y1), (x2, y2) = _centre_cell(box, level, -reach), _centre_cell(box, level, reach)
+        return F.flatten(F.transform(F.sequence(x1, x2), lambda gx: F.transform(
+            F.sequence(y1, y2), lambda gy: F.struct(level.alias("l"), gx.alias("gx"), gy.alias("gy")))))
+
+    return F.flatten(F.transform(F.filter(levels, lambda level: level >= from_level), cells))
+
+
+def best_overlap(a: DataFrame, b: DataFrame, photo: str = "photo_id") -> DataFrame:
+    """(photo, corners, n, best_iou): the closest b box of every distinct a box, 0 when none touches it.
+
+    Equal boxes are counted once and weighted. Boxes have levels by size, with cells as wide as the boxes of the level.
+    Of two boxes the larger one is in the cell of its centre, on its own level; the smaller one asks the nine cells around
+    it on every level that occurs. However large a box or a photo is, a box has a handful of rows per level.
+    """
     distinct_a = a.groupBy(photo, *CORNERS).agg(F.count(F.lit(1)).alias("n"))
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    distinct_b = b.select(photo, *CORNERS).filter(solid).distinct()
-    left, right = covered(distinct_a.filter(solid), "_a"), covered(distinct_b, "_b")
+
+    def levelled(df: DataFrame, name: str) -> DataFrame:
+        boxes = df.filter(solid).select(F.col(photo).alias(f"{name}photo"), box_struct().alias(f"{name}box"))
+        return boxes.withColumn(f"{name}level", _side_level(f"{name}box"))
+
+    def at_home(df: DataFrame, name: str) -> DataFrame:
+        gx, gy = _centre_cell(f"{name}box", F.col(f"{name}level"))
+        return df.withColumn(f"{name}cell", F.struct(F.col(f"{name}level").alias("l"), gx.alias("gx"), gy.alias("gy")))
+
+    def asking(df: DataFrame, name: str, other: DataFrame, other_name: str, above: int) -> DataFrame:
+        known = df.withColumn("_known", other.select(F.collect_set(f"{other_name}level")).scalar())      # some sixty at most
+        cells = _near_cells(f"{name}box", F.col("_known"), F.col(f"{name}level") + above)
+        return known.withColumn(f"{name}cell", F.explode(cells)).drop("_known")
+
+    left, right = levelled(distinct_a, "_a"), levelled(b.select(photo, *CORNERS).distinct(), "_b")
     on = (F.col("_aphoto") == F.col("_bphoto")) & (F.col("_acell") == F.col("_bcell"))
-    best = left.join(right, on).groupBy(F.col("_aphoto").alias(photo), F.col("_abox").alias("_box")).agg(
-        F.max(iou(F.col("_abox"), F.col("_bbox"))).alias("best_iou"))
+    met = [asking(left, "_a", right, "_b", 0).join(at_home(right, "_b"), on),
+           at_home(left, "_a").join(asking(right, "_b", left, "_a", 1), on)]
+    shared = iou(F.col("_abox"), F.col("_bbox")).alias("iou")
+    pairs = met[0].select("_aphoto", "_abox", shared).union(met[1].select("_aphoto", "_abox", shared)).filter("iou > 0")
+    best = pairs.groupBy(F.col("_aphoto").alias(photo), F.col("_abox").alias("_box")).agg(F.max("iou").alias("best_iou"))
     best = best.select(photo, *[F.col(f"_box.{c}").alias(c) for c in CORNERS], "best_iou")
     return distinct_a.join(best, [photo, *CORNERS], "left").fillna(0.0, ["best_iou"])
 
@@ -220,29 +263,35 @@ def _deferred_match(pairs: DataFrame, photo: str, trace: list | None = None) ->
     rank = F.struct((-F.col("score")).alias("s"), F.col("det_id").alias("d"))
     order = Window.partitionBy(*own).orderBy(F.desc("iou"), F.desc("item_idx"))
     wishes = stored(pairs.select(*own, "item_idx", "iou", rank.alias("rank"), F.row_number().over(order).alias("pos")))
-    state = wishes.filter("pos = 1").select(*own, "pos")
+    state, spent = wishes.filter("pos = 1").select(*own, "pos"), []
+
+    def kept(df: DataFrame) -> DataFrame:
+        spent.append(stored(df))
+        return spent[-1]
+
     while True:
         now = stored(state.join(wishes, [*own, "pos"]))
+        for table in spent:
+            discard(table)
+        spent = [now]
         best = now.groupBy(photo, "item_idx").agg(F.min("rank").alias("kept"))
-        placed = now.join(best, [photo, "item_idx"])
-        turned_down = placed.filter(F.col("rank") != F.col("kept")).select(*own)
+        turned_down = now.join(best, [photo, "item_idx"]).filter(F.col("rank") != F.col("kept")).select(*own)
         if turned_down.isEmpty():
             return now.select(photo, "item_idx", "det_id", "iou")
         coming = now.select(*own, "rank", (F.col("pos") + 1).alias("pos")).join(
             wishes.select(*own, "pos", "item_idx"), [*own, "pos"])
-        links = coming.join(best, [photo, "item_idx"]).filter(F.col("rank") < F.col("kept")).select(
-            *own, F.col("kept.d").alias("next"))
-        links = stored(links)
-        marked, doublings = stored(turned_down.distinct()), 0
+        links = kept(coming.join(best, [photo, "item_idx"]).filter(F.col("rank") < F.col("kept")).select(
+            *own, F.col("kept.d").alias("next")))
+        marked, doublings = kept(turned_down.distinct()), 0
         while True:
             reached = marked.join(links, own).select(photo, F.col("next").alias("det_id")).distinct()
-            fresh = stored(reached.join(marked, own, "left_anti"))
+            fresh = kept(reached.join(marked, own, "left_anti"))
             if fresh.isEmpty():
                 break
             doublings += 1
-            marked = stored(marked.unionByName(fresh))
-            links = stored(links.join(links.select(photo, F.col("det_id").alias("next"), F.col("next").alias("after")),
-                                      [photo, "next"]).select(*own, F.col("after").alias("next")))
+            marked = kept(marked.unionByName(fresh))
+            links = kept(links.join(links.select(photo, F.col("det_id").alias("next"), F.col("next").alias("after")),
+                                    [photo, "next"]).select(*own, F.col("after").alias("next")))
         if trace is not None:
             trace.append(doublings)
         stay = now.select(*own, "pos").join(marked, own, "left_anti")

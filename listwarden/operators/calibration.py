@@ -7,15 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..constants import CALIBRATION_BINS, TRAINING_SCALE, Params
 from ..functions.decisions import platt
-from ..session import durable
+from ..session import discard, durable, stored
 from .similarity import CHUNK_CELLS, PrototypeBlocks, _matrix, class_similarities, class_slots
 
 
@@ -298,10 +296,35 @@ def fit_temperature_and_bias(calibration: DataFrame, init: Params | None = None,
     return init.with_(temperature=math.exp(best[0]), unknown_bias=float(best[1]), platt_a=1.0, platt_b=0.0)
 
 
-def fit_platt(df: DataFrame, p: str = "p_in", y: str = "y_in", eps: float = 1e-6) -> tuple[float, float]:
-    """(a, b) of sigmoid(a * logit(p) + b), an unpenalised logistic regression on one feature."""
+def fit_platt(df: DataFrame, p: str = "p_in", y: str = "y_in", eps: float = 1e-6, rounds: int = 60) -> tuple[float, float]:
+    """(a, b) of sigmoid(a * logit(p) + b), an unpenalised logistic regression on one feature.
+
+    Newton steps from the identity, halved while they do not help; a round is six sums over a narrow table written once.
+    With nothing to tell a and b apart (no rows, or one value of p) the identity, or the last point reached, stays.
+    """
     q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(p)))
-    logit = F.log(q / (F.lit(1.0) - q))
-    points = df.select(array_to_vector(F.array(logit)).alias("features"), F.col(y).cast("double").alias("label"))
-    model = LogisticRegression(regParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(points)
-    return float(model.coefficients[0]), float(model.intercept)
+    points = stored(df.select(F.log(q / (F.lit(1.0) - q)).alias("x"), F.col(y).cast("double").alias("y")))
+    x, truth = F.col("x"), F.col("y")
+    now, step, loss = np.array([1.0, 0.0]), np.zeros(2), math.inf
+    for _ in range(rounds):
+        at = now + step
+        z = at[0] * x + F.lit(float(at[1]))
+        share = 1 / (1 + F.exp(-z))
+        bend = share * (1 - share)
+        # log(1 + exp(z)) without overflow, less what the true class takes off.
+        cost = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - truth * z
+        found = points.agg(*map(F.sum, (x * (truth - share), truth - share, bend * x * x, bend * x, bend, cost))).first()
+        if found[0] is None:
+            break
+        if found[5] > loss + 1e-9 * abs(loss):
+            step = step / 2
+            continue
+        g1, g2, h11, h12, h22, loss = found
+        now, flat = at, h11 * h22 - h12 * h12
+        if flat <= 1e-12 * max(h11 * h22, 1e-300):
+            break
+        step = np.array([h22 * g1 - h12 * g2, h11 * g2 - h12 * g1]) / flat
+        if np.abs(step).max() < 1e-10:
+            break
+    discard(points)
+    return float(now[0]), float(now[1])

@@ -32,6 +32,7 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     kept = stored(marked)
     n_slices = max(1, -(-kept.count() // SLICE_ROWS))
     ranged = stored(kept.repartitionByRange(n_slices, *order).withColumn("_slice", F.spark_partition_id()))
+    discard(kept)
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_slice").agg(*[F.sum(m).alias(m) for m in marks.values()]).select(
         "_slice", *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_before{m}") for m in marks.values()]

@@ -142,6 +142,33 @@ def test_matching_a_chain_takes_few_rounds(spark):
     assert len(trace) <= 3 and sum(trace) <= 15
 
 
+def test_closest_boxes_of_any_size(spark):
+    rng = random.Random(4)
+
+    def some(n):
+        out = []
+        for _ in range(n):
+            w, h = (2 ** rng.uniform(-3, 9) for _ in range(2))
+            x, y = rng.uniform(-300, 300), rng.uniform(-300, 300)
+            out.append((x, y, x + w, y + h))
+        return [*out, (0.0, 0.0, 8.0, 8.0), (0.0, 0.0, 4.0, 8.0), (5.0, 5.0, 5.0, 9.0), (-1e6, -1e6, 1e6, 1e6), (0.0, 0.0, 1e-3, 1e-3)]
+
+    one, two = some(150), some(150)
+    a, b = frames(spark, list(enumerate(one)), [(f"d{i}", 0.5, x) for i, x in enumerate(two)])
+    got = {(r.x1, r.y1, r.x2, r.y2): r.best_iou for r in boxes.best_overlap(a, b).collect()}
+    for p in one:
+        best = 0.0
+        for q in two:
+            w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+            shared = max(w, 0) * max(h, 0)
+            areas = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1])
+            best = max(best, shared / (areas - shared + 1e-9))
+        assert got[p] == pytest.approx(best, abs=1e-9), p
+    many = [(i, (20 * (i % 200), 20 * (i // 200), 20 * (i % 200) + 18, 20 * (i // 200) + 18)) for i in range(40_000)]
+    a, b = frames(spark, many, [(f"d{i}", 0.5, x) for i, x in many])
+    assert boxes.best_overlap(a, b).filter("best_iou > 0.99").count() == 40_000
+
+
 def test_quantiles_by_counting(spark):
     rng = np.random.default_rng(0)
     for values in (rng.normal(size=700) ** 5, np.r_[rng.integers(0, 4, 300), 1e300, -1e300, 3e-320], [5.0], [2.0, 2.0, 7.0]):
