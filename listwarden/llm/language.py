@@ -18,6 +18,7 @@ from .common import hash_sample, kept, stored
 # The model is fitted on about FIT_ROWS labelled rows, chosen by a seeded hash; prediction reads everything.
 FIT_ROWS, ROUNDS, PRIOR = 4000, 4, 0.05
 CACHE_WORDS, CHUNK_CHARS, LOOKUP_WORDS = 300_000, 2_000_000, 20_000
+LONG_WORD = 128     # longer words are cut where no piece crosses
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 TINY = 1e-120
 LETTER = regex.compile(r"\p{L}")
@@ -82,6 +83,24 @@ class Pieces:
                     out.append((end, start, rows_here[hit], ids[at[hit]]))
         return out, sizes
 
+    def cut(self, word: str) -> list[str]:
+        """``word`` cut at every place that no piece of two or more characters crosses.
+
+        A segmentation of the word is one of each part, so the sum over all is the product of the parts' sums.
+        """
+        codes = np.frombuffer(word.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+        n, value, crossed = len(codes), np.zeros(len(codes), np.uint64), np.zeros(len(codes) + 1, np.int64)
+        for length in range(1, min(self.longest, n) + 1):
+            value = value[:n - length + 1] * MULTIPLIER + codes[length - 1:]
+            keys = self.tables[length][0]
+            if length > 1 and len(keys):
+                at = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
+                starts = np.flatnonzero(keys[at] == value)
+                crossed[starts + 1] += 1
+                crossed[starts + length] -= 1
+        free = np.flatnonzero(np.cumsum(crossed)[:n] == 0).tolist()     # 0 is one: nothing crosses the beginning
+        return [word[a:b] for a, b in zip(free, free[1:] + [n], strict=True)]
+
 
 def pieces_of(model_path: str) -> Pieces:
     return kept(("pieces", model_path), lambda: Pieces(model_path))
@@ -218,13 +237,19 @@ class Scorer:
             self.table = np.vstack([self.table, np.zeros((2 * need - len(self.table), self.table.shape[1]), np.float32)])
         for a, b in chunks(fresh, LOOKUP_WORDS * 10):
             part = fresh[a:b]
-            found, sizes = self.pieces.found([MARK + w for w in part])
+            found, sizes = self.pieces.found([w[1:] if w[0] == " " else MARK + w for w in part])
             start = len(self.at)
             self.table[start:start + len(part)] = forward(found, sizes, self.model.chances)[2]
             self.at.update(zip(part, range(start, start + len(part)), strict=True))
 
+    def parts(self, words: list[str]) -> list[str]:
+        """Long words in parts, as texts without spaces are; a part begins with a space, which no word does."""
+        return [p for w in words for p in (
+            [" " + p for p in self.pieces.cut(MARK + w)] if len(w) > LONG_WORD else (w,))]
+
     def score(self, texts: list[str]) -> np.ndarray:
         split = [t.split() for t in texts]
+        split = [self.parts(words) if max(map(len, words), default=0) > LONG_WORD else words for words in split]
         self.learn({w for words in split for w in words})
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter((self.at[w] for words in split for w in words), np.int64, int(sizes.sum()))

@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -89,6 +90,26 @@ def test_forward_sums_all_segmentations():
             assert abs(slope - uses[i]) < 1e-3 * max(1, uses[i])
 
 
+def test_words_are_cut_where_no_piece_crosses():
+    pieces, rng = language.pieces_of(PIECES), np.random.default_rng(1)
+    chances = rng.random((pieces.size, 2))
+    chances /= chances.sum(axis=0)
+    words = ["▁" + "".join(rng.choice(list("日本語の文章は空白がない。、abc\U0001f600"), 300)), "▁" + "ab" * 100, "x"]
+    for word in words:
+        parts = pieces.cut(word)
+        assert "".join(parts) == word and all(parts)
+        found, sizes = pieces.found(parts)
+        logs = language.forward(found, sizes, chances)[2].sum(axis=0)
+        assert np.allclose(logs, [brute_chance(word, chances, k, pieces) for k in (0, 1)], rtol=1e-9)
+    scorer = language.Scorer(language.Model(PIECES, ["a", "b"], chances))
+    text = words[0][1:] + " the " + words[1][1:]
+    want = [sum(brute_chance(w, chances, k, pieces) for w in (words[0], "▁the", words[1])) for k in (0, 1)]
+    assert np.allclose(scorer.score([text, "", "the"])[0], want, rtol=1e-5)
+    begin = time.process_time()
+    scorer.score(["".join(rng.choice(list("日本語の文章は空白がない。、"), 20_000))])
+    assert time.process_time() - begin < 1
+
+
 def test_language_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
