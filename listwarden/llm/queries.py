@@ -76,7 +76,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    rows = sharding.shard_rows(stored(sharding.sized(documents(spark, folder))), 24)
+    rows = sharding.shard_rows(sharding.sized(documents(spark, folder)), 24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
 

@@ -11,6 +11,7 @@ from .common import stored, text_or_empty
 
 # The matrix has at most MAX_BUCKETS x shards entries, whatever the input; a bucket is sorted by one task.
 BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 50_000, 256, 8192
+BLOCK_COPIES = 10_000   # equal rows that one task writes out at a time
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -47,18 +48,38 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndar
     return matrix
 
 
+def numbered(rows: DataFrame, seed: int, block: int = BLOCK_COPIES) -> DataFrame:
+    """Every row with ``_shard_h``, a hash of its columns and of its number among the rows equal to it.
+
+    Equal rows are counted before the shuffle and written out again after it, those of a large group by blocks that
+    many tasks share: which of them is which makes no difference, so no group of them is ever gathered or sorted.
+    """
+    names = [f"`{c}`" for c in rows.columns]
+    counted = stored(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_shard_n")).withColumn(
+        "_shard_h", F.xxhash64(F.lit(seed), *names)))
+    few = counted.filter(F.col("_shard_n") <= block).select(
+        *names, "_shard_h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shard_n") - 1)).alias("_shard_i"))
+    blocks = counted.filter(F.col("_shard_n") > block).withColumn("_shard_k", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_shard_n") - 1) / block)))).repartition("_shard_h", "_shard_k")
+    first = F.col("_shard_k") * block
+    many = blocks.select(*names, "_shard_h", F.explode(F.sequence(
+        first, F.least(first + block, F.col("_shard_n")) - 1)).alias("_shard_i"))
+    return few.unionByName(many).select(*names, F.when(F.col("_shard_i") == 0, F.col("_shard_h")).otherwise(
+        F.xxhash64("_shard_h", "_shard_i")).alias("_shard_h"))
+
+
 def shard_rows(rows: DataFrame, n_shards: int, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Every row with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in its shard).
 
     Shard sizes differ by one row at most and every assignment of rows to slots is equally likely as far as the seeded
-    hash is uniform. Rows are told apart by all their columns; identical rows share a bucket, where their order makes
-    no difference. Nulls hash like values, no rows give no rows, and reruns agree. Columns called shard, slot or
-    starting with ``_shard_`` are replaced.
+    hash is uniform. Rows are told apart by all their columns, identical rows by a number, so any share of the table may
+    be copies of one row. Nulls hash like values, long texts are hashed and carried whole, no rows give no rows, and
+    reruns agree. Columns called shard, slot or starting with ``_shard_`` are replaced.
     """
     rows = rows.drop("shard", "slot", *[c for c in rows.columns if c.startswith("_shard_")])
     names = [f"`{c}`" for c in rows.columns]
-    keyed = rows.withColumn("_shard_h", F.xxhash64(F.lit(seed), *names))
-    total = rows.count()
+    keyed = numbered(rows, seed)
+    total = keyed.count()
     n_buckets = min(max(MIN_BUCKETS, total // bucket_rows), MAX_BUCKETS)
     keyed = keyed.withColumn("_shard_b", F.pmod("_shard_h", F.lit(n_buckets)).cast("int"))
     found = dict(keyed.groupBy("_shard_b").count().collect())          # n_buckets rows at most

@@ -183,7 +183,10 @@ def test_shards_are_even_and_gapless(spark):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert Counter(map(tuple, got)) == Counter(map(tuple, sharding.shard_rows(df.repartition(7), 8).collect()))
     # The first permutation and the matrix once more, in plain Python.
-    rows = df.drop("_shard_h").select("doc_id", "size", "text_crc32", F.xxhash64(F.lit(7), "doc_id", "size", "text_crc32").alias("h"))
+    copies = Counter((r.doc_id, r.size, r.text_crc32) for r in df.collect())
+    rows = spark.createDataFrame([(*r, i) for r, n in copies.items() for i in range(n)], "doc_id long, size long, text_crc32 long, i long")
+    rows = rows.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "size", "text_crc32")).withColumn(
+        "h", F.expr("if(i = 0, h, xxhash64(h, i))"))
     rows = rows.select("*", F.pmod("h", F.lit(sharding.MIN_BUCKETS)).alias("b"), F.xxhash64(F.lit("local"), "h").alias("o")).collect()
     buckets = defaultdict(list)
     for r in rows:
@@ -198,16 +201,32 @@ def test_shards_are_even_and_gapless(spark):
     by_slot = defaultdict(list)
     for r in got:
         by_slot[r.shard].append((r.slot, r.doc_id, r.size, r.text_crc32))
-    known = {(r.doc_id, r.size, r.text_crc32): r.h for r in rows}
+    known = defaultdict(list)
+    for r in rows:
+        known[r.doc_id, r.size, r.text_crc32].append(r.h)
+    known = {row: own[0] for row, own in known.items() if len(own) == 1}
     again = {h: o for h, o in spark.createDataFrame([(h,) for h in known.values()], "h long").select(
         "h", F.xxhash64(F.lit("again"), F.lit(7), "h")).collect()}
     n_cells = sharding.MIN_BUCKETS // 8
     for placed in by_slot.values():
-        order = [(again[known[x[1:]]] % n_cells, again[known[x[1:]]]) for x in sorted(placed)]
+        order = [(again[known[x[1:]]] % n_cells, again[known[x[1:]]]) for x in sorted(placed) if x[1:] in known]
         assert order == sorted(order)
     assert sharding.shard_rows(df.limit(0), 8).count() == 0
 
 
+def test_equal_rows_are_spread_over_buckets(spark):
+    df = spark.range(6000).select(F.expr("if(id < 4000, 1, id)").alias("doc_id"), F.lit(8).alias("size"))
+    got = sharding.numbered(df, 7, block=50)
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in df.collect())
+    assert got.select("_shard_h").distinct().count() == 6000
+    assert max(r["count"] for r in got.groupBy(F.pmod("_shard_h", F.lit(64))).count().collect()) < 160
+    whole = sharding.numbered(df.repartition(3), 7)     # whatever the block and the partitions
+    assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, got.collect()))
+    placed = sharding.shard_rows(df, 5).collect()
+    assert Counter(r.shard for r in placed) == {s: 1200 for s in range(5)}
+    assert len({(r.shard, r.slot) for r in placed}) == 6000
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
