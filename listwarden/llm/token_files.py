@@ -17,22 +17,22 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import chunks
 from .common import kept, text_or_empty
 
 BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFB1"
 CUT = -(-BLOCK * PERCENTILE // 100) - 1             # in sorted order, the value whose width a block takes
 HEAD, INDEX = 6, 16                                 # bytes before a block's values, and before the block starts
 SHARD_BYTES, SEGMENT_IDS = 64 << 20, 1 << 16        # text of a shard on average; ids after which a segment ends
-CHUNK_CHARS, CACHE_WORDS, WORD_BYTES = 500_000, 500_000, 64
+CHUNK_CHARS, CACHE_WORDS, WORD_BYTES = 500_000, 300_000, 64
 BETWEEN, JOINED = "|", 2000                         # what is put between words encoded together, and how many words
 LOWER = bytes(range(256)).lower()                   # A-Z alone
 UPPER_AND_REST = "".join(map(chr, range(32, 127)))
@@ -117,16 +117,17 @@ class Encoder:
             self.normal = self.tokenizer.normalizer
             if self.normal is None or self.normal.normalize_str(UPPER_AND_REST) != UPPER_AND_REST.lower():
                 raise ValueError("the tokenizer keeps capitals: encode whole texts")
+            self.tokenizer.normalizer = None                # words are normalised here, before they are put together
             [self.mark] = self.ids_of([BETWEEN])[0]
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def side_by_side(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words, encoded as one text with a word of a single id in between."""
+    def side_by_side(self, words: list[str], normal: Callable[[str], str] = str) -> Iterator[bytes]:
+        """Ids of words, normalised and encoded as one text with a word of a single id in between."""
         for a in range(0, len(words), JOINED):
             part = words[a:a + JOINED]
-            [ids] = self.ids_of([f" {BETWEEN} ".join([*part, ""])])
+            [ids] = self.ids_of([normal(f" {BETWEEN} ".join([*part, ""]))])
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part):
                 raise ValueError("the tokenizer joins words: encode whole texts")
@@ -141,12 +142,12 @@ class Encoder:
         parts = {p for m in found.values() for p in m.groups()}
         need, sign = (fresh.difference(found) | parts).difference(self.cache), BETWEEN.encode()
         marked = [w for w in need if sign in w]
-        # ASCII words in lower case are what the tokenizer would make of them before it splits them.
-        for plain in (True, False):
-            words = [w for w in need if sign not in w and w.isascii() == plain]
-            self.tokenizer.normalizer = None if plain else self.normal
-            self.cache.update(zip(words, self.side_by_side([w.decode() for w in words]), strict=True))
-        self.cache.update(zip(marked, (i.tobytes() for i in self.ids_of([w.decode() for w in marked])), strict=True))
+        plain, other = ([w for w in need if sign not in w and w.isascii() == kind] for kind in (True, False))
+        # ASCII words in lower case are what the normaliser would make of them.
+        for words, ids in ((plain, self.side_by_side([w.decode() for w in plain])),
+                           (other, self.side_by_side([w.decode() for w in other], self.normal.normalize_str)),
+                           (marked, (i.tobytes() for i in self.ids_of([self.normal.normalize_str(w.decode()) for w in marked])))):
+            self.cache.update(zip(words, ids, strict=True))
         for word, m in found.items():
             self.cache[word] = self.cache[m[1]] + self.cache[m[2]]
         return need | fresh
@@ -179,6 +180,15 @@ class Encoder:
         return b"".join(out)
 
 
+def byte_chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of some ``most`` bytes; a longer text is a stretch of its own. Holds no text."""
+    sizes = np.asarray(pc.binary_length(texts), np.int64)
+    part, long_ = np.cumsum(sizes) // most, sizes > most
+    cuts = np.flatnonzero((part[1:] != part[:-1]) | long_[1:] | long_[:-1]) + 1
+    bounds = [0, *cuts.tolist(), len(sizes)]
+    return zip(bounds[:-1], bounds[1:], strict=True) if len(sizes) else iter(())
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = None, words_apart: bool = False,
           id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES,
           segment_ids: int = SEGMENT_IDS) -> None:
@@ -212,11 +222,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
                 names=["shard", "segment", "first", "n_ids", "doc_ids", "n_tokens", "data"])
 
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            id_type = keys.type
-            for a, b in chunks(texts, CHUNK_CHARS):
-                long_ = b - a == 1 and len(texts[a]) > CHUNK_CHARS
-                for i, ids in enumerate([encoder.encode_long(texts[a])] if long_ else encoder.encode(texts[a:b]), a):
+            id_type, column = batch.column(0).type, batch.column(1)
+            keys = batch.column(0).take(pa.array(np.arange(len(batch))))    # a copy, which does not hold the texts
+            for a, b in byte_chunks(column, CHUNK_CHARS):
+                texts = column.slice(a, b - a).to_pylist()
+                long_ = b - a == 1 and len(texts[0]) > CHUNK_CHARS
+                for i, ids in enumerate([encoder.encode_long(texts[0])] if long_ else encoder.encode(texts), a):
                     names.append(keys.slice(i, 1))
                     waiting.append(ids + end)
                     counts.append(len(waiting[-1]) // 4)
@@ -227,6 +238,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
                         names, counts, waiting, n = [], [], [], 0
         if names:
             yield segment()
+        encoder.cache = {}      # an idle worker holds no words
+        pa.default_memory_pool().release_unused()
 
     placed = keyed.repartitionByRange(max(1, -(-size // shard_bytes)), "id", "tie", "task").sortWithinPartitions(
         "id", "tie", "task").select("id", "text")

@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +53,16 @@ def test_words_alone_give_the_same_ids(tokenizer, text):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_stretches_of_bytes():
+    texts = ["a" * n for n in (3, 4, 0, 50, 2, 2, 2, 2, 2, 11, 11)] + ["é" * 6]
+    got = list(token_files.byte_chunks(pa.array(texts), 10))
+    assert [a for a, _ in got] + [12] == [0] + [b for _, b in got]
+    for a, b in got:
+        sizes = [len(t.encode()) for t in texts[a:b]]
+        assert sum(sizes) <= 20 and max(sizes) <= 10 or len(sizes) == 1
+    assert list(token_files.byte_chunks(pa.array([], pa.string()), 10)) == []
+
+
 def test_token_files(spark, tokenizer, tmp_path):
     rows = awkward(4) + [(500, "same text", "en", "a")] * 80 + [(501, "<|endoftext|> Ünï\u0301", "en", "a"), (502, "wort " * 150_000, "de", "b")]
     folder = str(tmp_path / "ids")
