@@ -132,3 +132,16 @@ def test_detector_agreement_counts_untouched_boxes_as_zero(spark):
     r = OB.detector_agreement(a, b, photos).first()
     assert (r.images, r.boxes_a, r.boxes_b, r.matched) == (3, 2, 1, 1)
     assert r.same_count_rate == pytest.approx(2 / 3) and r.mean_best_iou == pytest.approx(0.5)
+
+
+def test_closest_boxes_of_calm_photos_meet_in_place(spark):
+    a, b = crowd(12, 60, extent=600, copies=3), crowd(13, 60, extent=600)
+    a += [("gone", "x", 0.5, 0., 0., 5., 5.), (None, "y", 0.5, 0., 0., 5., 5.), ("flat", "z", 0.5, 3., 3., 3., 9.)]
+    b += [(None, "y", 0.5, 0., 0., 5., 5.), ("flat", "z", 0.5, 0., 0., 9., 9.)]
+    best = OB.best_overlap(spark.createDataFrame(a, DET), spark.createDataFrame(b, DET))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan           # no rows per cell
+    calm = {tuple(r) for r in best.collect()}
+    cells = {tuple(r) for r in OB._overlap_in_cells(spark.createDataFrame(a, DET), spark.createDataFrame(b, DET), "photo_id").collect()}
+    rounded = lambda rows: sorted(((*map(str, r[:6]), round(r[6], 9)) for r in rows))       # noqa: E731
+    assert rounded(calm) == rounded(cells) and len(calm) > 60
