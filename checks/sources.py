@@ -279,8 +279,8 @@ select t.scenario_id, t.item_idx, {value} from told t join decided d on d.vec_id
 def scenario_decisions(w: World, params=PARAMS):
     from listwarden.plans import check
 
-    decided = check.decide_items(w.embedded(w.items), check.scenario_lists(w.scenarios), w.prototypes, params,
-                                 ["photo_id", "item_idx"])
+    decided = check.decide_items(w.items, w.nested, w.prototypes, params, ["photo_id", "item_idx"],
+                                 w.vectors)
     return decided.withColumnRenamed("list_id", "scenario_id")
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..constants import MAX_ABSTAIN, MAX_FALSE_ALARM, MIN_OUT_RECALL, Params
 from ..operators.calibration import calibration_report, fit_platt, fit_temperature_and_bias, with_p_in
-from ..operators.thresholds import area_under_curve, choose_thresholds, params_of, risk_coverage, selective_metrics
-from ..session import durable
+from ..operators.thresholds import (
+    area_under_curve, choose_thresholds, params_of, ranked_errors, risk_coverage, selective_metrics)
+from ..session import stored as write
 
 
 @dataclass
@@ -28,18 +29,19 @@ def fit_decision(calibration: DataFrame, init: Params | None = None, max_false_a
                  max_abstain: float = MAX_ABSTAIN, min_out_recall: float = MIN_OUT_RECALL, stored: bool = False) -> Fit:
     """Temperature and bias, then the sigmoid, then thresholds; every step is a few passes over the set, which is written
     once first unless it is ``stored`` already."""
-    fixed = calibration if stored else durable(calibration)
+    fixed = calibration if stored else write(calibration)
     fitted = fit_temperature_and_bias(fixed, init, stored=True)
     raw = with_p_in(fixed, fitted)
     a, b = fit_platt(raw)
     fitted = fitted.with_(platt_a=a, platt_b=b)
-    scored = durable(with_p_in(fixed, fitted).select(
+    scored = write(with_p_in(fixed, fitted).select(
         "scenario_id", "item_idx", F.concat_ws("/", "scenario_id", F.format_string("%09d", "item_idx")).alias("ord"),
         "p_in", "y_in", "reason"))
+    ranked = ranked_errors(scored, "ord")
     chosen = choose_thresholds(scored, max_false_alarm, max_abstain, min_out_recall)
     params = params_of(chosen.filter("choice = 'lowest_risk'").first(), fitted)
     return Fit(
         params=params, calibration=calibration_report(fixed, params), thresholds=chosen,
-        no_reject=selective_metrics(scored, 0.5, 0.5), curve=risk_coverage(scored, "ord"),
-        area=area_under_curve(scored, "ord"),
+        no_reject=selective_metrics(scored, 0.5, 0.5), curve=risk_coverage(scored, "ord", ranked=ranked),
+        area=area_under_curve(scored, "ord", ranked),
         by_reason=selective_metrics(scored, params.theta_in, params.theta_out, ["reason"]))
