@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import rate
 from ..functions.text import MIN_NAME_LETTERS, close_enough, fold, letters, line_tokens, name_tokens, tolerance
+from ..session import stored
 
 
 def catalogue_keys(names: DataFrame) -> DataFrame:
@@ -56,30 +57,34 @@ def sequence_hits(sequences: DataFrame, keys: DataFrame) -> DataFrame:
 
     Every name is looked up by its rarest token only; the tokens around it are then compared in place. A token carries
     no more of its line than the longest name could cover, so long lines cost as much as their tokens in short ones.
+    Sequences may come more than once: they are put together and written once. The pairs of words that start a comparison
+    are written too, so that their size is known and the tokens need no shuffle to meet a short list.
     """
     longest = keys.agg(F.coalesce(F.max(F.size("tokens")), F.lit(1)).alias("m")).scalar()
-    whole = sequences.select(F.xxhash64("tokens").alias("line"), "tokens").dropDuplicates(["line"])
+    whole = stored(sequences.select(F.xxhash64("tokens").alias("line"), "tokens").dropDuplicates(["line"]))
     spread = whole.withColumn("m", longest).select("line", F.explode(F.transform("tokens", lambda t, i: F.struct(
         i.alias("at"), t.alias("line_token"), F.size("tokens").alias("size"),
         F.least(i, F.col("m") - 1).alias("before"),
         F.slice("tokens", F.greatest(i - F.col("m") + 2, F.lit(1)), 2 * F.col("m") - 1).alias("around")))).alias("p"))
     posted = spread.select("line", "p.*")
-    frequency = posted.groupBy("line_token").agg(F.count(F.lit(1)).alias("n"))
+    frequency = stored(whole.select(F.explode("tokens").alias("line_token")).groupBy("line_token").agg(
+        F.count(F.lit(1)).alias("n")))
     name_side = keys.select("class_id", "name_no", F.posexplode("tokens").alias("name_at", "name_token"))
-    similar = similar_tokens(frequency.select("line_token"), name_side.select("name_token").distinct())
+    similar = stored(similar_tokens(frequency.select("line_token"), name_side.select("name_token").distinct()))
     weight = similar.join(frequency, "line_token").groupBy("name_token").agg(F.sum("n").alias("w"))
     # A name with a token no line carries matches nothing: its weight is missing and sorts first.
     anchors = name_side.join(weight, "name_token", "left").groupBy("class_id", "name_no").agg(
         F.min(F.struct(F.coalesce("w", F.lit(0)).alias("w"), "name_at", "name_token")).alias("a")
     ).filter("a.w > 0").select("class_id", "name_no", "a.name_at", "a.name_token")
-    anchored = anchors.join(keys.select("class_id", "name_no", F.col("tokens").alias("wanted")),
-                            ["class_id", "name_no"])
+    anchored = stored(anchors.join(keys.select("class_id", "name_no", F.col("tokens").alias("wanted")),
+                                   ["class_id", "name_no"]))
+    starts = stored(similar.join(anchored.select("name_token").distinct(), "name_token", "left_semi"))
     start = F.col("at") - F.col("name_at")
     fits = (start >= 0) & (start + F.size("wanted") <= F.col("size"))
-    candidates = posted.join(similar, "line_token").join(anchored, "name_token").filter(fits)
+    candidates = posted.join(starts, "line_token").join(anchored, "name_token").filter(fits)
     window = F.slice("around", F.col("before") - F.col("name_at") + 1, F.size("wanted"))
     same = F.forall(F.zip_with(window, F.col("wanted"), close_enough), lambda ok: ok)
-    found = candidates.filter(same).select("line", "class_id", "name_no").distinct()
+    found = stored(candidates.filter(same).select("line", "class_id", "name_no").distinct())
     return found.join(whole, "line").select("tokens", "class_id", "name_no")
 
 
@@ -91,8 +96,9 @@ def match_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
     keys = catalogue_keys(names)
     # A line without tokens matches nothing; filtering it here would only fold every line twice.
     tokened = lines.select("doc", "line_no", "text", line_tokens(F.col("text")).alias("tokens"))
-    hits = sequence_hits(tokened.select("tokens").distinct(), keys)
-    first = tokened.join(hits, "tokens").groupBy("doc", "class_id").agg(
+    hits = stored(sequence_hits(tokened.select("tokens"), keys).select(F.xxhash64("tokens").alias("line"), "class_id", "name_no"))
+    named = tokened.select("doc", "line_no", "text", F.xxhash64("tokens").alias("line")).join(hits, "line")
+    first = named.groupBy("doc", "class_id").agg(
         F.min(F.struct("line_no", "name_no", "text")).alias("f"))
     found = first.select("doc", "class_id", "f.line_no", F.trim("f.text").alias("line"), "f.name_no")
     return found.join(names.select("class_id", "name_no", "name"), ["class_id", "name_no"])

@@ -124,3 +124,18 @@ def test_equal_runs_agree(spark):
     cases = spark.createDataFrame([("a",), ("empty",)], "case_id string")
     r = agreement.run_agreement(agreement.case_agreement(run, run, cases, cases)).first()
     assert (r.cases, r.same_box_count, r.verdict_agreement, r.items_compared, r.max_p_gap) == (2, 2, 1.0, 2, 0.0)
+
+
+def test_lines_meet_their_hits_by_a_short_key(spark):
+    lines = spark.createDataFrame([(d, n, text) for d in range(3) for n, text in enumerate(
+        ("1) Paracetamol forte", "nothing here", "PARACETAMOLL forte", "1) Paracetamol forte"))], "doc int, line_no int, text string")
+    names = spark.createDataFrame([(5, 0, "Paracetamol forte"), (6, 0, "Unnamed thing")], "class_id int, name_no int, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = fuzzy.match_lines(lines, names)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.doc, r.class_id, r.line_no, r.line) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(line#" in plan and "hashpartitioning(tokens#" not in plan
+    assert rows == [(d, 5, 0, "1) Paracetamol forte") for d in range(3)]
