@@ -69,3 +69,17 @@ def test_calibration_set_is_the_same_from_nested_scenarios(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, late.collect())) and plain.count() > 5
     plan = late._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan[:plan.index("Generate")]          # spread over scenarios after the last join
+
+
+def test_probabilities_are_made_per_vector(spark):
+    items, base, vectors, protos, _, _, unseen = tables(spark)
+    told, known = (items, scenarios.nested_scenarios(base), unseen), vectors.filter("embedding is not null")
+    variants = {"p_raw": PARAMS.with_(platt_a=1.0, platt_b=0.0), "p_in": PARAMS, "plain": calibration.before_params()}
+    for classes in (protos, protos.filter("false")):
+        want = calibration.with_probabilities(calibration.calibration_set(told, known, classes, "vec_id"), variants)
+        got = calibration.calibration_probabilities(told, known, classes, "vec_id", variants)
+        shown = lambda df: sorted(df.select("scenario_id", "photo_id", "item_idx", "y_in", "seen", "reason", *[
+            F.round(n, 12).alias(n) for n in variants]).collect(), key=str)
+        assert shown(got) == shown(want) and len(shown(got)) > 5
+    plan = calibration.calibration_probabilities(told, known, protos, "vec_id", variants)._jdf.queryExecution().executedPlan()
+    assert "MapInArrow" not in plan.toString()[:plan.toString().index("Generate")]     # no row per scenario goes to Python
