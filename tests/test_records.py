@@ -83,3 +83,27 @@ def test_probabilities_are_made_per_vector(spark):
         assert shown(got) == shown(want) and len(shown(got)) > 5
     plan = calibration.calibration_probabilities(told, known, protos, "vec_id", variants)._jdf.queryExecution().executedPlan()
     assert "MapInArrow" not in plan.toString()[:plan.toString().index("Generate")]     # no row per scenario goes to Python
+
+
+def test_a_detection_meets_its_claim_once(spark):
+    """Also where detections, items and vectors come twice; what is not told of a detection is carried nowhere."""
+    from listwarden.operators.boxes import match_boxes
+
+    items, base, vectors, protos, dets, _, unseen = tables(spark)
+    nested, twice = scenarios.nested_scenarios(base), lambda df, rows: df.unionByName(df.filter(rows))      # noqa: E731
+    items = items.select("*", *[F.col("item_idx") * 9 + F.lit(float(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]).toDF(
+        *items.columns, "x1", "y1", "x2", "y2")
+    dets = dets.drop("x1", "y1", "x2", "y2").withColumn("i", F.pmod(F.col("vec_id"), F.lit(3))).select(
+        "*", *[(F.col("i") * 9 + i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]).drop("i")
+    items, dets, vectors = twice(items, "photo_id = 3"), twice(dets, "vec_id in (11, 12)"), twice(vectors, "vec_id = 12")
+    matches = match_boxes(items, dets)
+    want = (evaluate.build_records(items, matches, dets, nested, unseen, vectors, protos, PARAMS),
+            evaluate.build_spurious(matches, dets, nested, vectors, protos, PARAMS))
+    shown = lambda df: sorted(map(str, df.collect()))           # noqa: E731
+    for told in (("score", "det_box"), ()):
+        got = evaluate.evaluate(items, dets, nested, unseen, vectors, protos, PARAMS, told)
+        for g, w in zip(got, want):
+            assert g.columns == [c for c in w.columns if told or c not in ("det_score", "det_box")]
+            assert shown(g) == shown(w.select(g.columns)) and len(shown(g)) > 1
+    plan = got[0]._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("det_id", "score#", "det_box"))
