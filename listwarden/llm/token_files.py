@@ -32,11 +32,11 @@ BLOCK, PERCENTILE, MAGIC = 256, 90, b"PFB1"
 CUT = -(-BLOCK * PERCENTILE // 100) - 1             # in sorted order, the value whose width a block takes
 HEAD, INDEX = 6, 16                                 # bytes before a block's values, and before the block starts
 SHARD_BYTES, SEGMENT_IDS = 64 << 20, 1 << 16        # text of a shard on average; ids after which a segment ends
-CHUNK_CHARS, CACHE_WORDS, WORD_BYTES = 500_000, 300_000, 64
-BETWEEN, JOINED = "|", 2000                         # what is put between words encoded together, and how many words
+CHUNK_CHARS, CACHE_WORDS, WORD_BYTES = 500_000, 500_000, 64
 LOWER = bytes(range(256)).lower()                   # A-Z alone
 UPPER_AND_REST = "".join(map(chr, range(32, 127)))
-STEM = re.compile(rb"([a-z]+)([^a-z0-9'\x80-\xff]+)")
+SIGNS = r"([^a-z0-9'\x80-\U0010ffff]*)"             # of ASCII, and none that begins a contraction
+LETTERS = [*range(ord("a"), ord("z") + 1), *range(0xC0, 0x530)]       # looked at one by one: Latin, Greek, Cyrillic
 
 
 def _at(starts: np.ndarray, n: int) -> np.ndarray:
@@ -102,6 +102,32 @@ def unpack(image: bytes, first: int = 0, n: int | None = None) -> np.ndarray:
     return (rest + low).ravel()[first - a * BLOCK:stop - a * BLOCK]
 
 
+class Words(dict):
+    """Ids of words, encoded when they are first asked for. What came in the last two generations is held."""
+
+    def __init__(self, ids_of_word: Callable[[bytes], bytes]):
+        super().__init__()
+        self.ids_of_word, self.older = ids_of_word, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.ids_of_word(word)
+        if len(word) <= WORD_BYTES:
+            self[word] = ids
+        return ids
+
+    def grow_old(self, most: int) -> None:
+        """At more than ``most`` words, forget those that came only before the last such time."""
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
+
 class Encoder:
     """A tokenizer file of the tokenizers library, and the words encoded so far, one per worker process."""
 
@@ -109,7 +135,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # one thread per task
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words_apart, self.cache = Tokenizer.from_file(path), words_apart, {}
+        self.tokenizer, self.words_apart, self.words = Tokenizer.from_file(path), words_apart, Words(self.ids_of_word)
         self.tokenizer.encode_special_tokens = True         # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -117,54 +143,53 @@ class Encoder:
             self.normal = self.tokenizer.normalizer
             if self.normal is None or self.normal.normalize_str(UPPER_AND_REST) != UPPER_AND_REST.lower():
                 raise ValueError("the tokenizer keeps capitals: encode whole texts")
-            self.tokenizer.normalizer = None                # words are normalised here, before they are put together
-            [self.mark] = self.ids_of([BETWEEN])[0]
-
-    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def side_by_side(self, words: list[str], normal: Callable[[str], str] = str) -> Iterator[bytes]:
-        """Ids of words, normalised and encoded as one text with a word of a single id in between."""
-        for a in range(0, len(words), JOINED):
-            part = words[a:a + JOINED]
-            [ids] = self.ids_of([normal(f" {BETWEEN} ".join([*part, ""]))])
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(part):
+            both, one, other = self.ids_of(["a b", "a", "b"])
+            if both != one + other:
                 raise ValueError("the tokenizer joins words: encode whole texts")
-            raw, start = ids.tobytes(), 0
-            for end in (4 * ends).tolist():
-                yield raw[start:end]
-                start = end + 4
-
-    def learn(self, fresh: set[bytes]) -> set[bytes]:
-        """Put words into the cache; a word of letters with signs behind them is made of the two. Returns what is new."""
-        found = {w: m for w in fresh if (m := STEM.fullmatch(w))}
-        parts = {p for m in found.values() for p in m.groups()}
-        need, sign = (fresh.difference(found) | parts).difference(self.cache), BETWEEN.encode()
-        marked = [w for w in need if sign in w]
-        plain, other = ([w for w in need if sign not in w and w.isascii() == kind] for kind in (True, False))
-        # ASCII words in lower case are what the normaliser would make of them.
-        for words, ids in ((plain, self.side_by_side([w.decode() for w in plain])),
-                           (other, self.side_by_side([w.decode() for w in other], self.normal.normalize_str)),
-                           (marked, (i.tobytes() for i in self.ids_of([self.normal.normalize_str(w.decode()) for w in marked])))):
-            self.cache.update(zip(words, ids, strict=True))
-        for word, m in found.items():
-            self.cache[word] = self.cache[m[1]] + self.cache[m[2]]
-        return need | fresh
+            self.tokenizer.normalizer = None                # words are normalised here, where they need it
+            self.model, self.pieces = self.tokenizer.model, self.letter_pieces()
+            self.raw = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+            run = "".join(map(chr, self.pieces))
+            self.stem = re.compile(f"{SIGNS}([{run}]+){SIGNS}" if run else "(?!)").fullmatch
+
+    def letter_pieces(self) -> dict[int, str]:
+        """What the tokenizer's normaliser and splitter make of single letters, if that is what they make of runs of them."""
+        split, found = self.tokenizer.pre_tokenizer, {}
+        for c in map(chr, LETTERS if split is not None else ()):
+            small = self.normal.normalize_str(c)
+            own = split.pre_tokenize_str(small) if c.isalpha() and small.isalpha() else []
+            if len(own) == 1:
+                found[ord(c)] = own[0][0]
+        run = split.pre_tokenize_str(self.normal.normalize_str("".join(["-", *map(chr, found), "-"]))) if found else []
+        return found if [p for p, _ in run] == ["-", "".join(found.values()), "-"] else {}
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of_word(self, word: bytes) -> bytes:
+        """Ids of a word without white space and ASCII capitals.
+
+        A run of letters goes to the library's model at once, since nothing before the model would change or part it; one
+        with signs around it is made of its parts; other words go through the whole tokenizer.
+        """
+        text = word.decode()
+        m = self.stem(text)
+        if m is None:                   # ASCII in lower case is what the normaliser would make of it
+            return self.ids_of([text if word.isascii() else self.normal.normalize_str(text)])[0]
+        if len(m[2]) < len(text):
+            return b"".join([self.words[p.encode()] for p in m.groups() if p])
+        piece = text if word.isascii() else text.translate(self.pieces)
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         if not self.words_apart:
-            return [i.tobytes() for i in self.ids_of(texts)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        # Split at ASCII white space alone; other white space stays inside what is encoded together.
-        split = [t.encode().translate(LOWER).split() for t in texts]
-        new = self.learn(set().union(*split).difference(self.cache))
-        out = [b"".join(map(self.cache.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > WORD_BYTES:
-                del self.cache[word]
+            return self.ids_of(texts)
+        out = []
+        for text in texts:
+            self.words.grow_old(CACHE_WORDS // 2)
+            # Split at ASCII white space alone; other white space stays inside what is encoded together.
+            out.append(b"".join(map(self.words.__getitem__, text.encode().translate(LOWER).split())))
         return out
 
     def encode_long(self, text: str) -> bytes:
@@ -238,7 +263,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
                         names, counts, waiting, n = [], [], [], 0
         if names:
             yield segment()
-        encoder.cache = {}      # an idle worker holds no words
+        encoder.words.forget()  # an idle worker holds no words
         pa.default_memory_pool().release_unused()
 
     placed = keyed.repartitionByRange(max(1, -(-size // shard_bytes)), "id", "tie", "task").sortWithinPartitions(

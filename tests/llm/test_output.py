@@ -46,6 +46,11 @@ def tokenizer():
     return own
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return token_files.Encoder(WORDS, True)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("a 's\n\t\x0b\x1c\x1f\x85\xa0 \u3000\u0301ΣσİIA9"))))
 def test_words_alone_give_the_same_ids(tokenizer, text):
@@ -53,6 +58,27 @@ def test_words_alone_give_the_same_ids(tokenizer, text):
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aeéÉßŸſǅжЖΣςİ\u212a\u0301\u0338'sd-\"(.,|<>9 \x1c"), max_size=8), max_size=40))
+def test_letters_with_signs_around_them(tokenizer, encoder, texts):
+    assert encoder.encode(texts) == [
+        np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_words_that_come_again_are_not_encoded_again(tokenizer, encoder, monkeypatch):
+    asked, whole, of_word, of_texts = [], [], encoder.ids_of_word, encoder.ids_of
+    monkeypatch.setattr(encoder, "words", token_files.Words(lambda w: asked.append(w) or of_word(w)))
+    monkeypatch.setattr(encoder, "ids_of", lambda texts: whole.extend(texts) or of_texts(texts))
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 40)
+    texts = [f"the Été, {'ab' * (i % 20 + 1)} \"жук\" {'x' * 100} it's" for i in range(200)]
+    assert encoder.encode(texts) == [
+        np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for word in ("the", "Été,", "it's"):                        # though the words held were given up several times
+        assert asked.count(word.encode()) == 1
+    assert set(whole) == {",", '"', "it's"}                     # letters go to the model alone
+    assert len(encoder.words) + len(encoder.words.older) <= 60
+
+
 def test_stretches_of_bytes():
     texts = ["a" * n for n in (3, 4, 0, 50, 2, 2, 2, 2, 2, 11, 11)] + ["é" * 6]
     got = list(token_files.byte_chunks(pa.array(texts), 10))
