@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from listwarden import session
 from listwarden.constants import Params
 from listwarden.operators import calibration, scenarios
-from listwarden.plans import evaluate
+from listwarden.plans import check, evaluate
 
 PARAMS = Params(temperature=0.08, unknown_bias=0.3, theta_in=0.8, theta_out=0.3, margin=0.0, platt_a=0.9, platt_b=0.5)
 
@@ -107,3 +108,34 @@ def test_a_detection_meets_its_claim_once(spark):
             assert shown(g) == shown(w.select(g.columns)) and len(shown(g)) > 1
     plan = got[0]._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("det_id", "score#", "det_box"))
+
+
+def test_few_vectors_are_sent_to_the_items(spark, monkeypatch):
+    """Items that carry the scenarios of their photo are not shuffled once more to look up their vector."""
+    items, base, vectors, protos, dets, matches, unseen = tables(spark)
+    nested = scenarios.nested_scenarios(base)
+
+    def both():
+        found = check.decide_items(items, nested, protos, PARAMS, ["photo_id", "item_idx"], vectors.filter("vec_id <> 13"))
+        return found, evaluate.build_records(items, matches, dets, nested, unseen, vectors, protos, PARAMS)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = both()
+        assert all("hashpartitioning(vec_id" not in f._jdf.queryExecution().executedPlan().toString() for f in few)
+        monkeypatch.setattr(session, "BROADCAST_BYTES", 100)
+        many = both()
+        assert all("hashpartitioning(vec_id" in f._jdf.queryExecution().executedPlan().toString() for f in many)
+        for a, b in zip(few, many, strict=True):
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_size_of_a_side(spark):
+    rows = spark.createDataFrame([(1, [0.5] * 10), (2, None)], "vec_id long, embedding array<float>")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()      # noqa: E731
+    size = 2 * (16 + 8 + 24 + 80)
+    assert hinted(session.small_side(rows, size)) and not hinted(session.small_side(rows, size - 1))
+    assert hinted(session.small_side(rows.filter("false"), 0))
