@@ -197,6 +197,19 @@ def test_decode_is_the_best_path():
         assert abs(best - mine) < 1e-4
 
 
+def test_decoding_states_are_those_of_training():
+    model, rng = pii.Tagger(5), np.random.default_rng(4)
+    model.table *= 4
+    model.table[0, 65, :8] = 200                # exp of it overflows
+    codes = rng.integers(0, pii.CLASSES, (120, 37)).astype(np.uint8)
+    states, quick = model.states(codes), model.quick_states(codes)
+    assert quick.shape == states.shape and np.isfinite(quick).all() and np.abs(quick - states).max() < 1e-4
+    tags, sure = model.decode(codes)
+    scores = model.emissions(codes)
+    mine = np.take_along_axis(scores, tags[..., None].astype(np.intp), 2)[..., 0] - scores[..., 0]
+    assert tags.any() and np.abs(sure - mine).max() < 1e-3
+
+
 def test_reconcile_prefers_whole_then_sure():
     found = [(False, 9.0, 0, 10, 0), (True, 5.0, 0, 20, 0), (True, 4.0, 15, 30, 1), (True, 1.0, 40, 60, 1), (True, 8.0, 70, 74, 2)]
     assert pii.reconcile(found, 100) == [(0, 0, 20)]
