@@ -88,6 +88,11 @@ def kept(owner, make: Callable):
     return _KEPT[owner]
 
 
+def forget() -> None:
+    """Free what ``kept`` holds, at the end of a task that makes it again at little cost: idle workers stay."""
+    _KEPT.clear()
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

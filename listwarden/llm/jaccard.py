@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import discard, hash_sample, kept, possibly_in, row_key, stored, whole_groups
+from .common import discard, forget, hash_sample, kept, possibly_in, row_key, stored, whole_groups
 from .graph import components
 
 # Shingles in HOT_DOCS or more of about SAMPLE_DOCS documents come last in the order of shingles (HOT_SHINGLES at most).
@@ -110,6 +110,7 @@ def sketches(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> Data
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * (j - i) + 1, 64, dtype=np.int32)), pa.array(counts))],
                     names=["row", "doc_id", "n", "x", "y", "prefix", "counts"])
+        forget()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("row", "doc_id", "text").mapInArrow(
@@ -123,6 +124,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for i, j in chunks(batch["text"].tolist(), CHUNK_CHARS):
                 part = batch.iloc[i:j]
                 yield pd.DataFrame({"rep": part["rep"], "shingles": [shingles(t, width).tobytes() for t in part["text"]]})
+        forget()
 
     near = possibly_in(docs.select(F.col("row").alias("at"), "text"), "at", wanted, "row")
     return stored(near.join(wanted, F.col("at") == F.col("row")).select("rep", "text").dropDuplicates(["rep"]).mapInPandas(

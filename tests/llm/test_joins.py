@@ -4,11 +4,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from listwarden.llm import embedding_dedup, jaccard, suffix_dedup
+from listwarden.llm import common, embedding_dedup, jaccard, suffix_dedup
 from listwarden.llm.common import possibly_in
 from listwarden.llm.embedding_dedup import LEAST_FILTERS, near_vectors, product_code
 
@@ -297,3 +298,29 @@ def test_grouping_helper_keeps_groups_whole():
         assert g["k"].nunique() == 1 and g["k"].iloc[0] not in sizes
         sizes[g["k"].iloc[0]] = len(g)
     assert dict(sizes) == {1: 2, 2: 3, 3: 1}
+
+
+def test_pipeline_hands_few_rows_to_python_at_once(spark):
+    key, old = corpus_pipeline.BATCH_KEY, spark.conf.get(corpus_pipeline.BATCH_KEY)
+    docs = table(spark, [(i, f"w{i} " * 8, "en", "a") for i in range(5000)]).coalesce(1)
+    try:
+        for before, rows in (("10000", 1000), ("0", 1000), ("300", 300)):
+            spark.conf.set(key, before)
+            sizes = corpus_pipeline.encode(spark, docs, "").mapInArrow(
+                lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+            assert max(r.n for r in sizes.collect()) <= rows == int(spark.conf.get(key))
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_words_are_freed_at_the_end_of_a_task(spark):
+    docs = table(spark, [(i, f"a{i} b c d e f", "en", "a") for i in range(20)]).withColumn("row", F.col("doc_id")).coalesce(1)
+    wanted = docs.select(F.col("row").alias("rep"), "row")
+
+    def held(batches):
+        for _ in batches:
+            yield pd.DataFrame({"n": [len(common._KEPT.get("words", ()))]})
+
+    jaccard.sketches(docs, np.zeros(0, np.uint64), 4, 85).collect()
+    jaccard.whole_sets(docs, wanted, 4).collect()
+    assert {r.n for r in spark.range(0, 400, 1, 4).mapInPandas(held, "n long").collect()} == {0}
