@@ -76,6 +76,25 @@ def test_derivatives_of_the_loss(spark):
                                        (f(0, h, 2) - f(0, -h, 2)) / (2 * h)], rtol=1e-4, atol=1e-4)
 
 
+def test_a_block_makes_weights_once_for_rows_that_share_similarities(spark):
+    rng = np.random.default_rng(5)
+    s, mask, y = np.repeat(rng.normal(0.3, 0.3, (30, 6)), 3, axis=0), rng.random((90, 6)) < 0.4, (rng.random(90) < 0.5).astype(float)
+    points = [(-2.0, 0.4), (-2.0, 0.1), (-4.5, 0.4), (-1.0, 0.9)]
+    block = calibration._block(s, mask, y)
+    assert len(block[0]) == 30 and len(block[1]) == 90
+    wanted = []
+    for log_t, bias in points:
+        e, u = np.exp(s / np.exp(log_t)), np.exp(bias / np.exp(log_t))
+        p = np.clip((e * mask).sum(axis=1) / (e.sum(axis=1) + u), 1e-7, 1 - 1e-7)
+        wanted.append(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+    assert np.allclose(calibration._block_terms(*block, points, False)[:, 0], wanted)
+    rows = [(a.tolist(), np.flatnonzero(m).tolist(), int(v)) for a, m, v in zip(s, mask, y)]
+    found = calibration._terms(calibration._blocks(spark.createDataFrame(rows, "sims array<double>, slots array<int>, y_in int")), np.array(points))
+    assert np.allclose(found[:, 0] * 90, wanted)
+    each = [sum(calibration._point_terms(s[i:i + 1], mask[i:i + 1], y[i:i + 1], *at, True) for i in range(90)) for at in points]
+    assert np.allclose(found * 90, each)
+
+
 def test_trust_step():
     for hessian in ([[2.0, 0.3], [0.3, 1.0]], [[-1.0, 0.0], [0.0, 3.0]], [[0.0, 0.0], [0.0, 0.0]]):
         g, h = np.array([0.7, -0.4]), np.array(hessian)
