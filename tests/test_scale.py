@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwarden.constants import Params
-from listwarden.operators import boxes, calibration, ordering, prototypes, sampling, scenarios
+from listwarden.operators import boxes, calibration, ordering, prototypes, sampling, scenarios, thresholds
 from listwarden.sources import annotations
 
 
@@ -95,6 +95,25 @@ def test_a_block_makes_weights_once_for_rows_that_share_similarities(spark):
     assert np.allclose(found * 90, each)
 
 
+def test_the_fit_of_a_decision_works_out_its_softmax_once(spark, monkeypatch):
+    from listwarden.plans import fit as plan
+
+    rng, made, written = np.random.default_rng(9), [], []
+    rows = [(f"s{i % 7}", i, rng.normal(0.3, 0.2, 4).tolist(), [0, 2], int(rng.random() < 0.6), "listed") for i in range(300)]
+    told = spark.createDataFrame(rows, "scenario_id string, item_idx int, sims array<double>, slots array<int>, y_in int, reason string")
+    shares, kept = plan.with_shares, ordering.stored
+    monkeypatch.setattr(plan, "with_shares", lambda *a: made.append(a) or shares(*a))
+    monkeypatch.setattr(ordering, "stored", lambda df: written.append(df) or kept(df))
+    fit = plan.fit_decision(told, stored=True)
+    assert len(made) == 1 and len(written) == 1
+    p = calibration.with_p_in(told, fit.params)
+    got, wanted = (r.collect() for r in (fit.no_reject, thresholds.selective_metrics(p, 0.5, 0.5)))
+    assert got == wanted and fit.by_reason.collect() == thresholds.selective_metrics(
+        p, fit.params.theta_in, fit.params.theta_out, ["reason"]).collect()
+    ranked = thresholds.ranked_errors(p.withColumn("ord", F.concat_ws("/", "scenario_id", F.lpad(F.col("item_idx").cast("string"), 19, "0"))), "ord")
+    assert fit.area.collect() == thresholds.area_under_curve(p, "ord", ranked).collect()
+
+
 def test_trust_step():
     for hessian in ([[2.0, 0.3], [0.3, 1.0]], [[-1.0, 0.0], [0.0, 3.0]], [[0.0, 0.0], [0.0, 0.0]]):
         g, h = np.array([0.7, -0.4]), np.array(hessian)
