@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Files of shuffles that nothing can read any more go now, and not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hash_sample(rows: DataFrame, n_rows: int, *cols: str, seed: int = 7) -> DataFrame:
     """About ``n_rows`` rows, or all if there are no more: those whose seeded hash lies in that share of its range.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import discard, forget, hash_sample, kept, possibly_in, row_key, stored, whole_groups
+from .common import discard, forget, hash_sample, kept, possibly_in, row_key, stored, sweep, whole_groups
 from .graph import components
 
 # Shingles in HOT_DOCS or more of about SAMPLE_DOCS documents come last in the order of shingles (HOT_SHINGLES at most).
@@ -31,6 +31,8 @@ CHUNK_CHARS, CACHE_WORDS, PAIRS_PER_TASK = 2_000_000, 300_000, 2_000
 REACH, LEAST_REGION, TILE, COLUMNS = 0.5, 32, 256, 8192
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 CLASS_SHIFT = np.uint64(58)
+# Shingles to a class of the finer counts: sets of other texts then lie further apart in them than a link allows.
+CLASS_SHINGLES = 12
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,9 +88,21 @@ def frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 
+def fine_counts(found: np.ndarray) -> bytes:
+    """Shingles, mixed, per class of their first bits, 255 at most: 64 classes, in large sets as many as keep them small."""
+    bits = max(6, int(np.ceil(np.log2(max(1, len(found)) / CLASS_SHINGLES))))
+    return np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """What two sets lie apart at least, by their finer counts."""
+    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b)), key=len)
+    return int(np.abs(np.minimum(b.reshape(len(a), -1).sum(axis=1), 255) - a).sum())
+
+
 def sketches(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(row, doc_id, n, x, y, prefix, counts) of every text: size of its set, two checksums, the first shingles in the global
-    order, shingles per hash class."""
+    """(row, doc_id, n, x, y, prefix, counts, fine) of every text: size of its set, two checksums, the first shingles in the
+    global order, shingles per hash class, and those per finer class."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)       # HOT_SHINGLES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,22 +113,25 @@ def sketches(docs: DataFrame, hot: np.ndarray, width: int, percent: int) -> Data
                 n = np.fromiter(map(len, sets), np.int64, j - i)
                 keep = np.where(n > 0, n - needed(percent, n) + 1, 0)
                 x = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-                y = [int(mixed(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
+                spread = [mixed(s) for s in sets]
+                y = [int(s.sum(dtype=np.uint64)) if len(s) else 0 for s in spread]
                 prefix = np.concatenate([s[:k] for s, k in zip(sets, keep, strict=True)] or [np.zeros(0, np.uint64)])
-                counts = np.concatenate([np.bincount((mixed(s) >> CLASS_SHIFT).astype(np.int64), minlength=64) for s in sets])
+                counts = np.concatenate([np.bincount((s >> CLASS_SHIFT).astype(np.int64), minlength=64) for s in spread])
                 counts = np.minimum(counts, 32767).astype(np.int16)
+                fine = [fine_counts(s) for s in spread]
                 offsets = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n),
                      pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(np.array(y, np.uint64).view(np.int64)),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * (j - i) + 1, 64, dtype=np.int32)), pa.array(counts))],
-                    names=["row", "doc_id", "n", "x", "y", "prefix", "counts"])
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * (j - i) + 1, 64, dtype=np.int32)), pa.array(counts)),
+                     pa.array(fine, pa.binary())],
+                    names=["row", "doc_id", "n", "x", "y", "prefix", "counts", "fine"])
         forget()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("row", "doc_id", "text").mapInArrow(
-        run, f"row long, doc_id {kind}, n long, x long, y long, prefix array<long>, counts array<smallint>")
+        run, f"row long, doc_id {kind}, n long, x long, y long, prefix array<long>, counts array<smallint>, fine binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -225,11 +242,28 @@ def region_join(inside: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     return stored(blocks.mapInPandas(run, "a long, b long"))
 
 
+def _with_sides(pairs: DataFrame, reps: DataFrame, col: str) -> DataFrame:
+    """Stored pairs (a, b, na, nb) with ``col`` of both as pa and pb. Of the other sets none is shuffled."""
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    side = possibly_in(reps.select("rep", col), "rep", wanted, "rep")
+    return pairs.join(side.toDF("a", "pa"), "a").join(side.toDF("b", "pb"), "b")
+
+
+def _in_few_classes(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Stored pairs (a, b, na, nb) whose finer counts leave room for a link. These are a twentieth of the prefixes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [least_apart(pa_, pb) <= (100 - percent) * (na + nb) // (100 + percent) for pa_, pb, na, nb in zip(
+                batch["pa"], batch["pb"], batch["na"], batch["nb"], strict=True)]
+            yield batch.loc[np.array(keep, bool), ["a", "b", "na", "nb"]]
+
+    return _with_sides(pairs, reps, "fine").mapInPandas(run, "a long, b long, na long, nb long")
+
+
 def _close_enough(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) whose prefixes leave room for a link: what lies apart in the part of the order that both
+    """Stored pairs (a, b, na, nb) whose prefixes leave room for a link: what lies apart in the part of the order that both
     prefixes cover is already apart in the sets."""
-    side = reps.select("rep", "prefix")
-    both = pairs.join(side.toDF("a", "pa"), "a").join(side.toDF("b", "pb"), "b")
+    both = _with_sides(pairs, reps, "prefix")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -271,19 +305,27 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     own. Null ids take part; a component's id is null only if all its ids are. No rows give no rows; further columns are
     ignored. Exact up to collisions of 63-bit hashes.
     """
+    spark = docs.sparkSession
     docs = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"),
                        F.col(text_col).alias("text"))
-    rows = stored(sketches(docs, frequent(docs, width), width, percent))
+    rows = stored(sketches(docs, frequent(docs, width), width, percent).withColumn("rep", F.monotonically_increasing_id()))
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")] if keep_row else []
-    classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), *first)
-    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
-    reps = stored(rows.select(F.col("row").alias("at"), "prefix", "counts").join(classes, F.col("at") == F.col("row")).select(
-        "rep", "row", "n", "prefix", "counts").dropDuplicates(["rep"]))
+    classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(
+        F.min("doc_id").alias("low"), F.min(F.struct("row", "rep")).alias("one"), *first)
+    classes = stored(classes.withColumns({"row": F.col("one.row"), "rep": F.col("one.rep")}).drop("one"))
+    # Prefixes are read where they are stored: only rows that may not be the one of their class are shuffled.
+    reps = rows.filter("n > 0").select("rep", "row", "n", "prefix", "counts", "fine")
+    others = stored(rows.filter("n > 0").select("rep").join(classes.select("rep"), "rep", "left_anti"))
+    if not others.isEmpty():
+        reps = possibly_in(reps, "rep", others, "rep").join(others, "rep", "left_anti").union(
+            possibly_in(reps, "rep", others, "rep", inside=False))
     # Seats of regions: prefix shingles of two classes or more.
     seats = reps.select("rep", "n", F.posexplode("prefix").alias("place", "seat"))
     shared = stored(seats.groupBy("seat").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("seat"))
+    sweep(spark)
     member = stored(seats.join(shared, "seat").select("seat", "rep", F.col("n").cast("int").alias("n"), "place"))
     discard(shared)
+    sweep(spark)
     n_reps, links, sets, measured, used = reps.count(), None, None, None, None
     groups = None
 
@@ -300,18 +342,25 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     def measure(pairs: DataFrame) -> DataFrame:
         """Distances of the pairs that may link; adds the sets this needs."""
         nonlocal sets
+        pairs = stored(_in_few_classes(stored(pairs), reps, percent))
         pairs = stored(_close_enough(pairs, reps, percent))
+        sweep(spark)
         wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("rep"), "rep", "left_anti")
         more = whole_sets(docs, stored(wanted.join(reps.select("rep", "row"), "rep")), width)
         sets = more if sets is None else sets.union(more)
         found = overlaps(pairs.select("a", "b"), sets).join(pairs, ["a", "b"])
-        return stored(found.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all")))
+        found = stored(found.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all")))
+        sweep(spark)
+        return found
 
+    spent = [member]            # tables that ``member`` reads
     while True:
         # Members with their component so far; a seat whose members are all in one is done.
         now = stored(_open_members(member, groups))
+        for table in spent:
+            discard(table)
         pivots = stored(now.groupBy("seat").agg(F.min(F.struct("place", "rep", "n", "group")).alias("p")))
         met = now.select("seat", F.struct("place", "rep", "n", "group").alias("m")).join(pivots, "seat")
         pairs = pair_up(met.filter((F.col("m.group") != F.col("p.group")) & fits("m", "p")), "m", "p")
@@ -321,10 +370,11 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
         measured = found if measured is None else measured.union(found)
         linked = found.filter(F.col("shared") * 100 >= F.col("all") * percent).select("a", "b")
         links = linked if links is None else links.union(linked)
-        used = pivots.select("p.rep") if used is None else used.union(pivots.select("p.rep"))
+        own = stored(pivots.select("p.rep").distinct())
+        used = own if used is None else used.union(own)
         groups = components(links)
         # A pivot has met everybody at its seat.
-        member = now.join(pivots, "seat").filter(F.col("rep") != F.col("p.rep")).select("seat", "rep", "n", "place")
+        member, spent = now.join(pivots, "seat").filter(F.col("rep") != F.col("p.rep")).select("seat", "rep", "n", "place"), [now, pivots]
         if linked.count() * 100 <= n_reps:
             break
     # Rounds no longer join much: join inside the pivots' regions, then what meets at a seat and is in no region together.
@@ -334,6 +384,9 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     rest = _open_members(member, groups).join(regions.select("rep", "region"), "rep", "left").join(
         reps.select("rep", "counts"), "rep")
     rest = stored(rest.select("seat", F.struct("place", "rep", "n", "group", "region", "counts").alias("m")))
+    for table in spent:
+        discard(table)
+    sweep(spark)
     met = rest.join(rest.withColumnRenamed("m", "o"), "seat").filter(
         (F.col("m.rep") < F.col("o.rep")) & (F.col("m.group") != F.col("o.group")) &
         F.coalesce(F.col("m.region") != F.col("o.region"), F.lit(True)) & fits("m", "o") &
@@ -346,7 +399,10 @@ def jaccard_components(docs: DataFrame, percent: int = 85, width: int = 4, id_co
     best = [F.min("best").getField("row").alias("keep_row")] if keep_row else []
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"), *best)
     kept = [F.coalesce("keep_row", "row").alias("keep_row")] if keep_row else []
+    told = stored(rows.select("row", "doc_id", "n", "x", "y"))
+    for table in (rows, rest, sets):
+        discard(table)
     out = stored(named.join(lows, "component").select("n", "x", "y", "component_id", *(["keep_row"] if keep_row else [])))
-    return rows.select("row", "doc_id", "n", "x", "y").join(out, ["n", "x", "y"], "left").select(
+    return told.join(out, ["n", "x", "y"], "left").select(
         "row", "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *kept)

@@ -147,6 +147,47 @@ def test_region_links_are_exact():
     assert got == {(i, x) for i, x in enumerate(label) if i != x}
 
 
+def test_finer_counts_never_overstate_what_lies_apart():
+    rng = np.random.default_rng(2)
+    for n, m, both in ((0, 5, 0), (40, 3000, 30), (700, 900, 500), (5000, 5000, 4000), (9000, 1000, 10), (70_000, 20, 20)):
+        common = rng.integers(0, 2 ** 63, both, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 2 ** 63, k - both, dtype=np.uint64)])) for k in (n, m))
+        least = jaccard.least_apart(*(jaccard.fine_counts(jaccard.mixed(x)) for x in (a, b)))
+        assert abs(n - m) * (max(n, m) < 15_000) <= least <= n + m - 2 * both
+    same = np.full(600, 7, np.uint64)           # a class that overflows, in sets of different sizes
+    assert jaccard.least_apart(jaccard.fine_counts(same), jaccard.fine_counts(np.concatenate([same, same]))) == 0
+
+
+def test_unlike_long_texts_do_not_compare_prefixes(spark, monkeypatch):
+    """Long texts with a passage in common meet at many seats; 64 classes cannot tell them apart, finer ones do."""
+    compared, close = [], jaccard._close_enough
+    monkeypatch.setattr(jaccard, "_close_enough", lambda pairs, *a: compared.append(pairs.count()) or close(pairs, *a))
+    rng = random.Random(4)
+    words = lambda k: [f"w{rng.randrange(10 ** 6)}" for _ in range(k)]                  # noqa: E731
+    passage = words(600)
+    texts = [" ".join(words(2700) + passage + words(2700)) for _ in range(5)]
+    texts += [texts[0].replace(" w1", " v1", 20)]
+    got = jaccard.jaccard_components(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 0}
+    assert sum(compared) == 1
+
+
+def test_a_join_leaves_little_behind(spark):
+    """Prefixes, sets and seats are removed once they are not needed."""
+    import os
+
+    from listwarden.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(2000)) for _ in range(30)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts + [t + " x" for t in texts])]
+    before = size()
+    assert len({r.component_id for r in jaccard.jaccard_components(table(spark, rows)).collect()}) == 30
+    assert size() - before < 250_000            # the prefixes alone have 144 kB in rows and as much in the seats
+
+
 def brute_suffix(rows):
     order = lambda r: (r[0] is None, r[0] or 0)
     first = {}
