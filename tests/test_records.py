@@ -1,5 +1,7 @@
 """Evaluation records: what is shuffled, and rows whose keys repeat or are missing."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from listwarden import session
@@ -41,6 +43,25 @@ def test_no_row_per_scenario_is_shuffled(spark):
     assert "Join" in plan and "Join" not in plan[:plan.index("MapInArrow")]
 
 
+def test_items_are_dealt_by_photo_once(spark):
+    """Items, matches and detections meet, and meet the scenarios of their photo, where they have been dealt by photo."""
+    items, base, vectors, protos, dets, matches, unseen = tables(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nested = scenarios.nested_scenarios(base)
+        found = evaluate.build_records(items, matches, dets, nested, unseen, vectors, protos, PARAMS, ())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any(re.search(rf"hashpartitioning\([^)]*{c}", plan) for c in ("item_idx", "det_id"))
+        assert "det_box" not in found.columns and "score#" not in plan
+        claimed = evaluate.claimed_detections(matches, evaluate.boxed_detections(dets))._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\([^)]*det_id", claimed)
+        whole = evaluate.build_records(items, matches, dets, nested, unseen, vectors, protos, PARAMS)
+        assert sorted(map(str, found.collect())) == sorted(map(str, whole.drop("det_score", "det_box").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_items_without_detection_or_vector_are_missed(spark):
     found, spurious = (x.collect() for x in records(spark))
     per = {(r.scenario_id, r.item_idx): r for r in found}
