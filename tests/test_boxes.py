@@ -145,3 +145,17 @@ def test_closest_boxes_of_calm_photos_meet_in_place(spark):
     cells = {tuple(r) for r in OB._overlap_in_cells(spark.createDataFrame(a, DET), spark.createDataFrame(b, DET), "photo_id").collect()}
     rounded = lambda rows: sorted(((*map(str, r[:6]), round(r[6], 9)) for r in rows))       # noqa: E731
     assert rounded(calm) == rounded(cells) and len(calm) > 60
+
+
+def test_boxes_of_small_photos_meet_in_place(spark, monkeypatch):
+    called, cells = [], OB._pairs_in_cells
+    monkeypatch.setattr(OB, "_pairs_in_cells", lambda *a: called.append(a) or cells(*a))
+    rows = [(p, i, float(i % 7 * 10), float(i % 5 * 10), float(i % 7 * 10 + 12 + p), float(i % 5 * 10 + 14)) for p in range(4) for i in range(6 + 30 * (p == 3))]
+    rows += [(None, 0, 0.0, 0.0, 9.0, 9.0), (1, 90, 5.0, 5.0, 5.0, 9.0), (1, 91, None, 0.0, 9.0, 9.0)]
+    a = spark.createDataFrame(rows, "photo_id long, i int, x1 double, y1 double, x2 double, y2 double")
+    b = a.selectExpr("photo_id", "i as j", "x1 + 2 as x1", "y1 + 1 as y1", "x2 + 2 as x2", "y2 + 1 as y2")
+    shown = lambda df: sorted(tuple(r) for r in df.collect())           # noqa: E731
+    place = OB.overlapping_pairs(a, b, ["i"], ["j"], min_iou=0.3)
+    assert not called and "Generate" not in place._jdf.queryExecution().executedPlan().toString()
+    mixed = OB.overlapping_pairs(a, b, ["i"], ["j"], min_iou=0.3, fold=10)
+    assert len(called) == 1 and shown(place) == shown(mixed) == shown(cells(a, b, ["i"], ["j"], "photo_id", 0.3)) and place.count() > 40
