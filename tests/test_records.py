@@ -154,6 +154,27 @@ def test_few_vectors_are_sent_to_the_items(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_a_stream_carries_similarities_where_they_are_narrower(spark):
+    from listwarden.streaming.scoring import score_stream
+
+    rows = [(i % 3, f"d{i}", [float((i * k) % 5 + 1) for k in range(1, 13)]) for i in range(12)] + [(1, "none", None)]
+    dets = spark.createDataFrame(rows, "photo_id long, det_id string, embedding array<float>")
+    lists = spark.createDataFrame([(0, [0]), (1, None), (2, [0, 1, 7])], "photo_id long, listed array<int>")
+    protos = spark.createDataFrame([(0, 0, [1.0] * 12), (1, 0, [1.0, 0.0] * 6), (1, 1, [0.0, 1.0] * 6)], "class_id int, proto_no int, vector array<double>")
+    shown = lambda df: sorted(map(str, df.select("photo_id", "det_id", "verdict", "best_any", *[            # noqa: E731
+        F.round(c, 12).alias(c) for c in ("p_in", "s_in", "s_out")]).collect()))
+    for classes in (protos, protos.filter("false")):
+        got = score_stream(dets, lists, classes, PARAMS)
+        want = check.decide_items(dets, check.one_list(lists), classes, PARAMS, ["photo_id", "det_id"]).drop("list_id")
+        assert got.columns == want.columns and shown(got) == shown(want) and len(shown(got)) == 12
+    plan = score_stream(dets, lists, protos, PARAMS)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan[plan.index("Join"):]            # compared before they meet their list
+    wide = protos.select("*", F.explode(F.sequence(F.lit(0), F.lit(8), F.lit(2))).alias("more")).select(
+        (F.col("class_id") + F.col("more")).alias("class_id"), "proto_no", "vector")
+    plan = score_stream(dets, lists, wide, PARAMS)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan[plan.index("Join"):]        # ten similarities are wider than twelve floats
+
+
 def test_size_of_a_side(spark):
     rows = spark.createDataFrame([(1, [0.5] * 10), (2, None)], "vec_id long, embedding array<float>")
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()      # noqa: E731
