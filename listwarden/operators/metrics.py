@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import HEADLINE_REASONS
 from ..functions.decisions import forced_verdict, severity, state_name
 from ..functions.numbers import count_where, percent_text, rate
+from ..session import stored
 
 COUNTS = ("n", "n_out", "n_in", "n_detected", "n_uncertain", "n_decided", "n_decided_out", "n_decided_in",
           "n_called_out", "n_out_out", "n_in_out", "n_out_in", "n_detected_out")
@@ -113,7 +114,11 @@ def confusion_pairs(records: DataFrame, names: DataFrame, top: int = 15) -> Data
 
 
 def confusion_examples(records: DataFrame, order: list[Column], pairs: int = 6, each: int = 4) -> DataFrame:
-    """The first records of each of the most confused pairs; tasks keep at most ``each`` rows per pair."""
+    """The first records of each of the most confused pairs; tasks keep at most ``each`` rows per pair.
+
+    The records are worked out once: those of another class than the nearest, which any of the pairs is made of, are written.
+    """
+    records = stored(records.filter((F.col("label") >= 0) & (F.col("label") != F.col("best_any"))))
     top = confused(records).groupBy("label", "best_any").agg(F.count(F.lit(1)).alias("_n")).orderBy(
         F.desc("_n"), "label", "best_any").limit(pairs)
     hits = records.join(F.broadcast(top), ["label", "best_any"])   # at most ``pairs`` rows

@@ -176,3 +176,48 @@ def test_fits_beat_their_starting_points(spark):
     report = {r.phase: r for r in fit.calibration.collect()}
     assert report["after"].nll < report["before"].nll and 0 <= fit.params.theta_out <= fit.params.theta_in <= 1
     assert fit.by_reason.count() == 1 and fit.no_reject.first().abstain_rate == 0.0 and fit.curve.count() == 50
+
+
+def counted_rows(spark, df):
+    """The rows of ``df``, and a counter of how many of them were worked out."""
+    n = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            n.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), n
+
+
+def decided(spark):
+    rows = [(f"{p}#{k}", k, p, i, (p + i) % 3, ("listed", "removed", "unseen")[i % 3], "in" if i % 3 == 0 else "out", True, i != 4,
+             ("in", "out", "uncertain")[(p * i) % 3] if i != 4 else "missed", (p * 7 + i) % 10 / 10 if i != 4 else None,
+             (p * i) % 3 if i != 4 else None) for p in range(9) for i in range(5) for k in ("clean", "remove-1")]
+    return spark.createDataFrame(rows, "scenario_id string, kind string, photo_id long, item_idx int, label int, reason string, "
+                                       "gt string, seen boolean, detected boolean, verdict string, p_in double, best_any int")
+
+
+def test_a_report_works_out_its_records_once(spark):
+    from listwarden.plans import evaluate
+
+    plain = decided(spark)
+    records, n = counted_rows(spark, plain)
+    rows = {(r.section, r.key, r.metric): r.value for r in evaluate.report(records).collect()}
+    assert n.value == plain.count() == 90
+    scored = plain.filter("reason <> 'unlisted' and detected and p_in is not null").toPandas()
+    wrong = (scored["p_in"] >= 0.5) != (scored["gt"] == "in")
+    assert rows["slice", "all", "n"] == 90 and abs(rows["area", "", "full_coverage_risk"] - wrong.mean()) < 1e-12
+
+
+def test_examples_work_out_their_records_once(spark):
+    records, n = counted_rows(spark, decided(spark))
+    got = metrics.confusion_examples(records, [F.col("scenario_id"), F.col("item_idx")], 2, 3).collect()
+    assert n.value == 90
+    rows = decided(spark).toPandas()
+    rows = rows[(rows["label"] != rows["best_any"]) & rows["best_any"].notna()]
+    told = rows[rows["reason"].isin(["listed", "removed"])].groupby(["label", "best_any"]).size()
+    top = sorted(told.index, key=lambda k: (-told[k], k))[:2]
+    want = [(a, int(b), s, i) for a, b in top for s, i in sorted(
+        rows[(rows["label"] == a) & (rows["best_any"] == b)][["scenario_id", "item_idx"]].itertuples(index=False, name=None))[:3]]
+    assert sorted((r.label, r.best_any, r.scenario_id, r.item_idx) for r in got) == sorted(want) and len(want) == 6
