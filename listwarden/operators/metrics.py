@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import HEADLINE_REASONS
 from ..functions.decisions import forced_verdict, severity, state_name
 from ..functions.numbers import count_where, percent_text, rate
-from ..session import stored
+from ..session import durable, stored
 
 COUNTS = ("n", "n_out", "n_in", "n_detected", "n_uncertain", "n_decided", "n_decided_out", "n_decided_in",
           "n_called_out", "n_out_out", "n_in_out", "n_out_in", "n_detected_out")
@@ -127,23 +127,34 @@ def confusion_examples(records: DataFrame, order: list[Column], pairs: int = 6,
 
 
 def naming(records: DataFrame) -> DataFrame:
-    """Accuracy of the nearest class over distinct items, and what wrong names of removed items cost."""
+    """Accuracy of the nearest class over distinct items, and what wrong names of removed items cost.
+
+    An item is right as its last scenario has it. The scenarios of an item are looked at in order only if any item is right
+    in one and wrong in another, so that rows of whole numbers are counted by hash and ids are not compared.
+    """
     known = records.filter(F.col("reason").isin("listed", "removed") & F.coalesce("seen", F.lit(True))
                            & F.col("detected") & F.col("best_any").isNotNull())
     right = F.col("best_any") == F.col("label")
     removed = F.col("reason") == "removed"
     wrong = removed & ~right
-    per_item = known.groupBy("photo_id", "item_idx").agg(
-        F.max_by(right, "scenario_id").alias("right"), count_where(removed).alias("removed"),
-        count_where(wrong).alias("misnamed"),
-        *[count_where(wrong & (F.col("verdict") == v)).alias(v) for v in ("out", "uncertain", "in")])
-    hits = count_where(F.col("right"))
     zero = F.lit(0)
-    return per_item.agg(
-        F.count(F.lit(1)).alias("n_items"), rate(hits, F.count(F.lit(1))).alias("accuracy"),
-        F.coalesce(F.sum("removed"), zero).alias("removed"),
-        F.coalesce(F.sum("misnamed"), zero).alias("removed_misnamed"),
-        *[F.coalesce(F.sum(v), zero).alias(f"misnamed_{v}") for v in ("out", "uncertain", "in")])
+
+    def counted(last: Column, settled: Column) -> DataFrame:
+        per_item = known.groupBy("photo_id", "item_idx").agg(
+            last.alias("right"), settled.alias("settled"), count_where(removed).alias("removed"),
+            count_where(wrong).alias("misnamed"),
+            *[count_where(wrong & (F.col("verdict") == v)).alias(v) for v in ("out", "uncertain", "in")])
+        return durable(per_item.agg(
+            F.count(F.lit(1)).alias("n_items"), rate(count_where(F.col("right")), F.count(F.lit(1))).alias("accuracy"),
+            F.coalesce(F.sum("removed"), zero).alias("removed"),
+            F.coalesce(F.sum("misnamed"), zero).alias("removed_misnamed"),
+            *[F.coalesce(F.sum(v), zero).alias(f"misnamed_{v}") for v in ("out", "uncertain", "in")],
+            count_where(~F.col("settled")).alias("unsettled")))
+
+    found = counted(F.max(right), F.min(right) == F.max(right))
+    if found.first()["unsettled"]:
+        found = counted(F.max_by(right, "scenario_id"), F.lit(True))
+    return found.drop("unsettled")
 
 
 def scenario_states(records: DataFrame, spurious: DataFrame | None = None) -> DataFrame:

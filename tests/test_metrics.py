@@ -221,3 +221,15 @@ def test_examples_work_out_their_records_once(spark):
     want = [(a, int(b), s, i) for a, b in top for s, i in sorted(
         rows[(rows["label"] == a) & (rows["best_any"] == b)][["scenario_id", "item_idx"]].itertuples(index=False, name=None))[:3]]
     assert sorted((r.label, r.best_any, r.scenario_id, r.item_idx) for r in got) == sorted(want) and len(want) == 6
+
+
+def test_naming_compares_no_ids_unless_an_item_is_unsettled(spark, monkeypatch):
+    records, last = decided(spark), F.max_by
+    asked = []
+    monkeypatch.setattr(F, "max_by", lambda *a: asked.append(a) or last(*a))
+    known = records.filter("reason <> 'unseen' and detected").select("photo_id", "item_idx", (F.col("label") == F.col("best_any")).alias("r")).distinct()
+    row = metrics.naming(records).first()
+    assert not asked and row.n_items == known.count() and abs(row.accuracy - known.filter("r").count() / known.count()) < 1e-12
+    moved = records.withColumn("best_any", F.when(F.col("kind") == "clean", F.col("best_any") + 1).otherwise(F.col("best_any")))
+    assert metrics.naming(moved).first().accuracy == row.accuracy and asked       # the last scenario is remove-1
+    assert metrics.naming(records.filter("false")).first().n_items == 0
